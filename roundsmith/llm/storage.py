@@ -37,7 +37,7 @@ def put(uri: str, data: bytes) -> None:
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(own) as out:
+    with fs.open_output_stream(own, compression=None) as out:
         out.write(data)
     fs.move(own, path)
 

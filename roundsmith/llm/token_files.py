@@ -58,7 +58,7 @@ class TokenFileWriter:
         self.fs, self.path = storage.open_fs(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.fs.open_output_stream(self.own)
+        self.out = self.fs.open_output_stream(self.own, compression=None)
         self.out.write(MAGIC)
         self.dtype, self.block_ids, self.bits = np.dtype(dtype), block_ids, planes == "bit"
         self.zstd = zstandard.ZstdCompressor(level=1)
