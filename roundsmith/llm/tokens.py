@@ -32,6 +32,21 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _many(self, words: list[bytes]) -> None:
+        """Words without NUL in one call, NUL as a word between them: its one id marks the ends."""
+        text = b" \0 ".join(words).decode("utf-8", "replace")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) == len(words) - 1:
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            for word, i, j in zip(words, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
+                self.cache[word] = raw[i * w : j * w]
 
     def ids(self, text: bytes) -> bytes:
         own, cache = text.split(), self.cache
@@ -42,10 +57,12 @@ class WordTokenizer:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         new = list({w for w in own if w not in cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
+        plain = [w for w in new if b"\0" not in w and b"<|" not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 4096):
+            self._many(plain[i : i + 4096])
+        for w in new:
+            if w not in cache:
+                cache[w] = self._one(w)
         return b"".join([cache[w] for w in own])
 
 
