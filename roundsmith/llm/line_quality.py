@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from roundsmith.llm import chain_crf, storage, textkit
 from roundsmith.llm.textkit import U64
@@ -145,13 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
     return LineModel(*chain_crf.train(p["x"], quality[p["line_row"]], lengths, 2))
 
 
-def label_documents(docs: DataFrame, model: LineModel, carry: list[str] = []) -> DataFrame:
+def label_documents(docs: DataFrame, model: LineModel, carry: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     content_share for documents (doc_id, text).
 
     A null, empty or blank text has no words and fails the base rules; rows that repeat are judged each
-    by itself; other columns are ignored but for those named in carry, which are handed on; an empty
-    table gives no rows. Repeats are found by 64-bit hashes.
+    by itself; other columns are ignored, and with carry the whole row is handed on as the struct _row;
+    an empty table gives no rows. Repeats are found by 64-bit hashes.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -161,12 +161,12 @@ def label_documents(docs: DataFrame, model: LineModel, carry: list[str] = []) ->
                 p = profile(data, offs)
                 failed, share = base_failed(p), model.content_share(p)
                 part = b.slice(i, j - i)
-                cols = [part.column(0), *(pa.array(p[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(~failed & (share >= CONTENT_SHARE)), pa.array(share), *(part.column(2 + k) for k in range(len(carry)))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "base_failed", "kept", "content_share", *carry])
+                cols = [part.column(0), *(pa.array(p[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(~failed & (share >= CONTENT_SHARE)), pa.array(share), *([part.column(2)] if carry else [])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "base_failed", "kept", "content_share", *(["_row"] if carry else [])])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *carry)
-    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, content_share double" + extra)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *([F.struct("*").alias("_row")] if carry else []))
+    schema = T._parse_datatype_string("doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, content_share double")
+    return rows.mapInArrow(run, T.StructType([*schema.fields, *([rows.schema["_row"]] if carry else [])]))
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ document is a few numpy calls and never one Python call for each word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())  # so that trim() can give its memory back
 U64 = np.uint64
 #: White space of the word contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -24,7 +26,15 @@ _P = U64(0x9E3779B97F4A7C15 | 1)
 _P_INV = U64(pow(0x9E3779B97F4A7C15 | 1, -1, 2**64))
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept for the next task."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +85,10 @@ def pieces(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words of each row: maximal runs without SPACE."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the words of each row: maximal runs without space."""
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -102,9 +112,9 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(U64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED, space: np.ndarray = SPACE):
     """Starts, ends, rows and hashes of words."""
-    starts, ends, rows = words(data, offsets)
+    starts, ends, rows = words(data, offsets, space)
     return starts, ends, rows, span_hash(prefix_hash(data, table), starts, ends)
 
 
