@@ -30,12 +30,17 @@ from roundsmith.llm.textkit import U64
 SHINGLE_WORDS = 5
 #: Counts of a set's shingles by hash; the sum of differences of two sketches is at most that of the sets.
 SKETCH = 128
+SK_MOST = 255
 #: Keys of a reduce task, on average; keys gathered by a map task before it sends them.
-BUCKET_KEYS, FLUSH_KEYS = 1_000_000, 2_000_000
+BUCKET_KEYS, FLUSH_KEYS = 500_000, 1_000_000
+#: Beyond so many buckets they grow instead, and with them the memory that a task needs.
+MOST_BUCKETS = 100_000
 #: Chance, for the cost model alone, that another set of the band holds a given shingle.
 RECURRENCE = 1 / 64
 #: Members of a block when the pairs of a group are compared; texts shipped to one verifying task.
-BLOCK, BATCH = 512, 256
+BLOCK, BATCH = 2048, 256
+#: Times that groups in several components are checked against another of their members.
+STAR_ROUNDS = 2
 
 
 @lru_cache(8)
@@ -113,7 +118,7 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((h & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((h & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), SK_MOST).astype(np.uint8).tobytes()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +166,8 @@ def _key_blobs(top: int, n_sets: int, buckets: int, bits: int):
                     keys, fps, counts, held, seen = [], [], [], 0, set()
         if held:
             yield from send(keys, fps, counts)
+        del keys, fps, counts, seen
+        textkit.trim()
 
     return run
 
@@ -204,6 +211,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = []
     if rows:
         yield _group_rows(rows)
+    del key, ent, order, sums, rows
+    textkit.trim()
 
 
 def _group_rows(rows: list) -> pa.RecordBatch:
@@ -216,7 +225,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int32) for k in ("ska", "skb"))
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in ("ska", "skb"))
         n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("na", "nb"))
         ok = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.abs(x - y).sum(axis=1) <= (n + m) // 7)
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
@@ -225,9 +234,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cross(t: pa.Table) -> pa.Table:
     """Pairs of two blocks of a group that lie in different components and that sizes and sketches allow."""
     ent, comp, n, side = (t[k].to_numpy() for k in ("ent", "comp", "n", "side"))
-    sk = np.frombuffer(b"".join(t["sk"].to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int32)
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
+    sk = np.frombuffer(b"".join(t["sk"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
     out_a, out_b = [], []
     for i in left:
         j = right[(comp[right] != comp[i]) & (4 * np.minimum(n[i], n[right]) >= 3 * np.maximum(n[i], n[right]))]
@@ -265,6 +273,24 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(texts, "ent").select("a", "part", "ent", "partners", "text").groupBy("a", "part").applyInArrow(_verify, "a long, b long")
 
 
+def _labelled(member: DataFrame, comps: DataFrame) -> DataFrame:
+    """gid, ent, comp: the members of groups with the components found so far."""
+    return member.join(comps, member["ent"] == comps["node"], "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp"))
+
+
+def _crossing(labelled: DataFrame, sized: DataFrame) -> DataFrame:
+    """All pairs of a group across components that sizes and sketches allow. A group's outsiders (those
+    not in its largest component) meet all its members, in blocks of BLOCK by BLOCK."""
+    per = labelled.groupBy("gid", "comp").agg(F.count("*").alias("k"))
+    main = per.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    main = main.select("gid", "main", F.ceil(F.col("all") / BLOCK).alias("ni"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nj"))
+    rows = labelled.join(main, "gid").join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = rows.select("gid", F.pmod("h", "ni").alias("i"), every("nj").alias("j"), "ent", "comp", "n", "sk", F.lit(0).alias("side"))
+    outsiders = rows.where("comp <> main").select("gid", every("ni").alias("i"), F.pmod("h", "nj").alias("j"), "ent", "comp", "n", "sk", F.lit(1).alias("side"))
+    return members.union(outsiders).groupBy("gid", "i", "j").applyInArrow(_cross, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for documents (doc_id, text); more columns are ignored.
 
@@ -279,29 +305,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     profile = storage.saved(docs.mapInArrow(_sets, "doc_id long, n long, fp long, sk binary"), "sets")
     stats = profile.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     n_docs, n_keys, top = int(stats[0]), int(stats[1]), int(stats[2])
-    buckets, bits = max(8, -(-n_keys // BUCKET_KEYS)), min(63, max(1, n_keys).bit_length() + 14)
+    buckets, bits = max(8, -(-n_keys // max(BUCKET_KEYS, n_keys // MOST_BUCKETS))), min(63, max(1, n_keys).bit_length() + 14)
     sets = profile.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     blobs = docs.select("text").mapInArrow(_key_blobs(top, n_docs, buckets, bits), "bucket int, n long, m long, keys binary, ents binary, at binary")
     groups = storage.saved(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_groups, "gid long, size long, center long, members array<long>"), "groups")
-    member = groups.select("gid", "size", "center", F.explode("members").alias("ent"))
+    groups = storage.saved(groups.withColumn("first", F.col("members")[0]).dropDuplicates(["gid", "first"]), "groups")
+    member = groups.where("size > 2").select("gid", "center", F.explode("members").alias("ent"))
+    twos = groups.where("size = 2").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
     sized = sets.select(F.col("fp"), "n", "sk")
 
     def allowed(pairs: DataFrame) -> DataFrame:
         a, b = (sized.select(F.col("fp").alias(k), F.col("n").alias("n" + k), F.col("sk").alias("sk" + k)) for k in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ska", "skb").mapInArrow(_near, "a long, b long")
 
-    stars = member.where("ent <> center").select(F.col("center").alias("a"), F.col("ent").alias("b")).distinct()
-    links = storage.saved(verified(storage.saved(allowed(stars), "pairs"), sets, docs), "links")
-    comps = storage.saved(components(links), "comps")
-    labelled = member.join(comps, member["ent"] == comps["node"], "left").select("gid", "size", "center", "ent", F.coalesce("comp", "ent").alias("comp"))
-    split = labelled.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gid")
-    blocks = labelled.join(split, "gid").dropDuplicates(["gid", "ent"]).join(sized, F.col("ent") == F.col("fp"))
-    n_blocks = F.ceil(F.col("size") / BLOCK)
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("ent"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    blocks = blocks.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ent", "comp", "n", "sk", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    rest = blocks.groupBy("gid", "i", "j").applyInArrow(_cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = storage.saved(verified(storage.saved(rest, "pairs"), sets, docs), "links")
-    comps = storage.saved(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "comps")
+    links, comps, done = None, None, None
+    for k in range(STAR_ROUNDS):
+        if k == 0:
+            pairs = member.where("ent <> center").select(F.col("center").alias("a"), F.col("ent").alias("b")).union(twos)
+        else:
+            labelled = _labelled(member, comps)
+            open_groups = labelled.groupBy("gid").agg(F.min_by(F.struct("ent", "comp"), F.xxhash64("ent", F.lit(k))).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+            pairs = labelled.join(open_groups.where("x <> y"), "gid").where("comp <> c.comp").select(F.least("ent", "c.ent").alias("a"), F.greatest("ent", "c.ent").alias("b"))
+        pairs = pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti")
+        pairs = storage.saved(pairs, "pairs")
+        done = pairs if done is None else done.union(pairs)
+        found = verified(storage.saved(allowed(pairs), "pairs"), sets, docs)
+        links = storage.saved(found if comps is None else found.union(comps.select("node", "comp")), "links")
+        comps = storage.saved(components(links), "comps")
+    rest = storage.saved(_crossing(_labelled(member, comps), sized).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    more = storage.saved(verified(rest, sets, docs).union(comps.select("node", "comp")), "links")
+    comps = storage.saved(components(more), "comps")
     classes = sets.join(comps, sets["fp"] == comps["node"], "left").select("fp", "doc_id", F.coalesce("comp", "fp").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = classes.join(least, "comp").select(F.col("fp").alias("set_fp"), "component_id")

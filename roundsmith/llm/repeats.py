@@ -32,7 +32,9 @@ from roundsmith.llm.textkit import U64
 SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Text bytes of a reduce task of step 1, on average, and of a chunk.
-BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 24 << 20
+BUCKET_BYTES, CHUNK_BYTES = 6 << 20, 6 << 20
+#: Beyond so many buckets they and the chunks grow instead, and with them the memory that a task needs.
+MOST_BUCKETS = 100_000
 KEY_BITS, SEG_BITS = 48, 48
 COVERED, QUERY, SOURCE = 1, 2, 4
 NULL_ID = -(2**63)
@@ -130,7 +132,7 @@ def _unpack(raw: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def _send(folder: str, buckets: int):
+def _send(folder: str, buckets: int, chunk_bytes: int):
     """Step 1, map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +162,11 @@ def _send(folder: str, buckets: int):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i), texts.append((t or "").encode())
                 held += len(texts[-1])
-                if held >= CHUNK_BYTES:
+                if held >= chunk_bytes:
                     yield flush()
         if ids:
             yield flush()
+        textkit.trim()
 
     return run
 
@@ -234,6 +237,7 @@ def _ship(folder: str, buckets: int):
             p = pick[edges[k] : edges[k + 1]]
             raw = data[rolling(data, start[p], end[p] - start[p])].tobytes()
             out.append((int(k), chunk, len(p), _pack(z, start[p], end[p] - start[p], doc[p], flags[p]), z.compress(raw)))
+        textkit.trim()
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, y) for n, c, y in zip(("bucket", "chunk", "n", "meta", "bytes"), cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
@@ -257,6 +261,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     src, ask = np.flatnonzero(flags & SOURCE), np.flatnonzero(flags & QUERY)
     if not len(src) or not len(ask):
         return
+    del parts, raws
     index = RunLengthIndex(data[rolling(data, at[src], size[src])], size[src], doc[src], SPAN)
     found = []
     for live, place, length, p in index.matching(data, at[ask], size[ask]):
@@ -264,6 +269,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = live[ok]
         good = index.least[p[ok]] < doc[ask[who]]
         found.append((ask[who[good]], place[ok][good]))
+    del index
     q, place = (np.concatenate(x) for x in zip(*found, strict=True))
     begin, owner = start[q] + place, chunk[q]
     for c in np.unique(owner):
@@ -306,14 +312,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(8, -(-storage.text_bytes(rows) // BUCKET_BYTES))
+    size = storage.text_bytes(rows)
+    share = size // MOST_BUCKETS
+    buckets = max(8, -(-size // max(BUCKET_BYTES, share)))
     folder = storage.fresh(spark, "repeats")
-    sent = rows.mapInArrow(_send(folder, buckets), "bucket int, chunk long, n long, segs binary, docs binary")
+    sent = rows.mapInArrow(_send(folder, buckets, max(CHUNK_BYTES, share)), "bucket int, chunk long, n long, segs binary, docs binary")
     flags = storage.saved(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_judge, "bucket int, chunk long, flags binary"), "flags")
-    shipped = flags.groupBy("chunk").applyInArrow(_ship(folder, buckets), "bucket int, chunk long, n long, meta binary, bytes binary")
+    chunks = max(1, flags.select("chunk").distinct().count())
+    shipped = flags.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(_ship(folder, buckets), "bucket int, chunk long, n long, meta binary, bytes binary")
     found = storage.saved(shipped.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, "chunk long, found binary"), "found")
     every = flags.select("chunk").distinct().withColumn("found", F.lit(None).cast("binary"))
-    return every.union(found).groupBy("chunk").applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return every.union(found).repartition(chunks, "chunk").groupBy("chunk").applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
