@@ -2,9 +2,9 @@
 
 The index holds the items; its impacts are divided by each item's score for its own text, so that a
 score says how much of an item a passage covers. Passages are windows of twice the longest item's words,
-a longest item apart, so that any copy of an item lies whole in one of them. A passage whose words' best
-impacts do not reach the threshold has no pivot for any item and ends there; the others are searched by
-block-max WAND, which returns every item above the threshold. Those are verified: enough of the word
+a longest item apart, so that any copy of an item lies whole in one of them. A passage whose words' block
+maxima do not reach the threshold in any block of items ends there, whole slices of passages at a time;
+the others are searched by block-max WAND, which returns every item above the threshold. Those are verified: enough of the word
 triples of the item's question and of the word pairs of its answer must occur in the passage.
 """
 
@@ -20,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roundsmith.llm import storage, textkit
+from roundsmith.llm.rindex import rolling
 
 K1, B, THRESHOLD, QUESTION, ANSWER = 1.2, 0.75, 0.5, 0.5, 0.5
-#: Postings of a block; bytes of items that one index may hold (a larger test set makes more indexes).
-POSTINGS, INDEX_BYTES = 16, 32 << 20
-#: Words here are runs of ASCII letters and digits and of all other characters beyond ASCII.
+#: Items of a block (of similar lengths, so that its maxima are close bounds); bytes of items that one index may hold (a larger test set makes more indexes).
+BLOCK_ITEMS, INDEX_BYTES = 4, 32 << 20
+#: Bounds (passages by blocks) that are held at once.
+HELD_BOUNDS = 2_000_000
+#: Words here are runs of ASCII letters and digits and of all other characters beyond ASCII, of texts in
+#: lower case (all letters).
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def item_words(text: str) -> list[int]:
-    """Hashes of an item's words, A-Z as a-z."""
+    """Hashes of the words of an item in lower case."""
     raw = np.frombuffer(text.encode(), np.uint8)
     return textkit.word_hashes(raw, np.array([0, len(raw)]), space=BREAK)[3].view(np.int64).tolist()
 
@@ -43,8 +47,9 @@ class BlockMaxIndex:
     """BM25 postings with block maxima; scores are shares of an item's own score."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [item_words(t or "") for _, t in items]
+        words = [item_words(t or "") for _, t in items]
+        order = sorted(range(len(items)), key=lambda k: (len(words[k]), k))
+        self.ids, self.words = [items[k][0] for k in order], [words[k] for k in order]
         n, lengths = len(items), [len(w) for w in self.words]
         mean = sum(lengths) / max(1, n) or 1.0
         self.longest = max([1, *lengths])
@@ -60,8 +65,16 @@ class BlockMaxIndex:
             for t, s in own.items():
                 self.docs[at[t]].append(d)
                 self.scores[at[t]].append(s / total)
-        self.block_max = [[max(s[k : k + POSTINGS]) for k in range(0, len(s), POSTINGS)] for s in self.scores]
-        self.most = np.array([max(b) for b in self.block_max] or [0.0])
+        self.block_max: list[dict[int, float]] = [{} for _ in at]
+        for best, docs, scores in zip(self.block_max, self.docs, self.scores, strict=True):
+            for d, s in zip(docs, scores, strict=True):
+                best[d // BLOCK_ITEMS] = max(s, best.get(d // BLOCK_ITEMS, 0.0))
+        self.n_blocks = -(-n // BLOCK_ITEMS)
+        self.most = np.array([max(b.values()) for b in self.block_max] or [0.0])
+        self.list_size = np.array([len(b) for b in self.block_max], np.int64)
+        self.list_start = np.cumsum(self.list_size) - self.list_size
+        self.list_block = np.array([k for b in self.block_max for k in b], np.int64)
+        self.list_max = np.array([m for b in self.block_max for m in b.values()])
         self.parts = []
         for w in self.words:  # the last quarter of an item, four words at least, counts as its answer
             cut = len(w) - max(4, len(w) // 4)
@@ -85,14 +98,10 @@ class BlockMaxIndex:
             doc = live[pivot][0]
             while pivot + 1 < len(live) and live[pivot + 1][0] == doc:
                 pivot += 1
-            # block maxima of the lists up to the pivot, where doc would be
-            bound, skip = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else len(self.ids)
-            for c in live[: pivot + 1]:
-                k = bisect_left(docs[c[2]], doc, c[1])
-                if k < len(docs[c[2]]):
-                    block = k // POSTINGS
-                    bound += self.block_max[c[2]][block]
-                    skip = min(skip, docs[c[2]][min((block + 1) * POSTINGS, len(docs[c[2]])) - 1] + 1)
+            # block maxima of the lists up to the pivot, in the pivot's block
+            block = doc // BLOCK_ITEMS
+            skip = min((block + 1) * BLOCK_ITEMS, live[pivot + 1][0] if pivot + 1 < len(live) else len(self.ids))
+            bound = sum(self.block_max[c[2]].get(block, 0.0) for c in live[: pivot + 1])
             if bound >= least:
                 if live[0][0] == doc:
                     score = math.fsum(scores[c[2]][c[1]] for c in live[: pivot + 1])
@@ -128,32 +137,32 @@ def scan(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray) -> Iterato
     if not len(h) or not len(index.terms):
         return
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
-    known = index.terms[at] == h
-    term = np.where(known, at, -1)
-    bound = np.concatenate([[0.0], np.cumsum(np.where(known, index.most[at], 0.0))])
+    term = np.where(index.terms[at] == h, at, -1)
     count = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     step = index.longest
     per = np.maximum(1, -(-count // step) - 1) * (count > 0)
     row = np.repeat(np.arange(len(count)), per)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-    begin = first[row] + k * step
+    begin = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * step
     end = np.minimum(begin + 2 * step, first[row] + count[row])
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p in np.flatnonzero(bound[end] - bound[begin] >= THRESHOLD - 1e-9):
-        i, j = int(begin[p]), int(end[p])
-        own = np.unique(term[i:j])
-        own = own[own >= 0]
-        if index.most[own].sum() < THRESHOLD - 1e-9:
-            continue
-        words = None
-        for item, score in index.search(own.tolist(), THRESHOLD):
-            words = words or h[i:j].tolist()
-            q, a = index.verify(item, words)
-            if q >= QUESTION and a >= ANSWER:
-                key, got = (int(row[p]), item), (score, q, a)
-                if key not in best or got > best[key]:
-                    best[key] = got
+    many = max(1, HELD_BOUNDS // max(1, index.n_blocks))
+    for k in range(0, len(row), many):
+        b, e = begin[k : k + many], end[k : k + many]
+        key = np.repeat(np.arange(len(b)), e - b) * len(index.terms) + term[rolling(b, e - b)]
+        key = np.unique(key[term[rolling(b, e - b)] >= 0])
+        passage, own = np.divmod(key, len(index.terms))
+        bounds = np.bincount(np.repeat(passage, index.list_size[own]) * index.n_blocks + index.list_block[rolling(index.list_start[own], index.list_size[own])], weights=index.list_max[rolling(index.list_start[own], index.list_size[own])], minlength=len(b) * index.n_blocks)
+        edges = np.searchsorted(passage, np.arange(len(b) + 1))
+        for p in np.flatnonzero(bounds.reshape(len(b), -1).max(axis=1) >= THRESHOLD - 1e-9):
+            words = None
+            for item, score in index.search(own[edges[p] : edges[p + 1]].tolist(), THRESHOLD):
+                words = words or h[b[p] : e[p]].tolist()
+                q, a = index.verify(item, words)
+                if q >= QUESTION and a >= ANSWER:
+                    pair, got = (int(row[k + p]), item), (score, q, a)
+                    if pair not in best or got > best[pair]:
+                        best[pair] = got
     for (r, item), got in sorted(best.items()):
         yield r, index.ids[item], *got
 
@@ -168,8 +177,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     n_indexes = 1 + storage.text_bytes(items) // INDEX_BYTES
     out = None
     for k in range(n_indexes):

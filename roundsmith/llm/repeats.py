@@ -35,6 +35,8 @@ WINDOW = SPAN - GRAM + 1
 BUCKET_BYTES, CHUNK_BYTES = 6 << 20, 6 << 20
 #: Beyond so many buckets they and the chunks grow instead, and with them the memory that a task needs.
 MOST_BUCKETS = 100_000
+#: Bytes of segments that one index is built over.
+PART_BYTES = 1 << 20
 KEY_BITS, SEG_BITS = 48, 48
 COVERED, QUERY, SOURCE = 1, 2, 4
 NULL_ID = -(2**63)
@@ -63,7 +65,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     rows = np.flatnonzero(size >= SPAN)
     if not len(rows):
         return none
-    at = rolling(data, offsets[rows], size[rows] - SPAN + 1)
+    at = rolling(offsets[rows], size[rows] - SPAN + 1)
     anchor = anchor[at]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.append(new[1:], len(at)) - 1
@@ -235,8 +237,8 @@ def _ship(folder: str, buckets: int):
         edges = _bucket_edges(b, buckets)
         for k in np.unique(b):
             p = pick[edges[k] : edges[k + 1]]
-            raw = data[rolling(data, start[p], end[p] - start[p])].tobytes()
-            out.append((int(k), chunk, len(p), _pack(z, start[p], end[p] - start[p], doc[p], flags[p]), z.compress(raw)))
+            raw = data[rolling(start[p], end[p] - start[p])].tobytes()
+            out.append((int(k), chunk, len(p), _pack(z, np.diff(key[p], prepend=U64(0)), start[p], end[p] - start[p], doc[p], flags[p]), z.compress(raw)))
         textkit.trim()
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, y) for n, c, y in zip(("bucket", "chunk", "n", "meta", "bytes"), cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
@@ -250,31 +252,60 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             meta.append((r["chunk"], r["n"]))
-            parts.append(_unpack(r["meta"], r["n"], "<i8", "<i8", "<i8", "u1"))
+            parts.append(_unpack(r["meta"], r["n"], "<u8", "<i8", "<i8", "<i8", "u1"))
+            parts[-1][0] = np.cumsum(parts[-1][0], dtype=U64)
             raws.append(zstandard.ZstdDecompressor().decompress(r["bytes"]))
     if not meta:
         return
-    start, size, doc, flags = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, start, size, doc, flags = (np.concatenate(x) for x in zip(*parts, strict=True))
     data = np.frombuffer(b"".join(raws), np.uint8)
+    del parts, raws
     at = np.cumsum(size) - size
     chunk = np.repeat([m[0] for m in meta], [m[1] for m in meta])
-    src, ask = np.flatnonzero(flags & SOURCE), np.flatnonzero(flags & QUERY)
-    if not len(src) or not len(ask):
-        return
-    del parts, raws
-    index = RunLengthIndex(data[rolling(data, at[src], size[src])], size[src], doc[src], SPAN)
-    found = []
-    for live, place, length, p in index.matching(data, at[ask], size[ask]):
-        ok = length >= SPAN
-        who = live[ok]
-        good = index.least[p[ok]] < doc[ask[who]]
-        found.append((ask[who[good]], place[ok][good]))
-    del index
-    q, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(key, kind="stable")
+    found_q, found_place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in _anchor_groups(key[order], size[order]):
+        own = order[own]
+        src, ask = own[(flags[own] & SOURCE) > 0], own[(flags[own] & QUERY) > 0]
+        # a part holds whole anchors; of one with more sources than a part takes, each block of sources
+        # has its own index, and all its queries are streamed against each
+        for s in _blocks(src, size):
+            if not len(ask):
+                continue
+            index = RunLengthIndex(data[rolling(at[s], size[s])], size[s], doc[s], SPAN)
+            for q in _blocks(ask, size):
+                for live, place, length, p in index.matching(data, at[q], size[q]):
+                    ok = length >= SPAN
+                    who, where = live[ok], place[ok]
+                    good = index.least[p[ok]] < doc[q[who]]
+                    found_q.append(q[who[good]]), found_place.append(where[good])
+    q, place = np.concatenate(found_q), np.concatenate(found_place)
     begin, owner = start[q] + place, chunk[q]
     for c in np.unique(owner):
         b = begin[owner == c]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "found": [np.unique(b).astype("<i8").tobytes()]})
+    del data, key, start, size, doc, flags, found_q, found_place
+    textkit.trim()
+
+
+def _anchor_groups(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places (of sorted keys) in parts of about PART_BYTES; places with one key stay together."""
+    if not len(key):
+        return
+    total = np.cumsum(size)
+    begin = 0
+    while begin < len(key):
+        end = int(np.searchsorted(total, total[begin] - size[begin] + PART_BYTES))
+        end = int(np.searchsorted(key, key[min(end, len(key) - 1)], "right"))
+        yield np.arange(begin, end)
+        begin = end
+
+
+def _blocks(rows: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in blocks of at most 2 * PART_BYTES, or one row."""
+    part = (np.cumsum(size[rows]) - size[rows]) // (2 * PART_BYTES)
+    for k in np.unique(part):
+        yield rows[part == k]
 
 
 def _cut(folder: str):

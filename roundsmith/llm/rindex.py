@@ -12,7 +12,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def rolling(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+#: Symbols whose nine bits each fit one integer: the width of the first ranks.
+FIRST = 7
+
+
+def rolling(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Index of each byte of the spans, one span after another."""
     ends = np.cumsum(lengths)
     at = np.repeat(starts - (ends - lengths), lengths)
@@ -22,12 +26,14 @@ def rolling(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 class RunLengthIndex:
     def __init__(self, data: np.ndarray, lengths: np.ndarray, owners: np.ndarray, span: int = 50):
         """data: the bytes of all segments, joined; owners: one number for each segment."""
+        if span < FIRST:
+            raise ValueError(f"span must be at least {FIRST}")
         self.span = span
         n_seg = len(lengths)
         n = len(data) + n_seg
         text = np.zeros(n + 2 * span, np.int16)
         first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-        text[rolling(data, first, lengths)] = data.astype(np.int16) + 1
+        text[rolling(first, lengths)] = data.astype(np.int16) + 1
         self.text, self.n = text, n
         rank, at_span = self._ranks(n, int(lengths.max(initial=0)))
         sa = np.argsort(rank, kind="stable")
@@ -60,10 +66,15 @@ class RunLengthIndex:
         text = self.text
         sep = np.flatnonzero(text[:n] == 0)
         left = sep[np.searchsorted(sep, np.arange(n))] - np.arange(n)  # bytes up to the separator
-        _, rank = np.unique(text[:n], return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        rank[sep] = 1
-        width, at_span = 1, np.full(n, -1)
+        # the first symbols make the first ranks
+        key, alive = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(FIRST):
+            symbol = text[k : n + k]
+            key = key << 9 | np.where(alive, symbol, 0)
+            alive &= symbol != 0
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        del key, alive
+        width, at_span = FIRST, np.full(n, -1)
         while True:
             if width <= self.span < 2 * width:
                 off = self.span - width
