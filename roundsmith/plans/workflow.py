@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roundsmith.functions.providers import RuleProvider, TextProvider, hashing_embedder
 from roundsmith.functions.scalar import CRITIQUE_CHARS, NO_CONTEXT, NO_CONTEXT_MARK, QUERY_CHARS, ROUTER_CHARS, prefix, score, strip, strip_fences
 from roundsmith.operators import retrieval
+from roundsmith.plans.lineage import cut
 
 PASS_SCORE, MAX_TRIES = 0.7, 3
 EVERY = "*"
@@ -58,7 +59,7 @@ def knowledge_retriever(kb: DataFrame, keys: list[str] = ["map"], embed: Callabl
     def retrieve(pending: DataFrame, provider: TextProvider) -> DataFrame:
         asked = prefix(F.coalesce(F.col("raw_data"), F.lit("")), QUERY_CHARS)
         queries = pending.select(F.col("match_id").alias("query_id"), part_of(F.col("retrieval_metadata"), keys).alias("part"), F.coalesce(strip(provider.rewrite(asked)), asked).alias("query"))
-        queries = queries.withColumn("qvec", embed(F.col("query")))
+        queries = cut(queries.withColumn("qvec", embed(F.col("query"))))  # used several times; a provider answers once
         return retrieval.context(queries, retrieval.hybrid_search(queries, laid)).withColumnRenamed("query_id", "match_id")
 
     return retrieve
@@ -81,6 +82,7 @@ def refine(state: DataFrame, retrieve: Callable[[DataFrame, TextProvider], DataF
     for k in range(MAX_TRIES):
         found = retrieve(pending, provider)
         one = judge(pending.drop("rag_context").join(found, "match_id", "left").withColumn("rag_context", F.coalesce("rag_context", F.lit(NO_CONTEXT))), provider).select(names)
+        one = cut(one)  # each pass begins with a short plan
         last = k == MAX_TRIES - 1
         finished = one if last else one.where(~needs_retry())
         done = finished if done is None else done.unionByName(finished)
