@@ -8,9 +8,11 @@ the rest are skipped. If two sets agree up to one shingle in none of the D, thes
 so at most H - 2D of the other segments differ; as both sets choose segments by one order on their
 contents, the first that they share is among the H + 1 - 2D that each chose. So no pair is lost.
 
-Sets that share a key form a group. Each group's members are first checked against one of them; only
-groups that this leaves in several components have their other pairs checked, in blocks of bounded size
-and after exact bounds from sizes and count sketches. Every link is verified on the whole texts.
+Sets that share a key form a group. Each group's members are first checked against the one of them that
+shares most keys. Of groups that this leaves in several components, the outsiders (members not in the
+largest component) are then held against that component and the other outsiders of it, in blocks of
+bounded size. Exact bounds from sizes and parity sketches come before texts are read; every link is
+verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -28,19 +30,17 @@ from roundsmith.llm.components import components
 from roundsmith.llm.textkit import U64
 
 SHINGLE_WORDS = 5
-#: Counts of a set's shingles by hash; the sum of differences of two sketches is at most that of the sets.
-SKETCH = 128
-SK_MOST = 255
+#: Bits of a parity sketch for each shingle, and the most. The bits that differ in two sketches are at most
+#: the shingles that differ in the sets; half a sketch is the exclusive or of its halves.
+SKETCH_BITS, SKETCH_MOST = 4, 1 << 17
 #: Keys of a reduce task, on average; keys gathered by a map task before it sends them.
-BUCKET_KEYS, FLUSH_KEYS = 500_000, 1_000_000
+BUCKET_KEYS, FLUSH_KEYS = 1_000_000, 500_000
 #: Beyond so many buckets they grow instead, and with them the memory that a task needs.
 MOST_BUCKETS = 100_000
 #: Chance, for the cost model alone, that another set of the band holds a given shingle.
 RECURRENCE = 1 / 64
 #: Members of a block when the pairs of a group are compared; texts shipped to one verifying task.
 BLOCK, BATCH = 2048, 256
-#: Times that groups in several components are checked against another of their members.
-STAR_ROUNDS = 2
 
 
 @lru_cache(8)
@@ -118,7 +118,23 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((h & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), SK_MOST).astype(np.uint8).tobytes()
+    """Parity of the number of shingles in each of a power of two of places."""
+    bits = 64
+    while bits < SKETCH_BITS * len(h) and bits < SKETCH_MOST:
+        bits *= 2
+    odd = np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) at a smaller width."""
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def _words(sketches: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), U64).reshape(-1, width)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +157,7 @@ def _key_blobs(top: int, n_sets: int, buckets: int, bits: int):
         key, ent = np.concatenate(keys) >> U64(64 - bits), np.repeat(np.array(fps, np.int64), counts)
         order = np.argsort(key, kind="stable")
         key, ent = key[order], ent[order]
+        keys.clear(), fps.clear(), counts.clear()
         edges = np.searchsorted(key, np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], object).astype(U64))
         z, rows = zstandard.ZstdCompressor(level=1), []
         for k in range(buckets):
@@ -163,7 +180,7 @@ def _key_blobs(top: int, n_sets: int, buckets: int, bits: int):
                 held += len(own)
                 if held >= FLUSH_KEYS:
                     yield from send(keys, fps, counts)
-                    keys, fps, counts, held, seen = [], [], [], 0, set()
+                    held, seen = 0, set()
         if held:
             yield from send(keys, fps, counts)
         del keys, fps, counts, seen
@@ -200,12 +217,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(len(ent) + 1, U64)
     np.cumsum(textkit.mix(ent.view(U64)), dtype=U64, out=sums[1:])
     gid = textkit.mix(sums[first + size] - sums[first] + size.astype(U64)).view(np.int64)
+    # a group's center is the member that shares most keys with others, as far as this task knows
+    table, at = np.unique(ent, return_inverse=True)
+    grouped = np.zeros(len(ent) + 1, np.int64)
+    np.add.at(grouped, first, size)
+    np.add.at(grouped, first + size, -size)
+    weight = np.bincount(at, weights=np.cumsum(grouped[:-1]), minlength=len(table))[at]
     _, once = np.unique(gid, return_index=True)
     rows = []
     for g in once:
         i, n = first[g], size[g]
+        center = int(ent[i + int(weight[i : i + n].argmax())])
         for k in range(i, i + n, 1024):
-            rows.append((int(gid[g]), int(n), int(ent[i]), ent[k : min(k + 1024, i + n)]))
+            rows.append((int(gid[g]), int(n), center, ent[k : min(k + 1024, i + n)]))
             if len(rows) == 4096:
                 yield _group_rows(rows)
                 rows = []
@@ -222,27 +246,46 @@ def _group_rows(rows: list) -> pa.RecordBatch:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that sizes and sketches allow."""
-    for b in batches:
-        if not b.num_rows:
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in ("ska", "skb"))
-        n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("na", "nb"))
-        ok = (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.abs(x - y).sum(axis=1) <= (n + m) // 7)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+        ska, skb = batch.column("ska").to_pylist(), batch.column("skb").to_pylist()
+        n, m = (batch.column(k).to_numpy().astype(np.int64) for k in ("na", "nb"))
+        ok = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        wa, wb = (np.array([len(x) // 8 for x in sk]) for sk in (ska, skb))
+        for x, y in set(zip(wa[ok].tolist(), wb[ok].tolist(), strict=True)):
+            at = np.flatnonzero(ok & (wa == x) & (wb == y))
+            w = min(x, y)
+            differ = np.bitwise_count(_folded(_words([ska[k] for k in at], x), w) ^ _folded(_words([skb[k] for k in at], y), w)).sum(axis=1, dtype=np.int64)
+            ok[at] = differ <= (n[at] + m[at]) // 7
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
 def _cross(t: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a group that lie in different components and that sizes and sketches allow."""
+    """Pairs of an outsider and another set, in different components, that sizes and sketches allow."""
     ent, comp, n, side = (t[k].to_numpy() for k in ("ent", "comp", "n", "side"))
-    sk = np.frombuffer(b"".join(t["sk"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-    out_a, out_b = [], []
-    for i in left:
-        j = right[(comp[right] != comp[i]) & (4 * np.minimum(n[i], n[right]) >= 3 * np.maximum(n[i], n[right]))]
-        j = j[np.abs(sk[j] - sk[i]).sum(axis=1) <= (n[j] + n[i]) // 7]
-        out_a.append(np.minimum(ent[i], ent[j])), out_b.append(np.maximum(ent[i], ent[j]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    raw = t["sk"].to_pylist()
+    width = np.array([len(x) // 8 for x in raw], np.int64)
+    here = np.flatnonzero(side == 0)
+    # for each width the sets of at least that width, at it
+    level = {}
+    for w in np.unique(width).tolist():
+        at = here[width[here] >= w]
+        if len(at):
+            level[w] = at, np.concatenate([_folded(_words([raw[k] for k in at[width[at] == v]], v), w) for v in np.unique(width[at]).tolist()])[np.argsort(np.argsort(width[at], kind="stable"), kind="stable")]
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(side == 1):
+        own = _words([raw[i]], int(width[i]))
+        for w, (at, rows) in level.items():
+            if w > width[i]:
+                continue
+            pick = comp[at] != comp[i]
+            pick &= width[at] >= width[i] if w == width[i] else width[at] == w
+            pick &= 4 * np.minimum(n[i], n[at]) >= 3 * np.maximum(n[i], n[at])
+            k = np.flatnonzero(pick)
+            k = k[np.bitwise_count(rows[k] ^ _folded(own, w)).sum(axis=1, dtype=np.int64) <= (n[at[k]] + n[i]) // 7]
+            out_a.append(np.minimum(ent[i], ent[at[k]])), out_b.append(np.maximum(ent[i], ent[at[k]]))
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _verify(t: pa.Table) -> pa.Table:
@@ -278,17 +321,23 @@ def _labelled(member: DataFrame, comps: DataFrame) -> DataFrame:
     return member.join(comps, member["ent"] == comps["node"], "left").select("gid", "ent", F.coalesce("comp", "ent").alias("comp"))
 
 
-def _crossing(labelled: DataFrame, sized: DataFrame) -> DataFrame:
-    """All pairs of a group across components that sizes and sketches allow. A group's outsiders (those
-    not in its largest component) meet all its members, in blocks of BLOCK by BLOCK."""
+def _crossing(labelled: DataFrame, comps: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs across components that sizes and sketches allow, among them all that a group holds.
+
+    main is the largest component of a group; the group's other members are outsiders of main. Every
+    outsider of main meets all sets of main and all outsiders of it, in blocks of BLOCK by BLOCK."""
     per = labelled.groupBy("gid", "comp").agg(F.count("*").alias("k"))
-    main = per.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    main = main.select("gid", "main", F.ceil(F.col("all") / BLOCK).alias("ni"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nj"))
-    rows = labelled.join(main, "gid").join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = rows.select("gid", F.pmod("h", "ni").alias("i"), every("nj").alias("j"), "ent", "comp", "n", "sk", F.lit(0).alias("side"))
-    outsiders = rows.where("comp <> main").select("gid", every("ni").alias("i"), F.pmod("h", "nj").alias("j"), "ent", "comp", "n", "sk", F.lit(1).alias("side"))
-    return members.union(outsiders).groupBy("gid", "i", "j").applyInArrow(_cross, "a long, b long")
+    main = per.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("gid", "main")
+    outside = storage.saved(labelled.join(main, "gid").where("comp <> main").select("main", "ent", "comp").distinct(), "outside")
+    inside = comps.select("node", "comp").join(outside.select(F.col("main").alias("comp")).distinct(), "comp").select(F.col("comp").alias("main"), F.col("node").alias("ent"), "comp")
+    alone = outside.select("main").distinct().join(comps.select(F.col("node").alias("main")), "main", "left_anti").select("main", F.col("main").alias("ent"), F.col("main").alias("comp"))
+    every = inside.union(alone).withColumn("out", F.lit(0)).union(outside.withColumn("out", F.lit(1)))
+    sizes = every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("ni"), F.ceil(F.sum("out") / BLOCK).alias("nj"))
+    rows = every.join(sizes, "main").join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.select("main", F.pmod("h", "ni").alias("i"), all_of("nj").alias("j"), "ent", "comp", "n", "sk", F.lit(0).alias("side"))
+    right = rows.where("out = 1").select("main", all_of("ni").alias("i"), F.pmod("h", "nj").alias("j"), "ent", "comp", "n", "sk", F.lit(1).alias("side"))
+    return left.union(right).groupBy("main", "i", "j").applyInArrow(_cross, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -309,8 +358,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = profile.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     blobs = docs.select("text").mapInArrow(_key_blobs(top, n_docs, buckets, bits), "bucket int, n long, m long, keys binary, ents binary, at binary")
     groups = storage.saved(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_groups, "gid long, size long, center long, members array<long>"), "groups")
-    groups = storage.saved(groups.withColumn("first", F.col("members")[0]).dropDuplicates(["gid", "first"]), "groups")
-    member = groups.where("size > 2").select("gid", "center", F.explode("members").alias("ent"))
+    # groups with the same members may come from several tasks
+    large = groups.where("size > 2").withColumn("first", F.col("members")[0]).dropDuplicates(["gid", "first"])
+    member = storage.saved(large.select("gid", "center", F.explode("members").alias("ent")), "members")
     twos = groups.where("size = 2").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
     sized = sets.select(F.col("fp"), "n", "sk")
 
@@ -318,22 +368,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         a, b = (sized.select(F.col("fp").alias(k), F.col("n").alias("n" + k), F.col("sk").alias("sk" + k)) for k in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ska", "skb").mapInArrow(_near, "a long, b long")
 
-    links, comps, done = None, None, None
-    for k in range(STAR_ROUNDS):
-        if k == 0:
-            pairs = member.where("ent <> center").select(F.col("center").alias("a"), F.col("ent").alias("b")).union(twos)
-        else:
-            labelled = _labelled(member, comps)
-            open_groups = labelled.groupBy("gid").agg(F.min_by(F.struct("ent", "comp"), F.xxhash64("ent", F.lit(k))).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-            pairs = labelled.join(open_groups.where("x <> y"), "gid").where("comp <> c.comp").select(F.least("ent", "c.ent").alias("a"), F.greatest("ent", "c.ent").alias("b"))
-        pairs = pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti")
-        pairs = storage.saved(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        found = verified(storage.saved(allowed(pairs), "pairs"), sets, docs)
-        links = storage.saved(found if comps is None else found.union(comps.select("node", "comp")), "links")
-        comps = storage.saved(components(links), "comps")
-    rest = storage.saved(_crossing(_labelled(member, comps), sized).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-    more = storage.saved(verified(rest, sets, docs).union(comps.select("node", "comp")), "links")
+    stars = member.where("ent <> center").select(F.least("center", "ent").alias("a"), F.greatest("center", "ent").alias("b"))
+    pairs = storage.saved(stars.union(twos).distinct(), "pairs")
+    links = verified(storage.saved(allowed(pairs), "pairs"), sets, docs)
+    comps = storage.saved(components(links), "comps")
+    rest = storage.saved(_crossing(_labelled(member, comps), comps, sized).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(rest, sets, docs).union(comps.select("node", "comp"))
     comps = storage.saved(components(more), "comps")
     classes = sets.join(comps, sets["fp"] == comps["node"], "left").select("fp", "doc_id", F.coalesce("comp", "fp").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

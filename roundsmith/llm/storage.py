@@ -61,15 +61,16 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0])
 
 
-#: Rows of an Arrow batch: what a worker holds beside its own arrays stays small where texts are long.
+#: Rows of an Arrow batch, and of a batch of the Parquet reader: what a worker and its executor hold beside
+#: their own arrays stays small where texts are long.
 BATCH_ROWS = 500
 
 
 def settle(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, unless they are bounded closer already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the batches of this session, unless they are bounded closer already."""
+    for key, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if not 0 < int(spark.conf.get(key, default)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
