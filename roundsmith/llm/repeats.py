@@ -70,7 +70,8 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.append(new[1:], len(at)) - 1
     start, end = at[new], at[last] + SPAN
-    return np.searchsorted(offsets, start, "right") - 1, start, end, grams[anchor[new]], textkit.span_hash(prefix, start, end)
+    # least hashes lie close to zero; hashed again they spread evenly over the buckets
+    return np.searchsorted(offsets, start, "right") - 1, start, end, textkit.mix(~grams[anchor[new]]), textkit.span_hash(prefix, start, end)
 
 
 class Chunk:
