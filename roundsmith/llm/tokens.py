@@ -13,6 +13,8 @@ import numpy as np
 
 #: Words kept by a worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _made: dict[str, "WordTokenizer"] = {}
 
 
@@ -49,21 +51,33 @@ class WordTokenizer:
                 self.cache[word] = raw[i * w : j * w]
 
     def ids(self, text: bytes) -> bytes:
+        if b"<|" not in text:
+            text = text.lower()  # A-Z alone, which the tokenizer lowers as well
         own, cache = text.split(), self.cache
         try:
-            return b"".join([cache[w] for w in own])
+            return b"".join(map(cache.__getitem__, own))
         except KeyError:
             pass
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for w in own if w not in cache})
+        new, ends = set(), []
+        for w in set(own).difference(cache):
+            if w not in new:
+                base = w.rstrip(MARKS)
+                if len(base) < len(w) and base[-1:].isalnum() and b"<|" not in w:  # letters and marks are never joined
+                    ends.append((w, base))
+                    new.update(x for x in (base, w[len(base) :]) if x not in cache)
+                else:
+                    new.add(w)
         plain = [w for w in new if b"\0" not in w and b"<|" not in w] if self.mark is not None else []
         for i in range(0, len(plain), 4096):
             self._many(plain[i : i + 4096])
         for w in new:
             if w not in cache:
                 cache[w] = self._one(w)
-        return b"".join([cache[w] for w in own])
+        for w, base in ends:
+            cache[w] = cache[base] + cache[w[len(base) :]]
+        return b"".join(map(cache.__getitem__, own))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
