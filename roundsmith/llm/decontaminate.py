@@ -191,6 +191,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     got = list(scan(index.value, data, offs))
                     if got:
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + g[0] for g in got])), *(pa.array([g[c] for g in got], t) for c, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64())))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            textkit.trim()
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)

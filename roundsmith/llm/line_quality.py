@@ -133,16 +133,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
     key = F.xxhash64("doc_id", F.lit(3))
     picked = [picked.where(F.col("quality") == q).orderBy(key, "doc_id").limit(SAMPLE_DOCS) for q in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * SAMPLE_DOCS rows of 12 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(sample, "doc_id").select("quality", "doc_id", "text").collect()
+    # the join comes first: only the sample's texts are cut and sent
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole")).join(sample, "doc_id")
+    rows = texts.select("quality", "doc_id", F.substring("whole", 1, SAMPLE_BYTES).alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
-    p = profile(*textkit.buffers(pa.array([r["text"] for r in rows], pa.string())))
     quality = np.array([r["quality"] for r in rows], np.int64)
-    lengths = np.bincount(p["line_row"], minlength=len(rows))
     if len(set(quality.tolist())) < 2:
         w = np.zeros((N_FEATURES, 2))
         w[0, CONTENT] = 1.0
         return LineModel(w, np.zeros((2, 2)))
-    return LineModel(*chain_crf.train(p["x"], quality[p["line_row"]], lengths, 2))
+    line_row, x = [], []
+    for i, _, data, offs in textkit.pieces(pa.array([r["text"] for r in rows], pa.string())):
+        p = profile(data, offs)
+        line_row.append(p["line_row"] + i), x.append(p["x"])
+    del rows, p
+    row = np.concatenate(line_row)
+    model = LineModel(*chain_crf.train(np.concatenate(x), quality[row], np.bincount(row, minlength=len(quality)), 2))
+    textkit.trim()
+    return model
 
 
 def label_documents(docs: DataFrame, model: LineModel, carry: bool = False) -> DataFrame:
@@ -163,6 +171,7 @@ def label_documents(docs: DataFrame, model: LineModel, carry: bool = False) -> D
                 part = b.slice(i, j - i)
                 cols = [part.column(0), *(pa.array(p[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(~failed & (share >= CONTENT_SHARE)), pa.array(share), *([part.column(2)] if carry else [])]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "base_failed", "kept", "content_share", *(["_row"] if carry else [])])
+        textkit.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *([F.struct("*").alias("_row")] if carry else []))
     schema = T._parse_datatype_string("doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, content_share double")

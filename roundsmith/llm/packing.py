@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roundsmith.llm import storage, tokens
+from roundsmith.llm import storage, textkit, tokens
 
 SEQUENCE = 4096
 #: Text bytes of a group, on average: about 0.4 million ids, whatever the size of the corpus.
@@ -119,6 +119,7 @@ def pack_documents(docs: DataFrame, end_id: int = 2, tokenizer: str | None = Non
         for batch in batches:
             ids = [coder.ids((t or "").encode()) + end for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["grp", "doc_id", "ids"])
+        textkit.trim()
 
     def place(table: pa.Table) -> pa.Table:
         width = tokens.word_tokenizer(path).dtype

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from roundsmith.llm import chain_crf, storage
+from roundsmith.llm import chain_crf, storage, textkit
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
@@ -227,7 +227,9 @@ def fit(docs: DataFrame) -> SkipChainField:
     """
     key = F.xxhash64("doc_id", F.lit(11))
     picked = F.broadcast(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(key, "doc_id").limit(SAMPLE_DOCS))  # at most SAMPLE_DOCS rows of 8 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).join(picked, "doc_id").where(F.col("text").rlike("[0-9@+]")).collect()
+    # the join comes first: only the sample's texts are cut and sent
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole")).join(picked, "doc_id")
+    rows = texts.select("doc_id", F.coalesce(F.substring("whole", 1, SAMPLE_CHARS), F.lit("")).alias("text")).collect()
     xs, ys, lengths, same, pairs = [], [], [], 0, 0
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
         text = r["text"]
@@ -246,6 +248,7 @@ def fit(docs: DataFrame) -> SkipChainField:
         w[0, 0] = 5.0
         return SkipChainField(w, np.zeros((k, k)), 0.0)
     w, trans = chain_crf.train(np.concatenate(xs), np.concatenate(ys), np.array(lengths), k, rounds=120)
+    textkit.trim()
     return SkipChainField(w, trans, float(np.clip(np.log((same + 1) / (pairs - same + 1)), 0.0, 4.0)) if pairs else 2.0)
 
 
@@ -281,6 +284,7 @@ def detect(docs: DataFrame, field: SkipChainField, carry: bool = False) -> DataF
                 sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]
                 cols = [part.column(0), *counts, pa.array(sha), pa.array([joined(s) for _, s in got]), pa.array([masked(t, s) for t, (_, s) in zip(texts, got, strict=True)]), *([part.column(2)] if carry else [])]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked", *(["_row"] if carry else [])])
+        textkit.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *([F.struct("*").alias("_row")] if carry else []))
     schema = T._parse_datatype_string("doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, masked string")

@@ -31,6 +31,15 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+def replace(fs: pafs.FileSystem, own: str, path: str) -> None:
+    """Renames a finished file to its final name, also over that of an earlier attempt."""
+    try:
+        fs.move(own, path)
+    except OSError:  # some stores do not rename over a file
+        fs.delete_file(path)
+        fs.move(own, path)
+
+
 def put(uri: str, data: bytes) -> None:
     """Writes a whole file under a name of this attempt and then renames it, so that a task that is
     lost or run twice never leaves a part of a file under the final name."""
@@ -39,7 +48,7 @@ def put(uri: str, data: bytes) -> None:
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(own, compression=None) as out:
         out.write(data)
-    fs.move(own, path)
+    replace(fs, own, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -78,4 +87,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["shared_root", "fresh", "open_fs", "put", "saved", "drop", "text_bytes", "settle", "table"]
+__all__ = ["shared_root", "fresh", "open_fs", "replace", "put", "saved", "drop", "text_bytes", "settle", "table"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roundsmith.llm import storage, tokens
+from roundsmith.llm import storage, textkit, tokens
 
 MAGIC = b"RSPLANE1"
 #: documents, ids, blocks, ids in a block, bytes of an id, 1 if planes are bits, sizes of the three frames
@@ -97,7 +97,7 @@ class TokenFileWriter:
             self.out.write(f)
         self.out.write(FOOTER.pack(len(self.doc_ids), self.n_ids, self.n_blocks, self.block_ids, self.dtype.itemsize, self.bits, *map(len, frames)) + MAGIC)
         self.out.close()
-        self.fs.move(self.own, self.path)
+        storage.replace(self.fs, self.own, self.path)
 
 
 class TokenFile:
@@ -179,6 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
                 out = TokenFileWriter(uri, coder.dtype, block_ids, planes)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out.add(doc_id, np.append(np.frombuffer(coder.ids((text or "").encode()), coder.dtype), coder.dtype.type(end_id)))
+        textkit.trim()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [k], "file": [uri], "n_docs": [len(out.lengths)], "n_ids": [out.n_ids]})

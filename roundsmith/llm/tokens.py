@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _made: dict[str, "WordTokenizer"] = {}

@@ -127,7 +127,7 @@ class ArchiveWriter:
         if self.zstd is None:
             self._begin()
         self.out.close()
-        self.fs.move(self.own, self.path)
+        storage.replace(self.fs, self.own, self.path)
 
 
 def read_archive(f: BinaryIO, step: int = 1 << 20) -> Iterator[dict]:
