@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf, tokens
 
 TOP_K, FETCH_K, SPARSE_K, LAMBDA = 4, 20, 20, 0.5
+#: Query terms that may be broadcast: some tens of MB.
+BROADCAST_TERMS = 200_000
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
 PLACES = 12
 
@@ -35,10 +37,13 @@ def filtered(kb: DataFrame, conditions: dict | None) -> DataFrame:
     return kb if p is None else kb.where(p)
 
 
-def term_table(kb: DataFrame) -> DataFrame:
-    """part, doc_id, seq, len, term, tf: postings, which one version of a knowledge base needs once."""
+def term_table(kb: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """part, doc_id, seq, len, term, tf: postings, which one version of a knowledge base needs once. With
+    only (part, term), those of its terms: the others are dropped before anything is shuffled or counted."""
     rows = kb.select("part", "doc_id", "seq", tokens(F.col("text")).alias("words"))
-    return rows.select("part", "doc_id", "seq", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("part", "doc_id", "seq", "len", "term").agg(F.count("*").alias("tf"))
+    rows = rows.select("part", "doc_id", "seq", F.size("words").alias("len"), F.explode("words").alias("term"))
+    rows = rows if only is None else rows.join(only, ["part", "term"], "left_semi")
+    return rows.groupBy("part", "doc_id", "seq", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -52,7 +57,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """query_id, doc_id, seq, score for every document that shares a term with a query."""
-    terms, own = term_table(kb), query_terms(queries)
+    own = query_terms(queries)
+    only = own.select("part", "term").distinct()
+    # few terms go to every task, so that no other token is shuffled; many would not fit, and all are counted
+    terms = term_table(kb, F.broadcast(only) if only.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else None)
     n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
     weights = own.join(document_frequency(terms), ["part", "term"]).join(n, "part").select("query_id", "part", "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
     one = F.col("weight") * F.col("tf") / (F.col("len") + 1e-6)
