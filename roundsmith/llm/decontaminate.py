@@ -5,7 +5,8 @@ score says how much of an item a passage covers. Passages are windows of twice t
 a longest item apart, so that any copy of an item lies whole in one of them. A passage whose words' block
 maxima do not reach the threshold in any block of items ends there, whole slices of passages at a time;
 the others are searched by block-max WAND, which returns every item above the threshold. Those are verified: enough of the word
-triples of the item's question and of the word pairs of its answer must occur in the passage.
+triples of the item's question and of the word pairs of its answer must occur in the passage, or enough
+of the pairs of the whole item, since items carry no mark of where their answer begins.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from roundsmith.llm import storage, textkit
 from roundsmith.llm.rindex import rolling
 
-K1, B, THRESHOLD, QUESTION, ANSWER = 1.2, 0.75, 0.5, 0.5, 0.5
+K1, B, THRESHOLD, QUESTION, ANSWER, WHOLE = 1.2, 0.75, 0.5, 0.5, 0.5, 0.5
 #: Items of a block (of similar lengths, so that its maxima are close bounds); bytes of items that one index may hold (a larger test set makes more indexes).
 BLOCK_ITEMS, INDEX_BYTES = 4, 32 << 20
 #: Bounds (passages by blocks) that are held at once.
@@ -78,7 +79,7 @@ class BlockMaxIndex:
         self.parts = []
         for w in self.words:  # the last quarter of an item, four words at least, counts as its answer
             cut = len(w) - max(4, len(w) // 4)
-            self.parts.append((grams(w[:cut], 3), grams(w[cut:], 2)) if cut > 0 else (grams(w, 3), grams(w, 2)) if w else (set(), set()))
+            self.parts.append((grams(w[:cut], 3), grams(w[cut:], 2), grams(w, 2)) if cut > 0 else (grams(w, 3), grams(w, 2), grams(w, 2)) if w else (set(), set(), set()))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item (by place) whose score is at least threshold, in order; terms are distinct."""
@@ -119,11 +120,11 @@ class BlockMaxIndex:
             live = [c for c in live if c[0] >= 0]
         return out
 
-    def verify(self, item: int, words: list[int]) -> tuple[float, float]:
-        """Shares of an item's question triples and answer pairs that a passage has."""
-        question, answer = self.parts[item]
+    def verify(self, item: int, words: list[int]) -> tuple[float, float, float]:
+        """Shares of an item's question triples, answer pairs and pairs in all that a passage has."""
         here = lambda own: len(own & grams_of(words, len(next(iter(own))))) / len(own) if own else 0.0
-        return here(question), here(answer)
+        question, answer, whole = self.parts[item]
+        return here(question), here(answer), here(whole)
 
 
 def grams_of(words: list[int], k: int) -> set[tuple]:
@@ -158,8 +159,8 @@ def scan(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray) -> Iterato
             words = None
             for item, score in index.search(own[edges[p] : edges[p + 1]].tolist(), THRESHOLD):
                 words = words or h[b[p] : e[p]].tolist()
-                q, a = index.verify(item, words)
-                if q >= QUESTION and a >= ANSWER:
+                q, a, whole = index.verify(item, words)
+                if whole >= WHOLE or q >= QUESTION and a >= ANSWER:
                     pair, got = (int(row[k + p]), item), (score, q, a)
                     if pair not in best or got > best[pair]:
                         best[pair] = got

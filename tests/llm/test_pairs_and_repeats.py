@@ -189,6 +189,19 @@ def test_leaks(spark, odd_docs, no_docs):
     assert decontaminate.find_leaks(odd_docs, frame.limit(0)).collect() == []
 
 
+def test_leaks_finds_cut_and_edited_items(spark):
+    """Copies without their first or last parts, or with every tenth word changed, are hits; a third of an item is none."""
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(400)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = {k: say(15 + k).split() for k in range(30)}
+    cuts = {1: lambda w: w[: len(w) * 9 // 10], 2: lambda w: w[: len(w) * 3 // 4], 3: lambda w: w[len(w) // 3 :], 4: lambda w: [f"x{j}" if j % 10 == 7 else x for j, x in enumerate(w)], 5: lambda w: [f"x{j}" if j == len(w) - 2 else x for j, x in enumerate(w)], 6: lambda w: w[: len(w) // 3]}
+    docs = [(100 * c + k, say(90) + " . " + " ".join(cut(w)) + " . " + say(90)) for c, cut in cuts.items() for k, w in items.items()]
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), frame).collect()}
+    assert got == {(100 * c + k, k) for c in cuts if c != 6 for k in items}
+
+
 def test_leaks_query_finds_verbatim_items(spark, sf):
     words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     docs = [(r.doc_id, words(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
