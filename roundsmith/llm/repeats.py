@@ -114,7 +114,8 @@ def _plan(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int):
     new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
     covered = doc[first] < doc
-    bucket = (key * U64(buckets) >> U64(KEY_BITS)).astype(np.int64)
+    # by the key's upper 32 bits: the product fits 64 bits for any number of buckets below 2^32
+    bucket = ((key >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
     return row, start, end, key, seg, doc, new, first, covered, bucket
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from roundsmith.llm import components, decontaminate, ngram_join, repeats, textkit
@@ -161,6 +162,23 @@ def test_matching_statistics(segments, queries):
                 assert index.least[p] == next(j for j, s in enumerate(segments) if rest[:span] in s)
 
 
+@pytest.mark.parametrize("buckets", [8, 65_536, 65_537, repeats.MOST_BUCKETS + 1])
+def test_buckets_rise_with_keys_and_do_not_depend_on_the_chunk(buckets):
+    """At any number of buckets, in each of two chunks that share text: buckets as exact integers give them, in the order of the keys."""
+    rng = np.random.default_rng(4)
+    shared = bytes(rng.integers(97, 123, 60_000).astype(np.uint8))
+    where = []
+    for own in (1, 2):
+        text = shared + bytes(rng.integers(97, 123, 20_000 * own).astype(np.uint8))
+        _, _, _, key, _, _, _, _, _, bucket = repeats._plan(np.array([own]), np.array([0, len(text)]), np.frombuffer(text, np.uint8), buckets)
+        assert (np.diff(bucket) >= 0).all() and bucket.min() >= 0 and bucket.max() < buckets
+        assert bucket.tolist() == [(k >> 16) * buckets >> 32 for k in key.tolist()]
+        edges = repeats._bucket_edges(bucket, buckets)
+        where.append({k: int(np.searchsorted(edges, i, "right")) - 1 for i, k in enumerate(key.tolist())})
+    both = where[0].keys() & where[1].keys()
+    assert len(both) > 1000 and all(where[0][k] == where[1][k] for k in both)
+
+
 def test_wand_returns_every_item_above_the_threshold():
     rng = random.Random(3)
     vocabulary = [f"t{k}" for k in range(60)]
