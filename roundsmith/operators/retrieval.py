@@ -11,8 +11,11 @@ which candidates stand.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf, tokens
@@ -20,6 +23,8 @@ from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf,
 TOP_K, FETCH_K, SPARSE_K, LAMBDA = 4, 20, 20, 0.5
 #: Query terms that may be broadcast: some tens of MB.
 BROADCAST_TERMS = 200_000
+#: Queries and candidates that are held against each other at once.
+BLOCK = 2048
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
 PLACES = 12
 
@@ -103,6 +108,50 @@ def dense_candidates(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> Dat
     return scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k)
 
 
+def dense_blocks(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
+    """As dense_candidates, for many queries with whole-number ids and vectors of one length: blocks of
+    candidates times blocks of queries as matrix products, of which the k best of each go on. The
+    queries' vectors are sent to every task."""
+    by: dict = {}
+    for r in queries.where("qvec is not null").select("part", "query_id", "qvec").collect():  # 8 bytes a number
+        by.setdefault(r["part"], []).append((r["query_id"], r["qvec"]))
+    sent = queries.sparkSession.sparkContext.broadcast({p: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64)) for p, own in by.items()})
+
+    def best(part: str, doc: np.ndarray, seq: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, asked = sent.value[part]
+        order = np.argsort(seq, kind="stable")  # so that ties stay in candidate order
+        doc, seq, vec = doc[order], seq[order], vec[order]
+        size = np.sqrt((vec * vec).sum(axis=1))
+        for i in range(0, len(ids), BLOCK):
+            q = asked[i : i + BLOCK]
+            n = np.sqrt((q * q).sum(axis=1))[:, None] * size
+            sim = np.round(np.divide(q @ vec.T, n, out=np.zeros(n.shape), where=n > 0), PLACES)
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(q)), top.shape[1])
+            at = top.reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim[row, at])], ["query_id", "part", "doc_id", "seq", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            parts = b.column(0).to_pylist()
+            doc, seq = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            vec = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for p in sent.value.keys() & set(parts):
+                own = np.array([x == p for x in parts])
+                held.setdefault(p, []).append((doc[own], seq[own], vec[own]))
+                if sum(len(x[0]) for x in held[p]) >= BLOCK:
+                    yield from best(p, *(np.concatenate(x) for x in zip(*held.pop(p), strict=True)))
+        for p, own in held.items():
+            yield from best(p, *(np.concatenate(x) for x in zip(*own, strict=True)))
+
+    rows = kb.where("vec is not null").select("part", F.col("doc_id").cast("long"), F.col("seq").cast("long"), F.col("vec").cast("array<double>"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "seq")
+    scored = rows.mapInArrow(run, "query_id long, part string, doc_id long, seq long, sim double")
+    found = scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k)
+    return found.join(kb.select("part", "doc_id", "seq", "vec"), ["part", "doc_id", "seq"]).select("query_id", "doc_id", "seq", "vec", "sim", "place")
+
+
 def mmr(candidates: DataFrame, k: int = TOP_K, balance: float = LAMBDA) -> DataFrame:
     """query_id, doc_id, seq, rank of the greedy choice: first the nearest, then the best of
     balance * similarity - (1 - balance) * the largest similarity to one chosen; ties by place.

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from roundsmith import queries
 from roundsmith.functions.scalar import tokens
 from roundsmith.operators import retrieval
 
@@ -108,3 +109,24 @@ def test_context_and_fallbacks(spark):
     assert "暂无匹配" in retrieval.context(q, retrieval.hybrid_search(q, kb.limit(0))).first().rag_context
     dense_only = retrieval.hybrid_search(q, kb, sparse=False).orderBy("rank").collect()
     assert [r.doc_id for r in dense_only] == [0, 1]
+
+
+def test_searches_are_asked_with_every_fiftieth_row(spark, sf):
+    ids = lambda table, name: {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").where(f"{name} % 50 = 0").select(name).collect()}
+    docs, vectors = ids("documents", "doc_id"), ids("embeddings", "vec_id")
+    assert len(docs) > 1 and len(vectors) > 1
+    for name in ("sparse_top20", "meta_filter_sparse", "cosine_top20", "mmr_top4", "rrf_fusion", "hybrid_top4", "context_join"):
+        got = {r.query_id for r in queries.QUERIES[f"each50_{name}"](spark, sf).select("query_id").collect()}
+        assert got == (vectors if name in ("cosine_top20", "mmr_top4") else docs), name
+
+
+def test_dense_blocks_equal_the_join(spark, monkeypatch):
+    """With ties, parts, vectors without length or missing, and blocks smaller than the tables."""
+    rng = random.Random(3)
+    vec = lambda: rng.choice([None, [0.0, 0.0, 0.0], [float(rng.randrange(-2, 3)) for _ in range(3)]])
+    kb = spark.createDataFrame([(rng.choice("ab"), 1000 - k, k, f"t{k}", vec()) for k in range(200)], "part string, seq long, doc_id long, text string, vec array<double>")
+    asked = spark.createDataFrame([(k, rng.choice("abc"), vec()) for k in range(30)], "query_id long, part string, qvec array<double>")
+    rows = lambda d: sorted((r.query_id, r.place, r.doc_id, r.sim) for r in d.collect())
+    want = rows(retrieval.dense_candidates(asked, kb, 7))
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    assert want and rows(retrieval.dense_blocks(asked, kb, 7)) == want
