@@ -3,7 +3,8 @@
 Base spans come from patterns and checks alone and always stay. The field labels candidate tokens (those
 with a digit, @ or +) as no data, email, ip, card or phone. Neighbouring candidates share a transition
 potential; distant tokens with the same digits or the same mailbox name share a skip potential that
-favours one label. Tokens of base spans are observed; loopy message passing carries their labels to
+favours one label, and so do the tokens of a base number and those of a number written otherwise, in one
+token or several, that ends in the same digits. Tokens of base spans are observed; loopy message passing carries their labels to
 similar tokens of the document, and a token becomes a span where its belief is at least BELIEF. Tokens
 that are no candidates are fixed to no data: they have no potential for any other label.
 The field is trained on a bounded sample of documents, with base spans as labels; the patterns
@@ -25,12 +26,15 @@ from roundsmith.llm import chain_crf, storage, textkit
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
 BELIEF, ROUNDS, DAMPING = 0.9, 12, 0.3
+#: Skip edges between the tokens of two ways of writing one number.
+VOTES = 3
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@+]")
+NUMERIC, GAP = re.compile(r"[+0-9().,/-]+"), re.compile(r"[\s().,/\u2013-]{1,3}")
 EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
 
 
@@ -122,6 +126,53 @@ def skip_keys(token: str) -> list[str]:
     return ["d" + digits] * (len(digits) >= 7) + ["m" + name] * ("@" in own and len(name) >= 4)
 
 
+def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of candidates (the last of a base number, elsewhere) that belong to one number in two ways of writing.
+
+    Of numeric tokens side by side each sequence of 7 to 19 digits is compared, of other tokens each by
+    itself: a card by all its digits, a phone by its last seven and more, without leading zeros (of a
+    trunk or exit code), as country and area may be left out."""
+    known: dict[str, list[tuple[str, int, int]]] = {}
+    taken, k = set(), 0
+    for s, kind, e in base:
+        while k < len(spans) and spans[k][1] <= s:
+            k += 1
+        own, j = [], k
+        while j < len(spans) and spans[j][0] < e:
+            own.append(j)
+            j += 1
+        taken.update(own)
+        if kind >= 2:
+            for raw in {text[s:e], text[s:e].replace("(0)", "")}:
+                digits = "".join(c for c in raw if "0" <= c <= "9").lstrip("0")
+                known.setdefault(digits[-7:], []).append((digits, kind, own[-1]))
+    if not known:
+        return []
+    out, run, before = set(), [], -1
+    for k, (s, e) in enumerate(spans):
+        digits = "".join(c for c in text[s:e] if "0" <= c <= "9")
+        if k in taken or not digits:
+            run = []
+            continue
+        plain = NUMERIC.fullmatch(EDGE.sub("", text[s:e]))
+        if not plain or not run or before != k - 1 or not GAP.fullmatch(text, spans[k - 1][1], s):
+            run = []
+        run.append((k, digits if len(digits) < 20 else digits[-20:]))
+        before = k if plain else -1
+        held = ""
+        for i, d in reversed(run):
+            held = d + held
+            if len(held) > 19:
+                break
+            own = held.lstrip("0")
+            for whole, kind, at in known.get(own[-7:], []) if len(own) >= 7 else []:
+                if own == whole or kind == 3 and (whole.endswith(own) or own.endswith(whole) and len(own) <= len(whole) + 3):
+                    out |= {(at, b) for b in range(i, k + 1)}
+        while run and sum(len(d) for _, d in run) > 19:
+            run.pop(0)
+    return sorted(out)
+
+
 def label_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
     """Label of each candidate by the base spans it overlaps (the longest), 0 for none."""
     out, k = np.zeros(len(spans), np.int64), 0
@@ -195,7 +246,7 @@ def find_spans(texts: list[str], field: SkipChainField) -> list[tuple[list, list
             emits.append(emit)
             c, s = _edges(text, own, n)
             chain += c
-            skips += s
+            skips += s + [(n + a, n + b) for a, b in similar(text, own, base)] * VOTES
             n += len(own)
     p = field.beliefs(np.concatenate(emits), np.array(chain, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2)) if n else np.zeros((0, 5))
     label, sure = p.argmax(axis=1), p.max(axis=1) >= BELIEF
@@ -236,7 +287,10 @@ def fit(docs: DataFrame) -> SkipChainField:
         own = candidates(text)
         if not own:
             continue
-        y = label_of(own, base_spans(text))
+        base = base_spans(text)
+        y = label_of(own, base)
+        for a, b in similar(text, own, base):  # the number again: no example of no data
+            y[b] = y[a]
         xs.append(features(text, own)), ys.append(y)
         cuts = [k for k in range(1, len(own)) if own[k][0] != own[k - 1][1] + 1]
         lengths += np.diff([0, *cuts, len(own)]).tolist()

@@ -146,6 +146,30 @@ def test_skip_edges_carry_labels():
     assert base == spans == []
 
 
+WRITTEN = {
+    "+1 (974) 555-3436": ["974-555-3436", "9745553436", "(974) 555-3436", "974 555 3436", "555-3436", "0019745553436", "tel:974-555-3436", "974 - 555 - 3436"],
+    "+19745553436": ["974-555-3436", "9745553436", "974 555 3436", "1 974 555 3436", "+1 974 5553436"],
+    "+49 171 5551234": ["0171 555 12 34", "0171/5551234", "01715551234", "0049 171 5551234"],
+    "+49 (0)171 5551234": ["0171 555 12 34", "01715551234"],
+}
+
+
+def test_numbers_written_otherwise_are_masked(spark):
+    """Later mentions of a phone number in other formats go too; other numbers stay."""
+    rows = [(b, m) for b, own in WRITTEN.items() for m in own] + [(f"4111 1111 1111 {k}", f"4111.1111.1111.{k}") for k in ("1111",)]
+    texts = [f"Call {b} today. It was said later that {m} is better" for b, m in rows]
+    other = [f"Call {b} today. In 2021 some 12 of {m} stayed" for b in WRITTEN for m in ("9745553437", "974 555 3437", "12 555 34", "553436", "0171 555 12 35", "1234")]
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    docs = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    got = {r.doc_id: r.masked for r in pii.detect(docs, field).collect()}
+    assert all(len(pii.base_spans(t)) == 1 for t in other)
+    for k, (b, m) in enumerate(rows):
+        left = got[k].partition("later that ")[2]
+        assert not re.search("[0-9]", left) and left.endswith("] is better"), (b, m, got[k])
+    for k, t in enumerate(other):
+        assert got[len(texts) + k].partition("today")[2] == t.partition("today")[2]
+
+
 def test_loopy_beliefs_are_exact_on_trees():
     rng = np.random.default_rng(5)
     field = pii.SkipChainField(np.zeros((1, 5)), rng.normal(size=(5, 5)), 1.3)
