@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roundsmith.llm import storage
-from roundsmith.llm.decontaminate import find_leaks
+from roundsmith.llm.decontaminate import without_leaks
 from roundsmith.llm.line_quality import fit as fit_lines, label_documents
 from roundsmith.llm.ngram_join import jaccard_components
 from roundsmith.llm.packing import pack_documents
@@ -33,10 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified benchmark item; the others go."""
+    """Documents without a verified benchmark item; the others go, with or without a doc_id."""
     storage.settle(spark)
-    leaks = find_leaks(docs, storage.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without_leaks(docs, storage.table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,6 +168,15 @@ def scan(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray) -> Iterato
         yield r, index.ids[item], *got
 
 
+def _indexes(items: DataFrame) -> Iterator:
+    """Indexes of at most INDEX_BYTES, broadcast, that hold all items between them."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    n_indexes = 1 + storage.text_bytes(items) // INDEX_BYTES
+    for k in range(n_indexes):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_indexes)) == k).collect()  # INDEX_BYTES or so
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: every verified pair, from documents
     (doc_id, text) and test items (item_id, text).
@@ -176,15 +185,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     give one row each; other columns are ignored; without items or documents there are no rows. Items
     are split over as many indexes of at most INDEX_BYTES as they need, each asked with all documents.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    n_indexes = 1 + storage.text_bytes(items) // INDEX_BYTES
     out = None
-    for k in range(n_indexes):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_indexes)) == k).collect()  # INDEX_BYTES or so
-        index = spark.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))))
+    for index in _indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -199,6 +203,23 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs (with a column text) that hold no test item, each judged by its own text whatever its doc_id."""
+    rows = docs.select(F.lower(F.col("text").cast("string")).alias("_text"), F.struct("*").alias("_row"))
+    for index in _indexes(items):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for i, _, data, offs in textkit.pieces(b.column(0)):
+                    clean[[i + g[0] for g in scan(index.value, data, offs)]] = False
+                yield b.filter(pa.array(clean))
+            textkit.trim()
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("_row.*")
+
+
 def op7_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a test item, with the item."""
     return find_leaks(storage.table(spark, sf_dir, "documents"), storage.table(spark, sf_dir, "benchmark"))

@@ -140,7 +140,7 @@ def _words(sketches: list[bytes], width: int) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [(len(h), f, sketch(h)) for h, f in _profile(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] if g[0] else None for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["doc_id", "n", "fp", "sk"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] if g[0] else None for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()), batch.column(2)], ["doc_id", "n", "fp", "sk", "th"])
 
 
 def _planes(x: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
@@ -312,7 +312,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BATCH)).alias("part"))
     rows = keyed.select("a", "part", F.col("b").alias("ent"), F.col("a").alias("partner")).union(keyed.select("a", "part", F.col("a").alias("ent"), F.lit(None).cast("long")).distinct())
     rows = rows.groupBy("a", "part", "ent").agg(F.collect_set("partner").alias("partners"))
-    texts = rows.select("ent").distinct().join(sets.select(F.col("fp").alias("ent"), "doc_id"), "ent").join(docs.select("doc_id", "text"), "doc_id").select("ent", "text")
+    # the text of a set is that of one of its rows, by doc_id (or none) and the text's hash, as ids may be missing or repeat
+    row = rows.select("ent").distinct().join(sets.select(F.col("fp").alias("ent"), F.col("doc_id").alias("id"), F.col("th").alias("of")), "ent")
+    texts = row.join(docs, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("th"))).select("ent", "text").dropDuplicates(["ent"])
     return rows.join(texts, "ent").select("a", "part", "ent", "partners", "text").groupBy("a", "part").applyInArrow(_verify, "a long, b long")
 
 
@@ -350,12 +352,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id are separate documents, each with the n_shingles and component of its own set. An empty table
     gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = storage.saved(docs.mapInArrow(_sets, "doc_id long, n long, fp long, sk binary"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    profile = storage.saved(docs.mapInArrow(_sets, "doc_id long, n long, fp long, sk binary, th long"), "sets")
     stats = profile.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     n_docs, n_keys, top = int(stats[0]), int(stats[1]), int(stats[2])
     buckets, bits = max(8, -(-n_keys // max(BUCKET_KEYS, n_keys // MOST_BUCKETS))), min(63, max(1, n_keys).bit_length() + 14)
-    sets = profile.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
+    sets = profile.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "th")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"))
+    sets = sets.select("fp", "row.doc_id", "row.th", "n", "sk")
     blobs = docs.select("text").mapInArrow(_key_blobs(top, n_docs, buckets, bits), "bucket int, n long, m long, keys binary, ents binary, at binary")
     groups = storage.saved(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_groups, "gid long, size long, center long, members array<long>"), "groups")
     # groups with the same members may come from several tasks

@@ -72,6 +72,17 @@ def test_ngram_join_equals_brute_force(spark, odd_docs, no_docs):
     assert ngram_join.jaccard_components(no_docs).collect() == []
 
 
+def test_ngram_join_with_missing_and_repeated_ids(spark):
+    """A chain through a row without doc_id links, and of texts that share a doc_id each has its own links."""
+    w = [f"w{k}" for k in range(100)]
+    drift = lambda k: " ".join(["x" + x if j % 10 == 5 and j < 10 * k else x for j, x in enumerate(w)])
+    other = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqr"]
+    docs = [(1, drift(0)), (None, drift(2)), (3, drift(4)), (None, drift(2)), (7, other[0]), (7, other[1]), (7, other[2]), (8, other[0] + " end"), (9, other[1] + " end"), (6, other[2] + " end"), (None, other[2] + " end now")]
+    want = brute_components(docs)
+    assert (3, 96, 1) in want
+    assert joined(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))) == want
+
+
 def test_ngram_query_equals_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert joined(QUERIES["op2_ngram_join"](spark, sf).select("doc_id", "n_shingles", "component_id")) == brute_components(docs)

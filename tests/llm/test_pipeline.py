@@ -56,3 +56,11 @@ def test_odd_documents_pass_through(spark, sf, odd_docs, no_docs):
         assert corpus_pipeline.packing(spark, docs, sf).columns[:3] == ["doc_id", "start", "length"]
     near = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd_docs, sf).collect())
     assert near[4] == 1 and near[5] == near[14] == 0 and near[12] == 0 and near[None] == 1
+
+
+def test_contaminated_rows_without_or_with_repeated_ids_go(spark, sf):
+    item = storage.table(spark, sf, "benchmark").first().text
+    rows = [(None, "clean words here"), (None, f"before {item} after"), (5, f"before {item} after"), (5, "clean words again"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, sf).collect())
+    assert got == Counter([(None, "clean words here"), (5, "clean words again"), (6, None)])
