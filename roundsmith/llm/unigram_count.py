@@ -6,6 +6,10 @@ tokenizers library's Unigram model: scores in double precision; for a place, of
 whose last piece starts first; a character that is no piece by itself may be unknown, at the least score
 minus 10; unknown characters count as their UTF-8 bytes where the vocabulary has byte pieces, and else
 each run of them as one piece. Words begin at spaces, which are written as U+2581.
+
+No unigram vocabulary is at hand: the model file read here, piece_bpe_32k.model, is one of a BPE tokenizer, and
+its merge ranks (with -1e9 for runs of spaces) are taken as log scores. The counts are those of a unigram
+reading of that table, not the number of tokens that the BPE model itself makes.
 """
 
 from __future__ import annotations
