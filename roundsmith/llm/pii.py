@@ -1,14 +1,21 @@
 """Personal data: base patterns, and a skip-chain conditional random field for further mentions.
 
-Base spans come from patterns and checks alone and always stay. The field labels candidate tokens (those
-with a digit, @ or +) as no data, email, ip, card or phone. Neighbouring candidates share a transition
-potential; distant tokens with the same digits or the same mailbox name share a skip potential that
-favours one label, and so do the tokens of a base number and those of a number written otherwise, in one
-token or several, that ends in the same digits. Tokens of base spans are observed; loopy message passing carries their labels to
-similar tokens of the document, and a token becomes a span where its belief is at least BELIEF. Tokens
-that are no candidates are fixed to no data: they have no potential for any other label.
-The field is trained on a bounded sample of documents, with base spans as labels; the patterns
-themselves are no features.
+Base spans come from patterns and checks alone and always stay. The field labels candidate tokens as no
+data, email, ip, card, phone, secret (a credential) or name. Candidates are the white-space tokens with a
+digit, @ or +, those of 20 and more letters without a break, and, where a text has an email address, words
+that are its mailbox name or, with a capital, a part of it. Neighbouring candidates share a transition
+potential. Distant candidates share a skip potential, learned for each of three kinds of likeness:
+
+- same: the same digits, four numbers, mailbox name or credential;
+- written: a base number and the tokens of a number written otherwise that ends in the same digits;
+- part: a mailbox name and a word that is a part of it.
+
+Tokens of base spans are observed; loopy message passing carries labels along the skip edges, so that a
+bare credential, a surname or a local number takes the label of its like elsewhere in the document. A token
+becomes a span where its belief is at least BELIEF. Tokens that are no candidates are fixed to no data.
+The potentials are fitted together by pseudo-likelihood, on made-up texts with known data (pii_examples)
+and on a bounded sample of documents, with base spans and assigned credentials as labels and unlabelled
+likes of these left out. The base patterns themselves are no features.
 """
 
 from __future__ import annotations
@@ -21,21 +28,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from roundsmith.llm import chain_crf, storage, textkit
+from roundsmith.llm import chain_crf, pii_examples as made, storage, textkit
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
-BELIEF, ROUNDS, DAMPING = 0.9, 12, 0.3
-#: Skip edges between the tokens of two ways of writing one number.
-VOTES = 3
+#: All kinds of spans, in the order in which they are listed.
+ALL_KINDS = (*KINDS, "secret", "name")
+N_LABELS = 1 + len(ALL_KINDS)
+EMAIL, IP_KIND, CARD_KIND, PHONE_KIND, SECRET, PERSON = range(1, N_LABELS)
+#: Whole documents, and bytes of all of them, that the field is fitted on; made-up texts beside them.
+SAMPLE_DOCS, SAMPLE_BYTES, MADE = 1500, 16 << 20, 2500
+BELIEF, ROUNDS, DAMPING, SETTLED = 0.9, 60, 0.3, 1e-3
+SAME, WRITTEN, PART = range(3)
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MARK = re.compile(r"[0-9@+]")
-NUMERIC, GAP = re.compile(r"[+0-9().,/-]+"), re.compile(r"[\s().,/\u2013-]{1,3}")
-EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
+MARK = re.compile(r"[0-9@+]|[A-Za-z_]{20}")
+NUMERIC, GAP = re.compile(r"[+0-9().,/-]+"), re.compile(r"[\s().,/–-]{1,3}")
+EDGE = re.compile(r"^[^0-9A-Za-z+(*]+|[^0-9A-Za-z)]+$")
+NAMELIKE, PIECE = re.compile(r"[^\W\d_][\w.%+-]*"), re.compile(r"[^\W\d_]{2,}")
+VALUE = re.compile(r"[A-Za-z0-9_/+.=-]{11,}[A-Za-z0-9_/+=-]")
+ASSIGNED = re.compile(r"(?i)(?:\b|_)(?:" + "|".join(sorted(made.SECRET_WORDS)) + r")[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_/+.=-]{16,})")
 
 
 def luhn(digits: str) -> bool:
@@ -78,8 +92,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """White-space tokens with a digit, @ or +, in order."""
+def mailboxes(text: str, base: list[tuple[int, int, int]]) -> tuple[set[str], dict[str, set[str]]]:
+    """Mailbox names of a text's addresses, and the parts of those that have two and more, each with its names."""
+    names: set[str] = set()
+    parts: dict[str, set[str]] = {}
+    for s, kind, e in base:
+        if kind == 0:
+            name = text[s : text.index("@", s)].casefold()
+            if len(name) >= 4:
+                names.add(name)
+            own = PIECE.findall(name)
+            if len(own) >= 2:
+                for p in own:
+                    parts.setdefault(p, set()).add(name)
+    return names, parts
+
+
+def candidates(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """The tokens that can be data, in order and without overlap."""
     out, last = [], 0
     for m in MARK.finditer(text):
         if m.start() < last:
@@ -91,18 +121,37 @@ def candidates(text: str) -> list[tuple[int, int]]:
             e += 1
         out.append((s, e))
         last = e
-    return out
-
-
-FEATURES = ("bias", "at", "at and dot", "plus", "paren", "hyphen", "dots 1", "dots 3", "letters", "hex", "quoted", "only digits", "checksum", "near", "near number", *(f"digits {k}" for k in ("1-2", "3-4", "5-7", "8-11", "12-15", "16", "17-")), "long", "symbols")
+    names, parts = mailboxes(text, base) if base else ((), {})
+    if not names and not parts:
+        return out
+    more, k = [], 0
+    for m in NAMELIKE.finditer(text):
+        own = m[0].rstrip(".%+-")
+        key = own.casefold()
+        if key in names or key in parts and own[0].isupper():
+            s, e = m.start(), m.start() + len(own)
+            while k < len(out) and out[k][1] <= s:
+                k += 1
+            if k == len(out) or e <= out[k][0]:
+                more.append((s, e))
+    return sorted(out + more)
+
+
+FEATURES = (
+    "bias", "at", "at and dot", "plus", "paren", "hyphen", "dots 1", "dots 3", "letters", "hex", "quoted", "only digits", "checksum", "near", "near number",
+    *(f"digits {k}" for k in ("0", "1-2", "3-4", "5-7", "8-11", "12-15", "16", "17-")), "long", "symbols",
+    "secret word", "assigned", "phone word", "mail word", "card word", "host word", "title", "mixed", "masked digits", "capital word", "mailbox", "near capital", "four numbers", "secret word and value", "phone word and number",
+)
+_WORDS = (made.SECRET_WORDS, made.PHONE_WORDS, made.MAIL_WORDS, made.CARD_WORDS, made.HOST_WORDS, made.TITLE_WORDS)
+MIXED = re.compile(r"[A-Za-z]+[0-9]+[A-Za-z]+[0-9]+")
 
 
 def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Rows of FEATURES for the candidates of a text."""
+    """Rows of FEATURES for the candidates of a text, from the whole token and the words before it."""
     x = np.zeros((len(spans), len(FEATURES)))
-    ends = -2
+    ends, capital = -2, False
     for k, (s, e) in enumerate(spans):
-        raw = text[s : e if e - s <= 200 else s + 200]
+        raw = text[s:e]
         own = EDGE.sub("", raw)
         digits, letters = sum("0" <= c <= "9" for c in own), sum(c.isalpha() for c in own)
         row, dots = x[k], own.count(".")
@@ -112,27 +161,59 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         row[10], row[11] = '"' in raw or "'" in raw, digits == len(own) > 0
         row[12] = 12 <= digits <= 19 and luhn("".join(c for c in own if "0" <= c <= "9"))
         row[13], row[14] = s == ends + 1, s == ends + 1 and x[k - 1][8] == 0
-        row[15 + (0 if digits <= 2 else 1 if digits <= 4 else 2 if digits <= 7 else 3 if digits <= 11 else 4 if digits <= 15 else 5 if digits == 16 else 6)] = 1
-        row[22], row[23] = len(own) > 24, any(c in "#$%&*|<>=" for c in raw)
-        ends = e
+        row[15 + (0 if not digits else 1 if digits <= 2 else 2 if digits <= 4 else 3 if digits <= 7 else 4 if digits <= 11 else 5 if digits <= 15 else 6 if digits == 16 else 7)] = 1
+        row[23], row[24] = len(own) > 24, any(c in "#$%&|<>" for c in raw)
+        before = text[max(0, s - 40) : s].casefold()
+        head = re.split(r"[=:]", raw, maxsplit=1)[0].casefold() if "=" in raw or ":" in raw else ""
+        said = {w.strip(".,:;=()\"'") for w in [*before.split()[-2:], head]}
+        for j, words in enumerate(_WORDS):
+            row[(25, 27, 28, 29, 30, 31)[j]] = not said.isdisjoint(words)
+        row[26] = before.rstrip(" \"'")[-1:] in ("=", ":") or bool(head)
+        value = VALUE.search(raw[len(head) + 1 :] if head else raw)
+        row[32] = bool(MIXED.search(own)) and len(own) >= 12
+        row[33] = digits == 4 and ("**" in raw or "xx" in raw.casefold())
+        word = not digits and letters == len(own) and own[:1].isupper()
+        row[34], row[35] = word, own.casefold() == own and letters > 0 and not digits and "@" not in own
+        row[36] = word and capital and 1 <= s - ends <= 2
+        if capital and word and 1 <= s - ends <= 2:
+            x[k - 1][36] = 1
+        row[37] = len(re.findall("[0-9]{1,3}", own)) == 4 and len(own) <= 20
+        row[38], row[39] = row[25] and value is not None and len(value[0]) >= 16, row[27] and 7 <= digits <= 15
+        ends, capital = e, bool(word)
     return x
 
 
 def skip_keys(token: str) -> list[str]:
-    """What makes tokens similar: seven and more digits in order, or a mailbox name of four and more."""
+    """What makes tokens the same: seven and more digits in order, four numbers, a mailbox name, a long value."""
     own = EDGE.sub("", token).casefold()
     digits = "".join(c for c in own if "0" <= c <= "9")
-    name = own.partition("@")[0]
-    return ["d" + digits] * (len(digits) >= 7) + ["m" + name] * ("@" in own and len(name) >= 4)
+    name = own.partition("@")[0].rstrip(".")
+    out = ["d" + digits] * (7 <= len(digits) <= 19) + ["m" + name] * (len(name) >= 4 and name[0].isalpha() and ("@" in own or all(c in LOCAL for c in name)))
+    numbers = re.findall("[0-9]+", own) if len(own) <= 20 else []
+    if len(numbers) == 4 and all(len(n) <= 3 for n in numbers):
+        out.append("i" + ".".join(numbers))
+    m = secret_value(token)
+    return [*out, "s" + m[0]] if m and len(m[0]) >= 16 else out
+
+
+def secret_value(token: str) -> re.Match | None:
+    """The longest run of a token that can be a credential, what stands before = or : left out."""
+    at = 0
+    for m in re.finditer(r"[=:][\"']?(?=[A-Za-z0-9])", token):
+        at = m.end()
+        break
+    found = [m for m in VALUE.finditer(token, at)]
+    return max(found, key=lambda m: len(m[0])) if found else None
 
 
 def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Pairs of candidates (the last of a base number, elsewhere) that belong to one number in two ways of writing.
 
     Of numeric tokens side by side each sequence of 7 to 19 digits is compared, of other tokens each by
-    itself: a card by all its digits, a phone by its last seven and more, without leading zeros (of a
+    itself: a card by all its digits, or the last four where the others are masked, a phone by its last seven and more, without leading zeros (of a
     trunk or exit code), as country and area may be left out."""
     known: dict[str, list[tuple[str, int, int]]] = {}
+    cards: dict[str, int] = {}
     taken, k = set(), 0
     for s, kind, e in base:
         while k < len(spans) and spans[k][1] <= s:
@@ -146,6 +227,8 @@ def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int,
             for raw in {text[s:e], text[s:e].replace("(0)", "")}:
                 digits = "".join(c for c in raw if "0" <= c <= "9").lstrip("0")
                 known.setdefault(digits[-7:], []).append((digits, kind, own[-1]))
+                if kind == 2:
+                    cards.setdefault(digits[-4:], own[-1])
     if not known:
         return []
     out, run, before = set(), [], -1
@@ -154,6 +237,8 @@ def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int,
         if k in taken or not digits:
             run = []
             continue
+        if digits in cards and ("**" in text[s:e] or "xx" in text[s:e].casefold()):
+            out.add((cards[digits], k))
         plain = NUMERIC.fullmatch(EDGE.sub("", text[s:e]))
         if not plain or not run or before != k - 1 or not GAP.fullmatch(text, spans[k - 1][1], s):
             run = []
@@ -188,126 +273,181 @@ def label_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 
 class SkipChainField:
-    """Weights, transitions between neighbouring candidates, and the agreement of similar tokens."""
+    """Weights, transitions between neighbouring candidates, and a skip potential for each kind of likeness."""
 
-    def __init__(self, w: np.ndarray, trans: np.ndarray, skip: float):
+    def __init__(self, w: np.ndarray, trans: np.ndarray, skip: np.ndarray):
         self.w, self.trans, self.skip = w, trans, skip
 
-    def beliefs(self, emit: np.ndarray, chain: np.ndarray, skips: np.ndarray) -> np.ndarray:
-        """Label beliefs by loopy message passing over chain edges and skip edges (pairs of rows)."""
+    def beliefs(self, emit: np.ndarray, chain: np.ndarray, skips: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        """Label beliefs by loopy message passing over chain edges (pairs of rows) and skip edges (pairs
+        and their kind). doc: the document of each row. A document's messages rest once they have settled,
+        so its beliefs do not depend on the others; those that do not settle are damped more and more."""
         n, k = emit.shape
-        both = np.concatenate([chain, skips]) if len(chain) + len(skips) else np.zeros((0, 2), np.int64)
-        agree = self.skip * np.eye(k)
-        pots = np.concatenate([np.repeat(self.trans[None], len(chain), 0), np.repeat(agree[None], len(skips), 0)]) if len(both) else np.zeros((0, k, k))
-        src, dst = np.concatenate([both[:, 0], both[:, 1]]), np.concatenate([both[:, 1], both[:, 0]])
-        pot, m = np.concatenate([pots, pots.transpose(0, 2, 1)]), len(both)
-        msg = np.zeros((2 * m, k))
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        for _ in range(ROUNDS if m else 0):
+        m = len(chain) + len(skips)
+        if not m:
+            total = emit
+        else:
+            doc = np.zeros(n, np.int64) if doc is None else doc
+            pots = np.concatenate([np.repeat(self.trans[None], len(chain), 0), self.skip[skips[:, 2]]])
+            ends = np.concatenate([chain, skips[:, :2]])
+            src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+            pot = np.concatenate([pots, pots.transpose(0, 2, 1)])
+            msg, of = np.zeros((2 * m, k)), doc[src]
+            back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+            live, damping = np.arange(2 * m), DAMPING
+            total = emit.copy()
+            for step in range(3 * ROUNDS):
+                if step and step % ROUNDS == 0:
+                    damping = (1 + damping) / 2
+                new = chain_crf._lse((total[src[live]] - msg[back[live]])[:, :, None] + pot[live], 1)
+                new -= new.max(axis=1, keepdims=True)
+                new = damping * msg[live] + (1 - damping) * new
+                moved = np.abs(new - msg[live]).max(axis=1)
+                np.add.at(total, dst[live], new - msg[live])
+                msg[live] = new
+                busy = np.unique(of[live[moved > SETTLED]])
+                live = live[np.isin(of[live], busy)]
+                if not len(live):
+                    break
             total = emit.copy()
             np.add.at(total, dst, msg)
-            new = chain_crf._lse((total[src] - msg[back])[:, :, None] + pot, 1)
-            new -= new.max(axis=1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
-        total = emit.copy()
-        np.add.at(total, dst, msg)
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _edges(text: str, spans: list[tuple[int, int]], first: int) -> tuple[list, list]:
-    """Chain edges between neighbours with one character between them; skip edges from each token to
-    the one before with the same key, and to the first."""
-    chain = [(first + k - 1, first + k) for k in range(1, len(spans)) if spans[k][0] == spans[k - 1][1] + 1]
-    skips, last, head = [], {}, {}
+def edges(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list, list]:
+    """Chain edges between neighbours with one or two characters between them; skip edges (with kind) from each
+    token to the one before that is the same and to the first, between ways of writing, and from the first
+    address with a mailbox name to the parts of that name."""
+    chain = [(k - 1, k) for k in range(1, len(spans)) if spans[k][0] - spans[k - 1][1] <= 2]
+    skips, last, head = set(), {}, {}
     for k, (s, e) in enumerate(spans):
         for key in skip_keys(text[s:e]):
             if key in last:
-                skips.append((first + last[key], first + k))
+                skips.add((last[key], k, SAME))
                 if head[key] != last[key]:
-                    skips.append((first + head[key], first + k))
+                    skips.add((head[key], k, SAME))
             last[key] = k
             head.setdefault(key, k)
-    return chain, skips
+    skips |= {(a, b, WRITTEN) for a, b in similar(text, spans, base)} if base else set()
+    parts = mailboxes(text, base)[1] if base else {}
+    for k, (s, e) in enumerate(spans) if parts else ():
+        own = text[s:e]
+        if own.casefold() in parts and own[:1].isupper():
+            skips |= {(head["m" + name], k, PART) for name in parts[own.casefold()] if "m" + name in head}
+    return chain, sorted(skips)
 
 
 def find_spans(texts: list[str], field: SkipChainField) -> list[tuple[list, list]]:
     """For each text its base spans and all spans, each (start, kind, end) in order."""
-    emits, chain, skips, tokens, bases, n = [], [], [], [], [], 0
-    for text in texts:
+    emits, chain, skips, docs, tokens, bases, n = [], [], [], [], [], [], 0
+    for k, text in enumerate(texts):
         base = base_spans(text)
-        own = candidates(text)
+        own = candidates(text, base)
         bases.append(base), tokens.append((own, n))
         if own:
             emit = features(text, own) @ field.w
             seen = label_of(own, base)
             emit[seen > 0] = -30.0
             emit[np.flatnonzero(seen), seen[seen > 0]] = 30.0
-            emits.append(emit)
-            c, s = _edges(text, own, n)
-            chain += c
-            skips += s + [(n + a, n + b) for a, b in similar(text, own, base)] * VOTES
+            emits.append(emit), docs.append(np.full(len(own), k))
+            c, s = edges(text, own, base)
+            chain += [(n + a, n + b) for a, b in c]
+            skips += [(n + a, n + b, kind) for a, b, kind in s]
             n += len(own)
-    p = field.beliefs(np.concatenate(emits), np.array(chain, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 2)) if n else np.zeros((0, 5))
-    label, sure = p.argmax(axis=1), p.max(axis=1) >= BELIEF
-    out = []
-    for text, base, (own, first) in zip(texts, bases, tokens, strict=True):
-        more, held = [], label_of(own, base)
-        for k, (s, e) in enumerate(own):
-            kind = int(label[first + k])
-            if not kind or not sure[first + k] or held[k]:
-                continue
-            m, r = EDGE.sub("", text[s:e]), text[s:e]
-            if not m:
-                continue
-            s += r.find(m)
-            e = s + len(m)
-            if more and more[-1][1] == kind - 1 and more[-1][3] == k - 1 and s == more[-1][2] + 1:
-                more[-1] = (more[-1][0], kind - 1, e, k)
-            else:
-                more.append((s, kind - 1, e, k))
-        out.append((base, sorted(base + [m[:3] for m in more])))
-    return out
+    p = field.beliefs(np.concatenate(emits), np.array(chain, np.int64).reshape(-1, 2), np.array(skips, np.int64).reshape(-1, 3), np.concatenate(docs)) if n else np.zeros((0, N_LABELS))
+    return [(base, sorted(base + spans_of(text, own, label_of(own, base), p[first : first + len(own)]))) for text, base, (own, first) in zip(texts, bases, tokens, strict=True)]
 
 
-def fit(docs: DataFrame) -> SkipChainField:
-    """Trains on the first SAMPLE_CHARS characters of SAMPLE_DOCS documents, those with the least hash
-    of doc_id. Without any base span among them every token is taken for no data.
-
-    The skip potential is the log odds that similar tokens of a document have one label, in that sample.
-    """
-    key = F.xxhash64("doc_id", F.lit(11))
-    picked = F.broadcast(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(key, "doc_id").limit(SAMPLE_DOCS))  # at most SAMPLE_DOCS rows of 8 bytes
-    # the join comes first: only the sample's texts are cut and sent
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole")).join(picked, "doc_id")
-    rows = texts.select("doc_id", F.coalesce(F.substring("whole", 1, SAMPLE_CHARS), F.lit("")).alias("text")).collect()
-    xs, ys, lengths, same, pairs = [], [], [], 0, 0
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        text = r["text"]
-        own = candidates(text)
-        if not own:
+def spans_of(text: str, own: list[tuple[int, int]], seen: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int]]:
+    """The spans that beliefs add: sure tokens outside base spans; neighbours of one kind make one."""
+    label, sure, more = p.argmax(axis=1), p.max(axis=1) >= BELIEF, []
+    for k, (s, e) in enumerate(own):
+        kind = int(label[k])
+        if not kind or not sure[k] or seen[k]:
             continue
-        base = base_spans(text)
+        raw = text[s:e]
+        m = secret_value(raw) if kind == SECRET else None
+        if m:
+            s, e = s + m.start(), s + m.end()
+        else:
+            part = EDGE.sub("", raw)
+            if not part:
+                continue
+            s += raw.find(part)
+            e = s + len(part)
+        if more and more[-1][1] == kind - 1 and more[-1][3] == k - 1 and s - more[-1][2] <= 2 and kind != SECRET:
+            more[-1] = (more[-1][0], kind - 1, e, k)
+        else:
+            more.append((s, kind - 1, e, k))
+    return [m[:3] for m in more]
+
+
+def _labelled(text: str, known: list[tuple[int, int, int]] | None = None) -> tuple | None:
+    """Features, labels, weights, chain and skip edges of a text's candidates. known: all its data; without
+    it base spans and assigned credentials are the labels, and what is like them counts for nothing."""
+    base = base_spans(text)
+    own = candidates(text, base)
+    if not own:
+        return None
+    chain, skips = edges(text, own, base)
+    weight = np.ones(len(own))
+    if known is not None:
+        y = label_of(own, [(s, label - 1, e) for s, e, label in known])
+    else:
         y = label_of(own, base)
-        for a, b in similar(text, own, base):  # the number again: no example of no data
-            y[b] = y[a]
-        xs.append(features(text, own)), ys.append(y)
-        cuts = [k for k in range(1, len(own)) if own[k][0] != own[k - 1][1] + 1]
-        lengths += np.diff([0, *cuts, len(own)]).tolist()
-        for a, b in _edges(text, own, 0)[1]:
-            pairs, same = pairs + 1, same + int(y[a] == y[b])
-    k = len(KINDS) + 1
-    if not xs or not any(y.any() for y in ys):
-        w = np.zeros((len(FEATURES), k))
-        w[0, 0] = 5.0
-        return SkipChainField(w, np.zeros((k, k)), 0.0)
-    w, trans = chain_crf.train(np.concatenate(xs), np.concatenate(ys), np.array(lengths), k, rounds=120)
+        said = label_of(own, [(m.start(1), SECRET - 1, m.end(1)) for m in ASSIGNED.finditer(text)])
+        y = np.where(y, y, said)
+        for a, b, _ in skips:
+            weight[[k for k in (a, b) if not y[k]]] *= 0.0 if y[a] or y[b] else 1.0
+    return features(text, own), y, weight, chain, skips
+
+
+def train(parts: list[tuple], rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> SkipChainField:
+    """Maximum pseudo-likelihood of all potentials together, by Adam from zero: each token given the labels
+    of its neighbours. The same parts give the same field."""
+    x, y, weight = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    first = np.cumsum([0, *(len(p[1]) for p in parts)])
+    chain = np.array([(f + a, f + b) for f, p in zip(first, parts) for a, b in p[3]], np.int64).reshape(-1, 2)
+    skips = np.array([(f + a, f + b, kind) for f, p in zip(first, parts) for a, b, kind in p[4]], np.int64).reshape(-1, 3)
+    one, total = np.eye(N_LABELS)[y], max(1.0, weight.sum())
+    params = [np.zeros((x.shape[1], N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.zeros((3, N_LABELS, N_LABELS))]
+    moments = [[np.zeros_like(p) for p in params] for _ in range(2)]
+    a, b, c, d, kind = chain[:, 0], chain[:, 1], skips[:, 0], skips[:, 1], skips[:, 2]
+    for step in range(1, rounds + 1):
+        w, trans, skip = params
+        score = x @ w
+        np.add.at(score, b, trans[y[a]])
+        np.add.at(score, a, trans.T[y[b]])
+        np.add.at(score, d, skip[kind, y[c]])
+        np.add.at(score, c, skip[kind, :, y[d]])
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        g = (p / p.sum(axis=1, keepdims=True) - one) * weight[:, None] / total
+        grads = [x.T @ g + ridge * w, ridge * trans, ridge * skip]
+        np.add.at(grads[1], y[a], g[b])
+        np.add.at(grads[1].T, y[b], g[a])
+        np.add.at(grads[2], (kind, y[c]), g[d])
+        np.add.at(grads[2].transpose(0, 2, 1), (kind, y[d]), g[c])
+        for q, grad, m, v in zip(params, grads, *moments, strict=True):
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return SkipChainField(*params)
+
+
+def fit(docs: DataFrame | None = None) -> SkipChainField:
+    """Fits the field on MADE made-up texts and on a sample of whole documents: of those with the least hash
+    at most SAMPLE_DOCS, and SAMPLE_BYTES of text in all. Without documents the made-up texts are all."""
+    parts = [_labelled(text, known) for text, known, _ in made.examples(MADE, 1)]
+    if docs is not None:
+        parts += [_labelled(r["text"]) for r in storage.sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), SAMPLE_DOCS, SAMPLE_BYTES)]
+    field = train([p for p in parts if p])
     textkit.trim()
-    return SkipChainField(w, trans, float(np.clip(np.log((same + 1) / (pairs - same + 1)), 0.0, 4.0)) if pairs else 2.0)
+    return field
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -316,7 +456,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for s, k, e in spans:
         if s >= at:
-            out += [text[at:s], f"[{KINDS[k].upper()}]"]
+            out += [text[at:s], f"[{ALL_KINDS[k].upper()}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 

@@ -65,6 +65,31 @@ def drop(spark: SparkSession, uri: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sample(rows: DataFrame, n: int, n_bytes: int, by: str | None = None, values: tuple = (0,)) -> list:
+    """Whole rows with the least hash of their contents, in its order: at most n different ones with a text (of each
+    of the values of by, if given), and as many of these as have n_bytes of text between them. Keys come first, texts
+    of the chosen alone follow, each once however often a row repeats."""
+    key = F.xxhash64(*sorted(rows.columns))
+    sized = rows.where(F.octet_length("text") > 0).select(key.alias("key"), F.octet_length("text").cast("long").alias("size"), (F.col(by) if by else F.lit(0)).alias("by"))
+    chosen: list[int] = []
+    for value in values:
+        own = sized.where(F.col("by") == value)
+        total, share, least = own.count(), 0.0, []
+        while total and len(least) < n and share < 1.0:  # of many rows only those that can be among the least are sorted
+            share = min(1.0, max(8 * share, 4 * n / total))
+            below = own if share == 1.0 else own.where(F.col("key") < int(2**64 * share) - 2**63)
+            least = below.groupBy("key").agg(F.first("size").alias("size")).orderBy("key").limit(n).collect()
+        left = n_bytes // len(values)
+        for r in least:
+            if r["size"] <= left:
+                chosen.append(r["key"])
+                left -= r["size"]
+    if not chosen:
+        return []
+    found = rows.withColumn("key", key).where(F.col("key").isin(chosen)).groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns)).collect()
+    return sorted(found, key=lambda r: r["key"])
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from one pass of the JVM over one column."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0])

@@ -133,18 +133,95 @@ def test_pii(spark, odd_docs, no_docs):
         assert not base or set(pii.joined(base).split(",")) <= set(got[i].spans.split(","))
     assert got[1].masked == "write to [EMAIL] or call [PHONE] now" and got[3].masked == "" and got[5].spans == ""
     assert pii.detect(no_docs, field).collect() == []
-    assert pii.detect(odd_docs, pii.fit(odd_docs)).where("spans <> ''").count() == 0
+    assert pii.detect(odd_docs, pii.fit(odd_docs)).where("spans <> ''").count() == 0 and pii.fit(no_docs) is not None
     assert pii.detect(odd_docs, field, carry=True).count() == odd_docs.count()
 
 
-def test_skip_edges_carry_labels():
-    """A token that is unsure by itself takes the label of an observed token with the same mailbox."""
-    field = pii.SkipChainField(np.zeros((len(pii.FEATURES), 5)), np.zeros((5, 5)), 4.0)
-    text = "ann.lee@mail.example.com said, and much later ann.lee@mail said"
+@pytest.fixture(scope="module")
+def field():
+    return pii.fit()
+
+
+def added(text, field):
     ((base, spans),) = pii.find_spans([text], field)
-    assert len(base) == 1 and [text[s:e] for s, _, e in spans] == ["ann.lee@mail.example.com", "ann.lee@mail"]
-    ((base, spans),) = pii.find_spans(["ann.lee@mail said, and ann.lee@mail again"], field)
-    assert base == spans == []
+    return [(pii.ALL_KINDS[k], text[s:e]) for s, k, e in spans if (s, k, e) not in base]
+
+
+MENTIONS = [
+    ("ann.lee@mail.example.com said, and much later ann.lee@mail said", [("email", "ann.lee@mail")]),
+    ("Write to ann.lee@mail.example.com today. It was Ann Lee who said so", [("name", "Ann Lee")]),
+    ('He set token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" there. Later (24be64439e3e49cf46b2d7c90f3602a3d0b907ff) was seen', [("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")] * 2),
+    ("card 4111 1111 1111 1111 is out, and so is ****1111 now", [("card", "****1111")]),
+]
+
+
+@pytest.mark.parametrize("text,want", MENTIONS)
+def test_skip_edges_carry_labels(field, text, want):
+    """Mentions take the label of their like elsewhere in the text; without skip edges they do not."""
+    assert added(text, field) == want
+    assert added(text, pii.SkipChainField(field.w, field.trans, 0 * field.skip)) != want
+
+
+def test_likes_alone_are_no_data(field):
+    for text in ("ann.lee said, and Ann Lee again", "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff was seen, then commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "in 1984 some 12,500 of them, at 10:30, and ****"):
+        assert added(text, field) == []
+
+
+def scored(field, seed, n):
+    """Precision and recall of the spans that the field adds on held-out made-up texts."""
+    from roundsmith.llm import pii_examples
+
+    texts = pii_examples.examples(n, seed)
+    right = wrong = missed = 0
+    for (text, known, more), (base, spans) in zip(texts, pii.find_spans([t[0] for t in texts], field)):
+        extra = [s for s in spans if s not in base]
+        fits = lambda s, m: s[0] < m[1] and m[0] < s[2] and s[1] + 1 == m[2]
+        right += sum(any(fits(s, m) for m in known) for s in extra)
+        wrong += sum(not any(fits(s, m) for m in known) for s in extra)
+        missed += sum(not any(fits(s, m) for s in spans) for m in more)
+    return right / (right + wrong), right / (right + missed)
+
+
+def test_further_mentions_are_found(field):
+    precision, recall = scored(field, 77, 1000)
+    assert precision > 0.99 and recall > 0.9
+    assert scored(pii.SkipChainField(field.w, field.trans, 0 * field.skip), 77, 1000)[1] < 0.35
+
+
+def exact_spans(text, field, most=4):
+    """All spans by enumeration of all labellings; None where more than most tokens are not observed."""
+    from itertools import product
+
+    base = pii.base_spans(text)
+    own = pii.candidates(text, base)
+    seen = pii.label_of(own, base)
+    free = np.flatnonzero(seen == 0)
+    if not len(free) or len(free) > most:
+        return None if len(free) else base
+    emit, (chain, skips) = pii.features(text, own) @ field.w, pii.edges(text, own, base)
+    labels = np.repeat(seen[None], pii.N_LABELS ** len(free), 0)
+    labels[:, free] = np.array(list(product(range(pii.N_LABELS), repeat=len(free)))).reshape(-1, len(free))
+    score = sum((emit[k, labels[:, k]] for k in free), np.zeros(len(labels)))
+    score += sum(field.trans[labels[:, a], labels[:, b]] for a, b in chain) + sum(field.skip[kind, labels[:, a], labels[:, b]] for a, b, kind in skips)
+    w = np.exp(score - np.max(score))
+    p = np.array([np.bincount(labels[:, k], weights=w, minlength=pii.N_LABELS) / w.sum() for k in range(len(own))]).reshape(-1, pii.N_LABELS)
+    return sorted(base + pii.spans_of(text, own, seen, p))
+
+
+def test_spans_equal_enumeration(field):
+    from roundsmith.llm import pii_examples
+
+    texts = [t for t, _, _ in pii_examples.examples(400, 5)]
+    pairs = [(exact_spans(t, field), spans) for t, (_, spans) in zip(texts, pii.find_spans(texts, field))]
+    pairs = [p for p in pairs if p[0] is not None]
+    assert len(pairs) > 150 and sum(a == b for a, b in pairs) / len(pairs) > 0.97  # beliefs of graphs with loops are near the exact ones
+
+
+def test_spans_do_not_depend_on_the_batch(field):
+    from roundsmith.llm import pii_examples
+
+    texts = [t for t, _, _ in pii_examples.examples(60, 6)]
+    assert pii.find_spans(texts, field) == [pii.find_spans([t], field)[0] for t in texts]
 
 
 WRITTEN = {
@@ -173,17 +250,24 @@ def test_numbers_written_otherwise_are_masked(spark):
 
 def test_loopy_beliefs_are_exact_on_trees():
     rng = np.random.default_rng(5)
-    field = pii.SkipChainField(np.zeros((1, 5)), rng.normal(size=(5, 5)), 1.3)
-    emit = rng.normal(size=(3, 5))
-    got = field.beliefs(emit, np.array([[0, 1]]), np.array([[1, 2]]))
-    joint = np.exp(emit[0][:, None, None] + emit[1][None, :, None] + emit[2][None, None] + field.trans[:, :, None] + 1.3 * np.eye(5)[None])
+    n = pii.N_LABELS
+    field = pii.SkipChainField(np.zeros((1, n)), rng.normal(size=(n, n)), rng.normal(size=(3, n, n)))
+    emit = rng.normal(size=(3, n))
+    got = field.beliefs(emit, np.array([[0, 1]]), np.array([[1, 2, pii.WRITTEN]]))
+    joint = np.exp(emit[0][:, None, None] + emit[1][None, :, None] + emit[2][None, None] + field.trans[:, :, None] + field.skip[pii.WRITTEN][None])
     joint /= joint.sum()
-    assert np.allclose(got, [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=1e-4)
+    assert np.allclose(got, [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=2e-3)
 
 
 def test_pii_query(spark, sf):
-    want = {r.doc_id: hashlib.sha256(pii.joined(brute_spans(r.text)).encode()).hexdigest() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert {r.doc_id: r.base_sha256 for r in QUERIES["op6_skip_chain_pii"](spark, sf).collect()} == want
+    """Base spans by the patterns, and all spans of documents with few candidates by enumeration."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts, model = {r.doc_id: r.text or "" for r in docs.collect()}, pii.fit(docs)
+    got = {r.doc_id: r for r in QUERIES["op6_skip_chain_pii"](spark, sf).collect()}
+    assert {i: r.base_sha256 for i, r in got.items()} == {i: hashlib.sha256(pii.joined(brute_spans(t)).encode()).hexdigest() for i, t in texts.items()}
+    exact = {i: exact_spans(t, model) for i, t in texts.items()}
+    few = {i: pii.joined(s) for i, s in exact.items() if s is not None}
+    assert len(few) > len(texts) / 2 and {i: got[i].spans for i in few} == few
 
 
 def pages_frame(spark):
