@@ -1,19 +1,20 @@
 """Benchmark decontamination: a BM25 index of test items, asked with every passage of every document.
 
 The index holds the items; its impacts are divided by each item's score for its own text, so that a
-score says how much of an item a passage covers. Passages are windows of twice the longest item's words,
-a longest item apart, so that any copy of an item lies whole in one of them. A passage whose words' block
-maxima do not reach the threshold in any block of items ends there, whole slices of passages at a time;
-the others are searched by block-max WAND, which returns every item above the threshold. Those are verified: enough of the word
-triples of the item's question and of the word pairs of its answer must occur in the passage, or enough
-of the pairs of the whole item, since items carry no mark of where their answer begins.
+score says how much of an item a passage covers. An item's passages are windows of twice its length class
+(the power of two at or above its words), a class apart, so that any copy of an item lies whole in one of
+them, whatever other items there are. Items of nearby classes share an index, which is asked with the
+passages of its largest class: these hold those of the others. A passage whose words' block maxima do not
+reach the threshold in any block of items ends there, whole slices of passages at a time; the others are
+searched by block-max WAND, which returns every item above the threshold. Those are scored and verified
+in their own passages: enough of the word triples of the item's question and of the word pairs of its answer
+must occur, or enough of the pairs of the whole item, since items carry no mark of where their answer begins.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,66 +26,82 @@ from roundsmith.llm.rindex import rolling
 
 K1, B, THRESHOLD, QUESTION, ANSWER, WHOLE = 1.2, 0.75, 0.5, 0.5, 0.5, 0.5
 #: Items of a block (of similar lengths, so that its maxima are close bounds); bytes of items that one index may hold (a larger test set makes more indexes).
-BLOCK_ITEMS, INDEX_BYTES = 4, 32 << 20
-#: Bounds (passages by blocks) that are held at once.
-HELD_BOUNDS = 2_000_000
+BLOCK_ITEMS, INDEX_BYTES = 4, 8 << 20
+#: Words up to which items share the first index; each further one takes items up to eight times as long.
+FIRST_WORDS = 128
+#: Bounds (passages by blocks), and postings behind them, that are held at once; a passage counts as one at least.
+HELD_BOUNDS, HELD_POSTINGS = 2_000_000, 2_000_000
 #: Words here are runs of ASCII letters and digits and of all other characters beyond ASCII, of texts in
 #: lower case (all letters).
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def item_words(text: str) -> list[int]:
+def item_words(text: str) -> np.ndarray:
     """Hashes of the words of an item in lower case."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    return textkit.word_hashes(raw, np.array([0, len(raw)]), space=BREAK)[3].view(np.int64).tolist()
+    return textkit.word_hashes(raw, np.array([0, len(raw)]), space=BREAK)[3].view(np.int64)
 
 
-def grams(words: list[int], k: int) -> set[tuple]:
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words; of fewer words, the run of all."""
     k = max(1, min(k, len(words)))
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+    return np.unique(textkit.windows(words.view(np.uint64), np.zeros(len(words), np.int64), k)[1])
+
+
+def length_class(n: int) -> int:
+    """The power of two at or above a number of words."""
+    return 1 << max(0, n - 1).bit_length()
 
 
 class BlockMaxIndex:
-    """BM25 postings with block maxima; scores are shares of an item's own score."""
+    """BM25 postings with block maxima, in flat arrays; scores are shares of an item's own score."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = [item_words(t or "") for _, t in items]
         order = sorted(range(len(items)), key=lambda k: (len(words[k]), k))
         self.ids, self.words = [items[k][0] for k in order], [words[k] for k in order]
-        n, lengths = len(items), [len(w) for w in self.words]
-        mean = sum(lengths) / max(1, n) or 1.0
-        self.longest = max([1, *lengths])
-        df = Counter(t for w in self.words for t in set(w))
-        idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
-        impact = [{t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[d] / mean)) for t, f in Counter(w).items()} for d, w in enumerate(self.words)]
-        self.terms = np.array(sorted(df), np.int64)
-        at = {int(t): k for k, t in enumerate(self.terms)}
-        self.docs: list[list[int]] = [[] for _ in at]
-        self.scores: list[list[float]] = [[] for _ in at]
-        for d, own in enumerate(impact):
-            total = sum(own.values())
-            for t, s in own.items():
-                self.docs[at[t]].append(d)
-                self.scores[at[t]].append(s / total)
-        self.block_max: list[dict[int, float]] = [{} for _ in at]
-        for best, docs, scores in zip(self.block_max, self.docs, self.scores, strict=True):
-            for d, s in zip(docs, scores, strict=True):
-                best[d // BLOCK_ITEMS] = max(s, best.get(d // BLOCK_ITEMS, 0.0))
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        n, mean = len(items), float(lengths.mean()) if lengths.sum() else 1.0
+        self.classes = [length_class(int(k)) for k in lengths]
+        self.widest = max([1, *self.classes])
+        flat = np.concatenate([*self.words, np.zeros(0, np.int64)])
+        self.terms, term = np.unique(flat, return_inverse=True)
+        m = len(self.terms)
+        #: Postings by term and then item: item, share of the item's score.
+        pair, tf = np.unique(term * n + np.repeat(np.arange(n), lengths), return_counts=True)
+        of, self.post_doc = np.divmod(pair, max(1, n))
+        df = np.bincount(of, minlength=m)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        impact = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.post_doc] / mean))
+        self.post_share = impact / np.bincount(self.post_doc, weights=impact, minlength=n)[self.post_doc]
+        self.post_start = np.concatenate([[0], np.cumsum(df)])
+        #: Block maxima by term and then block.
+        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (self.post_doc[1:] // BLOCK_ITEMS != self.post_doc[:-1] // BLOCK_ITEMS)])) if len(pair) else np.zeros(0, np.int64)
+        self.list_block = self.post_doc[new] // BLOCK_ITEMS
+        self.list_max = np.maximum.reduceat(self.post_share, new) if len(new) else np.zeros(0)
+        self.list_size = np.bincount(of[new], minlength=m)
+        self.list_start = np.concatenate([[0], np.cumsum(self.list_size)])
+        self.most = np.maximum.reduceat(self.post_share, self.post_start[:-1]) if m else np.zeros(0)
         self.n_blocks = -(-n // BLOCK_ITEMS)
-        self.most = np.array([max(b.values()) for b in self.block_max] or [0.0])
-        self.list_size = np.array([len(b) for b in self.block_max], np.int64)
-        self.list_start = np.cumsum(self.list_size) - self.list_size
-        self.list_block = np.array([k for b in self.block_max for k in b], np.int64)
-        self.list_max = np.array([m for b in self.block_max for m in b.values()])
-        self.parts = []
-        for w in self.words:  # the last quarter of an item, four words at least, counts as its answer
-            cut = len(w) - max(4, len(w) // 4)
-            self.parts.append((grams(w[:cut], 3), grams(w[cut:], 2), grams(w, 2)) if cut > 0 else (grams(w, 3), grams(w, 2), grams(w, 2)) if w else (set(), set(), set()))
+        #: Postings by item: term, share.
+        by = np.argsort(self.post_doc, kind="stable")
+        self.own_term, self.own_share = of[by], self.post_share[by]
+        self.own_start = np.concatenate([[0], np.cumsum(np.bincount(self.post_doc, minlength=n))])
+
+    def parts(self, item: int) -> tuple[np.ndarray, int, np.ndarray, int, np.ndarray, int]:
+        """An item's question and answer (its last quarter of words, four at least) and all of it, as grams
+        and how many words each has."""
+        w = self.words[item]
+        cut = len(w) - max(4, len(w) // 4)
+        q, a = (w[:cut], w[cut:]) if cut > 0 else (w, w)
+        return grams(q, 3), min(3, len(q)), grams(a, 2), min(2, len(a)), grams(w, 2), min(2, len(w))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item (by place) whose score is at least threshold, in order; terms are distinct."""
-        docs, scores, most = self.docs, self.scores, self.most
-        live = [[docs[t][0], 0, t] for t in terms if docs[t]]
+        # views give plain numbers one at a time, without a copy of the arrays
+        docs, shares, blocks, maxima, most, starts, lists = map(memoryview, (self.post_doc, self.post_share, self.list_block, self.list_max, self.most, self.post_start, self.list_start))
+        # cursors: item, place in the postings, term, place in the block maxima, ends of both
+        live = [[docs[starts[t]], starts[t], t, lists[t], starts[t + 1], lists[t + 1]] for t in terms]
         out, least = [], threshold - 1e-12
         while live:
             live.sort()
@@ -100,35 +117,47 @@ class BlockMaxIndex:
             while pivot + 1 < len(live) and live[pivot + 1][0] == doc:
                 pivot += 1
             # block maxima of the lists up to the pivot, in the pivot's block
-            block = doc // BLOCK_ITEMS
-            skip = min((block + 1) * BLOCK_ITEMS, live[pivot + 1][0] if pivot + 1 < len(live) else len(self.ids))
-            bound = sum(self.block_max[c[2]].get(block, 0.0) for c in live[: pivot + 1])
+            block, bound = doc // BLOCK_ITEMS, 0.0
+            for c in live[: pivot + 1]:
+                if blocks[c[3]] < block:
+                    c[3] = bisect_left(blocks, block, c[3], c[5] - 1)
+                if blocks[c[3]] == block:
+                    bound += maxima[c[3]]
             if bound >= least:
                 if live[0][0] == doc:
-                    score = math.fsum(scores[c[2]][c[1]] for c in live[: pivot + 1])
+                    score = math.fsum(shares[c[1]] for c in live[: pivot + 1])
                     if score >= least:
                         out.append((doc, score))
                     target = doc + 1
                 else:
                     target = doc
             else:
-                target = max(skip, doc + 1)
+                target = max(min((block + 1) * BLOCK_ITEMS, live[pivot + 1][0] if pivot + 1 < len(live) else len(self.ids)), doc + 1)
             for c in live[: pivot + 1]:
                 if c[0] < target:
-                    c[1] = bisect_left(docs[c[2]], target, c[1])
-                    c[0] = docs[c[2]][c[1]] if c[1] < len(docs[c[2]]) else -1
+                    c[1] = bisect_left(docs, target, c[1], c[4])
+                    c[0] = docs[c[1]] if c[1] < c[4] else -1
             live = [c for c in live if c[0] >= 0]
         return out
 
-    def verify(self, item: int, words: list[int]) -> tuple[float, float, float]:
-        """Shares of an item's question triples, answer pairs and pairs in all that a passage has."""
-        here = lambda own: len(own & grams_of(words, len(next(iter(own))))) / len(own) if own else 0.0
-        question, answer, whole = self.parts[item]
-        return here(question), here(answer), here(whole)
-
-
-def grams_of(words: list[int], k: int) -> set[tuple]:
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+    def check(self, item: int, term: np.ndarray, words: np.ndarray, begin: int, end: int) -> tuple[float, float, float] | None:
+        """Score, question share and answer share of the best verified passage of an item among those that begin
+        from begin up to end, of a document with these terms (-1: none) and word hashes; None if there is none."""
+        n, step = len(words), self.classes[item]
+        own = slice(self.own_start[item], self.own_start[item + 1])
+        terms, share = self.own_term[own], self.own_share[own]
+        parts, best = None, None
+        last = max(1, -(-n // step) - 1)  # passages of a document; the last one reaches its end
+        for k in range(-(-begin // step), min(last, -(-end // step))):
+            i, j = k * step, min((k + 2) * step, n)
+            score = float(share[np.isin(terms, term[i:j])].sum())
+            if score < THRESHOLD - 1e-12:
+                continue
+            parts = parts or self.parts(item)
+            here = [float(np.isin(parts[c], grams(words[i:j], parts[c + 1])).mean()) if j - i >= parts[c + 1] else 0.0 for c in (0, 2, 4)]
+            if here[2] >= WHOLE or here[0] >= QUESTION and here[1] >= ANSWER:
+                best = max(best or (0.0, 0.0, 0.0), (score, here[0], here[1]))
+        return best
 
 
 def scan(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
@@ -141,40 +170,63 @@ def scan(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray) -> Iterato
     term = np.where(index.terms[at] == h, at, -1)
     count = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
-    step = index.longest
+    step = index.widest
     per = np.maximum(1, -(-count // step) - 1) * (count > 0)
     row = np.repeat(np.arange(len(count)), per)
-    begin = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * step
+    place = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    begin = first[row] + place * step
     end = np.minimum(begin + 2 * step, first[row] + count[row])
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    many = max(1, HELD_BOUNDS // max(1, index.n_blocks))
-    for k in range(0, len(row), many):
-        b, e = begin[k : k + many], end[k : k + many]
-        key = np.repeat(np.arange(len(b)), e - b) * len(index.terms) + term[rolling(b, e - b)]
-        key = np.unique(key[term[rolling(b, e - b)] >= 0])
-        passage, own = np.divmod(key, len(index.terms))
-        bounds = np.bincount(np.repeat(passage, index.list_size[own]) * index.n_blocks + index.list_block[rolling(index.list_start[own], index.list_size[own])], weights=index.list_max[rolling(index.list_start[own], index.list_size[own])], minlength=len(b) * index.n_blocks)
+    for k, b, e in _slices(begin, end, max(1, HELD_BOUNDS // max(1, index.n_blocks))):
+        at = rolling(b, e - b)
+        key = np.repeat(np.arange(len(b)), e - b) * len(index.terms) + term[at]
+        passage, own = np.divmod(np.unique(key[term[at] >= 0]), len(index.terms))
         edges = np.searchsorted(passage, np.arange(len(b) + 1))
-        for p in np.flatnonzero(bounds.reshape(len(b), -1).max(axis=1) >= THRESHOLD - 1e-9):
-            words = None
-            for item, score in index.search(own[edges[p] : edges[p + 1]].tolist(), THRESHOLD):
-                words = words or h[b[p] : e[p]].tolist()
-                q, a, whole = index.verify(item, words)
-                if whole >= WHOLE or q >= QUESTION and a >= ANSWER:
-                    pair, got = (int(row[k + p]), item), (score, q, a)
-                    if pair not in best or got > best[pair]:
-                        best[pair] = got
+        size = np.concatenate([[0], np.cumsum(index.list_size[own])])[edges]
+        i = 0
+        while i < len(b):  # passages whose postings' blocks are held at once
+            j = max(i + 1, int(np.searchsorted(size, size[i] + HELD_POSTINGS, "right")) - 1)
+            p, t = passage[edges[i] : edges[j]] - i, own[edges[i] : edges[j]]
+            entry, of = rolling(index.list_start[t], index.list_size[t]), np.repeat(np.arange(len(t)), index.list_size[t])
+            cell = p[of] * index.n_blocks + index.list_block[entry]
+            reach = np.bincount(cell, weights=index.list_max[entry], minlength=(j - i) * index.n_blocks) >= THRESHOLD - 1e-9
+            # of the passages that reach the threshold somewhere, the terms that occur there
+            asked = np.bincount(of[reach[cell]], minlength=len(t)) > 0
+            p, t = p[asked], t[asked]
+            at = np.searchsorted(p, np.arange(j - i + 1))
+            for x in np.flatnonzero(np.diff(at)).tolist():
+                terms = t[at[x] : at[x + 1]].tolist()
+                x += i
+                r = int(row[k + x])
+                f, n, a = int(first[r]), int(count[r]), int(place[k + x]) * step
+                upto = n if place[k + x] == per[r] - 1 else a + step
+                for item, _ in index.search(terms, THRESHOLD):
+                    got = index.check(item, term[f : f + n], h[f : f + n], a, upto)
+                    if got and ((r, item) not in best or got > best[r, item]):
+                        best[r, item] = got
+            i = j
     for (r, item), got in sorted(best.items()):
         yield r, index.ids[item], *got
 
 
+def _slices(begin: np.ndarray, end: np.ndarray, many: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for k in range(0, len(begin), many):
+        yield k, begin[k : k + many], end[k : k + many]
+
+
 def _indexes(items: DataFrame) -> Iterator:
-    """Indexes of at most INDEX_BYTES, broadcast, that hold all items between them."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    n_indexes = 1 + storage.text_bytes(items) // INDEX_BYTES
-    for k in range(n_indexes):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_indexes)) == k).collect()  # INDEX_BYTES or so
-        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))))
+    """Indexes of at most INDEX_BYTES or so, broadcast, that hold all items between them; items of each go with
+    their lengths. Statistics of terms are those of an index."""
+    text = F.lower(F.col("text").cast("string"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("text is not null")
+    items = items.withColumn("n", F.regexp_count("text", F.lit(r"[0-9a-z\u0080-\x{10FFFF}]+"))).where("n > 0")
+    items = items.withColumn("tier", F.greatest(F.lit(0), F.ceil(F.log(F.greatest("n", F.lit(1)) / FIRST_WORDS) / F.log(F.lit(8.0)))).cast("int"))
+    for tier, size in sorted(map(tuple, items.groupBy("tier").agg(F.sum(F.octet_length("text"))).collect())):
+        n_indexes = 1 + size // INDEX_BYTES
+        for k in range(n_indexes):
+            own = items.where((F.col("tier") == tier) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n_indexes)) == k)).select("item_id", "text").collect()  # INDEX_BYTES or so
+            if own:
+                yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -200,7 +252,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

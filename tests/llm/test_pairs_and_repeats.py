@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -198,8 +199,8 @@ def test_wand_returns_every_item_above_the_threshold():
         terms = sorted(rng.sample(range(len(index.terms)), rng.randrange(1, 25)))
         scores = defaultdict(float)
         for t in terms:
-            for d, s in zip(index.docs[t], index.scores[t]):
-                scores[d] += s
+            for k in range(index.post_start[t], index.post_start[t + 1]):
+                scores[int(index.post_doc[k])] += index.post_share[k]
         for threshold in (0.1, 0.3, 0.6):
             assert {d for d, _ in index.search(terms, threshold)} == {d for d, s in scores.items() if s >= threshold - 1e-12}
 
@@ -231,6 +232,91 @@ def test_leaks_finds_cut_and_edited_items(spark):
     assert got == {(100 * c + k, k) for c in cuts if c != 6 for k in items}
 
 
+def brute_leaks(docs, items):
+    """{(doc_id, item_id): (score, question share, answer share)} by scoring every item in every passage of its class."""
+    words_of = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    items = [(i, words_of(t)) for i, t in items if words_of(t)]
+    n, mean = len(items), sum(len(w) for _, w in items) / max(1, len(items))
+    df = Counter(t for _, w in items for t in set(w))
+    runs = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    share = lambda own, w, k: len(own & runs(w, k)) / len(own)
+    out = {}
+    for item, w in items:
+        tf = Counter(w)
+        impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in tf.items()}
+        total, step = sum(impact.values()), 1
+        while step < len(w):
+            step *= 2
+        cut = len(w) - max(4, len(w) // 4)
+        q, a = (w[:cut], w[cut:]) if cut > 0 else (w, w)
+        grams = [(runs(x, min(k, len(x))), min(k, len(x))) for x, k in ((q, 3), (a, 2), (w, 2))]
+        for doc, text in docs:
+            own = words_of(text)
+            last = max(1, -(-len(own) // step) - 1)
+            for k in range(last if own else 0):
+                here = own[k * step : (k + 2) * step]
+                score = sum(impact[t] for t in set(here) & set(impact)) / total
+                if score >= 0.5 - 1e-12:
+                    x, y, z = (share(g, here, m) for g, m in grams)
+                    if z >= 0.5 or x >= 0.5 and y >= 0.5:
+                        out[doc, item] = max(out.get((doc, item), (0.0, 0.0, 0.0)), (score, x, y))
+    return out
+
+
+def found_leaks(spark, docs, items):
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
+    return {(r.doc_id, r.item_id): pytest.approx((r.score, r.question_overlap, r.answer_overlap), abs=1e-9) for r in got}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_equal_exhaustive_scoring(spark, monkeypatch, seed):
+    """Items of one to 90 words; whole, cut, edited, split and mixed copies; blocks of bounds held one by one."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(120)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, say(rng.choice([1, 2, 5, 9, 17, 33, 60, 90]))) for k in range(40)] + [(50, [])]
+    docs = []
+    for k in range(60):
+        w = list(rng.choice(items)[1])
+        change = rng.randrange(4)
+        if change == 1:
+            w = w[: len(w) * rng.randrange(3, 10) // 10]
+        elif change == 2:
+            w = [rng.choice(vocabulary) if rng.random() < 0.2 else x for x in w]
+        elif change == 3:
+            w = w[: len(w) // 2] + say(rng.choice([3, 30, 80])) + w[len(w) // 2 :]
+        docs.append((k, " ".join(say(rng.randrange(0, 150)) + w + say(rng.randrange(0, 150)))))
+    items = [(k, " ".join(w)) for k, w in items]
+    want = brute_leaks(docs, items)
+    assert len(want) > 40
+    assert found_leaks(spark, docs, items) == want
+    monkeypatch.setattr(decontaminate, "HELD_POSTINGS", 50)
+    monkeypatch.setattr(decontaminate, "HELD_BOUNDS", 30)
+    index = decontaminate.BlockMaxIndex(sorted((i, t) for i, t in items if t))
+    got = {}
+    for d, t in docs:
+        data = np.frombuffer(t.encode(), np.uint8)
+        got |= {(d, r[1]): pytest.approx(r[2:], abs=1e-9) for r in decontaminate.scan(index, data, np.array([0, len(data)]))}
+    assert got == want
+
+
+def test_a_long_item_changes_no_verdict_of_a_short_one(spark):
+    """The parts of a copy that lie far from each other are none, with or without a long item beside it."""
+    rng = random.Random(4)
+    say = lambda n, c: " ".join(f"{c}{rng.randrange(5000)}" for _ in range(n))
+    item = say(12, "i").split()
+    docs = [(1, " ".join(item[:6]) + " " + say(900, "d") + " " + " ".join(item[6:])), (2, say(900, "d") + " " + " ".join(item) + " " + say(900, "d"))]
+    for more in ([], [(2, say(4000, "l"))]):
+        assert set(found_leaks(spark, docs, [(1, " ".join(item)), *more])) == {(2, 1)}
+
+
+def test_leaks_query_equals_exhaustive_scoring(spark, sf):
+    rows = lambda t, i: [(r[i], r.text) for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()]
+    got = {(r.doc_id, r.item_id): pytest.approx((r.score, r.question_overlap, r.answer_overlap), abs=1e-9) for r in QUERIES["op7_bm25_leaks"](spark, sf).collect()}
+    assert got and got == brute_leaks(rows("documents", "doc_id"), rows("benchmark", "item_id"))
+
+
 def test_leaks_query_finds_verbatim_items(spark, sf):
     words = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
     docs = [(r.doc_id, words(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
