@@ -17,8 +17,10 @@ from roundsmith.llm import chain_crf, storage, textkit
 from roundsmith.llm.textkit import U64
 
 MIN_WORDS, REPEAT_PERCENT, CONTENT_SHARE = 50, 50, 0.5
-#: Labelled documents, and bytes of each, that the field is trained on: of every label, those with the least hash.
-SAMPLE_DOCS, SAMPLE_BYTES = 600, 6000
+#: Labelled documents of each quality that the field is trained on, and bytes of all of them: whole texts, those with the least hash.
+SAMPLE_DOCS, SAMPLE_BYTES = 600, 6 << 20
+#: Lines after which a training chain is cut in two.
+CHAIN = 200
 BOILERPLATE, CONTENT = 0, 1
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -125,18 +127,17 @@ class LineModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
-    """Trains on SAMPLE_DOCS documents of each quality; without both, every line counts as content.
+    """Trains on SAMPLE_DOCS whole documents and SAMPLE_BYTES of each quality; without both, every line
+    counts as content.
 
     Null or other qualities are left out; a document with several labels is taken under each.
     """
     picked = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     key = F.xxhash64("doc_id", F.lit(3))
     picked = [picked.where(F.col("quality") == q).orderBy(key, "doc_id").limit(SAMPLE_DOCS) for q in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * SAMPLE_DOCS rows of 12 bytes
-    # the join comes first: only the sample's texts are cut and sent
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("whole")).join(sample, "doc_id")
-    rows = texts.select("quality", "doc_id", F.substring("whole", 1, SAMPLE_BYTES).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
+    chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * SAMPLE_DOCS rows of 12 bytes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    rows = storage.sample(texts, SAMPLE_DOCS, SAMPLE_BYTES, "quality")  # bounded again, as doc_ids may repeat
     quality = np.array([r["quality"] for r in rows], np.int64)
     if len(set(quality.tolist())) < 2:
         w = np.zeros((N_FEATURES, 2))
@@ -148,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineModel:
         line_row.append(p["line_row"] + i), x.append(p["x"])
     del rows, p
     row = np.concatenate(line_row)
-    model = LineModel(*chain_crf.train(np.concatenate(x), quality[row], np.bincount(row, minlength=len(quality)), 2))
+    # chains of CHAIN lines: training steps through all chains at once, as often as the longest has lines
+    lengths = np.array([n for lines in np.bincount(row, minlength=len(quality)).tolist() for n in [CHAIN] * (lines // CHAIN) + [lines % CHAIN] * (lines % CHAIN > 0)], np.int64)
+    model = LineModel(*chain_crf.train(np.concatenate(x), quality[row], lengths, 2))
     textkit.trim()
     return model
 

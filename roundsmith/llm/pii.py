@@ -440,7 +440,8 @@ def fit(docs: DataFrame | None = None) -> SkipChainField:
     at most SAMPLE_DOCS, and SAMPLE_BYTES of text in all. Without documents the made-up texts are all."""
     parts = [_labelled(text, known) for text, known, _ in made.examples(MADE, 1)]
     if docs is not None:
-        parts += [_labelled(r["text"]) for r in storage.sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), SAMPLE_DOCS, SAMPLE_BYTES)]
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        parts += [_labelled(r["text"]) for r in storage.sample(rows, SAMPLE_DOCS, SAMPLE_BYTES, total=docs.count())]
     field = train([p for p in parts if p])
     textkit.trim()
     return field

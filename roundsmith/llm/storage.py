@@ -6,18 +6,25 @@ import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local one of our own, but only if driver
+    and executors are one process; on a cluster, where others would not see that, this raises."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = set_to.get() if set_to.isDefined() else "file://" + tempfile.mkdtemp(prefix="roundsmith-")
+        set_to = context._jsc.sc().getCheckpointDir()
+        if set_to.isDefined():
+            root = set_to.get()
+        elif context._jsc.sc().isLocal():
+            root = "file://" + tempfile.mkdtemp(prefix="roundsmith-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -56,34 +63,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def drop(spark: SparkSession, uri: str) -> None:
-    """Removes a path of ours that is no longer read."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*saved_ones: DataFrame) -> None:
+    """Removes what saved() wrote; nothing that is still to be computed may read it."""
+    for df in saved_ones:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sample(rows: DataFrame, n: int, n_bytes: int, by: str | None = None, values: tuple = (0,)) -> list:
+def sample(rows: DataFrame, n: int, n_bytes: int, by: str | None = None, total: int | None = None) -> list:
     """Whole rows with the least hash of their contents, in its order: at most n different ones with a text (of each
-    of the values of by, if given), and as many of these as have n_bytes of text between them. Keys come first, texts
-    of the chosen alone follow, each once however often a row repeats."""
+    value of by, if given), and as many of these as have n_bytes of text between them. Keys come first, texts of the
+    chosen alone follow, each once however often a row repeats. total: how many rows there are about; of so many only
+    those that can be among the least are sorted."""
     key = F.xxhash64(*sorted(rows.columns))
-    sized = rows.where(F.octet_length("text") > 0).select(key.alias("key"), F.octet_length("text").cast("long").alias("size"), (F.col(by) if by else F.lit(0)).alias("by"))
-    chosen: list[int] = []
-    for value in values:
-        own = sized.where(F.col("by") == value)
-        total, share, least = own.count(), 0.0, []
-        while total and len(least) < n and share < 1.0:  # of many rows only those that can be among the least are sorted
-            share = min(1.0, max(8 * share, 4 * n / total))
-            below = own if share == 1.0 else own.where(F.col("key") < int(2**64 * share) - 2**63)
-            least = below.groupBy("key").agg(F.first("size").alias("size")).orderBy("key").limit(n).collect()
-        left = n_bytes // len(values)
-        for r in least:
-            if r["size"] <= left:
-                chosen.append(r["key"])
-                left -= r["size"]
+    keyed = rows.where(F.octet_length("text") > 0).select(key.alias("key"), F.octet_length("text").cast("long").alias("size"), (F.col(by) if by else F.lit(0)).alias("by"))
+    w, share, least = Window.partitionBy("by").orderBy("key"), 0.0, []
+    while len(least) < n and share < 1.0:
+        share = min(1.0, max(8 * share, 4 * n / total)) if total else 1.0
+        own = keyed if share == 1.0 else keyed.where(F.col("key") < int(2**64 * share) - 2**63)
+        least = own.groupBy("by", "key").agg(F.first("size").alias("size")).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n).collect()
+    chosen, left = [], {}
+    for r in sorted(least, key=lambda r: r["key"]):
+        room = left.setdefault(r["by"], n_bytes)
+        if r["size"] <= room:
+            chosen.append(r["key"])
+            left[r["by"]] = room - r["size"]
     if not chosen:
         return []
     found = rows.withColumn("key", key).where(F.col("key").isin(chosen)).groupBy("key").agg(*(F.first(c).alias(c) for c in rows.columns)).collect()
@@ -112,4 +122,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["shared_root", "fresh", "open_fs", "replace", "put", "saved", "drop", "text_bytes", "settle", "table"]
+__all__ = ["shared_root", "fresh", "open_fs", "replace", "put", "saved", "drop", "sample", "text_bytes", "settle", "table"]

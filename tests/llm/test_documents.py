@@ -61,10 +61,44 @@ def test_line_quality_separates_labelled_documents(spark, sf):
     assert len(judged) > 100 and right / len(judged) > 0.97
 
 
+def plain_share(text, model):
+    """Share of content words by a Viterbi decoding in plain Python, over the lines of one text."""
+    import pyarrow as pa
+
+    from roundsmith.llm import textkit
+
+    p = line_quality.profile(*textkit.buffers(pa.array([text or ""])))
+    emit, trans = (p["x"] @ model.w).tolist(), model.trans.tolist()
+    score, back = [], []
+    for e in emit:
+        best = [max(((score[a] + trans[a][b], -a) for a in (0, 1)), default=(0.0, 0)) if score else (0.0, 0) for b in (0, 1)]
+        back.append([-x[1] for x in best])
+        score = [best[b][0] + e[b] for b in (0, 1)]
+    at, content = 0 if not score or score[0] >= score[1] else 1, 0
+    for k in range(len(emit) - 1, -1, -1):
+        content += int(p["line_words"][k]) * (at == line_quality.CONTENT)
+        at = back[k][at]
+    return content / max(1, int(p["n_words"][0]))
+
+
 def test_line_quality_query(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    got = {r.doc_id: tuple(r)[1:7] for r in QUERIES["op3_line_crf"](spark, sf).collect()}
-    assert got == {r.doc_id: base_counts(r.text) for r in docs}
+    """Counts by brute force; the verdict by decoding each text by itself in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = line_quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = {r.doc_id: (*base_counts(r.text), not base_counts(r.text)[5] and plain_share(r.text, model) >= line_quality.CONTENT_SHARE) for r in docs.collect()}
+    got = {r.doc_id: tuple(r)[1:8] for r in QUERIES["op3_line_crf"](spark, sf).collect()}
+    assert got == want and len({r[6] for r in got.values() if not r[5]}) == 2
+
+
+def test_samples_are_bounded_and_whole(spark):
+    """Rows that repeat, or share a doc_id, do not exceed the bounds; texts are never cut."""
+    rows = [(7, "same text") for _ in range(500)] + [(7, f"text {k} " + "x" * 100) for k in range(300)] + [(k, "y" * 40_000) for k in range(5)] + [(9, None), (None, ""), (None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for total in (None, len(rows), 10**6):
+        got = [(r.doc_id, r.text) for r in storage.sample(frame, 50, 20_000, total=total)]
+        assert 40 <= len(got) <= 50 and len(set(got)) == len(got) and set(got) <= set(rows)
+        assert sum(len(t) for _, t in got) <= 20_000
+    assert len(storage.sample(frame, 10_000, 10**9)) == 307 and storage.sample(frame.limit(0), 5, 5) == []
 
 
 def test_viterbi_and_marginals_equal_enumeration():
