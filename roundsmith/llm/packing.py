@@ -3,8 +3,8 @@
 A document's ids beyond whole sequences go through first-fit decreasing: items in falling order of
 length, each into the first sequence that has room, found in O(log n) in a tournament tree whose inner
 nodes hold the largest room below them. Because documents may be cut freely, the emptiest sequences
-are then poured into the gaps of the others, and the last one of a group is cut at powers of two, so
-that no padding is left.
+are then poured into the gaps of the others. What a group has left, less than a sequence, is packed with
+that of other groups; the last of it is cut at powers of two, so that no padding is left.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roundsmith.llm import storage, textkit, tokens
@@ -21,6 +22,8 @@ from roundsmith.llm import storage, textkit, tokens
 SEQUENCE = 4096
 #: Text bytes of a group, on average: about 0.4 million ids, whatever the size of the corpus.
 GROUP_BYTES = 1_000_000
+#: Groups whose rests are packed together.
+REST = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,11 +58,8 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; documents and sequences from 0.
-
-    capacity is a power of two. An empty document gets one piece of length 0 at the end of a sequence.
-    """
+def _filled(lengths: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Whole sequences of pieces (document, start, length), and the pieces that are left, less than a sequence."""
     full, rest = [], []
     for d, n in enumerate(lengths):
         whole = n // capacity
@@ -71,28 +71,25 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, i
     bins.sort(key=used, reverse=True)
     keep = sum(map(used, bins)) // capacity
     kept, pool = bins[:keep], [p for b in bins[keep:] for p in b]
+    for b in kept:
+        b += _pour(pool, capacity - used(b))
+    return full + kept, pool
 
-    def pour(room: int) -> list[tuple[int, int, int]]:
-        got = []
-        while room and pool:
-            d, start, n = pool.pop()
-            cut = min(n, room)
-            got.append((d, start, cut))
-            room -= cut
-            if n > cut:
-                pool.append((d, start + cut, n - cut))
-        return got
 
-    for b in kept:
-        b += pour(capacity - used(b))
-    tail, left = [], used(pool)
-    while left:
-        size = 1 << (left.bit_length() - 1)
-        tail.append(pour(size))
-        left -= size
-    sequences = full + kept + tail
-    if pool:  # empty documents
-        sequences[-1:] = [sequences[-1] + pool] if sequences else [pool]
+def _pour(pool: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
+    """Pieces from the end of the pool that fill a room; the last one is cut."""
+    got = []
+    while room and pool:
+        d, start, n = pool.pop()
+        cut = min(n, room)
+        got.append((d, start, cut))
+        room -= cut
+        if n > cut:
+            pool.append((d, start + cut, n - cut))
+    return got
+
+
+def _numbered(sequences: list[list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int, int]]:
     out = []
     for s, seq in enumerate(sequences):
         at = 0
@@ -102,40 +99,80 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, i
     return out
 
 
+def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece; documents and sequences from 0.
+
+    capacity is a power of two. An empty document gets one piece of length 0 at the end of a sequence.
+    """
+    sequences, pool = _filled(lengths, capacity)
+    left = sum(p[2] for p in pool)
+    while left:
+        size = 1 << (left.bit_length() - 1)
+        sequences.append(_pour(pool, size))
+        left -= size
+    if pool:  # empty documents
+        sequences[-1:] = [sequences[-1] + pool] if sequences else [pool]
+    return _numbered(sequences)
+
+
 def pack_documents(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, capacity: int = SEQUENCE, group_bytes: int = GROUP_BYTES, seed: int = 7) -> DataFrame:
     """Packs documents (doc_id, text); one row for each piece, as in SCHEMA.
 
     A document's ids are those of its text (null: empty) and end_id. Documents go to groups by a hash of
-    doc_id and text, so a group's ids are bounded by group_bytes and its longest document; rows that
-    repeat a doc_id are packed each by itself. sequence_id is the group's number times 2^32 plus the
-    sequence's number in the group. Other columns are ignored; an empty table gives no rows.
+    doc_id, text, the task that reads them and how often it has met the same before; so a group's ids are
+    bounded by group_bytes and its longest document, also where one row repeats very often, and a task that
+    runs again deals its rows alike whatever their order. Rows that repeat a doc_id are packed each by itself.
+    Groups make whole sequences; what REST groups have left is packed together, and the last of it is cut at
+    powers of two. sequence_id is the group's number times 2^32 plus the sequence's number in the group; the
+    numbers of packed rests follow those of groups. Other columns are ignored; an empty table gives no rows.
     """
     path = tokenizer or tokens.default_path()
     groups = 1 + storage.text_bytes(docs) // group_bytes
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.word_tokenizer(path)
+        from pyspark import TaskContext
+
+        coder, part, met = tokens.word_tokenizer(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            ids = [coder.ids((t or "").encode()) + end for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["grp", "doc_id", "ids"])
+            ids, group = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                ids.append(coder.ids(raw) + end)
+                key = xxhash.xxh3_64_intdigest(raw, seed=seed) ^ xxhash.xxh3_64_intdigest(str(doc_id))
+                met[key] = met.get(key, -1) + 1
+                group.append(xxhash.xxh3_64_intdigest(f"{key} {part} {met[key]}") % groups)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), batch.column(0), pa.array(ids, pa.binary())], ["grp", "doc_id", "ids"])
         textkit.trim()
 
-    def place(table: pa.Table) -> pa.Table:
+    def table(pieces: list[tuple], docs: list, ids: list, starts: list, totals: list, base: int, rest: list) -> pa.Table:
+        """Rows of placed pieces, and of those left, which keep their ids."""
+        spans = [(p[0], p[1], p[2]) for p in pieces] + rest
+        cut = [ids[d][s : s + n] for d, s, n in spans]
+        cols = [
+            [docs[d] for d, _, _ in spans], [starts[d] + s for d, s, _ in spans], [n for _, _, n in spans], [zlib.crc32(x.astype("<u4").tobytes()) for x in cut], [totals[d] for d, _, _ in spans],
+            [base + p[3] for p in pieces] + [None] * len(rest), [p[4] for p in pieces] + [None] * len(rest),
+        ]
+        return pa.table([*(pa.array(c, pa.int64()) for c in cols), pa.array([None] * len(pieces) + [x.tobytes() for x in cut[len(pieces) :]], pa.binary())], [c.split()[0] for c in f"{SCHEMA}, ids binary".split(", ")])
+
+    def place(t: pa.Table) -> pa.Table:
+        width = tokens.word_tokenizer(path).dtype
+        rows = sorted(zip(t["doc_id"].to_pylist(), t["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        ids = [np.frombuffer(r[1], width) for r in rows]
+        sequences, pool = _filled([len(x) for x in ids], capacity)
+        return table(_numbered(sequences), [r[0] for r in rows], ids, [0] * len(rows), [len(x) for x in ids], t["grp"][0].as_py() << 32, pool).append_column("grp", t["grp"][:1].take(pa.array([0] * (sum(map(len, sequences)) + len(pool)))))
+
+    def place_rest(t: pa.Table) -> pa.Table:
         width = tokens.word_tokenizer(path).dtype
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        ids = [np.frombuffer(r[1], width).astype("<u4") for r in rows]
-        base = table["grp"][0].as_py() << 32
-        out = pack([len(x) for x in ids], capacity)
-        return pa.table([
-            pa.array([rows[p[0]][0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array([p[2] for p in out], pa.int64()),
-            pa.array([zlib.crc32(ids[p[0]][p[1] : p[1] + p[2]].tobytes()) for p in out], pa.int64()),
-            pa.array([len(ids[p[0]]) for p in out], pa.int64()), pa.array([base + p[3] for p in out], pa.int64()), pa.array([p[4] for p in out], pa.int64()),
-        ], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    text = F.col("text").cast("string")
-    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), text, F.lit(seed)), F.lit(groups)).cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.mapInArrow(encode, "grp long, doc_id long, ids binary").groupBy("grp").applyInArrow(place, SCHEMA)
+        rows = sorted(t.select(["doc_id", "start", "doc_tokens", "ids"]).to_pylist(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids"]))
+        ids = [np.frombuffer(r["ids"], width) for r in rows]
+        return table(pack([len(x) for x in ids], capacity), [r["doc_id"] for r in rows], ids, [r["start"] for r in rows], [r["doc_tokens"] for r in rows], (groups + t["part"][0].as_py()) << 32, []).drop_columns(["ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    placed = storage.saved(rows.mapInArrow(encode, "grp long, doc_id long, ids binary").groupBy("grp").applyInArrow(place, f"{SCHEMA}, ids binary, grp long"), "packed")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    rest = placed.where("sequence_id is null").select((F.col("grp") / REST).cast("long").alias("part"), "doc_id", "start", "doc_tokens", "ids")
+    return placed.where("sequence_id is not null").select(names).union(rest.groupBy("part").applyInArrow(place_rest, SCHEMA))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,23 @@ def test_packing_keeps_every_id_once(spark, odd_docs, no_docs, plain):
     assert packing.pack_documents(no_docs).collect() == []
 
 
+def test_rows_that_repeat_are_spread_over_groups(spark):
+    """A row that is a third of all and more does not make one group large; few short sequences are left."""
+    rows = [(7, "the same words " * 40)] * 4000 + [(10_000 + k, f"some other words {k} " * 30) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack_documents(frame, group_bytes=60_000).collect()
+    of = defaultdict(int)
+    for r in got:
+        of[r.sequence_id >> 32] += r.length
+    total, groups = sum(of.values()), 1 + sum(len(t) for _, t in rows) // 60_000
+    assert max(of.values()) < 2 * total / groups + 64 * 4096
+    assert total == sum(r.length for r in got) and len([r for r in got if r.doc_id == 7 and r.start == 0]) == 4000
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.sequence_id] += r.length
+    assert sum(n < 4096 for n in sizes.values()) <= 12 * -(-groups // packing.REST)
+
+
 def test_queries_of_packing_and_token_files(spark, sf, plain):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert check_pieces([tuple(r) for r in QUERIES["op10_packing"](spark, sf).collect()], docs, plain) == 0
