@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from roundsmith.llm.storage import saved
+from roundsmith.llm.storage import drop, saved
 
 MAX_ROUNDS = 60
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b: long) -> node, comp: each linked node with the smallest node it can reach.
+    """links(a, b: long) -> node, comp: each linked node with the smallest node it can reach, saved.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014); ends when a round changes
     nothing, and raises after MAX_ROUNDS rather than return unfinished labels. Edges stay distributed;
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: each node links itself and its smaller neighbours to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("x"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("x").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("x").alias("lo"))).distinct()
-        edges = saved(small, "edges")
+        before, edges = edges, saved(small, "edges")
+        drop(before)
         now = _mark(edges)
         if now == seen:
             break
@@ -37,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components: not settled after {MAX_ROUNDS} rounds")
     own = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("comp"))
-    return own.union(edges.select(F.col("lo").alias("node")).distinct().join(own.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp")))
+    out = saved(own.union(edges.select(F.col("lo").alias("node")).distinct().join(own.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))), "comps")
+    drop(edges)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -33,14 +33,18 @@ SHINGLE_WORDS = 5
 #: Bits of a parity sketch for each shingle, and the most. The bits that differ in two sketches are at most
 #: the shingles that differ in the sets; half a sketch is the exclusive or of its halves.
 SKETCH_BITS, SKETCH_MOST = 4, 1 << 17
-#: Keys of a reduce task, on average; keys gathered by a map task before it sends them.
+#: Keys of a reduce task, on average; keys gathered by a task before it sends them.
 BUCKET_KEYS, FLUSH_KEYS = 1_000_000, 500_000
-#: Beyond so many buckets they grow instead, and with them the memory that a task needs.
-MOST_BUCKETS = 100_000
+#: Buckets to which a task deals keys; where more are needed, keys are dealt in two steps.
+FAN = 4096
+#: Sets of a key in one sending from which it is counted; sets in all from which a key is common and goes by
+#: rows instead of by bucket; and how many keys the list of common ones may hold (eight bytes each).
+HOT_LOCAL, HOT_SETS, HOT_KEYS = 50, 200_000, 1 << 22
 #: Chance, for the cost model alone, that another set of the band holds a given shingle.
 RECURRENCE = 1 / 64
-#: Members of a block when the pairs of a group are compared; texts shipped to one verifying task.
-BLOCK, BATCH = 2048, 256
+#: Members of a block when the pairs of a group are compared: at least BLOCK, of larger groups a COPIES-th, and
+#: never more than BLOCK_BYTES of sketches; texts shipped to one verifying task.
+BLOCK, COPIES, BLOCK_BYTES, BATCH = 2048, 64, 32 << 20, 256
 
 
 @lru_cache(8)
@@ -152,24 +156,61 @@ def _unplanes(raw: bytes, dtype: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(-1, n).T).reshape(-1).view(dtype)
 
 
-def _key_blobs(top: int, n_sets: int, buckets: int, bits: int):
-    def send(keys: list, fps: list, counts: list) -> Iterator[pa.RecordBatch]:
-        key, ent = np.concatenate(keys) >> U64(64 - bits), np.repeat(np.array(fps, np.int64), counts)
+BLOB = "bucket long, salt long, n long, m long, keys binary, ents binary, at binary, hot binary"
+_BLOB = pa.schema([("bucket", pa.int64()), ("salt", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("keys", pa.binary()), ("ents", pa.binary()), ("at", pa.binary()), ("hot", pa.binary())])
+
+
+class Dealer:
+    """Sends sorted keys by ranges. The space of bits-bit keys is cut into steps * buckets fine ranges; a bucket
+    of the first step covers buckets of them. hot_local: sets of a key in one sending from which it is counted."""
+
+    def __init__(self, bits: int, steps: int, buckets: int, hot_local: int):
+        self.bits, self.steps, self.buckets, self.hot_local = bits, steps, buckets, hot_local
+
+    def edges(self, low: int, high: int, step: int) -> np.ndarray:
+        """Least keys of the fine ranges low, low + step, ..., and the end of the last."""
+        n = self.steps * self.buckets
+        return np.array([-(-(k << self.bits) // n) for k in range(low, high + 1, step)], object).astype(U64)
+
+    def send(self, key: np.ndarray, ent: np.ndarray, low: int, high: int, step: int, salt: int, hot: bool) -> pa.RecordBatch:
+        """Blobs of the ranges low to high, step fine ranges each. hot: with counts of the keys that are common here."""
         order = np.argsort(key, kind="stable")
         key, ent = key[order], ent[order]
-        keys.clear(), fps.clear(), counts.clear()
-        edges = np.searchsorted(key, np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], object).astype(U64))
+        at = np.searchsorted(key, self.edges(low, high, step))
         z, rows = zstandard.ZstdCompressor(level=1), []
-        for k in range(buckets):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                table, at = np.unique(ent[i:j], return_inverse=True)
-                rows.append((k, j - i, len(table), _planes(np.diff(key[i:j], prepend=U64(0)), z), table.tobytes(), _planes(at.astype(np.uint32), z)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "m", "keys", "ents", "at"])
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            i, j = at[k], at[k + 1]
+            table, where = np.unique(ent[i:j], return_inverse=True)
+            often = b""
+            if hot:
+                first = np.flatnonzero(np.concatenate([[True], key[i + 1 : j] != key[i : j - 1]]))
+                count = np.diff(np.append(first, j - i))
+                many = count >= self.hot_local
+                often = np.concatenate([key[i + first[many]], count[many].astype(U64)]).tobytes()
+            rows.append((low // step + k, salt, j - i, len(table), _planes(np.diff(key[i:j], prepend=U64(0)), z), table.tobytes(), _planes(where.astype(np.uint32), z), often or None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
+
+
+def _blob(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sets of a blob."""
+    return np.cumsum(_unplanes(r["keys"], "<u8", r["n"]), dtype=U64), np.frombuffer(r["ents"], np.int64)[_unplanes(r["at"], "<u4", r["n"])]
+
+
+def _key_blobs(top: int, n_sets: int, deal: Dealer, salts: int):
+    """The keys of all sets; by fine ranges if there is but one step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, fps, counts, held = bands(top), [], [], [], 0
+        from pyspark import TaskContext
+
+        at, keys, fps, counts, held, turn = bands(top), [], [], [], 0, TaskContext.get().partitionId()
         seen: set[int] = set()
+        step = 1 if deal.steps == 1 else deal.buckets
+
+        def send() -> pa.RecordBatch:
+            key, ent = np.concatenate(keys) >> U64(64 - deal.bits), np.repeat(np.array(fps, np.int64), counts)
+            keys.clear(), fps.clear(), counts.clear(), seen.clear()
+            return deal.send(key, ent, 0, deal.steps * deal.buckets, step, turn % salts, step == 1)
+
         for batch in batches:
             for h, f in _profile(batch.column(0)):
                 if not len(h) or f in seen:
@@ -179,23 +220,89 @@ def _key_blobs(top: int, n_sets: int, buckets: int, bits: int):
                 keys.append(own), fps.append(f), counts.append(len(own))
                 held += len(own)
                 if held >= FLUSH_KEYS:
-                    yield from send(keys, fps, counts)
-                    held, seen = 0, set()
+                    yield send()
+                    held, turn = 0, turn + 1
         if held:
-            yield from send(keys, fps, counts)
-        del keys, fps, counts, seen
+            yield send()
         textkit.trim()
 
     return run
 
 
+def _deal_again(deal: Dealer):
+    """Second step: the keys of each range of the first to fine ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        n = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for bucket, own in sorted(held.items()):
+                key, ent = (np.concatenate(x) for x in zip(*own, strict=True))
+                yield deal.send(key, ent, bucket * deal.buckets, (bucket + 1) * deal.buckets, 1, 0, True)
+            held.clear()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.setdefault(r["bucket"], []).append(_blob(r))
+                n += r["n"]
+                if n >= 2 * FLUSH_KEYS:
+                    yield from send()
+                    n = 0
+        yield from send()
+        textkit.trim()
+
+    return run
+
+
+def _common_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            key, count = np.frombuffer(raw, U64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+
+
+def _rare(common):
+    """Blobs without the common keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                key, ent = _blob(r)
+                left = common.value[np.minimum(np.searchsorted(common.value, key), len(common.value) - 1)] != key
+                if not left.any():
+                    continue
+                if not left.all():
+                    z = zstandard.ZstdCompressor(level=1)
+                    table, where = np.unique(ent[left], return_inverse=True)
+                    r |= {"n": int(left.sum()), "m": len(table), "keys": _planes(np.diff(key[left], prepend=U64(0)), z), "ents": table.tobytes(), "at": _planes(where.astype(np.uint32), z)}
+                rows.append(r)
+            yield pa.RecordBatch.from_pylist(rows, _BLOB)
+
+    return run
+
+
+def _common(common):
+    """The sets of the common keys, row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key, ent = _blob(r)
+                own = common.value[np.minimum(np.searchsorted(common.value, key), len(common.value) - 1)] == key
+                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(ent[own])], ["gid", "ent"])
+
+    return run
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of two and more sets with a common key; groups with the same members once for each task."""
     keys, ents = [], []
     for batch in batches:
         for r in batch.to_pylist():
-            keys.append(np.cumsum(_unplanes(r["keys"], "<u8", r["n"]), dtype=U64))
-            ents.append(np.frombuffer(r["ents"], np.int64)[_unplanes(r["at"], "<u4", r["n"])])
+            key, ent = _blob(r)
+            keys.append(key), ents.append(ent)
     if not keys:
         return
     key, ent = np.concatenate(keys), np.concatenate(ents)
@@ -334,37 +441,56 @@ def _crossing(labelled: DataFrame, comps: DataFrame, sized: DataFrame) -> DataFr
     inside = comps.select("node", "comp").join(outside.select(F.col("main").alias("comp")).distinct(), "comp").select(F.col("comp").alias("main"), F.col("node").alias("ent"), "comp")
     alone = outside.select("main").distinct().join(comps.select(F.col("node").alias("main")), "main", "left_anti").select("main", F.col("main").alias("ent"), F.col("main").alias("comp"))
     every = inside.union(alone).withColumn("out", F.lit(0)).union(outside.withColumn("out", F.lit(1)))
-    sizes = every.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("ni"), F.ceil(F.sum("out") / BLOCK).alias("nj"))
-    rows = every.join(sizes, "main").join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
+    rows = every.join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
+    sizes = rows.groupBy("main").agg(F.count("*").alias("all"), F.sum("out").alias("outs"), F.max(F.length("sk")).alias("width"))
+    block = F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCK), F.col("all") / COPIES), BLOCK_BYTES / F.col("width")))
+    rows = rows.join(sizes.select("main", F.ceil(F.col("all") / block).alias("ni"), F.ceil(F.col("outs") / block).alias("nj")), "main")
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.select("main", F.pmod("h", "ni").alias("i"), all_of("nj").alias("j"), "ent", "comp", "n", "sk", F.lit(0).alias("side"))
     right = rows.where("out = 1").select("main", all_of("ni").alias("i"), F.pmod("h", "nj").alias("j"), "ent", "comp", "n", "sk", F.lit(1).alias("side"))
     return left.union(right).groupBy("main", "i", "j").applyInArrow(_cross, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for documents (doc_id, text); more columns are ignored.
-
-    Words are maximal runs without ASCII white space, A-Z as a-z; a set holds the distinct shingles of
-    five words, or the whole sequence of a shorter text; a null, empty or blank text has an empty set
-    and links with nothing. Documents link if 100 * common >= 75 * all. component_id is the smallest
-    doc_id that links reach. Documents with equal sets link. Rows that repeat a
-    doc_id are separate documents, each with the n_shingles and component of its own set. An empty table
-    gives no rows.
-    """
+def _member_groups(docs: DataFrame, top: int, n_docs: int, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """Sets that share a key: members (gid, center, ent) of groups of three and more, and pairs (a, b)."""
+    buckets, bits = max(8, -(-n_keys // BUCKET_KEYS)), min(63, max(1, n_keys).bit_length() + 14)
+    two = buckets > FAN
+    deal = Dealer(bits, -(-buckets // FAN) if two else 1, FAN if two else buckets, HOT_LOCAL)
+    buckets, salts = deal.steps * deal.buckets, max(1, buckets // max(1, deal.steps))
+    blobs = docs.select("text").mapInArrow(_key_blobs(top, n_docs, deal, salts), BLOB)
+    if two:
+        blobs = blobs.repartition(buckets, "bucket", "salt").mapInArrow(_deal_again(deal), BLOB)
+    blobs = storage.saved(blobs, "keys")
+    # the common keys are at most n_keys over the least count of one
+    counted = blobs.where("hot is not null").select("hot").mapInArrow(_common_counts, "key long, n long")
+    often = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_SETS, n_keys // HOT_KEYS)).select("key").collect()
+    rare, extra = blobs, None
+    if often:
+        common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in often], np.int64).view(U64)))
+        rare = blobs.mapInArrow(_rare(common), BLOB)
+        extra = storage.saved(blobs.mapInArrow(_common(common), "gid long, ent long").distinct(), "common")
+    groups = storage.saved(rare.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups, "gid long, size long, center long, members array<long>"), "groups")
+    storage.drop(blobs)
+    # groups with the same members may come from several tasks
+    large = groups.where("size > 2").withColumn("first", F.col("members")[0]).dropDuplicates(["gid", "first"])
+    member = large.select("gid", "center", F.explode("members").alias("ent"))
+    if extra is not None:
+        member = member.union(extra.join(extra.groupBy("gid").agg(F.min("ent").alias("center")), "gid").select("gid", "center", "ent"))
+    member = storage.saved(member, "members")
+    twos = storage.saved(groups.where("size = 2").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")), "twos")
+    storage.drop(groups, *([extra] if extra is not None else []))
+    return member, twos
+
+
+def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From documents (doc_id, text): one row for each, doc_id, th (a hash of the text), n (set size), fp (of the
+    set; null for an empty one); and fp, comp: the component of each set, one for all sets that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     profile = storage.saved(docs.mapInArrow(_sets, "doc_id long, n long, fp long, sk binary, th long"), "sets")
     stats = profile.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    n_docs, n_keys, top = int(stats[0]), int(stats[1]), int(stats[2])
-    buckets, bits = max(8, -(-n_keys // max(BUCKET_KEYS, n_keys // MOST_BUCKETS))), min(63, max(1, n_keys).bit_length() + 14)
     sets = profile.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "th")).alias("row"), F.first("n").alias("n"), F.first("sk").alias("sk"))
     sets = sets.select("fp", "row.doc_id", "row.th", "n", "sk")
-    blobs = docs.select("text").mapInArrow(_key_blobs(top, n_docs, buckets, bits), "bucket int, n long, m long, keys binary, ents binary, at binary")
-    groups = storage.saved(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_groups, "gid long, size long, center long, members array<long>"), "groups")
-    # groups with the same members may come from several tasks
-    large = groups.where("size > 2").withColumn("first", F.col("members")[0]).dropDuplicates(["gid", "first"])
-    member = storage.saved(large.select("gid", "center", F.explode("members").alias("ent")), "members")
-    twos = groups.where("size = 2").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    member, twos = _member_groups(docs, int(stats[2]), int(stats[0]), int(stats[1]))
     sized = sets.select(F.col("fp"), "n", "sk")
 
     def allowed(pairs: DataFrame) -> DataFrame:
@@ -373,16 +499,41 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     stars = member.where("ent <> center").select(F.least("center", "ent").alias("a"), F.greatest("center", "ent").alias("b"))
     pairs = storage.saved(stars.union(twos).distinct(), "pairs")
-    links = verified(storage.saved(allowed(pairs), "pairs"), sets, docs)
-    comps = storage.saved(components(links), "comps")
-    rest = storage.saved(_crossing(_labelled(member, comps), comps, sized).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, sets, docs).union(comps.select("node", "comp"))
-    comps = storage.saved(components(more), "comps")
-    classes = sets.join(comps, sets["fp"] == comps["node"], "left").select("fp", "doc_id", F.coalesce("comp", "fp").alias("comp"))
+    near = storage.saved(allowed(pairs), "near")
+    first = components(verified(near, sets, docs))
+    rest = storage.saved(_crossing(_labelled(member, first), first, sized).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    comps = components(verified(rest, sets, docs).union(first.select("node", "comp")))
+    storage.drop(member, twos, pairs, near, first, rest)
+    return profile, sets.join(comps, sets["fp"] == comps["node"], "left").select("fp", "doc_id", "th", F.coalesce("comp", "fp").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for documents (doc_id, text); more columns are ignored.
+
+    Words are maximal runs without ASCII white space, A-Z as a-z; a set holds the distinct shingles of
+    five words, or the whole sequence of a shorter text; a null, empty or blank text has an empty set
+    and links with nothing. Documents link if 100 * common >= 75 * all. component_id is the smallest
+    doc_id that links reach. Documents with equal sets link. Rows that repeat a
+    doc_id are separate documents, each with the n_shingles and component of its own set. An empty table
+    gives no rows.
+    """
+    profile, classes = set_components(docs)
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = classes.join(least, "comp").select(F.col("fp").alias("set_fp"), "component_id")
-    out = profile.join(of, profile["fp"] == of["set_fp"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    return profile.join(of, profile["fp"] == of["set_fp"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) that stay when one row of each group of linked
+    documents does: that with the smallest doc_id, a missing one being the largest; of rows that repeat both
+    doc_id and text, any one. Rows with an empty set link with nothing and stay."""
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64(F.col("text").cast("string"))}).withColumn("_key", F.xxhash64("_id", "_th"))
+    profile, classes = set_components(docs)
+    best = classes.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "th")).alias("row"))
+    best = best.select(F.xxhash64("row.doc_id", "row.th").alias("_key"), F.lit(True).alias("_one"))
+    bare = profile.where("n = 0").select(F.xxhash64("doc_id", "th").alias("_key"), F.lit(False).alias("_one")).distinct()
+    rows = keyed.join(best.union(bare), "_key")
+    return rows.where("_one").dropDuplicates(["_key"]).select(docs.columns).union(rows.where("not _one").select(docs.columns))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,44 @@ def test_ngram_join_with_missing_and_repeated_ids(spark):
     assert joined(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))) == want
 
 
+def test_ngram_join_in_two_steps_and_with_common_keys(spark, monkeypatch):
+    """Many buckets that are dealt in two steps, and keys that go by rows, lose no link."""
+    docs = near_copies(3, 60, [100, 160]) + near_copies(2, 40, [12, 20, 40])
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    frame, want = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), brute_components(docs)
+    monkeypatch.setattr(ngram_join, "BUCKET_KEYS", 200)
+    monkeypatch.setattr(ngram_join, "FAN", 8)
+    monkeypatch.setattr(ngram_join, "FLUSH_KEYS", 1500)
+    assert joined(ngram_join.jaccard_components(frame)) == want
+    monkeypatch.setattr(ngram_join, "HOT_LOCAL", 2)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 4)
+    seen = []
+    monkeypatch.setattr(ngram_join, "_common", lambda common, plain=ngram_join._common: seen.append(len(common.value)) or plain(common))
+    assert joined(ngram_join.jaccard_components(frame)) == want and seen[0] > 10
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "COPIES", 10**9)
+    assert joined(ngram_join.jaccard_components(frame)) == want
+
+
+def test_template_pages_that_do_not_link(spark):
+    """Many sets that share keys but are unlike: rows of the pair stage grow with their number, not its square."""
+    rng = random.Random(6)
+    shared = [f"t{k}" for k in range(60)]
+    texts = [" ".join(shared + [f"x{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(300)]
+    docs = list(enumerate(texts)) + [(1000, texts[7] + " end"), (1001, texts[9] + " end")]
+    assert joined(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))) == brute_components(docs)
+
+
+def test_one_of_each_group_stays(spark):
+    w = [f"w{k}" for k in range(100)]
+    near = lambda k: " ".join([*w, f"end{k}"])
+    rows = [(None, near(1), 1), (None, near(2), 2), (5, "alone with no doc like it here", 3), (5, near(3), 4), (9, near(4), 5), (None, "another text without an id at all", 6), (3, " ", 7), (3, " ", 8), (None, None, 9), (6, "five words are said here", 10), (6, "five words are said here", 11), (None, "five words are said here", 12)]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert got.columns == ["doc_id", "text", "n"]
+    kept = sorted(r.n for r in got.collect())
+    assert [n for n in kept if n not in (10, 11)] == [3, 4, 6, 7, 8, 9] and len(kept) == 7
+
+
 def test_ngram_query_equals_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert joined(QUERIES["op2_ngram_join"](spark, sf).select("doc_id", "n_shingles", "component_id")) == brute_components(docs)
