@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from roundsmith.llm import storage
 from roundsmith.llm.decontaminate import without_leaks
 from roundsmith.llm.line_quality import fit as fit_lines, label_documents
-from roundsmith.llm.ngram_join import jaccard_components
+from roundsmith.llm.ngram_join import one_of_each
 from roundsmith.llm.packing import pack_documents
 from roundsmith.llm.pii import detect, fit as fit_pii
 
@@ -23,13 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id. Rows without a doc_id stay;
-    of rows that repeat a doc_id and a text one stays."""
+    """Of each group of linked documents the one with the smallest doc_id, with or without a doc_id; of rows
+    that repeat a doc_id each is judged by its own text. Blank documents link with nothing and stay."""
     storage.settle(spark)
-    named = docs.where("doc_id is not null")
-    first = jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
