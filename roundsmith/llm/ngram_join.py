@@ -45,6 +45,8 @@ RECURRENCE = 1 / 64
 #: Members of a block when the pairs of a group are compared: at least BLOCK, of larger groups a COPIES-th, and
 #: never more than BLOCK_BYTES of sketches; texts shipped to one verifying task.
 BLOCK, COPIES, BLOCK_BYTES, BATCH = 2048, 64, 32 << 20, 256
+#: Tasks to which the sets of one group go before they are cut into blocks.
+SALTS = 64
 
 
 @lru_cache(8)
@@ -444,7 +446,9 @@ def _crossing(labelled: DataFrame, comps: DataFrame, sized: DataFrame) -> DataFr
     rows = every.join(sized, F.col("ent") == F.col("fp")).withColumn("h", F.xxhash64("ent"))
     sizes = rows.groupBy("main").agg(F.count("*").alias("all"), F.sum("out").alias("outs"), F.max(F.length("sk")).alias("width"))
     block = F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCK), F.col("all") / COPIES), BLOCK_BYTES / F.col("width")))
-    rows = rows.join(sizes.select("main", F.ceil(F.col("all") / block).alias("ni"), F.ceil(F.col("outs") / block).alias("nj")), "main")
+    blocks = sizes.select("main", F.ceil(F.col("all") / block).alias("ni"), F.ceil(F.col("outs") / block).alias("nj"))
+    # salted, so that the sets of a large group do not pass through one task
+    rows = rows.withColumn("salt", F.pmod("h", F.lit(SALTS))).join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["main", "salt"])
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.select("main", F.pmod("h", "ni").alias("i"), all_of("nj").alias("j"), "ent", "comp", "n", "sk", F.lit(0).alias("side"))
     right = rows.where("out = 1").select("main", all_of("ni").alias("i"), F.pmod("h", "nj").alias("j"), "ent", "comp", "n", "sk", F.lit(1).alias("side"))
