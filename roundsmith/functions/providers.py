@@ -28,9 +28,56 @@ class TextProvider(Protocol):
     def coach(self, report: Column) -> Column: ...
 
 
+NO_REPORT = "ValueError: the text provider gave no report"
+
+
+def outcome(provider: TextProvider, step: str, **parts: Column) -> Column:
+    """The answer of a step whose failure ends a task: text, and error if there is none."""
+    if hasattr(provider, "outcome"):
+        return provider.outcome(step, **parts)
+    text = getattr(provider, step)(*parts.values())
+    return F.struct(text.alias("text"), F.when(text.isNull(), F.lit(NO_REPORT)).alias("error"))
+
+
+#: What the analyst reads of a match, in either dialect.
+MATCH = "rounds array<struct<round_number int, round int, winner string, kills array<struct<tick long, killer string, victim string, is_headshot int, is_first_kill boolean>>, grenades array<struct<type string, thrower string>>, flash_blinds array<struct<attacker string, blind_duration double>>, plants array<struct<site string>>, events array<struct<type string, killer string, victim string, player string, item string, site string>>>>"
+
+
+def _tally(names: Column) -> Column:
+    """How often each name occurs, as text, in order of name."""
+    known = F.filter(names, lambda x: x.isNotNull())
+    each = F.transform(F.array_sort(F.array_distinct(known)), lambda n: F.concat(n, F.lit(" "), F.size(F.filter(known, lambda x: x == n)).cast("string")))
+    return F.when(F.size(known) > 0, F.array_join(each, ", ")).otherwise("none")
+
+
+def match_report(raw: Column) -> Column:
+    """The metrics of one match from its JSON text: rounds won, kills, deaths, first kills, rounds with two kills
+    and more, headshots, utility, blinds and plants. Damage is not among the events, so there is none of it."""
+    rounds = F.coalesce(F.from_json(raw, MATCH)["rounds"], F.array().cast(MATCH.partition(" ")[2]))
+    said = lambda r, kind: F.filter(F.coalesce(r["events"], F.slice(r["events"], 1, 0)), lambda e: e["type"] == kind)
+    flat = lambda f: F.flatten(F.transform(rounds, lambda r: F.coalesce(f(r), F.array().cast("array<string>"))))
+    two = lambda a, b: F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+    of = lambda r, who: two(F.transform(r["kills"], lambda k: k[who]), F.transform(said(r, "kill"), lambda e: e[who]))
+    first = lambda r: two(F.transform(F.filter(r["kills"], lambda k: k["is_first_kill"]), lambda k: k["killer"]), F.transform(F.slice(said(r, "kill"), 1, 1), lambda e: e["killer"]))
+    several = lambda r: F.filter(F.array_distinct(of(r, "killer")), lambda n: F.size(F.filter(of(r, "killer"), lambda x: x == n)) >= 2)
+    lines = {
+        "Rounds won": F.transform(rounds, lambda r: r["winner"]),
+        "Kills": flat(lambda r: of(r, "killer")),
+        "Deaths": flat(lambda r: of(r, "victim")),
+        "First kills": flat(first),
+        "Rounds with two kills and more": flat(several),
+        "Headshots": flat(lambda r: F.transform(F.filter(r["kills"], lambda k: k["is_headshot"] == 1), lambda k: k["killer"])),
+        "Utility": flat(lambda r: two(F.transform(r["grenades"], lambda g: g["type"]), F.transform(said(r, "utility"), lambda e: e["item"]))),
+        "Blinds": flat(lambda r: F.transform(r["flash_blinds"], lambda b: b["attacker"])),
+        "Plants": flat(lambda r: two(F.transform(r["plants"], lambda p: p["site"]), F.transform(said(r, "bomb_planted"), lambda e: e["site"]))),
+    }
+    return F.concat_ws("\n", F.concat(F.lit("Rounds: "), F.size(rounds).cast("string")), *(F.concat(F.lit(f"{name}: "), _tally(names)) for name, names in lines.items()))
+
+
 class RuleProvider:
     """Deterministic and offline: queries stay, the map is read from the payload, contexts are scored by
-    the share of their words that the payload has, and reports are templates."""
+    the share of their words that the payload has, the analyst reports the match's metrics, and the coach
+    hands the report on."""
 
     def rewrite(self, query: Column) -> Column:
         return query
@@ -45,7 +92,7 @@ class RuleProvider:
         return F.round(F.least(share * 4, F.lit(1.0)), 6).cast("string")
 
     def analyse(self, raw: Column, context: Column) -> Column:
-        return F.concat(F.lit("Match data: "), F.length(raw).cast("string"), F.lit(" characters.\nKnown tactics:\n"), context)
+        return F.concat(match_report(raw), F.lit("\nKnown tactics:\n"), context)
 
     def coach(self, report: Column) -> Column:
         return F.concat(F.lit("Advice from the report:\n"), report)
@@ -74,13 +121,27 @@ class FunctionProvider:
             except Exception:
                 return pd.Series([None] * len(prompt), index=prompt.index, dtype=object)
 
-        self._run = run
+        @F.pandas_udf("text string, error string")
+        def run_whole(prompt: pd.Series) -> pd.DataFrame:
+            try:
+                text = answer(prompt.tolist())
+            except Exception as e:
+                return pd.DataFrame({"text": [None] * len(prompt), "error": [f"{type(e).__name__}: {e}"] * len(prompt)}, dtype=object)
+            return pd.DataFrame({"text": text, "error": [None if t is not None else NO_REPORT for t in text]}, dtype=object)
 
-    def _ask(self, step: str, **parts: Column) -> Column:
+        self._run, self._run_whole = run, run_whole
+
+    def _prompt(self, step: str, **parts: Column) -> Column:
         out = F.lit(self.prompts[step])
         for name, value in parts.items():
             out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-        return self._run(out)
+        return out
+
+    def _ask(self, step: str, **parts: Column) -> Column:
+        return self._run(self._prompt(step, **parts))
+
+    def outcome(self, step: str, **parts: Column) -> Column:
+        return self._run_whole(self._prompt(step, **parts))
 
     def rewrite(self, query: Column) -> Column:
         return self._ask("rewrite", query=query)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: What marks a cut text, stands for an empty retrieval, and stands between documents.
 TRUNCATION_SUFFIX = "\n... [truncated for token limit]"
 NO_CONTEXT = "暂无匹配的历史上下文数据"
 #: Fixed value: the marker by which an empty retrieval is recognised.

@@ -31,6 +31,23 @@ def player_totals(kills: DataFrame) -> DataFrame:
     return per.select("match_id", "player", "kills", "deaths", "headshots", F.round(F.try_divide("kills", "deaths"), 9).alias("kd_ratio"), F.round(F.try_divide("headshots", "kills"), 9).alias("headshot_rate"), none.alias("adr"), none.alias("rating"))
 
 
+def kast(kills: DataFrame, bounds: DataFrame, trade_ticks: int) -> DataFrame:
+    """match_id, player, n_rounds, kill_rounds, survived_rounds, traded_rounds, kast: the share of rounds in which
+    a player killed, survived, or died to one who died in turn within trade_ticks of the same round. Assists are not
+    among the events, so the share is a lower bound. Players are those that kill or die in the match."""
+    key = ["match_id", "round_number", "player"]
+    died = kills.select("match_id", "round_number", F.col("victim").alias("player"), "killer", "tick")
+    revenge = kills.select("match_id", "round_number", F.col("victim").alias("killer"), F.col("tick").alias("then"))
+    traded = died.join(revenge, ["match_id", "round_number", "killer"]).where((F.col("then") > F.col("tick")) & (F.col("then") <= F.col("tick") + trade_ticks))
+    tag = lambda rows, name: rows.select(*key, F.lit(name).alias("tag"))
+    seen = tag(kills.withColumnRenamed("killer", "player"), "k").union(tag(died, "d")).union(tag(traded, "t"))
+    flags = seen.groupBy(key).agg(*(F.bool_or(F.col("tag") == x).alias(x) for x in "kdt"))
+    grid = flags.select("match_id", "player").distinct().join(bounds.select("match_id", "round_number"), "match_id")
+    rows = grid.join(flags, key, "left").select("match_id", "player", F.coalesce("k", F.lit(False)).alias("k"), (~F.coalesce("d", F.lit(False))).alias("s"), F.coalesce("t", F.lit(False)).alias("t"))
+    n = F.count_if
+    return rows.groupBy("match_id", "player").agg(F.count("*").alias("n_rounds"), n("k").alias("kill_rounds"), n("s").alias("survived_rounds"), n("t").alias("traded_rounds"), F.round(n(F.col("k") | F.col("s") | F.col("t")) / F.count("*"), 9).alias("kast"))
+
+
 def utility_usage(grenades: DataFrame) -> DataFrame:
     """match_id, type, uses, throwers."""
     return grenades.groupBy("match_id", "type").agg(F.count("*").alias("uses"), F.count_distinct("thrower").alias("throwers"))

@@ -17,14 +17,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf, tokens
+from roundsmith.plans.lineage import saved
 
 TOP_K, FETCH_K, SPARSE_K, LAMBDA = 4, 20, 20, 0.5
-#: Query terms that may be broadcast: some tens of MB.
-BROADCAST_TERMS = 200_000
-#: Queries and candidates that are held against each other at once.
-BLOCK = 2048
+#: Queries and candidates that are held against each other at once; bytes of query vectors that are sent to
+#: every task (more queries make more passes over the candidates).
+BLOCK, SENT_BYTES = 2048, 64 << 20
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
 PLACES = 12
 
@@ -62,10 +63,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """query_id, doc_id, seq, score for every document that shares a term with a query."""
-    own = query_terms(queries)
-    only = own.select("part", "term").distinct()
-    # few terms go to every task, so that no other token is shuffled; many would not fit, and all are counted
-    terms = term_table(kb, F.broadcast(only) if only.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else None)
+    own = saved(query_terms(queries), "query-terms")
+    # tables of known size: Spark sends few terms to every task, so that no other token is shuffled, and shuffles many
+    terms = saved(term_table(kb, saved(own.select("part", "term").distinct(), "terms")), "postings")
     n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
     weights = own.join(document_frequency(terms), ["part", "term"]).join(n, "part").select("query_id", "part", "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
     one = F.col("weight") * F.col("tf") / (F.col("len") + 1e-6)
@@ -100,22 +100,30 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_candidates(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
-    """query_id, doc_id, seq, vec, sim: the k nearest of each query, ties in candidate order. The queries
-    are few; each is held against all candidates of its part."""
-    pairs = queries.select("query_id", "part", "qvec").join(kb.select("part", "doc_id", "seq", "vec"), "part")
-    scored = pairs.where("vec is not null and qvec is not null").select("query_id", "doc_id", "seq", "vec", F.round(cosine(F.col("qvec"), F.col("vec")), PLACES).alias("sim"))
+    """query_id, doc_id, seq, vec, sim, place: the k nearest of each query, ties in candidate order; vectors are
+    of one length. Blocks of candidates times blocks of queries are matrix products, of which the k best of each
+    go on; no row is made for any other pair. Queries go to every task, SENT_BYTES of vectors at a time."""
+    asked = queries.where("qvec is not null").select("part", "query_id", F.col("qvec").cast("array<double>").alias("qvec"))
+    size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
+    passes = max(1, -(-size // SENT_BYTES))
+    rows = kb.where("vec is not null").select("part", F.col("doc_id").cast("long"), F.col("seq").cast("long"), F.col("vec").cast("array<double>"))
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    scored = None
+    for k_pass in range(passes):
+        own = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k_pass)
+        part = rows.mapInArrow(_nearest(own, k), f"query_id {id_type}, part string, doc_id long, seq long, sim double")
+        scored = part if scored is None else scored.union(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "seq")
-    return scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k)
+    found = saved(scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k), "nearest")
+    return kb.select("part", "doc_id", "seq", "vec").join(found, ["part", "doc_id", "seq"]).select("query_id", "doc_id", "seq", "vec", "sim", "place")
 
 
-def dense_blocks(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
-    """As dense_candidates, for many queries with whole-number ids and vectors of one length: blocks of
-    candidates times blocks of queries as matrix products, of which the k best of each go on. The
-    queries' vectors are sent to every task."""
+def _nearest(asked: DataFrame, k: int):
     by: dict = {}
-    for r in queries.where("qvec is not null").select("part", "query_id", "qvec").collect():  # 8 bytes a number
+    for r in asked.collect():  # SENT_BYTES of vectors or so
         by.setdefault(r["part"], []).append((r["query_id"], r["qvec"]))
-    sent = queries.sparkSession.sparkContext.broadcast({p: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64)) for p, own in by.items()})
+    sent = asked.sparkSession.sparkContext.broadcast({p: ([i for i, _ in own], np.array([v for _, v in own], np.float64)) for p, own in by.items()})
+    id_type = to_arrow_type(asked.schema["query_id"].dataType)
 
     def best(part: str, doc: np.ndarray, seq: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, asked = sent.value[part]
@@ -129,7 +137,7 @@ def dense_blocks(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFra
             top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             row = np.repeat(np.arange(len(q)), top.shape[1])
             at = top.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i + row]), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim[row, at])], ["query_id", "part", "doc_id", "seq", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + BLOCK], id_type).take(pa.array(row)), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim[row, at])], ["query_id", "part", "doc_id", "seq", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -145,11 +153,7 @@ def dense_blocks(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFra
         for p, own in held.items():
             yield from best(p, *(np.concatenate(x) for x in zip(*own, strict=True)))
 
-    rows = kb.where("vec is not null").select("part", F.col("doc_id").cast("long"), F.col("seq").cast("long"), F.col("vec").cast("array<double>"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "seq")
-    scored = rows.mapInArrow(run, "query_id long, part string, doc_id long, seq long, sim double")
-    found = scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k)
-    return found.join(kb.select("part", "doc_id", "seq", "vec"), ["part", "doc_id", "seq"]).select("query_id", "doc_id", "seq", "vec", "sim", "place")
+    return run
 
 
 def mmr(candidates: DataFrame, k: int = TOP_K, balance: float = LAMBDA) -> DataFrame:
@@ -175,13 +179,20 @@ def mmr(candidates: DataFrame, k: int = TOP_K, balance: float = LAMBDA) -> DataF
     return rows.select("query_id", "item.doc_id", "item.seq", F.col("rank"))
 
 
+def _with_texts(ranked: DataFrame, kb: DataFrame) -> DataFrame:
+    """Ranked rows with the texts of their documents: of the knowledge base only the ranked ones are read on."""
+    ranked = saved(ranked, "ranked")
+    texts = kb.select("doc_id", "text").join(ranked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return ranked.join(texts, "doc_id")
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, kb: DataFrame, k: int | None = TOP_K) -> DataFrame:
     """query_id, text, doc_id, score, first_seq, rank: reciprocal rank fusion by text.
 
     Of dense ranks of one text the last counts, and sparse ranks add up. The document that stands for a
     text is its last dense one, else its first sparse one; ties go by first appearance."""
     ranked = dense.select("query_id", "doc_id", "rank", F.lit(1).alias("dense")).unionByName(sparse.select("query_id", "doc_id", "rank", F.lit(0).alias("dense")))
-    rows = ranked.join(kb.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+    rows = _with_texts(ranked, kb)
     is_dense = F.col("dense") == 1
     score = F.coalesce(rrf(F.max(F.when(is_dense, F.col("rank")))), F.lit(0.0)) + F.coalesce(F.sum(F.when(~is_dense, rrf(F.col("rank")))), F.lit(0.0))
     both = rows.groupBy("query_id", "text").agg(
@@ -199,7 +210,7 @@ def hybrid_search(queries: DataFrame, kb: DataFrame, k: int = TOP_K, sparse: boo
     dense = mmr(dense_candidates(queries, kb), k)
     if sparse:
         return fuse(dense, sparse_top(queries, kb), kb, k)
-    rows = dense.join(kb.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
+    rows = _with_texts(dense, kb)
     return rows.select("query_id", "text", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("first_seq"), "rank")
 
 

@@ -1,17 +1,38 @@
-"""Cutting lineage: reliable checkpoints in the shared folder."""
+"""Cutting lineage: reliable checkpoints and written tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own, but only if driver and
+    executors are one process; on a cluster, where others would not see a local folder, this raises."""
+    context = spark.sparkContext._jsc.sc()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and context.getCheckpointDir().isDefined():
+        root = context.getCheckpointDir().get()
+    if not root:
+        if not context.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="roundsmith-")
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df, in the folder that spark.checkpoint.dir names; in one of our own only where
-    that is unset, as in tests. What follows has a short plan, and survives the loss of an executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roundsmith-"))
+    """A checkpoint of df. What follows has a short plan, and survives the loss of an executor."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of the shared folder. What follows computes it once, however often it is read, and
+    Spark knows its size when it picks a join."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roundsmith.functions.providers import RuleProvider, TextProvider, hashing_embedder
+from roundsmith.functions.providers import NO_REPORT, RuleProvider, TextProvider, hashing_embedder, outcome
 from roundsmith.functions.scalar import CRITIQUE_CHARS, NO_CONTEXT, NO_CONTEXT_MARK, QUERY_CHARS, ROUTER_CHARS, prefix, score, strip, strip_fences
 from roundsmith.operators import retrieval
 from roundsmith.plans.lineage import cut
@@ -39,16 +39,20 @@ def route(state: DataFrame, provider: TextProvider) -> DataFrame:
 
 
 def parts_of(kb: DataFrame, keys: list[str]) -> DataFrame:
-    """The knowledge base laid out by filter: each document under no filter and under its own value of
-    each key. kb has doc_id, seq, text, vec and a column for each key."""
-    names = F.array(F.lit(EVERY), *(F.concat(F.lit(f"{k}="), F.col(k)) for k in keys))
-    return kb.withColumn("part", F.explode(F.filter(names, lambda x: x.isNotNull()))).select("part", "seq", "doc_id", "text", "vec")
+    """The knowledge base laid out by filter: each document under every conjunction of its own values of keys
+    (2 to the number of keys that it has; no filter is one of them). kb has doc_id, seq, text, vec and a column
+    for each key."""
+    names = F.array(F.lit(EVERY))
+    for k in sorted(keys):
+        one = F.to_json(F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")))
+        names = F.when(F.col(k).isNull(), names).otherwise(F.concat(names, F.transform(names, lambda x: F.concat(x, one))))
+    return kb.withColumn("part", F.explode(names)).select("part", "seq", "doc_id", "text", "vec")
 
 
-def part_of(metadata: Column, keys: list[str]) -> Column:
-    """The filter of one key that metadata ask for; none for no known key. Keys beyond the first are left
-    to retrieval.filtered."""
-    return F.coalesce(*(F.when(F.try_element_at(metadata, F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}="), F.try_element_at(metadata, F.lit(k)))) for k in keys), F.lit(EVERY))
+def part_of(metadata: Column) -> Column:
+    """The filter that metadata ask for: all their keys together; one that no document has finds none."""
+    pairs = F.array_sort(F.map_entries(metadata))
+    return F.concat(F.lit(EVERY), F.coalesce(F.array_join(F.transform(pairs, lambda e: F.to_json(F.struct(e["key"].alias("k"), e["value"].alias("v")))), ""), F.lit("")))
 
 
 def knowledge_retriever(kb: DataFrame, keys: list[str] = ["map"], embed: Callable[[Column], Column] | None = None) -> Callable[[DataFrame, TextProvider], DataFrame]:
@@ -58,7 +62,7 @@ def knowledge_retriever(kb: DataFrame, keys: list[str] = ["map"], embed: Callabl
 
     def retrieve(pending: DataFrame, provider: TextProvider) -> DataFrame:
         asked = prefix(F.coalesce(F.col("raw_data"), F.lit("")), QUERY_CHARS)
-        queries = pending.select(F.col("match_id").alias("query_id"), part_of(F.col("retrieval_metadata"), keys).alias("part"), F.coalesce(strip(provider.rewrite(asked)), asked).alias("query"))
+        queries = pending.select(F.col("match_id").alias("query_id"), part_of(F.col("retrieval_metadata")).alias("part"), F.coalesce(strip(provider.rewrite(asked)), asked).alias("query"))
         queries = cut(queries.withColumn("qvec", embed(F.col("query"))))  # used several times; a provider answers once
         return retrieval.context(queries, retrieval.hybrid_search(queries, laid)).withColumnRenamed("query_id", "match_id")
 
@@ -91,14 +95,17 @@ def refine(state: DataFrame, retrieve: Callable[[DataFrame, TextProvider], DataF
 
 
 def run(matches: DataFrame, retrieve: Callable[[DataFrame, TextProvider], DataFrame], provider: TextProvider | None = None) -> DataFrame:
-    """The final state of each match (match_id, raw_data)."""
+    """The final state of each match (match_id, raw_data), with the error that ended it, if one did."""
     provider = provider or RuleProvider()
     state = refine(route(initial_state(matches), provider), retrieve, provider)
-    state = state.withColumn("analyst_report", provider.analyse(F.col("raw_data"), F.col("rag_context")))
-    return state.withColumn("coach_advice", provider.coach(F.col("analyst_report")))
+    state = state.withColumn("_analyst", outcome(provider, "analyse", raw=F.col("raw_data"), context=F.col("rag_context")))
+    state = state.withColumn("analyst_report", F.col("_analyst.text"))
+    coach = F.when(F.col("analyst_report").isNotNull(), outcome(provider, "coach", report=F.col("analyst_report")))
+    state = state.withColumn("_coach", coach).withColumns({"coach_advice": F.col("_coach.text"), "error": F.coalesce(F.col("_analyst.error"), F.col("_coach.error"))})
+    return state.drop("_analyst", "_coach")
 
 
 def task_results(state: DataFrame) -> DataFrame:
-    """task_id, status, result, error: SUCCESS with the advice, or FAILURE where a report is missing."""
+    """task_id, status, result, error: SUCCESS with the advice, or FAILURE with what went wrong."""
     ok = F.col("analyst_report").isNotNull() & F.col("coach_advice").isNotNull()
-    return state.select(F.col("match_id").alias("task_id"), F.when(ok, "SUCCESS").otherwise("FAILURE").alias("status"), F.when(ok, F.col("coach_advice")).alias("result"), F.when(~ok, F.lit("ValueError: the text provider gave no report")).alias("error"))
+    return state.select(F.col("match_id").alias("task_id"), F.when(ok, "SUCCESS").otherwise("FAILURE").alias("status"), F.when(ok, F.col("coach_advice")).alias("result"), F.when(~ok, F.coalesce("error", F.lit(NO_REPORT))).alias("error"))

@@ -116,17 +116,31 @@ def test_searches_are_asked_with_every_fiftieth_row(spark, sf):
     docs, vectors = ids("documents", "doc_id"), ids("embeddings", "vec_id")
     assert len(docs) > 1 and len(vectors) > 1
     for name in ("sparse_top20", "meta_filter_sparse", "cosine_top20", "mmr_top4", "rrf_fusion", "hybrid_top4", "context_join"):
-        got = {r.query_id for r in queries.QUERIES[f"each50_{name}"](spark, sf).select("query_id").collect()}
+        got = {r.query_id for r in queries.QUERIES[name](spark, sf).select("query_id").collect()}
         assert got == (vectors if name in ("cosine_top20", "mmr_top4") else docs), name
 
 
-def test_dense_blocks_equal_the_join(spark, monkeypatch):
-    """With ties, parts, vectors without length or missing, and blocks smaller than the tables."""
+def test_dense_candidates_equal_brute_force(spark, monkeypatch):
+    """With ties, parts, ids that are texts, vectors without length or missing, and blocks smaller than the tables."""
     rng = random.Random(3)
     vec = lambda: rng.choice([None, [0.0, 0.0, 0.0], [float(rng.randrange(-2, 3)) for _ in range(3)]])
-    kb = spark.createDataFrame([(rng.choice("ab"), 1000 - k, k, f"t{k}", vec()) for k in range(200)], "part string, seq long, doc_id long, text string, vec array<double>")
-    asked = spark.createDataFrame([(k, rng.choice("abc"), vec()) for k in range(30)], "query_id long, part string, qvec array<double>")
-    rows = lambda d: sorted((r.query_id, r.place, r.doc_id, r.sim) for r in d.collect())
-    want = rows(retrieval.dense_candidates(asked, kb, 7))
-    monkeypatch.setattr(retrieval, "BLOCK", 5)
-    assert want and rows(retrieval.dense_blocks(asked, kb, 7)) == want
+    kb = [(rng.choice("ab"), 1000 - k, k, f"t{k}", vec()) for k in range(200)]
+    asked = [(f"q{k}", rng.choice("abc"), vec()) for k in range(30)]
+    want = []
+    for q, part, v in asked:
+        near = sorted((-round(cosine(v, d[4]), 12), d[1], d[2]) for d in kb if d[0] == part and d[4] is not None) if v is not None else []
+        want += [(q, place, doc, -sim) for place, (sim, _, doc) in enumerate(near[:7])]
+    frames = spark.createDataFrame(asked, "query_id string, part string, qvec array<double>"), spark.createDataFrame(kb, "part string, seq long, doc_id long, text string, vec array<double>")
+    for block, sent in ((2048, 1 << 20), (5, 100)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "SENT_BYTES", sent)
+        got = sorted((r.query_id, r.place, r.doc_id, r.sim) for r in retrieval.dense_candidates(*frames, 7).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, sorted(want)))
+
+
+def test_texts_are_read_for_ranked_documents_alone(spark):
+    """The fusion's plan drops all other documents before any text is shuffled."""
+    kb = kb_of(spark, ["a", "b", "c"])
+    ranks = spark.createDataFrame([(0, 1, 0)], "query_id int, doc_id long, rank int")
+    plan = retrieval.fuse(ranks, ranks, kb)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
