@@ -2,17 +2,20 @@
 
 spark.dataSource.register(DemoSource); spark.read.format("demo").option("decoder", "module:function")
 .load(path). The decoder takes a file's path and yields (event_type, tick, JSON of the other columns);
-none is bundled, as the format has no public decoder here. A file that is missing or that the decoder
-rejects gives no rows, as a match without rounds.
+none is bundled, as the format has no public decoder here. Events are handed on as they are decoded; a file that
+is missing or that the decoder rejects ends with an event decode_error that says why.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from importlib import import_module
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+DECODE_ERROR = "decode_error"
+
 
 class DemoSource(DataSource):
     @classmethod
@@ -41,9 +44,10 @@ class DemoReader(DataSourceReader):
             return
         decode = getattr(import_module(module), function)
         match_id = path.rpartition("/")[2].partition(".")[0]
+        seq = 0
         try:
-            rows = list(decode(path))
-        except Exception:  # a broken recording counts as an empty one
-            return
-        for seq, (kind, tick, props) in enumerate(rows):
-            yield match_id, seq, kind, tick, props
+            for kind, tick, props in decode(path):
+                yield match_id, seq, kind, tick, props
+                seq += 1
+        except Exception as e:  # whatever a decoder raises is told, and ends this file alone
+            yield match_id, seq, DECODE_ERROR, None, json.dumps({"error": f"{type(e).__name__}: {e}"})

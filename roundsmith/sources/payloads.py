@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roundsmith.functions.scalar import is_demo, match_id_from_path, upload_name
 
@@ -69,13 +74,59 @@ def demo_payload(documents: DataFrame) -> DataFrame:
     map_name, rounds, filename; matches without rounds are refused (error)."""
     return documents.select(
         F.coalesce("match_id", F.lit("upload_demo")).alias("match_id"), F.coalesce("map_name", F.lit("unknown")).alias("map_name"), "rounds",
-        F.struct(F.lit("upload").alias("source"), F.col("filename")).alias("extra_data"),
+        F.struct(F.lit("direct_upload").alias("source"), F.col("filename")).alias("extra_data"),
         F.when(F.coalesce(F.size("rounds"), F.lit(0)) <= 0, "the demo holds no rounds").alias("error"),
     )
 
 
+def task_id(*parts: Column) -> Column:
+    """An id in the form of a UUID, from what makes a task: a batch that is run again gives its tasks the same ids."""
+    return F.regexp_replace(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def enqueued(matches: DataFrame, batch_id: int) -> DataFrame:
+    """Accepted matches with a task_id each. A payload that comes twice in a batch makes two tasks, told apart by
+    their number among equal payloads, which does not depend on their order."""
+    copy = F.row_number().over(Window.partitionBy("raw_data").orderBy("match_id"))
+    return matches.select("match_id", "map_name", "raw_data", copy.alias("copy")).select(task_id(F.lit(batch_id), F.col("raw_data"), F.col("copy")).alias("task_id"), "match_id", "map_name", "raw_data")
+
+
+def acknowledged(tasks: DataFrame) -> DataFrame:
+    """The answer to each payload that was taken."""
+    return tasks.select("task_id", "match_id", F.lit("processing_in_mq").alias("status"))
+
+
 def uploads(files: DataFrame) -> DataFrame:
     """stored_name, match_id, error for uploaded file names (name): anything but .dem is refused."""
     ok = is_demo(F.col("name"))
     stored = files.withColumn("stored_name", F.when(ok, upload_name(F.col("name"))))
     return stored.select("name", "stored_name", match_id_from_path(F.col("stored_name")).alias("match_id"), F.when(~ok, "only .dem files are accepted").alias("error"))
+
+
+def store_uploads(files: DataFrame, folder: str) -> DataFrame:
+    """Stores uploaded files (name, content) in a folder that all executors see: name, temp_filename, path, error.
+    The name's prefix comes from name and content, and a file is renamed when it is whole, so that a task that is run
+    again leaves one file. The files are written when the result is computed. Memory holds one file at a time."""
+    kept = files.select("name", is_demo(F.col("name")).alias("ok"), F.concat(F.substring(F.md5(F.concat(F.col("name").cast("binary"), F.col("content"))), 1, 8), F.lit("_"), F.element_at(F.split("name", "/"), -1)).alias("stored"), F.when(is_demo(F.col("name")), F.col("content")).alias("content"))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                name, ok, stored = (b.column(c)[k].as_py() for c in range(3))
+                if not ok:
+                    out.append((name, None, None, "only .dem files are accepted"))
+                    continue
+                path, own = f"{root}/{stored}", f"{root}/.{stored}.{uuid.uuid4().hex}"
+                try:
+                    fs.create_dir(root, recursive=True)
+                    with fs.open_output_stream(own, compression=None) as f:
+                        f.write(b.column(3)[k].as_buffer())
+                    fs.move(own, path)
+                    out.append((name, stored, f"{folder}/{stored}", None))
+                except OSError as e:
+                    out.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["name", "temp_filename", "path", "error"]) if out else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.string()) for n in ("name", "temp_filename", "path", "error")]))
+
+    return kept.mapInArrow(store, "name string, temp_filename string, path string, error string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from roundsmith.plans.lineage import saved
 
 EVENT_TYPES = ("round_end", "player_death", "player_blind", "bomb_planted", "smokegrenade_detonate", "inferno_startfire", "hegrenade_detonate")
 POSITIONED = ("player_death", "smokegrenade_detonate", "inferno_startfire", "hegrenade_detonate")
@@ -57,11 +59,16 @@ def seed_documents(spark: SparkSession) -> DataFrame:
 
 
 def write_knowledge(docs: DataFrame, path: str, embed) -> None:
-    """Replaces the knowledge base: texts with their vectors and ids from 0 in order of their contents.
-    Ids come from one ordered window: a knowledge base is small, unlike a corpus."""
-    order = Window.orderBy("text", *(c for c in docs.columns if c != "text"))
-    rows = docs.withColumn("doc_id", (F.row_number().over(order) - 1).cast("long")).withColumn("seq", F.col("doc_id")).withColumn("vec", embed(F.col("text")))
-    rows.write.mode("overwrite").parquet(path)
+    """Replaces the knowledge base: texts with their vectors and ids from 0 in order of their contents. Rows are
+    sorted over many tasks; a row's id is its place in its task and what the tasks before it hold."""
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    rows = saved(rows, "knowledge")
+    counts = sorted(map(tuple, rows.groupBy("_task").count().collect()))  # one row for each task
+    before = [(task, sum(n for _, n in counts[:k])) for k, (task, _) in enumerate(counts)]
+    at = docs.sparkSession.createDataFrame(before, "_task int, _before long")
+    numbered = rows.join(F.broadcast(at), "_task").withColumn("doc_id", F.col("_before") + F.col("_place") - F.shiftleft(F.col("_task").cast("long"), 33))
+    numbered.drop("_task", "_place", "_before").withColumn("seq", F.col("doc_id")).withColumn("vec", embed(F.col("text"))).write.mode("overwrite").parquet(path)
 
 
 def upsert_status(spark: SparkSession, batch: DataFrame, path: str, version: int) -> None:
@@ -70,9 +77,23 @@ def upsert_status(spark: SparkSession, batch: DataFrame, path: str, version: int
     batch.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def accept_tasks(batch: DataFrame, path: str, version: int) -> None:
+    """Notes the tasks (task_id, ...) of a batch before they are worked on; the same batch again replaces its own."""
+    batch.write.mode("overwrite").parquet(f"{path}_accepted/version={version}")
+
+
+def accepted_tasks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}_accepted")
+
+
 def task_status(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of each task; result only for SUCCESS, error only for FAILURE."""
-    rows = spark.read.parquet(path).groupBy("task_id").agg(F.max_by(F.struct("status", "result", "error"), "version").alias("s"))
+    """The latest row of each task; result only for SUCCESS, error only for FAILURE. Tasks that were taken and have
+    no row yet are STARTED."""
+    there = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    rows = spark.read.parquet(path) if there(path) else spark.createDataFrame([], "task_id string, status string, result string, error string, version int")
+    if there(f"{path}_accepted"):
+        rows = rows.unionByName(accepted_tasks(spark, path).select("task_id", F.lit("STARTED").alias("status"), F.lit(-1).alias("version")), allowMissingColumns=True)
+    rows = rows.groupBy("task_id").agg(F.max_by(F.struct("status", "result", "error"), "version").alias("s"))
     return rows.select("task_id", "s.status", F.when(F.col("s.status") == "SUCCESS", F.col("s.result")).alias("result"), F.when(F.col("s.status") == "FAILURE", F.col("s.error")).alias("error"))
 
 
