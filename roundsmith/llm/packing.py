@@ -135,10 +135,9 @@ def pack_documents(docs: DataFrame, end_id: int = 2, tokenizer: str | None = Non
         coder, part, met = tokens.word_tokenizer(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
-            ids, group = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                ids.append(coder.ids(raw) + end)
+            texts, group = [t or b"" for t in batch.column(1).to_pylist()], []
+            ids = [x + end for x in coder.all_ids(texts)]
+            for doc_id, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
                 key = xxhash.xxh3_64_intdigest(raw, seed=seed) ^ xxhash.xxh3_64_intdigest(str(doc_id))
                 met[key] = met.get(key, -1) + 1
                 group.append(xxhash.xxh3_64_intdigest(f"{key} {part} {met[key]}") % groups)
@@ -168,7 +167,7 @@ def pack_documents(docs: DataFrame, end_id: int = 2, tokenizer: str | None = Non
         ids = [np.frombuffer(r["ids"], width) for r in rows]
         return table(pack([len(x) for x in ids], capacity), [r["doc_id"] for r in rows], ids, [r["start"] for r in rows], [r["doc_tokens"] for r in rows], (groups + t["part"][0].as_py()) << 32, []).drop_columns(["ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     placed = storage.saved(rows.mapInArrow(encode, "grp long, doc_id long, ids binary").groupBy("grp").applyInArrow(place, f"{SCHEMA}, ids binary, grp long"), "packed")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     rest = placed.where("sequence_id is null").select((F.col("grp") / REST).cast("long").alias("part"), "doc_id", "start", "doc_tokens", "ids")

@@ -177,14 +177,14 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
         for batch in batches:
             if batch.num_rows and out is None:
                 out = TokenFileWriter(uri, coder.dtype, block_ids, planes)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.add(doc_id, np.append(np.frombuffer(coder.ids((text or "").encode()), coder.dtype), coder.dtype.type(end_id)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.all_ids([t or b"" for t in batch.column(1).to_pylist()]), strict=True):
+                out.add(doc_id, np.append(np.frombuffer(ids, coder.dtype), coder.dtype.type(end_id)))
         textkit.trim()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [k], "file": [uri], "n_docs": [len(out.lengths)], "n_ids": [out.n_ids]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return sorted(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect(), key=lambda r: r["part"])
 
 

@@ -13,6 +13,8 @@ import numpy as np
 
 #: Words kept by a worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of texts whose new words are encoded together.
+SLICE_BYTES = 1 << 20
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _made: dict[str, "WordTokenizer"] = {}
@@ -51,33 +53,45 @@ class WordTokenizer:
                 self.cache[word] = raw[i * w : j * w]
 
     def ids(self, text: bytes) -> bytes:
-        if b"<|" not in text:
-            text = text.lower()  # A-Z alone, which the tokenizer lowers as well
-        own, cache = text.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, own))
-        except KeyError:
-            pass
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. New words of SLICE_BYTES of texts go through the tokenizers library together."""
+        out: list[bytes] = []
+        begin = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= SLICE_BYTES:
+                out += self._slice(texts[begin : k + 1])
+                begin, size = k + 1, 0
+        return out + self._slice(texts[begin:])
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
+        # A-Z alone, which the tokenizer lowers as well
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        unseen: set[bytes] = set()
+        for own in split:
+            unseen.update(set(own).difference(cache))
         new, ends = set(), []
-        for w in set(own).difference(cache):
-            if w not in new:
-                base = w.rstrip(MARKS)
-                if len(base) < len(w) and base[-1:].isalnum() and b"<|" not in w:  # letters and marks are never joined
-                    ends.append((w, base))
-                    new.update(x for x in (base, w[len(base) :]) if x not in cache)
-                else:
-                    new.add(w)
+        for w in unseen:
+            base = w.rstrip(MARKS)
+            if len(base) < len(w) and base[-1:].isalnum() and b"<|" not in w:  # letters and marks are never joined
+                ends.append((w, base))
+                new.update(x for x in (base, w[len(base) :]) if x not in cache)
+            else:
+                new.add(w)
         plain = [w for w in new if b"\0" not in w and b"<|" not in w] if self.mark is not None else []
-        for i in range(0, len(plain), 4096):
-            self._many(plain[i : i + 4096])
+        for i in range(0, len(plain), 256):
+            self._many(plain[i : i + 256])
         for w in new:
             if w not in cache:
                 cache[w] = self._one(w)
         for w, base in ends:
             cache[w] = cache[base] + cache[w[len(base) :]]
-        return b"".join(map(cache.__getitem__, own))
+        return [b"".join(map(cache.__getitem__, own)) for own in split]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
