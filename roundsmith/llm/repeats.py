@@ -5,10 +5,13 @@ least-hashed 20-byte substring is one and the same occurrence (its anchor). Equa
 anchors, so the occurrences of any 50-byte string meet in the bucket of their anchor's hash, whatever
 the size of the corpus, and no segment is compared with those of other anchors.
 
-1. Every map task writes its texts as a chunk into the shared folder and sends, for each segment, hashes
-   of its anchor and of its bytes, and its document. A reduce task tells each chunk which segments are
-   copies of a segment of a smaller document (covered), which share their anchor with a different
-   segment of a smaller document (queries), and which serve as sources: one for each distinct segment.
+0. Every map task writes its texts as chunks into the shared folder; a manifest of finished ones is the input of
+   all that follows, so that nothing depends on the order of the documents' rows if a task is run again. It also
+   says which anchors are common in a chunk. Segments of anchors that are common in all are cut into their
+   50-byte strings, each of which is its own anchor: a very common one gathers nothing unlike in one task.
+1. Every chunk sends, for each segment, hashes of its anchor and of its bytes, and its document. A reduce task
+   tells which segments are copies of a segment of a smaller document (covered), which share their anchor with a
+   different segment of a smaller document (queries), and which serve as sources: one for each distinct segment.
 2. Every chunk sends the bytes of its queries and sources. A bucket builds a run-length index over its
    distinct sources and streams the matching statistics of its queries; a match of 50 bytes whose least
    owner is a smaller document covers them.
@@ -18,6 +21,7 @@ the size of the corpus, and no segment is compared with those of other anchors.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,12 @@ SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Text bytes of a reduce task of step 1, on average, and of a chunk.
 BUCKET_BYTES, CHUNK_BYTES = 6 << 20, 6 << 20
-#: Beyond so many buckets they and the chunks grow instead, and with them the memory that a task needs.
-MOST_BUCKETS = 100_000
+#: Buckets to which a task deals segments; where more are needed, segments are dealt in two steps. Segments that
+#: a task of the second step gathers before it deals them. Chunks (a power of two) that go through a task together.
+FAN, DEAL_SEGMENTS, GROUP = 4096, 1_000_000, 4
+#: Different segments of an anchor in a chunk from which it is counted; in all, from which it is common; and how
+#: many anchors the list of common ones may hold (eight bytes each).
+HOT_LOCAL, HOT_SEGMENTS, HOT_KEYS = 8, 20_000, 1 << 22
 #: Bytes of segments that one index is built over.
 PART_BYTES = 1 << 20
 KEY_BITS, SEG_BITS = 48, 48
@@ -80,6 +88,11 @@ class Chunk:
     def __init__(self, uri: str):
         self.uri = uri
 
+    @staticmethod
+    def tables(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As read(), of texts in memory."""
+        return np.array([NULL_ID if i is None else i for i in ids], np.int64), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8)
+
     def write(self, ids: list, texts: list[bytes]) -> None:
         z = zstandard.ZstdCompressor(level=1)
         head = np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
@@ -96,31 +109,47 @@ class Chunk:
         return ids, np.concatenate([[0], np.cumsum(sizes)]), data
 
 
-def _plan(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int):
+def _cut_common(data: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, seg: np.ndarray, common: np.ndarray):
+    """Segments of common anchors as their 50-byte strings, each with its own hash as anchor."""
+    hot = np.isin(key, common)
+    if not hot.any():
+        return row, start, end, key, seg
+    n = end[hot] - start[hot] - SPAN + 1
+    at, of = rolling(start[hot], n), np.repeat(row[hot], n)
+    prefix = textkit.prefix_hash(data, textkit.RAW)
+    h = textkit.span_hash(prefix, at, at + SPAN)
+    cold = ~hot
+    return (
+        np.concatenate([row[cold], of]), np.concatenate([start[cold], at]), np.concatenate([end[cold], at + SPAN]),
+        np.concatenate([key[cold], textkit.mix(~h) >> U64(64 - KEY_BITS)]), np.concatenate([seg[cold], h >> U64(64 - SEG_BITS)]),
+    )
+
+
+def _plan(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int, common: np.ndarray = np.zeros(0, U64)):
     """The segments of a chunk in the order in which they are sent, their buckets, and which are sent.
 
     Of equal segments of one chunk only that of the least document is sent; the others are covered by
     it, unless they lie in a document with the same id."""
     got = []
     for i, j in textkit.slices(offsets):
-        row, start, end, key, seg = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        part = data[offsets[i] : offsets[j]]
+        row, start, end, key, seg = segments(part, offsets[i : j + 1] - offsets[i])
+        row, start, end, key, seg = _cut_common(part, row, start, end, key >> U64(64 - KEY_BITS), seg >> U64(64 - SEG_BITS), common)
         got.append((row + i, start + offsets[i], end + offsets[i], key, seg))
     row, start, end, key, seg = (np.concatenate(x) for x in zip(*got, strict=True)) if got else segments(data[:0], np.zeros(1, np.int64))
-    key, seg = key >> U64(64 - KEY_BITS), seg >> U64(64 - SEG_BITS)
     doc = ids[row] if len(row) else np.zeros(0, np.int64)
-    order = np.lexsort((doc, seg, key))
+    order = np.lexsort((start, doc, seg, key))
     row, start, end, key, seg, doc = (x[order] for x in (row, start, end, key, seg, doc))
     new = np.ones(len(row), bool)
     new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
     covered = doc[first] < doc
-    # by the key's upper 32 bits: the product fits 64 bits for any number of buckets below 2^32
-    bucket = ((key >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
-    return row, start, end, key, seg, doc, new, first, covered, bucket
+    return row, start, end, key, seg, doc, new, first, covered, _bucket(key, buckets)
 
 
-def _bucket_edges(bucket: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """By the key's upper 32 bits: the product fits 64 bits for any number of buckets below 2^32."""
+    return ((key >> U64(KEY_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 def _pack(z, *arrays: np.ndarray) -> bytes:
@@ -136,38 +165,37 @@ def _unpack(raw: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def _send(folder: str, buckets: int, chunk_bytes: int):
-    """Step 1, map."""
+MANIFEST = "grp long, chunk long, uri string, segments long, hot binary"
+SEGMENTS = "bucket long, salt long, n long, segs binary, docs binary, chunks binary"
+_SEGMENTS = pa.schema([("bucket", pa.int64()), ("salt", pa.int64()), ("n", pa.int64()), ("segs", pa.binary()), ("docs", pa.binary()), ("chunks", pa.binary())])
+
+
+def _write(folder: str, chunk_bytes: int, buckets: int, hot_local: int):
+    """Step 0: the chunks of a task, under names of this attempt; what is listed of them is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
+        part, k, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def flush():
-            nonlocal ids, texts, held, k
+        def flush() -> pa.RecordBatch:
             chunk = (part << 20) + k
-            Chunk(f"{folder}/chunk-{chunk}").write(ids, texts)
-            own, offsets, data = np.array([NULL_ID if i is None else i for i in ids], np.int64), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), np.frombuffer(b"".join(texts), np.uint8)
-            ids, texts, held, k = [], [], 0, k + 1
-            _, _, _, key, seg, doc, new, _, _, bucket = _plan(own, offsets, data, buckets)
-            key, seg, doc, bucket = key[new], seg[new], doc[new], bucket[new]
-            edges, z, rows = _bucket_edges(bucket, buckets), zstandard.ZstdCompressor(level=1), []
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if i < j:
-                    table, at = np.unique(doc[i:j], return_inverse=True)
-                    rows.append((b, int(j - i), _pack(z, np.diff(key[i:j], prepend=U64(0)), seg[i:j], at.astype(np.uint32)), table.tobytes()))
-            rows = rows or [(0, 0, b"", b"")]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "chunk", "n", "segs", "docs"])
+            uri = f"{folder}/chunk-{chunk}-{uuid.uuid4().hex}"
+            Chunk(uri).write(ids, texts)
+            key, new = (_plan(*Chunk.tables(ids, texts), buckets)[c] for c in (3, 6))
+            own, count = np.unique(key[new], return_counts=True)
+            many = count >= hot_local
+            hot = np.concatenate([own[many], count[many].astype(U64)]).tobytes()
+            ids.clear(), texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((chunk // GROUP, pa.int64()), (chunk, pa.int64()), (uri, pa.string()), (int(new.sum()), pa.int64()), (hot or None, pa.binary()))], ["grp", "chunk", "uri", "segments", "hot"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i), texts.append((t or "").encode())
+                ids.append(i), texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= chunk_bytes:
                     yield flush()
+                    k, held = k + 1, 0
         if ids:
             yield flush()
         textkit.trim()
@@ -175,75 +203,149 @@ def _send(folder: str, buckets: int, chunk_bytes: int):
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, reduce: flags for each chunk's segments, in the order sent."""
-    meta, keys, segs, docs = [], [], [], []
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            meta.append((r["bucket"], r["chunk"], r["n"]))
-            if r["n"]:
-                key, seg, at = _unpack(r["segs"], r["n"], "<u8", "<u8", "<u4")
-                keys.append(np.cumsum(key, dtype=U64)), segs.append(seg), docs.append(np.frombuffer(r["docs"], np.int64)[at])
-    if not meta:
+        for raw in batch.column(0).to_pylist():
+            key, count = np.frombuffer(raw, U64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+
+
+def _deal(bucket: np.ndarray, salt: int, key: np.ndarray, seg: np.ndarray, doc: np.ndarray, chunk: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Segments, sorted by bucket and within it by chunk and place, as one row for each bucket."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    z, rows = zstandard.ZstdCompressor(level=1), []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        docs, at = np.unique(doc[i:j], return_inverse=True)
+        chunks, of = np.unique(chunk[i:j], return_inverse=True)
+        rows.append((int(bucket[i]), salt, j - i, _pack(z, np.diff(key[i:j], prepend=U64(0)), seg[i:j], at.astype(np.uint32), of.astype(np.uint32), np.diff(place[i:j], prepend=0).astype(np.uint32)), docs.tobytes(), chunks.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 6, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+
+
+def _dealt(r: dict) -> tuple[np.ndarray, ...]:
+    """Keys, segments, documents, chunks and places of a row."""
+    key, seg, at, of, place = _unpack(r["segs"], r["n"], "<u8", "<u8", "<u4", "<u4", "<u4")
+    return np.cumsum(key, dtype=U64), seg, np.frombuffer(r["docs"], np.int64)[at], np.frombuffer(r["chunks"], np.int64)[of], np.cumsum(place, dtype=np.uint32).astype(np.int64)
+
+
+def _send(buckets: int, width: int, common):
+    """Step 1, map: the segments of chunks, dealt to ranges of width buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, _, _, key, seg, doc, new, _, _, bucket = _plan(*Chunk(uri).read(), buckets, common.value)
+                key = key[new]
+                yield _deal(bucket[new] // width, chunk % width, key, seg[new], doc[new], np.full(len(key), chunk), np.arange(len(key)))
+        textkit.trim()
+
+    return run
+
+
+def _deal_again(buckets: int, most: int):
+    """Second step: the segments of each range to its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        n = 0
+
+        def send() -> pa.RecordBatch:
+            key, seg, doc, chunk, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = _bucket(key, buckets)
+            order = np.lexsort((place, chunk, bucket))
+            held.clear()
+            return _deal(*(x[order] if isinstance(x, np.ndarray) else x for x in (bucket, 0, key, seg, doc, chunk, place)))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append(_dealt(r))
+                n += r["n"]
+                if n >= most:
+                    yield send()
+                    n = 0
+        if held:
+            yield send()
+        textkit.trim()
+
+    return run
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1, reduce: flags of segments that have one, by group of chunks."""
+    parts = [_dealt(r) for batch in batches for r in batch.to_pylist()]
+    if not parts:
         return
-    n = sum(m[2] for m in meta)
-    flags = np.zeros(n, np.uint8)
-    if n:
-        key, seg, doc = np.concatenate(keys), np.concatenate(segs), np.concatenate(docs)
-        del keys, segs, docs
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        many = ~new
-        many[:-1] |= ~new[1:]
-        order, key = order[many], key[many]
-        seg, doc = seg[order], doc[order]
-        again = np.lexsort((doc, seg, key))
-        order, key, seg, doc = order[again], key[again], seg[again], doc[again]
-        if len(key):
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            new_seg = new_key | np.concatenate([[True], seg[1:] != seg[:-1]])
-            group, first = np.cumsum(new_key) - 1, np.maximum.accumulate(np.where(new_seg, np.arange(len(key)), 0))
-            starts = np.flatnonzero(new_key)
-            least, kinds = np.minimum.reduceat(doc, starts), np.add.reduceat(new_seg.astype(np.int64), starts)
-            covered = doc[first] < doc
-            query = ~covered & (least[group] < doc) & (kinds[group] > 1)
-            asked = np.maximum.reduceat(np.where(query, doc, NULL_ID), starts)
-            source = new_seg & (kinds[group] > 1) & (doc < asked[group])
-            flags[order] = covered * COVERED + query * QUERY + source * SOURCE
-    z, at = zstandard.ZstdCompressor(level=1), 0
-    for bucket, chunk, k in meta:
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "chunk": [chunk], "flags": [z.compress(flags[at : at + k].tobytes())]})
-        at += k
-
-
-def _ship(folder: str, buckets: int):
+    key, seg, doc, chunk, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    many = ~new
+    many[:-1] |= ~new[1:]
+    order = order[many]
+    order = order[np.lexsort((doc[order], seg[order], key[order]))]
+    key, seg, doc, chunk, place = (x[order] for x in (key, seg, doc, chunk, place))
+    if not len(key):
+        return
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new_seg = new_key | np.concatenate([[True], seg[1:] != seg[:-1]])
+    group, first = np.cumsum(new_key) - 1, np.maximum.accumulate(np.where(new_seg, np.arange(len(key)), 0))
+    starts = np.flatnonzero(new_key)
+    least, kinds = np.minimum.reduceat(doc, starts), np.add.reduceat(new_seg.astype(np.int64), starts)
+    covered = doc[first] < doc
+    query = ~covered & (least[group] < doc) & (kinds[group] > 1)
+    asked = np.maximum.reduceat(np.where(query, doc, NULL_ID), starts)
+    source = new_seg & (kinds[group] > 1) & (doc < asked[group])
+    flags = (covered * COVERED + query * QUERY + source * SOURCE).astype(np.uint8)
+    some = np.flatnonzero(flags)
+    some = some[np.lexsort((place[some], chunk[some]))]
+    chunk, place, flags, grp = chunk[some], place[some], flags[some], chunk[some] // GROUP
+    at = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])) if len(grp) else np.zeros(0, np.int64)
+    z, rows = zstandard.ZstdCompressor(level=1), []
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(grp)]):
+        rows.append({"grp": int(grp[i]), "n": j - i, "flags": _pack(z, np.diff(chunk[i:j], prepend=0), np.diff(place[i:j], prepend=0).astype(np.uint32), flags[i:j])})
+        if len(rows) == 4096:
+            yield pa.RecordBatch.from_pylist(rows, _FLAGS)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _FLAGS)
+    textkit.trim()
+
+
+FLAGS = "grp long, n long, flags binary"
+_FLAGS = pa.schema([("grp", pa.int64()), ("n", pa.int64()), ("flags", pa.binary())])
+
+
+def _ship(folder: str, buckets: int, common):
     """Step 2, map: what copies cover, into the shared folder; the bytes of queries and sources, on."""
 
-    def run(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        ids, offsets, data = Chunk(f"{folder}/chunk-{chunk}").read()
-        row, start, end, key, seg, doc, new, first, covered, bucket = _plan(ids, offsets, data, buckets)
-        unz = zstandard.ZstdDecompressor()
-        by = {b: f for b, f in zip(t["bucket"].to_pylist(), t["flags"].to_pylist(), strict=True)}
-        sent = np.frombuffer(b"".join(unz.decompress(by[b]) for b in sorted(by)), np.uint8)
-        flags = np.zeros(len(row), np.uint8)
-        flags[new] = sent
-        # rows with the id of a segment's least document share what was found for that document
-        same = doc == doc[first]
-        flags = np.where(covered, COVERED, np.where(same, flags[first] & ~np.uint8(SOURCE), 0)).astype(np.uint8) | (flags & SOURCE)
-        hit = np.flatnonzero(flags & COVERED)
-        storage.put(f"{folder}/covered-{chunk}", zstandard.ZstdCompressor(level=1).compress(np.stack([start[hit], end[hit]]).astype("<i8").tobytes()))
-        pick = np.flatnonzero(flags & (QUERY | SOURCE))
-        b, out, z = bucket[pick], [], zstandard.ZstdCompressor(level=1)
-        edges = _bucket_edges(b, buckets)
-        for k in np.unique(b):
-            p = pick[edges[k] : edges[k + 1]]
-            raw = data[rolling(start[p], end[p] - start[p])].tobytes()
-            out.append((int(k), chunk, len(p), _pack(z, np.diff(key[p], prepend=U64(0)), start[p], end[p] - start[p], doc[p], flags[p]), z.compress(raw)))
+    def run(chunks: pa.Table, t: pa.Table) -> pa.Table:
+        where, places, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for r in t.to_pylist():
+            chunk, place, flag = _unpack(r["flags"], r["n"], "<i8", "<u4", "u1")
+            where.append(np.cumsum(chunk)), places.append(np.cumsum(place, dtype=np.uint32).astype(np.int64)), kinds.append(flag)
+        where, places, kinds = np.concatenate(where), np.concatenate(places), np.concatenate(kinds)
+        out, z = [], zstandard.ZstdCompressor(level=1)
+        for chunk, uri in zip(chunks["chunk"].to_pylist(), chunks["uri"].to_pylist(), strict=True):
+            ids, offsets, data = Chunk(uri).read()
+            row, start, end, key, seg, doc, new, first, covered, bucket = _plan(ids, offsets, data, buckets, common.value)
+            sent = np.zeros(int(new.sum()), np.uint8)
+            sent[places[where == chunk]] = kinds[where == chunk]
+            flags = np.zeros(len(row), np.uint8)
+            flags[new] = sent
+            # rows with the id of a segment's least document share what was found for that document
+            same = doc == doc[first]
+            flags = np.where(covered, COVERED, np.where(same, flags[first] & ~np.uint8(SOURCE), 0)).astype(np.uint8) | (flags & SOURCE)
+            hit = np.flatnonzero(flags & COVERED)
+            storage.put(f"{folder}/covered-{chunk}", z.compress(np.stack([start[hit], end[hit]]).astype("<i8").tobytes()))
+            pick = np.flatnonzero(flags & (QUERY | SOURCE))
+            own = bucket[pick]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own)) if len(own) else np.zeros(1, np.int64)
+            for i, j in zip(edges[:-1], edges[1:]):
+                p = pick[i:j]
+                raw = data[rolling(start[p], end[p] - start[p])].tobytes()
+                out.append((int(own[i]), chunk, len(p), _pack(z, np.diff(key[p], prepend=U64(0)), start[p], end[p] - start[p], doc[p], flags[p]), z.compress(raw)))
         textkit.trim()
         cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table({n: pa.array(c, y) for n, c, y in zip(("bucket", "chunk", "n", "meta", "bytes"), cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+        return pa.table({n: pa.array(c, y) for n, c, y in zip(("bucket", "chunk", "n", "meta", "bytes"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
@@ -285,7 +387,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin, owner = start[q] + place, chunk[q]
     for c in np.unique(owner):
         b = begin[owner == c]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "found": [np.unique(b).astype("<i8").tobytes()]})
+        yield pa.RecordBatch.from_pydict({"grp": pa.array([c // GROUP], pa.int64()), "chunk": pa.array([c], pa.int64()), "found": [np.unique(b).astype("<i8").tobytes()]})
     del data, key, start, size, doc, flags, found_q, found_place
     textkit.trim()
 
@@ -311,25 +413,27 @@ def _blocks(rows: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _cut(folder: str):
-    """Step 3: the result for each document of a chunk."""
-
-    def run(t: pa.Table) -> pa.Table:
-        chunk = t["chunk"][0].as_py()
-        ids, offsets, data = Chunk(f"{folder}/chunk-{chunk}").read()
-        fs, path = storage.open_fs(f"{folder}/covered-{chunk}")
-        with fs.open_input_stream(path, compression=None) as f:
-            begin, end = np.frombuffer(zstandard.ZstdDecompressor().decompress(f.read()), "<i8").reshape(2, -1)
-        more = np.concatenate([np.frombuffer(x, "<i8") for x in t["found"].to_pylist() if x] or [np.zeros(0, np.int64)])
-        step = np.zeros(len(data) + 1, np.int32)
-        for sign, where in ((1, begin), (-1, end), (1, more), (-1, more + SPAN)):
-            np.add.at(step, where, sign)
-        gone = np.cumsum(step[:-1]) > 0
-        out = []
-        for k in range(len(ids)):
-            cut = gone[offsets[k] : offsets[k + 1]]
-            text = data[offsets[k] : offsets[k + 1]]
-            runs = int((cut[1:] & ~cut[:-1]).sum() + cut[:1].sum())
-            out.append((None if ids[k] == NULL_ID else int(ids[k]), len(text), int(cut.sum()), runs, hashlib.sha256(text[~cut].tobytes()).hexdigest()))
+    """Step 3: the result for each document of a group of chunks."""
+
+    def run(chunks: pa.Table, t: pa.Table) -> pa.Table:
+        out, found = [], {}
+        for r in t.to_pylist():
+            found.setdefault(r["chunk"], []).append(np.frombuffer(r["found"], "<i8"))
+        for chunk, uri in zip(chunks["chunk"].to_pylist(), chunks["uri"].to_pylist(), strict=True):
+            ids, offsets, data = Chunk(uri).read()
+            fs, path = storage.open_fs(f"{folder}/covered-{chunk}")
+            with fs.open_input_stream(path, compression=None) as f:
+                begin, end = np.frombuffer(zstandard.ZstdDecompressor().decompress(f.read()), "<i8").reshape(2, -1)
+            more = np.concatenate([np.zeros(0, np.int64), *found.get(chunk, [])])
+            step = np.zeros(len(data) + 1, np.int32)
+            for sign, where in ((1, begin), (-1, end), (1, more), (-1, more + SPAN)):
+                np.add.at(step, where, sign)
+            gone = np.cumsum(step[:-1]) > 0
+            for k in range(len(ids)):
+                cut = gone[offsets[k] : offsets[k + 1]]
+                text = data[offsets[k] : offsets[k + 1]]
+                runs = int((cut[1:] & ~cut[:-1]).sum() + cut[:1].sum())
+                out.append((None if ids[k] == NULL_ID else int(ids[k]), len(text), int(cut.sum()), runs, hashlib.sha256(text[~cut].tobytes()).hexdigest()))
         return pa.table({n: pa.array([o[i] for o in out], y) for i, (n, y) in enumerate((("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())))})
 
     return run
@@ -344,18 +448,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = storage.text_bytes(rows)
-    share = size // MOST_BUCKETS
-    buckets = max(8, -(-size // max(BUCKET_BYTES, share)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    buckets = max(8, -(-storage.text_bytes(docs) // BUCKET_BYTES))
+    width = 1 if buckets <= FAN else FAN
+    buckets = -(-buckets // width) * width
     folder = storage.fresh(spark, "repeats")
-    sent = rows.mapInArrow(_send(folder, buckets, max(CHUNK_BYTES, share)), "bucket int, chunk long, n long, segs binary, docs binary")
-    flags = storage.saved(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_judge, "bucket int, chunk long, flags binary"), "flags")
-    chunks = max(1, flags.select("chunk").distinct().count())
-    shipped = flags.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(_ship(folder, buckets), "bucket int, chunk long, n long, meta binary, bytes binary")
-    found = storage.saved(shipped.repartitionById(buckets, F.col("bucket")).mapInArrow(_match, "chunk long, found binary"), "found")
-    every = flags.select("chunk").distinct().withColumn("found", F.lit(None).cast("binary"))
-    return every.union(found).repartition(chunks, "chunk").groupBy("chunk").applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    manifest = storage.saved(rows.mapInArrow(_write(folder, CHUNK_BYTES, buckets, HOT_LOCAL), MANIFEST), "manifest")
+    chunks, groups, n_segments = manifest.agg(F.count("*"), F.count_distinct("grp"), F.coalesce(F.sum("segments"), F.lit(0))).first()
+    # the common anchors are at most all segments over the least count of one
+    counted = manifest.where("hot is not null").select("hot").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = [r["key"] for r in counted.where(F.col("n") >= max(HOT_SEGMENTS, n_segments // HOT_KEYS)).select("key").collect()]
+    common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(U64)))
+    sent = manifest.select("chunk", "uri").repartition(max(1, chunks), "chunk").mapInArrow(_send(buckets, width, common), SEGMENTS)
+    if width > 1:
+        sent = sent.repartition(buckets, "bucket", "salt").mapInArrow(_deal_again(buckets, DEAL_SEGMENTS), SEGMENTS)
+    flags = storage.saved(sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_judge, FLAGS), "flags")
+    own = manifest.select("grp", "chunk", "uri").repartition(max(1, groups), "grp").groupBy("grp")
+    together = lambda df: own.cogroup(df.repartition(max(1, groups), "grp").groupBy("grp"))
+    shipped = together(flags).applyInArrow(_ship(folder, buckets, common), "bucket long, chunk long, n long, meta binary, bytes binary")
+    found = storage.saved(shipped.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_match, "grp long, chunk long, found binary"), "found")
+    storage.drop(flags)
+    return together(found).applyInArrow(_cut(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
