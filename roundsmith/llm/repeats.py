@@ -138,7 +138,13 @@ def _plan(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, buckets: int,
         got.append((row + i, start + offsets[i], end + offsets[i], key, seg))
     row, start, end, key, seg = (np.concatenate(x) for x in zip(*got, strict=True)) if got else segments(data[:0], np.zeros(1, np.int64))
     doc = ids[row] if len(row) else np.zeros(0, np.int64)
-    order = np.lexsort((start, doc, seg, key))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    many = np.zeros(len(key), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    some = order[many]  # few share a key: only these are sorted by more
+    order[many] = some[np.lexsort((start[some], doc[some], seg[some], key[some]))]
     row, start, end, key, seg, doc = (x[order] for x in (row, start, end, key, seg, doc))
     new = np.ones(len(row), bool)
     new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
@@ -170,7 +176,25 @@ SEGMENTS = "bucket long, salt long, n long, segs binary, docs binary, chunks bin
 _SEGMENTS = pa.schema([("bucket", pa.int64()), ("salt", pa.int64()), ("n", pa.int64()), ("segs", pa.binary()), ("docs", pa.binary()), ("chunks", pa.binary())])
 
 
-def _write(folder: str, chunk_bytes: int, buckets: int, hot_local: int):
+def _different(offsets: np.ndarray, data: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many different segments a chunk has, and how many of them the anchors with two and more have."""
+    keys, segs = [np.zeros(0, U64)], [np.zeros(0, U64)]
+    for i, j in textkit.slices(offsets):
+        _, _, _, key, seg = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        keys.append(key), segs.append(seg)
+    key, seg = np.concatenate(keys) >> U64(64 - KEY_BITS), np.concatenate(segs)
+    order = np.argsort(key)
+    key, seg = key[order], seg[order]
+    same = key[1:] == key[:-1]
+    many = np.zeros(len(key), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    pairs = np.unique(np.stack([key[many], seg[many]], axis=1), axis=0) if many.any() else np.zeros((0, 2), U64)
+    own, count = np.unique(pairs[:, 0], return_counts=True)
+    return len(key) - int(many.sum()) + len(pairs), own[count > 1], count[count > 1]
+
+
+def _write(folder: str, chunk_bytes: int, hot_local: int):
     """Step 0: the chunks of a task, under names of this attempt; what is listed of them is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +206,11 @@ def _write(folder: str, chunk_bytes: int, buckets: int, hot_local: int):
             chunk = (part << 20) + k
             uri = f"{folder}/chunk-{chunk}-{uuid.uuid4().hex}"
             Chunk(uri).write(ids, texts)
-            key, new = (_plan(*Chunk.tables(ids, texts), buckets)[c] for c in (3, 6))
-            own, count = np.unique(key[new], return_counts=True)
+            n, own, count = _different(*Chunk.tables(ids, texts)[1:])
             many = count >= hot_local
             hot = np.concatenate([own[many], count[many].astype(U64)]).tobytes()
             ids.clear(), texts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((chunk // GROUP, pa.int64()), (chunk, pa.int64()), (uri, pa.string()), (int(new.sum()), pa.int64()), (hot or None, pa.binary()))], ["grp", "chunk", "uri", "segments", "hot"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((chunk // GROUP, pa.int64()), (chunk, pa.int64()), (uri, pa.string()), (n, pa.int64()), (hot or None, pa.binary()))], ["grp", "chunk", "uri", "segments", "hot"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -453,7 +476,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     width = 1 if buckets <= FAN else FAN
     buckets = -(-buckets // width) * width
     folder = storage.fresh(spark, "repeats")
-    manifest = storage.saved(rows.mapInArrow(_write(folder, CHUNK_BYTES, buckets, HOT_LOCAL), MANIFEST), "manifest")
+    manifest = storage.saved(rows.mapInArrow(_write(folder, CHUNK_BYTES, HOT_LOCAL), MANIFEST), "manifest")
     chunks, groups, n_segments = manifest.agg(F.count("*"), F.count_distinct("grp"), F.coalesce(F.sum("segments"), F.lit(0))).first()
     # the common anchors are at most all segments over the least count of one
     counted = manifest.where("hot is not null").select("hot").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
