@@ -44,7 +44,7 @@ HOT_LOCAL, HOT_SETS, HOT_KEYS = 50, 200_000, 1 << 22
 RECURRENCE = 1 / 64
 #: Members of a block when the pairs of a group are compared: at least BLOCK, of larger groups a COPIES-th, and
 #: never more than BLOCK_BYTES of sketches; texts shipped to one verifying task.
-BLOCK, COPIES, BLOCK_BYTES, BATCH = 2048, 64, 32 << 20, 256
+BLOCK, COPIES, BLOCK_BYTES, BATCH = 512, 64, 32 << 20, 256
 #: Tasks to which the sets of one group go before they are cut into blocks.
 SALTS = 64
 
