@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -435,10 +436,15 @@ def train(parts: list[tuple], rounds: int = 200, rate: float = 0.1, ridge: float
     return SkipChainField(*params)
 
 
+@lru_cache(1)
+def _made_parts() -> list[tuple]:
+    return [p for p in (_labelled(text, known) for text, known, _ in made.examples(MADE, 1)) if p]
+
+
 def fit(docs: DataFrame | None = None) -> SkipChainField:
     """Fits the field on MADE made-up texts and on a sample of whole documents: of those with the least hash
     at most SAMPLE_DOCS, and SAMPLE_BYTES of text in all. Without documents the made-up texts are all."""
-    parts = [_labelled(text, known) for text, known, _ in made.examples(MADE, 1)]
+    parts = list(_made_parts())
     if docs is not None:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         parts += [_labelled(r["text"]) for r in storage.sample(rows, SAMPLE_DOCS, SAMPLE_BYTES, total=docs.count())]

@@ -27,6 +27,9 @@ MAGIC = b"RSPLANE1"
 #: documents, ids, blocks, ids in a block, bytes of an id, 1 if planes are bits, sizes of the three frames
 FOOTER = struct.Struct("<9q")
 BLOCK_IDS = 1 << 16
+#: Text bytes of a file and of the task that writes it, on average: at least, and at most; files that are made
+#: before they grow from the one to the other. (A task streams its texts, whatever their number.)
+FILE_BYTES, MOST_FILE_BYTES, FILES = 10 << 20, 256 << 20, 4096
 #: Production uses byte planes: on these ids they take about the space of bit planes at a fifth of the time.
 PLANES = "byte"
 
@@ -184,7 +187,10 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [k], "file": [uri], "n_docs": [len(out.lengths)], "n_ids": [out.n_ids]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    size = storage.text_bytes(docs)
+    parts = max(8, min(-(-size // FILE_BYTES), FILES), -(-size // MOST_FILE_BYTES))
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return sorted(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect(), key=lambda r: r["part"])
 
 
