@@ -27,8 +27,9 @@ DICT_RECORDS, DICT_BYTES, DICT_SAMPLE_BYTES = 64, 16 << 10, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
-#: Copies of the table of repeated payloads, so that rows of one payload go to that many tasks.
-SALTS = 16
+#: A repeated payload is common from HOT_ROWS rows on, or a HOT_KEYS-th of all rows with a repeated payload if that
+#: is more: so at most HOT_KEYS are, and their list (48 bytes each) is broadcast.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -164,21 +165,26 @@ def read_archive(f: BinaryIO, step: int = 1 << 20) -> Iterator[dict]:
         k += 1
 
 
-def write_archives(pages: DataFrame, folder: str) -> list:
+def write_archives(pages: DataFrame, folder: str, hot_rows: int = HOT_ROWS) -> list:
     """Writes pages (page_id, url, html) as archives, one for each task; returns (file, n_records) rows.
 
     A null html has an empty payload, a null url no target URI. Rows that repeat the largest page id of
     a payload are all responses; a null page id counts as the least, and where all are null no record
-    is a revisit. Other columns are ignored; an empty table gives no archive.
+    is a revisit. Other columns are ignored; an empty table gives no archive. hot_rows: as HOT_ROWS.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha1("payload"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
-    # sums before they meet: at most one row for each payload, salt and task
-    last = large.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").select("digest", "keep")
-    last = last.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    rows = rows.join(last, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.when(F.coalesce("page_id", F.lit(-(2**63))) < F.col("keep"), F.col("keep")).alias("refers"))
+    large = F.octet_length("payload") >= REVISIT_BYTES
+    # one row for each repeated payload, summed in each task before it is shuffled
+    last = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null")
+    last = storage.saved(last, "payloads")
+    common = F.col("n") >= max(hot_rows, -(-(last.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS))
+    rows = rows.join(F.broadcast(last.where(common).select("digest", F.col("keep").alias("hot"))), "digest", "left")
+    # rows of other large payloads meet at their digest, all others are spread: no task gets a common payload whole
+    spread = F.concat(F.lit("-"), F.xxhash64(F.spark_partition_id(), "page_id", "url").cast("string"))
+    rows = rows.withColumn("at", F.when(large & F.col("hot").isNull(), F.col("digest")).otherwise(spread))
+    rows = rows.join(last.where(~common).select(F.col("digest").alias("at"), F.col("keep").alias("cold")), "at", "left").withColumn("keep", F.coalesce("hot", "cold"))
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.coalesce("page_id", F.lit(-(2**63))) < F.col("keep"), F.col("keep")).alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -192,7 +198,9 @@ def write_archives(pages: DataFrame, folder: str) -> list:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [uri], "n_records": [out.n]})
 
-    return rows.mapInArrow(write, "file string, n_records long").collect()
+    files = rows.mapInArrow(write, "file string, n_records long").collect()
+    storage.drop(last)
+    return files
 
 
 def read_archives(spark: SparkSession, files: list, payloads: bool = True) -> DataFrame:

@@ -310,9 +310,10 @@ def pages_frame(spark):
     return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int"), rows
 
 
-def test_warc_round_trip(spark, no_docs):
+@pytest.mark.parametrize("hot_rows", [2, 5, warc.HOT_ROWS])  # all repeated payloads common, the most frequent, none
+def test_warc_round_trip(spark, no_docs, hot_rows):
     frame, rows = pages_frame(spark)
-    files = warc.write_archives(frame, storage.fresh(spark, "warc"))
+    files = warc.write_archives(frame, storage.fresh(spark, "warc"), hot_rows)
     got = warc.read_archives(spark, files).collect()
     last = {}
     for i, _, h in rows:
