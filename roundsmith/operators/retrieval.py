@@ -66,7 +66,7 @@ def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
     own = saved(query_terms(queries), "query-terms")
     # tables of known size: Spark sends few terms to every task, so that no other token is shuffled, and shuffles many
     terms = saved(term_table(kb, saved(own.select("part", "term").distinct(), "terms")), "postings")
-    n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
+    n = saved(kb.groupBy("part").agg(F.count("*").alias("n_docs")), "sizes")
     weights = own.join(document_frequency(terms), ["part", "term"]).join(n, "part").select("query_id", "part", "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
     one = F.col("weight") * F.col("tf") / (F.col("len") + 1e-6)
     return terms.join(weights, ["part", "term"]).groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(one), PLACES).alias("score"))
@@ -77,12 +77,16 @@ def sparse_top(queries: DataFrame, kb: DataFrame, k: int = SPARSE_K) -> DataFram
 
     Documents without a common term have score 0 and follow in candidate order: the first k candidates
     of the part stand in for them, which is as many as can be needed."""
-    scored = sparse_scores(queries, kb)
-    first = kb.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("seq"))).where(F.col("place") <= k).select("part", "doc_id", "seq")
-    zero = queries.select("query_id", "part").join(first, "part").select("query_id", "doc_id", "seq", F.lit(0.0).alias("score"))
-    every = scored.unionByName(zero.join(scored, ["query_id", "doc_id", "seq"], "left_anti"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    return every.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # scores of common terms are above 0, so only queries with fewer than k of them need any other document
+    top = saved(ranked(sparse_scores(queries, kb)), "sparse-top")
+    few = queries.select("query_id", "part").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
+    # a table of known size: k rows for each part, which queries of one part need not be gathered to meet
+    first = kb.select("part", "doc_id", "seq", F.row_number().over(Window.partitionBy("part").orderBy("seq")).alias("place")).where(F.col("place") <= k)
+    zero = few.join(saved(first.drop("place"), "first"), "part").select("query_id", "doc_id", "seq", F.lit(0.0).alias("score"))
+    zero = zero.join(top, ["query_id", "doc_id", "seq"], "left_anti")
+    return ranked(top.drop("rank").unionByName(zero))
 
 
 def dot(a: Column, b: Column) -> Column:
