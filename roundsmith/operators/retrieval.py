@@ -20,12 +20,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf, tokens
-from roundsmith.plans.lineage import saved
+from roundsmith.plans.lineage import drop, saved
 
 TOP_K, FETCH_K, SPARSE_K, LAMBDA = 4, 20, 20, 0.5
 #: Queries and candidates that are held against each other at once; bytes of query vectors that are sent to
 #: every task (more queries make more passes over the candidates).
 BLOCK, SENT_BYTES = 2048, 64 << 20
+#: Sparse search: classes of impact for each halving of it; postings that are read of each query for a first bound of its
+#: k-th score; and the share of that bound which postings that are not read may add up to.
+CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 3, 4000, 0.35
+#: Whether best_scores counts what it reads, which takes passes of its own.
+COUNT = False
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
 PLACES = 12
 
@@ -45,11 +50,26 @@ def filtered(kb: DataFrame, conditions: dict | None) -> DataFrame:
 
 def term_table(kb: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """part, doc_id, seq, len, term, tf: postings, which one version of a knowledge base needs once. With
-    only (part, term), those of its terms: the others are dropped before anything is shuffled or counted."""
+    only (part, term), those of its terms. A document's tokens are all in its row, so they are counted there, in Arrow
+    batches: making postings shuffles nothing."""
     rows = kb.select("part", "doc_id", "seq", tokens(F.col("text")).alias("words"))
-    rows = rows.select("part", "doc_id", "seq", F.size("words").alias("len"), F.explode("words").alias("term"))
-    rows = rows if only is None else rows.join(only, ["part", "term"], "left_semi")
-    return rows.groupBy("part", "doc_id", "seq", "len", "term").agg(F.count("*").alias("tf"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.mapInArrow(_counted, f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, term string, tf long")
+    return rows if only is None else rows.join(only, ["part", "term"], "left_semi").select("part", "doc_id", "seq", "len", "term", "tf")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = b.column(3)
+        length = words.value_lengths().fill_null(0)
+        coded = words.flatten().dictionary_encode()
+        rows = np.repeat(np.arange(b.num_rows), length.to_numpy())
+        if not len(rows):
+            continue
+        key, tf = np.unique(rows * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+        row, term = (pa.array(x) for x in np.divmod(key, len(coded.dictionary)))
+        own = [b.column(k).take(row) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*own, length.take(row), coded.dictionary.take(term), pa.array(tf)], ["part", "doc_id", "seq", "len", "term", "tf"])
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -61,15 +81,109 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "part", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "part", "term").agg(F.count("*").alias("qtf"))
 
 
+def _impact() -> Column:
+    """What a posting adds to a score for each unit of a query's weight; at most 1."""
+    return F.col("tf") / (F.col("len") + 1e-6)
+
+
+class SparseIndex:
+    """The postings of the terms that some queries ask for, in blocks of one part, term and class of impact, with the
+    number and the greatest impact of each block; and the queries' weights. Tables of the shared folder, until closed."""
+
+    def __init__(self, queries: DataFrame, kb: DataFrame):
+        own = saved(query_terms(queries), "query-terms")
+        # tables of known size: Spark sends few terms to every task, so that no other token is shuffled, and shuffles many
+        terms = saved(own.select("part", "term").distinct(), "terms")
+        classed = term_table(kb, terms).withColumn("cls", F.floor(-CLASSES * F.log2(_impact())).cast("int"))
+        # dealt by block, so that a frequent term is split by its classes, however few files the knowledge base has
+        tasks = int(kb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.postings = saved(classed.repartition(tasks, "part", "term", "cls"), "postings")
+        n = saved(kb.groupBy("part").agg(F.count("*").alias("n_docs")), "sizes")
+        self.blocks = saved(self.postings.groupBy("part", "term", "cls").agg(F.count("*").alias("n"), F.max(_impact()).alias("top")), "blocks")
+        df = self.blocks.groupBy("part", "term").agg(F.sum("n").alias("df"))
+        weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
+        self.weights = saved(own.join(df, ["part", "term"]).join(n, "part").select("query_id", "part", "term", weight.alias("weight")), "weights")
+        drop(own, terms, n)
+
+    def sums(self, blocks: DataFrame) -> DataFrame:
+        """query_id, doc_id, seq, sum over the postings of blocks (query_id, part, term, cls, weight, ...)."""
+        one = F.col("weight") * _impact()
+        return self.postings.join(blocks, ["part", "term", "cls"]).groupBy("query_id", "part", "doc_id", "seq").agg(F.sum(one).alias("sum"))
+
+    def close(self) -> None:
+        drop(self.postings, self.blocks, self.weights)
+
+
+def _needed(share: float):
+    """Of a query's blocks (term, cls, n, bound, least) those whose postings must be read. For each term, blocks up
+    to some bound are skipped; these bounds add up to less than share of least, which a document of the result
+    reaches, so what is skipped of it does not. Among all such choices the one that skips most postings for what its
+    bounds add up to: steps along each term's concave hull of (bound, postings skipped), best ratio first."""
+
+    def run(t: pa.Table) -> pa.Table:
+        term, bound, n = (t[c].to_numpy() for c in ("term", "bound", "n"))
+        room = share * t["least"][0].as_py()
+        steps = []
+        order = np.lexsort((bound, term))
+        starts = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
+        for own in np.split(order, starts[1:]):
+            hull: list[list] = []  # width in bound, postings, blocks
+            for k, width in zip(own.tolist(), np.diff(bound[own], prepend=0.0).tolist(), strict=True):
+                hull.append([width, int(n[k]), [k]])
+                while len(hull) > 1 and hull[-1][1] * hull[-2][0] >= hull[-2][1] * hull[-1][0]:
+                    width, more, blocks = hull.pop()
+                    hull[-1] = [hull[-1][0] + width, hull[-1][1] + more, hull[-1][2] + blocks]
+            steps += [(width / count, int(own[0]), place, width, blocks) for place, (width, count, blocks) in enumerate(hull)]
+        read, skipped, ended = np.ones(len(term), bool), 0.0, set()
+        for _, first, _, width, blocks in sorted(steps):
+            if first in ended or skipped + width >= room:
+                ended.add(first)  # of a term the later steps need the earlier ones
+                continue
+            skipped += width
+            read[blocks] = False
+        rows = t.filter(pa.array(read)).select(["query_id", "part", "term", "cls", "weight", "least"])
+        return rows.append_column("rest", pa.array(np.full(rows.num_rows, skipped)))
+
+    return run
+
+
 def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
-    """query_id, doc_id, seq, score for every document that shares a term with a query."""
-    own = saved(query_terms(queries), "query-terms")
-    # tables of known size: Spark sends few terms to every task, so that no other token is shuffled, and shuffles many
-    terms = saved(term_table(kb, saved(own.select("part", "term").distinct(), "terms")), "postings")
-    n = saved(kb.groupBy("part").agg(F.count("*").alias("n_docs")), "sizes")
-    weights = own.join(document_frequency(terms), ["part", "term"]).join(n, "part").select("query_id", "part", "term", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("weight"))
-    one = F.col("weight") * F.col("tf") / (F.col("len") + 1e-6)
-    return terms.join(weights, ["part", "term"]).groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(one), PLACES).alias("score"))
+    """query_id, doc_id, seq, score for every document that shares a term with a query: the plain way."""
+    index = SparseIndex(queries, kb)
+    rows = index.postings.join(index.weights, ["part", "term"])
+    return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
+
+
+def best_scores(queries: DataFrame, kb: DataFrame, k: int) -> tuple[DataFrame, dict[str, int]]:
+    """query_id, doc_id, seq, score of the documents that can be among the k best of a query by a score above 0, saved; and
+    counts: postings of all queries' terms, those read, and documents scored.
+
+    Exact pruning by blocks of impact. The blocks that can add most, FIRST_POSTINGS postings of them, give each query a
+    bound that k documents reach. The blocks to be read then leave out as many postings as that bound allows, frequent terms'
+    first; a document whose sum falls short of it even with all that is left out is dropped, the others are scored in full.
+    A query that finds no k documents at first has all its postings read."""
+    index = SparseIndex(queries, kb)
+    blocks = saved(index.weights.join(index.blocks, ["part", "term"]).withColumn("bound", F.col("weight") * F.col("top")), "bounds")
+    seen = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "cls"))
+    first = index.sums(blocks.withColumn("seen", seen).where(F.col("seen") <= FIRST_POSTINGS))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))
+    least = saved(first.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min(F.when(F.col("place") == k, F.col("sum"))).alias("least")), "least")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "part", "term", "cls", "weight")) + ", least double, rest double"
+    asked = blocks.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    needed = saved(asked.groupBy("query_id").applyInArrow(_needed(SKIPPED_SHARE), out), "needed")
+    limit = needed.groupBy("query_id").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
+    left = index.sums(needed.drop("least", "rest")).join(limit, "query_id").where(F.col("sum") + F.col("rest") >= F.col("least") - 1e-9)
+    left = saved(left.select("query_id", "part", "doc_id", "seq"), "left")
+    one = F.col("weight") * _impact()
+    scored = left.join(index.weights, ["query_id", "part"]).join(index.postings, ["part", "doc_id", "seq", "term"])
+    scores = saved(scored.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(one), PLACES).alias("score")), "scores")
+    total = lambda rows: rows.join(index.blocks.select("part", "term", "cls", "n"), ["part", "term", "cls"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = {"postings": lambda: total(blocks.drop("n")), "read": lambda: total(needed), "scored": left.count}
+    counts = {name: f() for name, f in counts.items()} if COUNT else {}
+    index.close()
+    drop(blocks, least, needed, left)
+    return scores, counts
 
 
 def sparse_top(queries: DataFrame, kb: DataFrame, k: int = SPARSE_K) -> DataFrame:
@@ -80,7 +194,9 @@ def sparse_top(queries: DataFrame, kb: DataFrame, k: int = SPARSE_K) -> DataFram
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
     # scores of common terms are above 0, so only queries with fewer than k of them need any other document
-    top = saved(ranked(sparse_scores(queries, kb)), "sparse-top")
+    scores = best_scores(queries, kb, k)[0]
+    top = saved(ranked(scores), "sparse-top")
+    drop(scores)
     few = queries.select("query_id", "part").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     # a table of known size: k rows for each part, which queries of one part need not be gathered to meet
     first = kb.select("part", "doc_id", "seq", F.row_number().over(Window.partitionBy("part").orderBy("seq")).alias("place")).where(F.col("place") <= k)

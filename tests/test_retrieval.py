@@ -3,8 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from roundsmith import queries
 from roundsmith.functions.scalar import tokens
@@ -48,6 +49,43 @@ def test_sparse_equals_the_model(spark, seed):
     assert all(abs(r.score - want[r.doc_id]) < 1e-11 for r in got)
 
 
+@pytest.mark.parametrize("share, first", [(0.35, 4000), (0.35, 60), (0.9, 200), (0.0, 10)])
+def test_pruned_search_equals_scoring_all(spark, monkeypatch, share, first):
+    """Frequent and rare words, copies (ties), texts of 1 to 300 words, parts, and queries without k documents."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    text = lambda n: " ".join(vocabulary[min(299, int(rng.paretovariate(0.6)) - 1)] for _ in range(n))
+    texts = [text(rng.choice([1, 3, 30, 30, 300])) for _ in range(250)]
+    rows = [(rng.choice("aab"), 1000 - k, k, t) for k, t in enumerate(texts + texts[:40])]
+    kb = spark.createDataFrame(rows, "part string, seq long, doc_id long, text string")
+    asked = [(k, rng.choice("abc"), text(rng.choice([1, 20, 80]))) for k in range(20)] + [(90, "a", "unknown words"), (91, "b", "")]
+    asked = spark.createDataFrame(asked, "query_id int, part string, query string")
+    for name, value in (("SKIPPED_SHARE", share), ("FIRST_POSTINGS", first), ("COUNT", True)):
+        monkeypatch.setattr(retrieval, name, value)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    best = lambda rows: sorted(tuple(r) for r in rows.withColumn("k", F.row_number().over(w)).where("k <= 5").select("query_id", "k", "doc_id", "score").collect())
+    scores, counts = retrieval.best_scores(asked, kb, 5)
+    assert best(scores) == best(retrieval.sparse_scores(asked, kb))
+    assert counts["read"] < counts["postings"] / 2 if (share, first) == (0.35, 4000) else counts["read"] <= counts["postings"]
+    assert counts["scored"] < retrieval.sparse_scores(asked, kb).count() or share != 0.35
+
+
+def test_skipped_blocks_stay_below_the_bound():
+    """Against every choice of bounds: none that adds up to less skips more, beyond the step that does not fit."""
+    rng = random.Random(4)
+    for _ in range(100):
+        rows = [(t, c, rng.randrange(1, 50), b) for t in "xyz" for c, b in enumerate(sorted((rng.random() for _ in range(rng.randrange(1, 5))), reverse=True))]
+        least = 2 * rng.random()
+        t = pa.table({"query_id": [1] * len(rows), "part": ["p"] * len(rows), "term": [r[0] for r in rows], "cls": [r[1] for r in rows], "n": [r[2] for r in rows], "weight": [1.0] * len(rows), "bound": [r[3] for r in rows], "least": [least] * len(rows)})
+        got = retrieval._needed(0.5)(t).to_pylist()
+        kept = {(r["term"], r["cls"]) for r in got}
+        gone = [r for r in rows if r[:2] not in kept]
+        top = {t: max((r[3] for r in gone if r[0] == t), default=0.0) for t in "xyz"}
+        assert sum(top.values()) < 0.5 * least or not gone
+        assert all(r in gone for r in rows if r[3] <= top[r[0]])  # of a term all that is bounded lower is skipped as well
+        assert not got or abs(got[0]["rest"] - sum(top.values())) < 1e-9
+
+
 def test_empty_query_keeps_the_order(spark):
     got = retrieval.sparse_top(query_of(spark, "!!!"), kb_of(spark, ["b", "a", "c"])).orderBy("rank").collect()
     assert [(r.doc_id, r.score) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
