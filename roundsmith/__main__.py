@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
+import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -17,7 +19,7 @@ from roundsmith.sources import tables
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, provider=None) -> int:
-    """Decodes a file, runs the workflow on its text (cut to the local limit), adds both reports to the local log and
+    """Decodes a file, runs the workflow on its text (cut to the local limit), appends both reports to the local log (each run an entry of its own) and
     prints a preview of the advice. 1 if the file is missing or has no rounds, or a report could not be had."""
     parser = argparse.ArgumentParser(prog="roundsmith")
     parser.add_argument("path", nargs="?", default="data/sample.dem")
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
         print(row["error"] if row and row["error"] else "the file holds no rounds", file=sys.stderr)
         return 1
     entry = state.select(local_log(F.col("match_id"), F.col("map_name"), F.col("n_rounds"), F.col("analyst_report"), F.col("coach_advice")).alias("value"))
-    tables.append_log(entry, f"{settings.log_path}_local", f"match={row['match_id']}")
+    tables.append_log(entry, f"{settings.log_path}_local", f"run={time.time_ns()}-{uuid.uuid4().hex[:8]}")
     print(row["preview"])
     return 0
 

@@ -7,7 +7,10 @@ any other is a function from a list of prompts to a list of texts, run in batche
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import queue
+import threading
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -108,40 +111,85 @@ PROMPTS = {
 }
 
 
+def _within(seconds: float | None, call: Callable, *args):
+    """What call gives, or TimeoutError after so many seconds; the call goes on in a thread that nothing waits for."""
+    if seconds is None:
+        return call(*args)
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            done.put((call(*args), None))
+        except BaseException as e:
+            done.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        out, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return out
+
+
+def answers(ask: Callable[[list[str]], list[str | None]], prompts: list[str | None], seconds: float | None = None) -> tuple[list[str | None], list[str | None]]:
+    """Texts and errors, one of each for each prompt. Null prompts are not asked and have neither. If asking for
+    several prompts fails, takes longer than seconds, or gives another number of texts, each half is asked on its own, so that a bad
+    or slow prompt fails alone: of n prompts at most about 2 log2(n) more requests for each."""
+    texts, errors = [None] * len(prompts), [None] * len(prompts)
+
+    def part(at: list[int]) -> None:
+        try:
+            got = list(_within(seconds, ask, [prompts[k] for k in at]))
+            if len(got) != len(at):
+                raise ValueError(f"{len(got)} answers to {len(at)} prompts")
+        except Exception as e:
+            if len(at) > 1:
+                part(at[: len(at) // 2])
+                part(at[len(at) // 2 :])
+            else:
+                errors[at[0]] = f"{type(e).__name__}: {e}"
+            return
+        for k, text in zip(at, got, strict=True):
+            texts[k], errors[k] = text, NO_REPORT if text is None else None
+
+    at = [k for k, prompt in enumerate(prompts) if prompt is not None]
+    if at:
+        part(at)
+    return texts, errors
+
+
 class FunctionProvider:
-    """Wraps a batch function of prompts; an exception fails the prompts of its batch alone."""
+    """Wraps a batch function of prompts; with connect, answer takes a client that connect makes, one for each task
+    of Spark. An exception, or an answer that takes longer than seconds, fails its own prompt alone. Prompts whose parts are all
+    null are never asked."""
 
-    def __init__(self, answer: Callable[[list[str]], list[str | None]], prompts: dict[str, str] | None = None):
+    def __init__(self, answer: Callable[..., list[str | None]], prompts: dict[str, str] | None = None, connect: Callable | None = None, seconds: float | None = None):
         self.prompts = PROMPTS | (prompts or {})
 
-        @F.pandas_udf("string")
-        def run(prompt: pd.Series) -> pd.Series:
-            try:
-                return pd.Series(answer(prompt.tolist()), index=prompt.index, dtype=object)
-            except Exception:
-                return pd.Series([None] * len(prompt), index=prompt.index, dtype=object)
-
         @F.pandas_udf("text string, error string")
-        def run_whole(prompt: pd.Series) -> pd.DataFrame:
-            try:
-                text = answer(prompt.tolist())
-            except Exception as e:
-                return pd.DataFrame({"text": [None] * len(prompt), "error": [f"{type(e).__name__}: {e}"] * len(prompt)}, dtype=object)
-            return pd.DataFrame({"text": text, "error": [None if t is not None else NO_REPORT for t in text]}, dtype=object)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            ask = answer
+            for prompt in batches:
+                if connect is not None and ask is answer and prompt.notna().any():
+                    ask = partial(answer, connect())
+                text, error = answers(ask, [p if isinstance(p, str) else None for p in prompt], seconds)
+                yield pd.DataFrame({"text": text, "error": error}, dtype=object)
 
-        self._run, self._run_whole = run, run_whole
+        self._run = run
 
     def _prompt(self, step: str, **parts: Column) -> Column:
         out = F.lit(self.prompts[step])
         for name, value in parts.items():
             out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-        return out
+        return F.when(F.coalesce(*parts.values()).isNotNull(), out)
 
     def _ask(self, step: str, **parts: Column) -> Column:
-        return self._run(self._prompt(step, **parts))
+        return self.outcome(step, **parts)["text"]
 
     def outcome(self, step: str, **parts: Column) -> Column:
-        return self._run_whole(self._prompt(step, **parts))
+        return self._run(self._prompt(step, **parts))
 
     def rewrite(self, query: Column) -> Column:
         return self._ask("rewrite", query=query)

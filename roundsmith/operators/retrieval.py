@@ -26,9 +26,9 @@ TOP_K, FETCH_K, SPARSE_K, LAMBDA = 4, 20, 20, 0.5
 #: Queries and candidates that are held against each other at once; bytes of query vectors that are sent to
 #: every task (more queries make more passes over the candidates).
 BLOCK, SENT_BYTES = 2048, 64 << 20
-#: Sparse search: classes of impact for each halving of it; postings that are read of each query for a first bound of its
+#: Sparse search: postings up to which all are read; classes of impact for each halving of it; postings that are read of each query for a first bound of its
 #: k-th score; and the share of that bound which postings that are not read may add up to.
-CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 3, 4000, 0.35
+FEW_POSTINGS, CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 4_000_000, 3, 4000, 0.35
 #: Whether best_scores counts what it reads, which takes passes of its own.
 COUNT = False
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
@@ -98,12 +98,22 @@ class SparseIndex:
         # dealt by block, so that a frequent term is split by its classes, however few files the knowledge base has
         tasks = int(kb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.postings = saved(classed.repartition(tasks, "part", "term", "cls"), "postings")
-        n = saved(kb.groupBy("part").agg(F.count("*").alias("n_docs")), "sizes")
         self.blocks = saved(self.postings.groupBy("part", "term", "cls").agg(F.count("*").alias("n"), F.max(_impact()).alias("top")), "blocks")
         df = self.blocks.groupBy("part", "term").agg(F.sum("n").alias("df"))
+        n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
         weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
-        self.weights = saved(own.join(df, ["part", "term"]).join(n, "part").select("query_id", "part", "term", weight.alias("weight")), "weights")
-        drop(own, terms, n)
+        self.weights = own.join(df, ["part", "term"]).join(n, "part").select("query_id", "part", "term", weight.alias("weight"))
+        self.tables = [own, terms, self.postings, self.blocks]
+
+    def all_scores(self) -> DataFrame:
+        """query_id, doc_id, seq, score for every document that shares a term with a query."""
+        rows = self.postings.join(self.weights, ["part", "term"])
+        return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
+
+    def n_postings(self) -> int:
+        """Postings of all terms of all queries, once for each query."""
+        asked = self.tables[0].groupBy("part", "term").agg(F.count("*").alias("q"))
+        return self.blocks.join(asked, ["part", "term"]).agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0]
 
     def sums(self, blocks: DataFrame) -> DataFrame:
         """query_id, doc_id, seq, sum over the postings of blocks (query_id, part, term, cls, weight, ...)."""
@@ -111,7 +121,7 @@ class SparseIndex:
         return self.postings.join(blocks, ["part", "term", "cls"]).groupBy("query_id", "part", "doc_id", "seq").agg(F.sum(one).alias("sum"))
 
     def close(self) -> None:
-        drop(self.postings, self.blocks, self.weights)
+        drop(*self.tables)
 
 
 def _needed(share: float):
@@ -141,7 +151,7 @@ def _needed(share: float):
                 continue
             skipped += width
             read[blocks] = False
-        rows = t.filter(pa.array(read)).select(["query_id", "part", "term", "cls", "weight", "least"])
+        rows = t.filter(pa.array(read)).select(["query_id", "part", "term", "cls", "weight", "n", "least"])
         return rows.append_column("rest", pa.array(np.full(rows.num_rows, skipped)))
 
     return run
@@ -149,40 +159,38 @@ def _needed(share: float):
 
 def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """query_id, doc_id, seq, score for every document that shares a term with a query: the plain way."""
-    index = SparseIndex(queries, kb)
-    rows = index.postings.join(index.weights, ["part", "term"])
-    return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
+    return SparseIndex(queries, kb).all_scores()
 
 
-def best_scores(queries: DataFrame, kb: DataFrame, k: int) -> tuple[DataFrame, dict[str, int]]:
-    """query_id, doc_id, seq, score of the documents that can be among the k best of a query by a score above 0, saved; and
-    counts: postings of all queries' terms, those read, and documents scored.
+def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
+    """query_id, doc_id, seq, score of the documents that can be among the k best of a query by a score above 0; and
+    counts: postings of all queries' terms, those read, and (if COUNT) documents scored.
 
-    Exact pruning by blocks of impact. The blocks that can add most, FIRST_POSTINGS postings of them, give each query a
+    Exact pruning by blocks of impact. The blocks that can add most, FIRST_POSTINGS postings of them for each query, give it a
     bound that k documents reach. The blocks to be read then leave out as many postings as that bound allows, frequent terms'
     first; a document whose sum falls short of it even with all that is left out is dropped, the others are scored in full.
-    A query that finds no k documents at first has all its postings read."""
-    index = SparseIndex(queries, kb)
+    A query that finds no k documents at first has all its postings read. Of up to FEW_POSTINGS nothing is left out: the
+    scores are the same, and the passes that choose cost more than they save."""
+    postings = index.n_postings()
+    if postings <= FEW_POSTINGS:
+        return index.all_scores(), {"postings": postings, "read": postings}
+    index.weights = saved(index.weights, "weights")
     blocks = saved(index.weights.join(index.blocks, ["part", "term"]).withColumn("bound", F.col("weight") * F.col("top")), "bounds")
     seen = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "cls"))
     first = index.sums(blocks.withColumn("seen", seen).where(F.col("seen") <= FIRST_POSTINGS))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))
     least = saved(first.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min(F.when(F.col("place") == k, F.col("sum"))).alias("least")), "least")
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    out = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "part", "term", "cls", "weight")) + ", least double, rest double"
+    out = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "part", "term", "cls", "weight", "n")) + ", least double, rest double"
     asked = blocks.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     needed = saved(asked.groupBy("query_id").applyInArrow(_needed(SKIPPED_SHARE), out), "needed")
     limit = needed.groupBy("query_id").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
-    left = index.sums(needed.drop("least", "rest")).join(limit, "query_id").where(F.col("sum") + F.col("rest") >= F.col("least") - 1e-9)
+    left = index.sums(needed.drop("least", "rest", "n")).join(limit, "query_id").where(F.col("sum") + F.col("rest") >= F.col("least") - 1e-9)
     left = saved(left.select("query_id", "part", "doc_id", "seq"), "left")
-    one = F.col("weight") * _impact()
     scored = left.join(index.weights, ["query_id", "part"]).join(index.postings, ["part", "doc_id", "seq", "term"])
-    scores = saved(scored.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(one), PLACES).alias("score")), "scores")
-    total = lambda rows: rows.join(index.blocks.select("part", "term", "cls", "n"), ["part", "term", "cls"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = {"postings": lambda: total(blocks.drop("n")), "read": lambda: total(needed), "scored": left.count}
-    counts = {name: f() for name, f in counts.items()} if COUNT else {}
-    index.close()
-    drop(blocks, least, needed, left)
+    scores = scored.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
+    counts = {"postings": postings} | ({"read": needed.agg(F.sum("n")).first()[0] or 0, "scored": left.count()} if COUNT else {})
+    index.tables += [index.weights, blocks, least, needed, left]
     return scores, counts
 
 
@@ -194,9 +202,9 @@ def sparse_top(queries: DataFrame, kb: DataFrame, k: int = SPARSE_K) -> DataFram
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
     # scores of common terms are above 0, so only queries with fewer than k of them need any other document
-    scores = best_scores(queries, kb, k)[0]
-    top = saved(ranked(scores), "sparse-top")
-    drop(scores)
+    index = SparseIndex(queries, kb)
+    top = saved(ranked(best_scores(index, k)[0]), "sparse-top")
+    index.close()
     few = queries.select("query_id", "part").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     # a table of known size: k rows for each part, which queries of one part need not be gathered to meet
     first = kb.select("part", "doc_id", "seq", F.row_number().over(Window.partitionBy("part").orderBy("seq")).alias("place")).where(F.col("place") <= k)

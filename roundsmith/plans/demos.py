@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from roundsmith.functions.scalar import truncated
 from roundsmith.operators import rounds
 from roundsmith.plans import workflow
 from roundsmith.sources import payloads
-from roundsmith.sources.demo import DECODE_ERROR, DemoSource
+from roundsmith.sources.demo import DECODE_ERROR, DemoSource, decoded
 
 #: Fields of each event type: name, type, and what stands for one that the recording does not have.
 FIELDS = {
@@ -43,10 +44,11 @@ def documents(events: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, files: DataFrame | list[str], decoder: str) -> DataFrame:
-    """Decoded events of .dem files: of paths, or of a table of them (path), whose names alone come to the driver."""
+    """Decoded events of .dem files: of a few paths, or of a table of them (path), which stays distributed."""
+    if isinstance(files, DataFrame):
+        return decoded(files, decoder)
     spark.dataSource.register(DemoSource)
-    paths = files if isinstance(files, list) else [r["path"] for r in files.select("path").collect()]
-    return spark.read.format("demo").option("decoder", decoder).option("path", ",".join(paths)).load()
+    return spark.read.format("demo").option("decoder", decoder).option("paths", json.dumps(files)).load()
 
 
 def tasks(events: DataFrame, cut: bool = False) -> DataFrame:

@@ -70,9 +70,11 @@ def knowledge_retriever(kb: DataFrame, keys: list[str] = ["map"], embed: Callabl
 
 
 def critique(state: DataFrame, provider: TextProvider) -> DataFrame:
-    """Sets critique_score, and counts the try in any case. Contexts with the sentinel pass."""
+    """Sets critique_score, and counts the try in any case. Contexts with the sentinel pass: what the provider gets of
+    them is null, as a function of a column is computed for all rows whatever condition stands around it."""
     context = F.col("rag_context")
-    asked = F.when(~F.contains(context, F.lit(NO_CONTEXT_MARK)) & (context != ""), provider.critique(prefix(F.col("raw_data"), QUERY_CHARS), prefix(context, CRITIQUE_CHARS)))
+    ask = ~F.contains(context, F.lit(NO_CONTEXT_MARK)) & (context != "")
+    asked = F.when(ask, provider.critique(F.when(ask, prefix(F.coalesce("raw_data", F.lit("")), QUERY_CHARS)), F.when(ask, prefix(context, CRITIQUE_CHARS))))
     return state.withColumns({"critique_score": score(asked), "retry_count": F.col("retry_count") + 1})
 
 

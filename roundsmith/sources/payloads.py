@@ -91,9 +91,14 @@ def enqueued(matches: DataFrame, batch_id: int) -> DataFrame:
     return matches.select("match_id", "map_name", "raw_data", copy.alias("copy")).select(task_id(F.lit(batch_id), F.col("raw_data"), F.col("copy")).alias("task_id"), "match_id", "map_name", "raw_data")
 
 
+#: What the answers to payloads and uploads say.
+QUEUED, UPLOADED = "processing_in_mq", "Demo file uploaded and parsing engaged."
+
+
 def acknowledged(tasks: DataFrame) -> DataFrame:
-    """The answer to each payload that was taken."""
-    return tasks.select("task_id", "match_id", F.lit("processing_in_mq").alias("status"))
+    """The answer to each payload that was taken; with temp_filename, that to an upload."""
+    answer = tasks.select("task_id", "match_id", F.lit(QUEUED).alias("status"), *(["temp_filename"] if "temp_filename" in tasks.columns else []))
+    return answer.withColumn("message", F.lit(UPLOADED)) if "temp_filename" in tasks.columns else answer
 
 
 def uploads(files: DataFrame) -> DataFrame:
@@ -104,29 +109,46 @@ def uploads(files: DataFrame) -> DataFrame:
 
 
 def store_uploads(files: DataFrame, folder: str) -> DataFrame:
-    """Stores uploaded files (name, content) in a folder that all executors see: name, temp_filename, path, error.
-    The name's prefix comes from name and content, and a file is renamed when it is whole, so that a task that is run
-    again leaves one file. The files are written when the result is computed. Memory holds one file at a time."""
-    kept = files.select("name", is_demo(F.col("name")).alias("ok"), F.concat(F.substring(F.md5(F.concat(F.col("name").cast("binary"), F.col("content"))), 1, 8), F.lit("_"), F.element_at(F.split("name", "/"), -1)).alias("stored"), F.when(is_demo(F.col("name")), F.col("content")).alias("content"))
+    """Stores uploaded files (name, content, and upload where equal files are uploads of their own) in a folder that all
+    executors see: name, temp_filename, path, error. A stored name begins with eight digits of a hash of all three. If
+    other contents stand under it, the next eight digits are taken, so no file is overwritten by another. A file is renamed when it
+    is whole, so that a task that is run again leaves one file. The files are written when the result is computed. Memory holds one file at a time."""
+    own = F.sha2(F.concat_ws("|", F.col("name"), F.col("upload") if "upload" in files.columns else F.lit("")).cast("binary"), 256)
+    digits = F.sha2(F.concat(own.cast("binary"), F.col("content")), 256)
+    kept = files.select("name", is_demo(F.col("name")).alias("ok"), digits.alias("digits"), F.element_at(F.split("name", "/"), -1).alias("base"), F.when(is_demo(F.col("name")), F.col("content")).alias("content"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+
+        def put(digits: str, base: str, content: pa.Buffer) -> str:
+            fs.create_dir(root, recursive=True)
+            for k in range(0, len(digits), 8):
+                stored = f"{digits[k : k + 8]}_{base}"
+                if fs.get_file_info(f"{root}/{stored}").type == pafs.FileType.NotFound:
+                    temporary = f"{root}/.{stored}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(temporary, compression=None) as f:
+                        f.write(content)
+                    fs.move(temporary, f"{root}/{stored}")
+                    return stored
+                with fs.open_input_file(f"{root}/{stored}") as f:
+                    if f.size() == content.size and f.read_buffer().equals(content):
+                        return stored
+            raise FileExistsError(f"no free name for {base}")
+
+        names = ["name", "temp_filename", "path", "error"]
         for b in batches:
             out = []
             for k in range(b.num_rows):
-                name, ok, stored = (b.column(c)[k].as_py() for c in range(3))
+                name, ok, digits, base = (b.column(c)[k].as_py() for c in range(4))
                 if not ok:
                     out.append((name, None, None, "only .dem files are accepted"))
                     continue
-                path, own = f"{root}/{stored}", f"{root}/.{stored}.{uuid.uuid4().hex}"
                 try:
-                    fs.create_dir(root, recursive=True)
-                    with fs.open_output_stream(own, compression=None) as f:
-                        f.write(b.column(3)[k].as_buffer())
-                    fs.move(own, path)
+                    stored = put(digits, base, b.column(4)[k].as_buffer() or pa.py_buffer(b""))
                     out.append((name, stored, f"{folder}/{stored}", None))
                 except OSError as e:
                     out.append((name, None, None, f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["name", "temp_filename", "path", "error"]) if out else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.string()) for n in ("name", "temp_filename", "path", "error")]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names)
 
     return kept.mapInArrow(store, "name string, temp_filename string, path string, error string")

@@ -14,7 +14,7 @@ from roundsmith.sources import payloads, tables
 
 
 def _finish(tasks: DataFrame, state: DataFrame, batch_id: int, settings: tables.Settings) -> None:
-    """Status of each task (task_id, match_id, map_name), and the advice of those that have one, with the time."""
+    """Status of each task (task_id, match_id, map_name), and the advice of those that have one."""
     state = saved(state, "state")
     tables.upsert_status(state.sparkSession, workflow.task_results(state), settings.status_path, batch_id)
     entries = state.select(F.col("match_id").alias("task_id"), "coach_advice").where("coach_advice is not null").join(tasks.select("task_id", "match_id", "map_name"), "task_id")
@@ -35,13 +35,16 @@ def process_batch(raw: DataFrame, batch_id: int, settings: tables.Settings, retr
 
 
 def process_demos(files: DataFrame, batch_id: int, settings: tables.Settings, retrieve: Callable, decoder: str, provider=None) -> None:
-    """Stores a batch of uploaded files (path, content), decodes them and runs the workflow; keyed as process_batch."""
-    stored = saved(payloads.store_uploads(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), settings.landing_path + "_demos"), "uploads")
+    """Stores a batch of uploaded files (path, content), decodes them and runs the workflow; keyed as process_batch. Each
+    file of the landing folder is an upload and a task of its own, also where names and contents are equal."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("upload"), "content")
+    stored = saved(payloads.store_uploads(named, settings.landing_path + "_demos"), "uploads")
     stored.where("error is not null").write.mode("overwrite").json(f"{settings.status_path}_rejects/batch={batch_id}")
-    good = stored.where("error is null").dropDuplicates(["path"])
+    good = stored.where("error is null")
     events = saved(demos.read(files.sparkSession, good, decoder), "events")
-    ids = good.select(payloads.task_id(F.lit(batch_id), F.col("temp_filename")).alias("task_id"), F.substring_index("temp_filename", ".", 1).alias("match_id"))
+    ids = good.select(payloads.task_id(F.lit(batch_id), F.col("temp_filename")).alias("task_id"), F.substring_index("temp_filename", ".", 1).alias("match_id"), "temp_filename")
     tables.accept_tasks(payloads.acknowledged(ids), settings.status_path, batch_id)
+    ids = ids.drop("temp_filename")
     state = saved(demos.analyse(events, retrieve, provider), "demo-state").withColumnRenamed("match_id", "of")
     tasks = saved(ids.join(state.select("of", "map_name"), ids["match_id"] == F.col("of"), "left").drop("of"), "tasks")
     done = ids.join(state, ids["match_id"] == state["of"], "left").drop("match_id", "of").withColumnRenamed("task_id", "match_id")
