@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -207,15 +208,29 @@ def secret_value(token: str) -> re.Match | None:
     return max(found, key=lambda m: len(m[0])) if found else None
 
 
+def nearest(places: list[int], k: int) -> set[int]:
+    """Of some places in order the first, the last before k and the first after it."""
+    i = bisect_left(places, k)
+    return {places[0], places[max(0, i - 1)], places[min(i, len(places) - 1)]}
+
+
 def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Pairs of candidates (the last of a base number, elsewhere) that belong to one number in two ways of writing.
 
     Of numeric tokens side by side each sequence of 7 to 19 digits is compared, of other tokens each by
     itself: a card by all its digits, or the last four where the others are masked, a phone by its last seven and more, without leading zeros (of a
-    trunk or exit code), as country and area may be left out."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    trunk or exit code), as country and area may be left out. However often a number is there, a mention is linked with the first
+    and the nearest of those that it fits, so pairs grow with the text and not with its square."""
+    exact: dict[tuple[str, int], list[int]] = {}
+    ends: dict[str, list[int]] = {}  # phones by each end of seven digits and more
     cards: dict[str, int] = {}
     taken, k = set(), 0
+
+    def note(table: dict, key, at: int) -> None:
+        own = table.setdefault(key, [])
+        if not own or own[-1] != at:
+            own.append(at)
+
     for s, kind, e in base:
         while k < len(spans) and spans[k][1] <= s:
             k += 1
@@ -227,10 +242,12 @@ def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int,
         if kind >= 2:
             for raw in {text[s:e], text[s:e].replace("(0)", "")}:
                 digits = "".join(c for c in raw if "0" <= c <= "9").lstrip("0")
-                known.setdefault(digits[-7:], []).append((digits, kind, own[-1]))
+                note(exact, (digits, kind), own[-1])
                 if kind == 2:
                     cards.setdefault(digits[-4:], own[-1])
-    if not known:
+                for n in range(7, len(digits) + 1) if kind == 3 else ():
+                    note(ends, digits[-n:], own[-1])
+    if not exact:
         return []
     out, run, before = set(), [], -1
     for k, (s, e) in enumerate(spans):
@@ -251,9 +268,12 @@ def similar(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int,
             if len(held) > 19:
                 break
             own = held.lstrip("0")
-            for whole, kind, at in known.get(own[-7:], []) if len(own) >= 7 else []:
-                if own == whole or kind == 3 and (whole.endswith(own) or own.endswith(whole) and len(own) <= len(whole) + 3):
-                    out |= {(at, b) for b in range(i, k + 1)}
+            if len(own) < 7:
+                continue
+            fits = [exact.get((own, 2)), ends.get(own), *(exact.get((own[n:], 3)) for n in range(1, min(3, len(own) - 7) + 1))]
+            for places in fits:
+                if places:
+                    out |= {(at, b) for at in nearest(places, k) for b in range(i, k + 1)}
         while run and sum(len(d) for _, d in run) > 19:
             run.pop(0)
     return sorted(out)
@@ -319,7 +339,7 @@ class SkipChainField:
 def edges(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> tuple[list, list]:
     """Chain edges between neighbours with one or two characters between them; skip edges (with kind) from each
     token to the one before that is the same and to the first, between ways of writing, and from the first
-    address with a mailbox name to the parts of that name."""
+    address with a mailbox name to the parts of that name (of many names with a part, the first and the nearest)."""
     chain = [(k - 1, k) for k in range(1, len(spans)) if spans[k][0] - spans[k - 1][1] <= 2]
     skips, last, head = set(), {}, {}
     for k, (s, e) in enumerate(spans):
@@ -332,10 +352,12 @@ def edges(text: str, spans: list[tuple[int, int]], base: list[tuple[int, int, in
             head.setdefault(key, k)
     skips |= {(a, b, WRITTEN) for a, b in similar(text, spans, base)} if base else set()
     parts = mailboxes(text, base)[1] if base else {}
+    # the first address of each name that has the part, in order
+    named = {part: sorted({head["m" + name] for name in names if "m" + name in head}) for part, names in parts.items()}
     for k, (s, e) in enumerate(spans) if parts else ():
         own = text[s:e]
-        if own.casefold() in parts and own[:1].isupper():
-            skips |= {(head["m" + name], k, PART) for name in parts[own.casefold()] if "m" + name in head}
+        if own[:1].isupper() and named.get(own.casefold()):
+            skips |= {(at, k, PART) for at in nearest(named[own.casefold()], k)}
     return chain, sorted(skips)
 
 

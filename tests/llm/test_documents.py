@@ -504,3 +504,23 @@ def test_count_query_equals_the_tokenizer(spark, sf, odd_docs, no_docs, unigram)
     odd = odd_docs.collect()
     assert Counter((r.doc_id, r.n_tokens) for r in unigram_count.count_tokens(odd_docs).collect()) == Counter((r.doc_id, size(r.text)) for r in odd)
     assert unigram_count.count_tokens(no_docs).collect() == []
+
+
+def test_skip_edges_grow_with_the_text():
+    """Numbers, written otherwise, and names with a shared part, thousands of times: a few edges each, within seconds."""
+    import time
+
+    for n in (2000, 8000):
+        numbers = " and ".join(f"+49 30 1234567 or {k} then 0301234567, 1234567" for k in range(n))
+        others = " and ".join(f"+49 {k % 90 + 10} 1234567 at 1234567" for k in range(n))
+        names = " and ".join(f"anna.x{''.join(chr(97 + int(d)) for d in str(k))}@site.org said Anna" for k in range(n))
+        for text in (numbers, others, names):
+            began = time.time()
+            base = pii.base_spans(text)
+            spans = pii.candidates(text, base)
+            chain, skips = pii.edges(text, spans, base)
+            assert len(chain) <= len(spans) and n <= len(skips) <= 12 * len(spans) and time.time() - began < 10
+
+
+def test_a_mention_is_linked_with_the_first_and_the_nearest():
+    assert pii.nearest([2, 9, 30], 10) == {2, 9, 30} and pii.nearest([2, 9, 30], 1) == {2} and pii.nearest([4], 9) == {4} and pii.nearest([2, 9, 30, 50], 60) == {2, 50}
