@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,20 @@ def length_class(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
+class Statistics(NamedTuple):
+    """Of a whole test set: items, their mean length in words, and in how many items terms (ascending) occur."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class BlockMaxIndex:
     """BM25 postings with block maxima, in flat arrays; scores are shares of an item's own score."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
+        """Of items (id, text); whole: statistics of the test set that they are a part of, else their own."""
         words = [item_words(t or "") for _, t in items]
         order = sorted(range(len(items)), key=lambda k: (len(words[k]), k))
         self.ids, self.words = [items[k][0] for k in order], [words[k] for k in order]
@@ -71,7 +82,10 @@ class BlockMaxIndex:
         pair, tf = np.unique(term * n + np.repeat(np.arange(n), lengths), return_counts=True)
         of, self.post_doc = np.divmod(pair, max(1, n))
         df = np.bincount(of, minlength=m)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        total, held = n, df
+        if whole is not None:
+            total, mean, held = whole.n, whole.mean, whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log(1 + (total - held + 0.5) / (held + 0.5))
         impact = idf[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.post_doc] / mean))
         self.post_share = impact / np.bincount(self.post_doc, weights=impact, minlength=n)[self.post_doc]
         self.post_start = np.concatenate([[0], np.cumsum(df)])
@@ -214,19 +228,45 @@ def _slices(begin: np.ndarray, end: np.ndarray, many: int) -> Iterator[tuple[int
         yield k, begin[k : k + many], end[k : k + many]
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tier, own, term: each term of each item once."""
+    for b in batches:
+        terms = [np.unique(item_words(t)) for t in b.column(2).to_pylist()]
+        row = pa.array(np.repeat(np.arange(len(terms)), [len(t) for t in terms]), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate([*terms, np.zeros(0, np.int64)]))], ["tier", "own", "term"])
+
+
 def _indexes(items: DataFrame) -> Iterator:
     """Indexes of at most INDEX_BYTES or so, broadcast, that hold all items between them; items of each go with
-    their lengths. Statistics of terms are those of an index."""
+    their lengths. Numbers of items, mean length and document frequencies are those of all items, so scores do not
+    depend on how many indexes there are; an index gets the frequencies of its own terms."""
     text = F.lower(F.col("text").cast("string"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("text is not null")
     items = items.withColumn("n", F.regexp_count("text", F.lit(r"[0-9a-z\u0080-\x{10FFFF}]+"))).where("n > 0")
     items = items.withColumn("tier", F.greatest(F.lit(0), F.ceil(F.log(F.greatest("n", F.lit(1)) / FIRST_WORDS) / F.log(F.lit(8.0)))).cast("int"))
-    for tier, size in sorted(map(tuple, items.groupBy("tier").agg(F.sum(F.octet_length("text"))).collect())):
-        n_indexes = 1 + size // INDEX_BYTES
-        for k in range(n_indexes):
-            own = items.where((F.col("tier") == tier) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n_indexes)) == k)).select("item_id", "text").collect()  # INDEX_BYTES or so
-            if own:
-                yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))))
+    tiers = sorted(map(tuple, items.groupBy("tier").agg(F.sum(F.octet_length("text")), F.count("*"), F.sum("n")).collect()))
+    if not tiers:
+        return
+    parts = {tier: 1 + size // INDEX_BYTES for tier, size, _, _ in tiers}
+    many = F.element_at(F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)), F.col("tier"))
+    items = items.withColumn("own", F.pmod(F.xxhash64("item_id", "text"), many))
+    n, mean = sum(t[2] for t in tiers), sum(t[3] for t in tiers) / sum(t[2] for t in tiers)
+    saved = []
+    if sum(parts.values()) > 1:
+        terms = storage.saved(items.select("tier", "own", "text").mapInArrow(_item_terms, "tier int, own long, term long").groupBy("tier", "own", "term").agg(F.count("*").alias("n")), "item-terms")
+        whole = storage.saved(terms.groupBy("term").agg(F.sum("n").alias("df")), "item-df")
+        saved = [terms, whole]
+    for tier, k in ((tier, k) for tier, many in parts.items() for k in range(many)):
+        here = (F.col("tier") == tier) & (F.col("own") == k)
+        own = items.where(here).select("item_id", "text").collect()  # INDEX_BYTES or so
+        if not own:
+            continue
+        stats = None  # of the one index there is
+        if saved:
+            df = terms.where(here).select("term").join(whole, "term").orderBy("term").toArrow()  # terms of INDEX_BYTES
+            stats = Statistics(n, mean, df["term"].to_numpy(), df["df"].to_numpy())
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted(((r["item_id"], r["text"]) for r in own), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), stats))
+    storage.drop(*saved)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -235,7 +275,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null, empty or wordless texts match nothing; items that repeat match each; rows that repeat a doc_id
     give one row each; other columns are ignored; without items or documents there are no rows. Items
-    are split over as many indexes of at most INDEX_BYTES as they need, each asked with all documents.
+    are split over as many indexes of at most INDEX_BYTES as they need, each asked with all documents: these are
+    read once for each index. Scores and verdicts are the same however many there are.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text").cast("string")))

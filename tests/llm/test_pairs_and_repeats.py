@@ -394,3 +394,25 @@ def test_leaks_query_finds_verbatim_items(spark, sf):
     items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in docs for i, x in items if x in t}
     assert {(r.doc_id, r.item_id) for r in QUERIES["op7_bm25_leaks"](spark, sf).collect()} == want
+
+
+def test_verdicts_do_not_depend_on_the_number_of_indexes(spark, sf, monkeypatch):
+    """One index or many, and items of two length tiers: the same pairs with the same scores, copies cut at the end included."""
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(1000 + k, " ".join(rng.choice(items)[1] for _ in range(30))) for k in range(3)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(i * 10 + j, " ".join(rng.choice(w) for _ in range(20)) + " " + " ".join(w[: max(4, int(len(w) * s))])) for j, s in enumerate((1.0, 0.85, 0.7, 0.6, 0.5, 0.45))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    leaks = lambda: sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
+    tiers = leaks()
+    monkeypatch.setattr(decontaminate, "FIRST_WORDS", 1 << 20)
+    one = leaks()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 8000)
+    split = leaks()
+    assert len(list(decontaminate._indexes(items))) >= 3 and len(one) > 100 and len({r[0] for r in one}) < docs.count()
+    assert split == one and tiers == one
+    kept = decontaminate.without_leaks(docs, items)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - {r[0] for r in one}
