@@ -88,7 +88,7 @@ def test_an_idle_match_is_forgotten(spark, store, tmp_path):
 
 def test_sessions_and_repeats_of_a_stream(spark, tmp_path):
     rows = [("m", k, at(s), k, kind) for k, (s, kind) in enumerate([(0, "player_death"), (600, "round_end"), (3000, "player_death"), (1500, "player_blind")])]
-    for part in (rows[:2] + rows[:1], rows[2:], rows[1:2] + [("m", 9, at(60), 1, "player_death")], [("z", 0, at(90000), 1, "x")], [("z", 1, at(90001), 1, "x")]):
+    for part in (rows[:2] + rows[:1], rows[2:], rows[1:2], [("m", 9, at(60), 1, "player_death")], [("z", 0, at(90000), 1, "x")], [("z", 1, at(90001), 1, "x")]):
         deliver(spark, tmp_path / "in", part)
 
     def plan(events):
@@ -96,7 +96,7 @@ def test_sessions_and_repeats_of_a_stream(spark, tmp_path):
 
     run(spark, tmp_path / "in", plan, tmp_path / "out", tmp_path / "log")
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("match_id = 'm'").collect()}
-    # the repeated rows count once, and seq 9 is later than the watermark
+    # the repeated rows count once, and seq 9 is later than the watermark, which drops rows from the batch after the next on
     assert got == {("m", at(0), at(2700), 3, 1, 1), ("m", at(3000), at(4200), 1, 1, 0)}
     table = spark.createDataFrame(rows + rows[:2], SCHEMA)
     assert {tuple(r) for r in live.sessions(live.without_repeats(table, ["match_id", "seq"]), "20 minutes").collect()} == got
