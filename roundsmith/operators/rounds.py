@@ -49,6 +49,24 @@ def in_rounds_sorted(events: DataFrame, bounds: DataFrame) -> DataFrame:
     return found.where("tick > 0").drop("end_round", "lo")
 
 
+def _binned(events: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and rounds with the bins (of the mean length of a round) that they lie in: one for an event; rounds
+    have less than twice as many as there are rounds."""
+    held = bounds.where("hi > lo")
+    width = held.agg(F.greatest(F.lit(1), F.ceil(F.avg(F.col("hi") - F.col("lo")))).cast("long")).scalar()
+    at = lambda tick: F.floor(tick / F.col("width"))
+    rows = held.select(F.col("match_id").alias("m"), "round_number", "lo", "hi", width.alias("width"))
+    rows = rows.withColumn("b", F.explode(F.sequence(at(F.col("lo") + 1), at(F.col("hi"))))).drop("width")
+    return events.withColumn("width", width).withColumn("bin", at(F.col("tick"))).drop("width"), rows
+
+
+def in_rounds_binned(events: DataFrame, bounds: DataFrame) -> DataFrame:
+    """As in_rounds, for any ends: match and bin of ticks are the join key, so that an event meets the few rounds of
+    its bin, however many its match has, and a long match is many keys. The mean length of all rounds comes first."""
+    e, b = _binned(events, bounds)
+    return e.join(b, (e["match_id"] == b["m"]) & (e["bin"] == b["b"]) & (e["tick"] > b["lo"]) & (e["tick"] <= b["hi"])).drop("m", "lo", "hi", "b", "bin")
+
+
 def kills(player_death: DataFrame, bounds: DataFrame) -> DataFrame:
     """Kills by round with the first-kill flag: every kill at a round's first kill tick has it."""
     d = player_death

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roundsmith.functions.providers import NO_REPORT, RuleProvider, TextProvider, hashing_embedder, outcome
 from roundsmith.functions.scalar import CRITIQUE_CHARS, NO_CONTEXT, NO_CONTEXT_MARK, QUERY_CHARS, ROUTER_CHARS, prefix, score, strip, strip_fences
 from roundsmith.operators import retrieval
-from roundsmith.plans.lineage import cut
+from roundsmith.plans.lineage import cut, saved
 
 PASS_SCORE, MAX_TRIES = 0.7, 3
 EVERY = "*"
@@ -38,32 +38,40 @@ def route(state: DataFrame, provider: TextProvider) -> DataFrame:
     return state.withColumn("retrieval_metadata", F.coalesce(F.when(F.length(raw) > 20, found), empty))
 
 
-def parts_of(kb: DataFrame, keys: list[str]) -> DataFrame:
-    """The knowledge base laid out by filter: each document under every conjunction of its own values of keys
-    (2 to the number of keys that it has; no filter is one of them). kb has doc_id, seq, text, vec and a column
-    for each key."""
-    names = F.array(F.lit(EVERY))
-    for k in sorted(keys):
-        one = F.to_json(F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")))
-        names = F.when(F.col(k).isNull(), names).otherwise(F.concat(names, F.transform(names, lambda x: F.concat(x, one))))
-    return kb.withColumn("part", F.explode(names)).select("part", "seq", "doc_id", "text", "vec")
-
-
 def part_of(metadata: Column) -> Column:
     """The filter that metadata ask for: all their keys together; one that no document has finds none."""
     pairs = F.array_sort(F.map_entries(metadata))
     return F.concat(F.lit(EVERY), F.coalesce(F.array_join(F.transform(pairs, lambda e: F.to_json(F.struct(e["key"].alias("k"), e["value"].alias("v")))), ""), F.lit("")))
 
 
+def asked_parts(kb: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """part, seq, doc_id, text, vec: the documents of each filter that is asked for (metadata), under its part_of. kb has
+    doc_id, seq, text, vec and a column for each key; of keys that it does not have, and values that none has, nothing
+    is found.
+
+    Each filter meets the documents of its rarest value alone, which are then held against its other values; texts are
+    joined to what is found."""
+    filters = asked.select(part_of(F.col("metadata")).alias("part"), F.coalesce(F.map_entries("metadata"), F.array()).alias("_asked")).dropDuplicates(["part"])
+    value = lambda k: F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
+    own = kb.select("doc_id", F.filter(F.array(*(value(k) for k in sorted(keys))), lambda e: e["value"].isNotNull()).alias("_own"))
+    each = own.withColumn("_pair", F.explode("_own"))
+    counts = each.groupBy("_pair").agg(F.count("*").alias("_n"))
+    pairs = filters.withColumn("_pair", F.explode("_asked")).join(counts, "_pair", "left")
+    rarest = pairs.groupBy("part").agg(F.min_by(F.struct("_pair", "_asked"), F.struct(F.coalesce("_n", F.lit(0)), "_pair")).alias("_r")).select("part", "_r.*")
+    found = each.join(rarest, "_pair").where(F.size(F.array_except("_asked", "_own")) == 0).select("part", "doc_id")
+    every = own.select(F.lit(EVERY).alias("part"), "doc_id").join(filters.where(F.size("_asked") == 0), "part", "left_semi")
+    return kb.select("seq", "doc_id", "text", "vec").join(found.unionByName(every), "doc_id").select("part", "seq", "doc_id", "text", "vec")
+
+
 def knowledge_retriever(kb: DataFrame, keys: list[str] = ["map"], embed: Callable[[Column], Column] | None = None) -> Callable[[DataFrame, TextProvider], DataFrame]:
     """A retriever over kb: hybrid search with the rewritten query."""
     embed = embed or hashing_embedder()
-    laid = parts_of(kb, keys)
 
     def retrieve(pending: DataFrame, provider: TextProvider) -> DataFrame:
         asked = prefix(F.coalesce(F.col("raw_data"), F.lit("")), QUERY_CHARS)
         queries = pending.select(F.col("match_id").alias("query_id"), part_of(F.col("retrieval_metadata")).alias("part"), F.coalesce(strip(provider.rewrite(asked)), asked).alias("query"))
         queries = cut(queries.withColumn("qvec", embed(F.col("query"))))  # used several times; a provider answers once
+        laid = saved(asked_parts(kb, keys, pending.select(F.col("retrieval_metadata").alias("metadata"))), "asked-parts")
         return retrieval.context(queries, retrieval.hybrid_search(queries, laid)).withColumnRenamed("query_id", "match_id")
 
     return retrieve

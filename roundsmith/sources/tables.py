@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from roundsmith.plans.lineage import saved
 
 EVENT_TYPES = ("round_end", "player_death", "player_blind", "bomb_planted", "smokegrenade_detonate", "inferno_startfire", "hegrenade_detonate")
 POSITIONED = ("player_death", "smokegrenade_detonate", "inferno_startfire", "hegrenade_detonate")
 
+#: Folders that the status rows of a version are dealt to by task id; a table keeps the number it began with.
+STATUS_BUCKETS = 64
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -71,34 +75,82 @@ def write_knowledge(docs: DataFrame, path: str, embed) -> None:
     numbered.drop("_task", "_place", "_before").withColumn("seq", F.col("doc_id")).withColumn("vec", embed(F.col("text"))).write.mode("overwrite").parquet(path)
 
 
+def _bucket(task_id: Column) -> Column:
+    return F.pmod(F.xxhash64(task_id), F.lit(STATUS_BUCKETS)).cast("int")
+
+
+def _write_tasks(batch: DataFrame, path: str) -> None:
+    """One file for each bucket of task ids that a batch has."""
+    batch.withColumn("bucket", _bucket(F.col("task_id"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def upsert_status(spark: SparkSession, batch: DataFrame, path: str, version: int) -> None:
     """Adds a batch of task results (task_id, status, result, error) under its version; a batch that is
     run again replaces its own files, so the table stays the same."""
-    batch.write.mode("overwrite").parquet(f"{path}/version={version}")
+    _write_tasks(batch, f"{path}/version={version}")
 
 
 def accept_tasks(batch: DataFrame, path: str, version: int) -> None:
     """Notes the tasks (task_id, ...) of a batch before they are worked on; the same batch again replaces its own."""
-    batch.write.mode("overwrite").parquet(f"{path}_accepted/version={version}")
+    _write_tasks(batch, f"{path}_accepted/version={version}")
 
 
 def accepted_tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}_accepted")
 
 
-def task_status(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of each task; result only for SUCCESS, error only for FAILURE. Tasks that were taken and have
-    no row yet are STARTED."""
-    there = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
-    rows = spark.read.parquet(path) if there(path) else spark.createDataFrame([], "task_id string, status string, result string, error string, version int")
-    if there(f"{path}_accepted"):
-        rows = rows.unionByName(accepted_tasks(spark, path).select("task_id", F.lit("STARTED").alias("status"), F.lit(-1).alias("version")), allowMissingColumns=True)
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def task_status(spark: SparkSession, path: str, task_id: str | None = None) -> DataFrame:
+    """The latest row of each task, or of one; result only for SUCCESS, error only for FAILURE. Tasks that were taken
+    and have no row yet are STARTED."""
+    schema = "task_id string, status string, result string, error string, version int, bucket int"
+    rows = spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    if _exists(spark, f"{path}_accepted"):
+        rows = rows.unionByName(accepted_tasks(spark, path).select("task_id", F.lit("STARTED").alias("status"), F.lit(-1).alias("version"), "bucket"), allowMissingColumns=True)
+    if task_id is not None:  # the bucket is a folder: the others are not read
+        rows = rows.where((F.col("bucket") == _bucket(F.lit(task_id))) & (F.col("task_id") == task_id))
     rows = rows.groupBy("task_id").agg(F.max_by(F.struct("status", "result", "error"), "version").alias("s"))
     return rows.select("task_id", "s.status", F.when(F.col("s.status") == "SUCCESS", F.col("s.result")).alias("result"), F.when(F.col("s.status") == "FAILURE", F.col("s.error")).alias("error"))
 
 
-def lookup(status: DataFrame, task_id: str) -> DataFrame:
-    return status.where(F.col("task_id") == task_id)
+def lookup(spark: SparkSession, path: str, task_id: str) -> DataFrame:
+    """The status of one task, from the files of its bucket alone."""
+    return task_status(spark, path, task_id)
+
+
+def compact_status(spark: SparkSession, path: str, version: int) -> None:
+    """Brings the latest rows of the versions before one into its folder, a file for each bucket, and removes those
+    versions. The version must not be the last, which a stream may write again. What a lost run leaves is
+    harmless: a row that is there twice is the same row, and rows are moved before any are removed."""
+    rows = spark.read.parquet(path)
+    if version >= rows.agg(F.max("version")).first()[0]:
+        raise ValueError("only versions before the last are compacted")
+    newest = rows.where(F.col("version") <= version).groupBy("bucket", "task_id").agg(F.max_by(F.struct("status", "result", "error", "version"), "version").alias("s"))
+    own = f"{path}/_compact-{uuid.uuid4().hex}"
+    _write_tasks(newest.select("task_id", "s.*").where(F.col("version") < version).drop("version"), own)
+    fs, root = _folder(spark, path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in fs.listStatus(Path(own)):
+        bucket = folder.getPath()
+        if bucket.getName().startswith("bucket="):
+            target = Path(f"{path}/version={version}/{bucket.getName()}")
+            fs.mkdirs(target)
+            for file in fs.listStatus(bucket):
+                fs.rename(file.getPath(), Path(target, file.getPath().getName()))
+    fs.delete(Path(own), True)
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("version=") and int(name.removeprefix("version=")) < version:
+            fs.delete(folder.getPath(), True)
 
 
 def append_log(entries: DataFrame, path: str, key: str) -> None:

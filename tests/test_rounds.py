@@ -89,3 +89,21 @@ def test_summary_and_metrics(spark):
     totals = {r.player: r for r in metrics.player_totals(k).collect()}
     assert totals["ann"].kills == 1 and totals["bob"].kd_ratio == 0.0 and totals["ann"].kd_ratio is None and totals["ann"].adr is None
     assert metrics.blind_time(b).collect() == [] and metrics.plants_by_site(p).collect() == []
+
+
+def test_binned_join_equals_the_plain_one_and_tests_few_pairs(spark):
+    """Any ends, and one match of 2000 rounds whose events meet a few rounds each."""
+    import random
+
+    rng = random.Random(2)
+    ends_of = {"a": [100, 50, 120, 7, 7, 400], "b": [-5, 3, -9, 30], "c": [rng.randint(0, 500) for _ in range(20)], "d": [1000 * (k + 1) + rng.randint(0, 900) for k in range(2000)], "e": []}
+    e = spark.createDataFrame([(m, k, t) for m, ts in ends_of.items() for k, t in enumerate(ts)], "match_id string, seq long, tick long")
+    rows = spark.createDataFrame([(m, k, rng.randint(-20, 2_001_000 if m == "d" else 520)) for m in ends_of for k in range(4000 if m == "d" else 300)], "match_id string, seq long, tick long")
+    bounds = rounds.round_bounds(e)
+    key = lambda df: sorted(map(tuple, df.select("match_id", "seq", "tick", "round_number").collect()))
+    assert key(rounds.in_rounds_binned(rows, bounds)) == key(rounds.in_rounds(rows, bounds))
+    assert rounds.in_rounds_binned(rows, bounds).columns == ["match_id", "seq", "tick", "round_number"]
+    ev, b = rounds._binned(rows.where("match_id = 'd'"), bounds.where("match_id = 'd'"))
+    assert b.count() <= 2 * 2000 + 1
+    assert ev.join(b, (ev["match_id"] == b["m"]) & (ev["bin"] == b["b"])).count() < 4 * 4000
+    assert rounds.in_rounds_binned(rows, bounds.limit(0)).collect() == []
