@@ -16,8 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from roundsmith.functions.scalar import CONTEXT_SEPARATOR, NO_CONTEXT, idf, rrf, tokens
 from roundsmith.plans.lineage import drop, saved
@@ -29,6 +31,10 @@ BLOCK, SENT_BYTES = 2048, 64 << 20
 #: Sparse search: postings up to which all are read; classes of impact for each halving of it; postings that are read of each query for a first bound of its
 #: k-th score; and the share of that bound which postings that are not read may add up to.
 FEW_POSTINGS, CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 4_000_000, 3, 4000, 0.35
+#: Postings of documents that a task holds at once; characters of queries that are sent to every task at once.
+BLOCK_POSTINGS, SENT_CHARS = 2_000_000, 16 << 20
+#: Ids of ranked documents up to which they are sent to every task.
+SENT_IDS = 4_000_000
 #: Whether best_scores counts what it reads, which takes passes of its own.
 COUNT = False
 #: Rankings compare scores rounded to so many places, so that the order of sums does not decide ties.
@@ -48,14 +54,12 @@ def filtered(kb: DataFrame, conditions: dict | None) -> DataFrame:
     return kb if p is None else kb.where(p)
 
 
-def term_table(kb: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """part, doc_id, seq, len, term, tf: postings, which one version of a knowledge base needs once. With
-    only (part, term), those of its terms. A document's tokens are all in its row, so they are counted there, in Arrow
-    batches: making postings shuffles nothing."""
+def term_table(kb: DataFrame) -> DataFrame:
+    """part, doc_id, seq, len, term, tf: postings, which one version of a knowledge base needs once. A document's tokens
+    are all in its row, so they are counted there, in Arrow batches: making postings shuffles nothing."""
     rows = kb.select("part", "doc_id", "seq", tokens(F.col("text")).alias("words"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = rows.mapInArrow(_counted, f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, term string, tf long")
-    return rows if only is None else rows.join(only, ["part", "term"], "left_semi").select("part", "doc_id", "seq", "len", "term", "tf")
+    return rows.mapInArrow(_counted, f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, term string, tf long")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,43 +91,218 @@ def _impact() -> Column:
 
 
 class SparseIndex:
-    """The postings of the terms that some queries ask for, in blocks of one part, term and class of impact, with the
-    number and the greatest impact of each block; and the queries' weights. Tables of the shared folder, until closed."""
+    """The postings of the terms that some queries ask for, a row for each document with arrays of term numbers, frequencies
+    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings; and the
+    queries' weights. Tables of the shared folder, until closed. Documents stay in the tasks that read them: postings are never shuffled."""
 
     def __init__(self, queries: DataFrame, kb: DataFrame):
         own = saved(query_terms(queries), "query-terms")
-        # tables of known size: Spark sends few terms to every task, so that no other token is shuffled, and shuffles many
-        terms = saved(own.select("part", "term").distinct(), "terms")
-        classed = term_table(kb, terms).withColumn("cls", F.floor(-CLASSES * F.log2(_impact())).cast("int"))
-        # dealt by block, so that a frequent term is split by its classes, however few files the knowledge base has
-        tasks = int(kb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.postings = saved(classed.repartition(tasks, "part", "term", "cls"), "postings")
-        self.blocks = saved(self.postings.groupBy("part", "term", "cls").agg(F.count("*").alias("n"), F.max(_impact()).alias("top")), "blocks")
-        df = self.blocks.groupBy("part", "term").agg(F.sum("n").alias("df"))
+        asked = own.select("part", "term").distinct().toArrow().combine_chunks().sort_by([("part", "ascending"), ("term", "ascending")])
+        asked = asked.append_column("id", pa.array(np.arange(asked.num_rows, dtype=np.int32)))
+        terms = saved(kb.sparkSession.createDataFrame(asked) if asked.num_rows else own.select("part", "term", F.lit(0).alias("id")), "terms")
+        rows = kb.select("part", "doc_id", "seq", tokens(F.col("text")).alias("words"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        schema = f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, terms array<int>, tfs array<int>, classes array<tinyint>"
+        self.rows = saved(rows.mapInArrow(_asked_postings(kb.sparkSession, asked), schema), "postings")
+        self.blocks = saved(self._postings().groupBy("term", "cls").agg(F.count("*").alias("n"), F.max(_impact()).alias("top")), "blocks")
+        df = self.blocks.groupBy("term").agg(F.sum("n").alias("df"))
         n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
+        self.own = own.join(terms, ["part", "term"]).select("query_id", "part", F.col("id").alias("term"), "qtf")
         weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
-        self.weights = own.join(df, ["part", "term"]).join(n, "part").select("query_id", "part", "term", weight.alias("weight"))
-        self.tables = [own, terms, self.postings, self.blocks]
+        self.weights = self.own.join(df, "term").join(n, "part").select("query_id", "part", "term", weight.alias("weight"))
+        self.tables = [own, terms, self.rows, self.blocks]
+
+    def _postings(self) -> DataFrame:
+        each = self.rows.select("part", "doc_id", "seq", "len", F.explode(F.arrays_zip("terms", "tfs", "classes")).alias("p"))
+        return each.select("part", "doc_id", "seq", "len", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), F.col("p.classes").alias("cls"))
 
     def all_scores(self) -> DataFrame:
         """query_id, doc_id, seq, score for every document that shares a term with a query."""
-        rows = self.postings.join(self.weights, ["part", "term"])
+        rows = self._postings().join(self.weights, ["part", "term"])
         return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
 
     def n_postings(self) -> int:
         """Postings of all terms of all queries, once for each query."""
-        asked = self.tables[0].groupBy("part", "term").agg(F.count("*").alias("q"))
-        return self.blocks.join(asked, ["part", "term"]).agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0]
-
-    def sums(self, blocks: DataFrame) -> DataFrame:
-        """query_id, doc_id, seq, sum over the postings of blocks (query_id, part, term, cls, weight, ...)."""
-        one = F.col("weight") * _impact()
-        return self.postings.join(blocks, ["part", "term", "cls"]).groupBy("query_id", "part", "doc_id", "seq").agg(F.sum(one).alias("sum"))
+        asked = self.own.groupBy("term").agg(F.count("*").alias("q"))
+        return self.blocks.join(asked, "term").agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0]
 
     def close(self) -> None:
         drop(*self.tables)
 
 
+def _asked_postings(spark: SparkSession, asked: pa.Table):
+    """The postings of the asked terms (part, term, id; in order) of rows (part, doc_id, seq, words), a row for each document with any."""
+    own: dict = {}
+    for part in asked["part"].unique():
+        t = asked.filter(pc.equal(asked["part"], part))
+        own[part.as_py()] = (t["id"][0].as_py(), t["term"].combine_chunks())
+    sent = spark.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in whole.column(0).unique():
+                if part.as_py() not in sent.value:
+                    continue
+                first, terms = sent.value[part.as_py()]
+                b = whole.filter(pc.equal(whole.column(0), part))
+                words = b.column(3)
+                length = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                coded = words.flatten().dictionary_encode()
+                known = pc.index_in(coded.dictionary, value_set=terms.cast(coded.dictionary.type)).fill_null(-1).to_numpy()
+                code = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+                row, code = np.repeat(np.arange(b.num_rows), length)[code >= 0], code[code >= 0]
+                key, tf = np.unique(row * len(terms) + code, return_counts=True)
+                if not len(key):
+                    continue
+                row, code = np.divmod(key, len(terms))
+                impact = np.minimum(tf / (length[row] + 1e-6), 1.0)
+                cls = np.floor(-CLASSES * np.log2(impact)).astype(np.int8)
+                some, counts = np.unique(row, return_counts=True)
+                ends = pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((code + first).astype(np.int32), tf.astype(np.int32), cls)]
+                kept = [b.column(c).take(pa.array(some)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(length[some].astype(np.int32)), *lists], ["part", "doc_id", "seq", "len", "terms", "tfs", "classes"])
+
+    return run
+
+
+class _Asked:
+    """Queries as arrays that every task gets: of each part their ids, where their terms begin, terms, weights, the class up to which
+    postings are read at first (cut, -1: none), and least and rest of best_scores."""
+
+    def __init__(self, rows: DataFrame):
+        """rows: query_id, part, term, weight, cut[, least, rest]."""
+        t = rows.select("part", "query_id", "term", "weight", F.col("cut").cast("int").alias("cut"), *(c for c in ("least", "rest") if c in rows.columns)).toArrow().combine_chunks()
+        t = t.sort_by([("part", "ascending"), ("query_id", "ascending"), ("term", "ascending")])
+        own: dict = {}
+        for part in t["part"].unique():
+            u = t.filter(pc.equal(t["part"], part)).combine_chunks()
+            ids = u["query_id"].combine_chunks().dictionary_encode()
+            starts = np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
+            columns = [u[c].to_numpy() for c in ("term", "weight", "cut")]
+            limits = [u[c].to_numpy()[starts[:-1]] if c in u.column_names else np.zeros(len(starts) - 1) for c in ("least", "rest")]
+            own[part.as_py()] = (ids.dictionary, starts, *columns, *limits)
+        self.sent = rows.sparkSession.sparkContext.broadcast(own)
+        self.id_type = rows.schema["query_id"].dataType.simpleString()
+
+
+class _Block:
+    """Postings of some documents of one part, by term and class; and by document."""
+
+    def __init__(self, rows: pa.Table):
+        counts = pc.list_value_length(rows["terms"]).to_numpy()
+        terms, tf, cls = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "tfs", "classes"))
+        doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), counts)
+        impact = tf / (rows["len"].to_numpy()[doc] + 1e-6)
+        self.n, self.starts = rows.num_rows, np.concatenate([[0], counts.cumsum()])
+        self.own_terms, self.own_impact = terms, impact
+        self.first = int(terms.min())
+        key = (terms.astype(np.int64) << 7) + cls
+        order = np.argsort(key, kind="stable")
+        self.key, self.doc, self.impact = key[order], doc[order], impact[order]
+        self.of_term = np.searchsorted(self.key, np.arange(self.first, int(terms.max()) + 2, dtype=np.int64) << 7)
+
+    def ranges(self, terms: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the postings of terms up to their cuts begin, and how many they are."""
+        at = np.clip(terms - self.first, 0, len(self.of_term) - 1)
+        begin = self.of_term[at]
+        n = np.zeros(len(terms), np.int64)
+        some = np.flatnonzero((cut >= 0) & (at == terms - self.first) & (at < len(self.of_term) - 1))
+        some = some[self.of_term[at[some] + 1] > begin[some]]
+        n[some] = np.searchsorted(self.key, (terms[some].astype(np.int64) << 7) + cut[some], "right") - begin[some]
+        return begin, n
+
+    def sums(self, begin: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of each document the sum over these ranges."""
+        at = _each_of(begin, n)
+        return np.bincount(self.doc[at], self.impact[at] * np.repeat(weight, n), self.n)
+
+    def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of some documents by the weights of all terms."""
+        n = self.starts[docs + 1] - self.starts[docs]
+        at = _each_of(self.starts[docs], n)
+        row = np.repeat(np.arange(len(docs)), n)
+        x = weights[self.own_terms[at]] * self.own_impact[at]
+        return np.floor(np.bincount(row, x, len(docs)) * 10.0**PLACES + 0.5) / 10.0**PLACES
+
+
+def _each_of(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of ranges."""
+    return np.arange(n.sum()) + np.repeat(begin - (n.cumsum() - n), n)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple]:
+    """Parts with the rows of blocks of at most BLOCK_POSTINGS postings or one batch more."""
+    held: dict = {}
+    size = 0
+    for b in batches:
+        for part in b.column(0).unique():
+            if part.as_py() in known:
+                rows = b.filter(pc.equal(b.column(0), part))
+                held.setdefault(part.as_py(), []).append(rows)
+                size += pc.sum(pc.list_value_length(rows.column(4))).as_py()
+        if size >= BLOCK_POSTINGS:
+            yield from ((p, pa.Table.from_batches(x)) for p, x in held.items())
+            held, size = {}, 0
+    yield from ((p, pa.Table.from_batches(x)) for p, x in held.items())
+
+
+def _first_sums(asked: _Asked, k: int):
+    """query_id, sums: the k greatest sums over the postings up to the cuts, of each block of documents; rounded down."""
+    sent, id_type = asked.sent, to_arrow_type(DataType.fromDDL(asked.id_type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _blocks_of(batches, sent.value):
+            ids, starts, terms, weight, cut, _, _ = sent.value[part]
+            block = _Block(rows)
+            begin, n = block.ranges(terms, cut)
+            found, sums = [], []
+            for q in np.flatnonzero(np.add.reduceat(n, starts[:-1])):
+                own = slice(starts[q], starts[q + 1])
+                total = block.sums(begin[own], n[own], weight[own])
+                total = total[total > 0]
+                found.append(q)
+                sums.append(np.nextafter((np.partition(total, -k)[-k:] if len(total) > k else total).astype(np.float32), np.float32(0)))
+            if found:
+                ends = pa.array(np.cumsum([0, *map(len, sums)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)).cast(id_type), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sums)))], ["query_id", "sums"])
+
+    return run
+
+
+def _best_of_blocks(asked: _Asked, k: int):
+    """query_id, doc_id, seq, score: of each block of documents the k best whose sum over the postings up to the cuts can reach
+    least with rest, scored in full."""
+    sent, id_type = asked.sent, to_arrow_type(DataType.fromDDL(asked.id_type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 + max((int(own[2].max()) for own in sent.value.values()), default=0)
+        all_weights = np.zeros(size)
+        for part, rows in _blocks_of(batches, sent.value):
+            ids, starts, terms, weight, cut, least, rest = sent.value[part]
+            block, seq = _Block(rows), rows["seq"].to_numpy()
+            begin, n = block.ranges(terms, cut)
+            found = []
+            for q in np.flatnonzero(np.add.reduceat(n, starts[:-1])):
+                own = slice(starts[q], starts[q + 1])
+                total = block.sums(begin[own], n[own], weight[own])
+                docs = np.flatnonzero((total > 0) & (total >= least[q] - rest[q] - 1e-9))
+                if len(docs):
+                    all_weights[terms[own]] = weight[own]
+                    score = block.scores(docs, all_weights)
+                    all_weights[terms[own]] = 0
+                    best = np.lexsort((seq[docs], -score))[:k]
+                    best = best[score[best] >= least[q] - 1e-9]
+                    found.append((np.full(len(best), q), docs[best], score[best]))
+            if found:
+                q, docs, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                own = rows.select(["doc_id", "seq"]).take(pa.array(docs)).combine_chunks()
+                for b in pa.table([ids.take(pa.array(q)).cast(id_type), own["doc_id"], own["seq"], pa.array(score)], ["query_id", "doc_id", "seq", "score"]).to_batches(max_chunksize=100_000):
+                    yield b
+
+    return run
+
+
 def _needed(share: float):
     """Of a query's blocks (term, cls, n, bound, least) those whose postings must be read. For each term, blocks up
     to some bound are skipped; these bounds add up to less than share of least, which a document of the result
@@ -164,47 +343,58 @@ def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
 
 def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
     """query_id, doc_id, seq, score of the documents that can be among the k best of a query by a score above 0; and
-    counts: postings of all queries' terms, those read, and (if COUNT) documents scored.
+    counts: postings of all queries' terms, those read, and (if COUNT) documents handed on by the tasks.
 
-    Exact pruning by blocks of impact. The blocks that can add most, FIRST_POSTINGS postings of them for each query, give it a
-    bound that k documents reach. The blocks to be read then leave out as many postings as that bound allows, frequent terms'
-    first; a document whose sum falls short of it even with all that is left out is dropped, the others are scored in full.
+    Exact pruning by blocks of impact, within the tasks that hold the documents: no row is made for a query and a document, but for the
+    best. The blocks that can add most, FIRST_POSTINGS postings of them for each query, give it a bound that k documents reach. The
+    blocks to be read then leave out as many postings as that bound allows, frequent terms' first; a document whose sum falls short of it
+    even with all that is left out is dropped, the others are scored in full, and a task hands on the k best of each block of documents.
     A query that finds no k documents at first has all its postings read. Of up to FEW_POSTINGS nothing is left out: the
     scores are the same, and the passes that choose cost more than they save."""
     postings = index.n_postings()
     if postings <= FEW_POSTINGS:
         return index.all_scores(), {"postings": postings, "read": postings}
     index.weights = saved(index.weights, "weights")
-    blocks = saved(index.weights.join(index.blocks, ["part", "term"]).withColumn("bound", F.col("weight") * F.col("top")), "bounds")
+    blocks = saved(index.weights.join(index.blocks, "term").withColumn("bound", F.col("weight") * F.col("top")).drop("top"), "bounds")
     seen = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "cls"))
-    first = index.sums(blocks.withColumn("seen", seen).where(F.col("seen") <= FIRST_POSTINGS))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))
-    least = saved(first.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min(F.when(F.col("place") == k, F.col("sum"))).alias("least")), "least")
+    cuts = lambda rows, *more: rows.groupBy("query_id", "part", "term").agg(F.first("weight").alias("weight"), F.max("cls").alias("cut"), *more)
+    first = _Asked(cuts(blocks.withColumn("seen", seen).where(F.col("seen") <= FIRST_POSTINGS)))
+    sums = index.rows.mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
+    least = saved(sums.select("query_id", F.try_element_at(F.sort_array("sums", asc=False), F.lit(k)).cast("double").alias("least")), "least")
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
     out = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "part", "term", "cls", "weight", "n")) + ", least double, rest double"
     asked = blocks.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     needed = saved(asked.groupBy("query_id").applyInArrow(_needed(SKIPPED_SHARE), out), "needed")
     limit = needed.groupBy("query_id").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
-    left = index.sums(needed.drop("least", "rest", "n")).join(limit, "query_id").where(F.col("sum") + F.col("rest") >= F.col("least") - 1e-9)
-    left = saved(left.select("query_id", "part", "doc_id", "seq"), "left")
-    scored = left.join(index.weights, ["query_id", "part"]).join(index.postings, ["part", "doc_id", "seq", "term"])
-    scores = scored.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
-    counts = {"postings": postings} | ({"read": needed.agg(F.sum("n")).first()[0] or 0, "scored": left.count()} if COUNT else {})
-    index.tables += [index.weights, blocks, least, needed, left]
+    cut = needed.groupBy("query_id", "term").agg(F.max("cls").alias("cut"))
+    # terms of which nothing is read belong to a full score
+    last = _Asked(index.weights.join(cut, ["query_id", "term"], "left").join(limit, "query_id").withColumn("cut", F.coalesce("cut", F.lit(-1))))
+    kinds = {f.name: f.dataType.simpleString() for f in index.rows.schema}
+    scores = saved(index.rows.mapInArrow(_best_of_blocks(last, k), f"query_id {last.id_type}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, score double"), "scores")
+    counts = {"postings": postings} | ({"read": needed.agg(F.sum("n")).first()[0] or 0, "scored": scores.count()} if COUNT else {})
+    drop(blocks, needed, least)
+    index.tables += [index.weights, scores]
     return scores, counts
 
 
 def sparse_top(queries: DataFrame, kb: DataFrame, k: int = SPARSE_K) -> DataFrame:
     """query_id, doc_id, seq, score, rank (from 0): the k best of each query, ties in candidate order.
 
+    Every task gets the queries, SENT_CHARS of them at a time (more queries make more passes over the candidates).
     Documents without a common term have score 0 and follow in candidate order: the first k candidates
     of the part stand in for them, which is as many as can be needed."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
-    # scores of common terms are above 0, so only queries with fewer than k of them need any other document
-    index = SparseIndex(queries, kb)
-    top = saved(ranked(best_scores(index, k)[0]), "sparse-top")
-    index.close()
+    queries = saved(queries.select("query_id", "part", "query"), "queries")
+    size = queries.agg(F.coalesce(F.sum(F.length("query")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // SENT_CHARS))
+    top = None
+    for k_pass in range(passes):
+        # scores of common terms are above 0, so only queries with fewer than k of them need any other document
+        index = SparseIndex(queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k_pass), kb)
+        part = saved(ranked(best_scores(index, k)[0]), "sparse-top")
+        index.close()
+        top = part if top is None else top.unionByName(part)
     few = queries.select("query_id", "part").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     # a table of known size: k rows for each part, which queries of one part need not be gathered to meet
     first = kb.select("part", "doc_id", "seq", F.row_number().over(Window.partitionBy("part").orderBy("seq")).alias("place")).where(F.col("place") <= k)
@@ -307,37 +497,47 @@ def mmr(candidates: DataFrame, k: int = TOP_K, balance: float = LAMBDA) -> DataF
     return rows.select("query_id", "item.doc_id", "item.seq", F.col("rank"))
 
 
+def _of_ranked(ranked: DataFrame, kb: DataFrame, column: Column) -> DataFrame:
+    """doc_id and a column of the documents that are ranked (a saved table). Up to SENT_IDS ids go to every task, so that of the
+    knowledge base only the ranked documents are shuffled."""
+    ids = ranked.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ranked.count() <= SENT_IDS else ids
+    return kb.select("doc_id", column).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _with_texts(ranked: DataFrame, kb: DataFrame) -> DataFrame:
     """Ranked rows with the texts of their documents: of the knowledge base only the ranked ones are read on."""
     ranked = saved(ranked, "ranked")
-    texts = kb.select("doc_id", "text").join(ranked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return ranked.join(texts, "doc_id")
+    return ranked.join(_of_ranked(ranked, kb, F.col("text")), "doc_id")
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, kb: DataFrame, k: int | None = TOP_K) -> DataFrame:
-    """query_id, text, doc_id, score, first_seq, rank: reciprocal rank fusion by text.
+def fuse(dense: DataFrame, sparse: DataFrame, kb: DataFrame, k: int | None = TOP_K, texts: bool = True) -> DataFrame:
+    """query_id, text (if texts), doc_id, score, first_seq, rank: reciprocal rank fusion by text.
 
     Of dense ranks of one text the last counts, and sparse ranks add up. The document that stands for a
-    text is its last dense one, else its first sparse one; ties go by first appearance."""
-    ranked = dense.select("query_id", "doc_id", "rank", F.lit(1).alias("dense")).unionByName(sparse.select("query_id", "doc_id", "rank", F.lit(0).alias("dense")))
-    rows = _with_texts(ranked, kb)
+    text is its last dense one, else its first sparse one; ties go by first appearance. Texts are the same if their SHA-256 is;
+    only those of the result are shuffled."""
+    ranked = saved(dense.select("query_id", "doc_id", "rank", F.lit(1).alias("dense")).unionByName(sparse.select("query_id", "doc_id", "rank", F.lit(0).alias("dense"))), "ranks")
+    rows = ranked.join(_of_ranked(ranked, kb, F.unhex(F.sha2("text", 256)).alias("same")), "doc_id")
     is_dense = F.col("dense") == 1
     score = F.coalesce(rrf(F.max(F.when(is_dense, F.col("rank")))), F.lit(0.0)) + F.coalesce(F.sum(F.when(~is_dense, rrf(F.col("rank")))), F.lit(0.0))
-    both = rows.groupBy("query_id", "text").agg(
+    both = rows.groupBy("query_id", "same").agg(
         F.round(score, PLACES).alias("score"),
         F.min(F.when(is_dense, F.col("rank")).otherwise(F.col("rank") + 1000)).alias("first_seq"),
         F.coalesce(F.max_by("doc_id", F.when(is_dense, F.col("rank"))), F.min_by("doc_id", F.when(~is_dense, F.col("rank")))).alias("doc_id"),
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seq")
-    out = both.withColumn("rank", F.row_number().over(w) - 1)
-    return out if k is None else out.where(F.col("rank") < k)
+    out = both.drop("same").withColumn("rank", F.row_number().over(w) - 1)
+    out = out if k is None else out.where(F.col("rank") < k)
+    return _with_texts(out, kb).select("query_id", "text", "doc_id", "score", "first_seq", "rank") if texts else out
 
 
-def hybrid_search(queries: DataFrame, kb: DataFrame, k: int = TOP_K, sparse: bool = True) -> DataFrame:
-    """The k best documents of each query; sparse=False is the fallback to the dense choice alone."""
-    dense = mmr(dense_candidates(queries, kb), k)
+def hybrid_search(queries: DataFrame, kb: DataFrame, k: int = TOP_K, sparse: bool = True, vectors: DataFrame | None = None, texts: bool = True) -> DataFrame:
+    """The k best documents of each query; sparse=False is the fallback to the dense choice alone. vectors (part, seq, doc_id, vec), where
+    they lie in a table of their own, so that texts are not joined with them."""
+    dense = mmr(dense_candidates(queries, kb if vectors is None else vectors), k)
     if sparse:
-        return fuse(dense, sparse_top(queries, kb), kb, k)
+        return fuse(dense, sparse_top(queries, kb), kb, k, texts)
     rows = _with_texts(dense, kb)
     return rows.select("query_id", "text", "doc_id", rrf(F.col("rank")).alias("score"), F.col("rank").alias("first_seq"), "rank")
 

@@ -183,3 +183,34 @@ def test_texts_are_read_for_ranked_documents_alone(spark):
     ranks = spark.createDataFrame([(0, 1, 0)], "query_id int, doc_id long, rank int")
     plan = retrieval.fuse(ranks, ranks, kb)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("sent, block", [(16 << 20, 2_000_000), (60, 100)])
+def test_search_within_tasks_equals_scoring_all(spark, monkeypatch, sent, block):
+    """With passes over queries, blocks of documents, parts, copies (ties) and queries that find few documents or none."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(vocabulary[min(59, int(rng.paretovariate(0.8)) - 1)] for _ in range(n))
+    texts = [text(rng.choice([0, 1, 3, 30])) for _ in range(120)]
+    rows = [(rng.choice("aab"), 1000 - k, k, t) for k, t in enumerate(texts + texts[:40])]
+    kb = spark.createDataFrame(rows, "part string, seq long, doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{k}", rng.choice("abc"), text(rng.choice([0, 1, 20]))) for k in range(15)] + [("u", "a", "unknown"), ("n", "b", None)], "query_id string, part string, query string")
+    found = lambda: sorted(tuple(r) for r in retrieval.sparse_top(asked, kb, 7).select("query_id", "rank", "doc_id", "score").collect())
+    plain = found()
+    for name, value in (("FEW_POSTINGS", 0), ("SENT_CHARS", sent), ("BLOCK_POSTINGS", block)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert found() == plain
+
+
+def test_vectors_of_their_own_table_and_texts_of_the_result_alone(spark):
+    """No text is shuffled that is not of the result, and the results are those of one table with texts and vectors."""
+    texts = ["smoke a", "flash b", "smoke a", "long mid"]
+    kb = kb_of(spark, texts, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.5, 1.0]])
+    q = query_of(spark, "smoke long", "flash", vec=[1.0, 0.2])
+    rows = lambda found: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in found.collect())
+    own = retrieval.hybrid_search(q, kb.drop("vec"), vectors=kb.drop("text"))
+    assert rows(own) == rows(retrieval.hybrid_search(q, kb))
+    assert all(r.text == texts[r.doc_id] for r in own.collect())
+    ranks = spark.createDataFrame([(0, 1, 0)], "query_id int, doc_id long, rank int")
+    found = retrieval.fuse(ranks, ranks, kb, None, texts=False)
+    assert "text" not in found.columns and "sha2" in found._jdf.queryExecution().optimizedPlan().toString()
