@@ -90,6 +90,13 @@ def _impact() -> Column:
     return F.col("tf") / (F.col("len") + 1e-6)
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum of doubles that no order of its rows changes: of multiples of 2^-30, which add up exactly, and of what is left of
+    them. So documents with equal words get equal scores, and ties are ties."""
+    coarse = F.floor(x * 2.0**30) / 2.0**30
+    return F.sum(coarse) + F.sum(x - coarse)
+
+
 class SparseIndex:
     """The postings of the terms that some queries ask for, a row for each document with arrays of term numbers, frequencies
     and classes of impact; blocks of one term and class with the number and the greatest impact of their postings; and the
@@ -119,7 +126,7 @@ class SparseIndex:
     def all_scores(self) -> DataFrame:
         """query_id, doc_id, seq, score for every document that shares a term with a query."""
         rows = self._postings().join(self.weights, ["part", "term"])
-        return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(F.sum(F.col("weight") * _impact()), PLACES).alias("score"))
+        return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(_exact_sum(F.col("weight") * _impact()), PLACES).alias("score"))
 
     def n_postings(self) -> int:
         """Postings of all terms of all queries, once for each query."""
@@ -218,12 +225,14 @@ class _Block:
         return np.bincount(self.doc[at], self.impact[at] * np.repeat(weight, n), self.n)
 
     def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of some documents by the weights of all terms."""
+        """Scores of some documents by the weights of all terms, as _exact_sum adds."""
         n = self.starts[docs + 1] - self.starts[docs]
         at = _each_of(self.starts[docs], n)
         row = np.repeat(np.arange(len(docs)), n)
         x = weights[self.own_terms[at]] * self.own_impact[at]
-        return np.floor(np.bincount(row, x, len(docs)) * 10.0**PLACES + 0.5) / 10.0**PLACES
+        coarse = np.floor(x * 2.0**30) / 2.0**30
+        total = np.bincount(row, coarse, len(docs)) + np.bincount(row, x - coarse, len(docs))
+        return np.floor(total * 10.0**PLACES + 0.5) / 10.0**PLACES
 
 
 def _each_of(begin: np.ndarray, n: np.ndarray) -> np.ndarray:

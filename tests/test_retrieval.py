@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
@@ -214,3 +215,19 @@ def test_vectors_of_their_own_table_and_texts_of_the_result_alone(spark):
     ranks = spark.createDataFrame([(0, 1, 0)], "query_id int, doc_id long, rank int")
     found = retrieval.fuse(ranks, ranks, kb, None, texts=False)
     assert "text" not in found.columns and "sha2" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_do_not_depend_on_the_order(spark, monkeypatch):
+    """Documents whose words weigh the same in another order tie, whichever way they are scored."""
+    rng = random.Random(11)
+    values = [rng.random() * 10 ** rng.randrange(-3, 1) for _ in range(7)]
+    rows = [(k, x) for k in range(60) for x in rng.sample(values, 7)]
+    frame = spark.createDataFrame(rows, "k int, x double").coalesce(1)
+    assert {r.s for r in frame.groupBy("k").agg(retrieval._exact_sum(F.col("x")).alias("s")).collect()} == {math.fsum(values)}
+    assert len({r.s for r in frame.groupBy("k").agg(F.sum("x").alias("s")).collect()}) > 1
+    # by document: the block of a task
+    counts = pa.array([[*rng.sample(range(7), 7)] for _ in range(60)], pa.list_(pa.int32()))
+    ones = pa.array([[1] * 7] * 60, pa.list_(pa.int32()))
+    block = retrieval._Block(pa.table({"len": pa.array([1] * 60, pa.int32()), "terms": counts, "tfs": ones, "classes": pa.array([[0] * 7] * 60, pa.list_(pa.int8()))}))
+    monkeypatch.setattr(retrieval, "PLACES", 15)
+    assert len(set(block.scores(np.arange(60), np.array(values)).tolist())) == 1
