@@ -529,7 +529,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, kb: DataFrame, k: int | None = TOP
     ranked = saved(dense.select("query_id", "doc_id", "rank", F.lit(1).alias("dense")).unionByName(sparse.select("query_id", "doc_id", "rank", F.lit(0).alias("dense"))), "ranks")
     rows = ranked.join(_of_ranked(ranked, kb, F.unhex(F.sha2("text", 256)).alias("same")), "doc_id")
     is_dense = F.col("dense") == 1
-    score = F.coalesce(rrf(F.max(F.when(is_dense, F.col("rank")))), F.lit(0.0)) + F.coalesce(F.sum(F.when(~is_dense, rrf(F.col("rank")))), F.lit(0.0))
+    score = F.coalesce(rrf(F.max(F.when(is_dense, F.col("rank")))), F.lit(0.0)) + F.coalesce(_exact_sum(F.when(~is_dense, rrf(F.col("rank")))), F.lit(0.0))
     both = rows.groupBy("query_id", "same").agg(
         F.round(score, PLACES).alias("score"),
         F.min(F.when(is_dense, F.col("rank")).otherwise(F.col("rank") + 1000)).alias("first_seq"),

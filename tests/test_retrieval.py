@@ -231,3 +231,14 @@ def test_sums_do_not_depend_on_the_order(spark, monkeypatch):
     block = retrieval._Block(pa.table({"len": pa.array([1] * 60, pa.int32()), "terms": counts, "tfs": ones, "classes": pa.array([[0] * 7] * 60, pa.list_(pa.int8()))}))
     monkeypatch.setattr(retrieval, "PLACES", 15)
     assert len(set(block.scores(np.arange(60), np.array(values)).tolist())) == 1
+
+
+def test_fused_scores_do_not_depend_on_the_order(spark, monkeypatch):
+    """Sparse ranks of a text with many copies add up to one score, whichever copy has which rank."""
+    monkeypatch.setattr(retrieval, "PLACES", 17)
+    rng = random.Random(2)
+    kb = kb_of(spark, ["same"] * 20)
+    rows = [(q, d, r) for q in range(40) for r, d in sorted(enumerate(rng.sample(range(20), 20)), key=lambda _: rng.random())]
+    sparse = spark.createDataFrame(rows, "query_id int, doc_id long, rank int")
+    got = retrieval.fuse(sparse.limit(0), sparse, kb).collect()
+    assert len(got) == 40 and len({r.score for r in got}) == 1
