@@ -242,3 +242,13 @@ def test_fused_scores_do_not_depend_on_the_order(spark, monkeypatch):
     sparse = spark.createDataFrame(rows, "query_id int, doc_id long, rank int")
     got = retrieval.fuse(sparse.limit(0), sparse, kb).collect()
     assert len(got) == 40 and len({r.score for r in got}) == 1
+
+
+def test_hybrid_ties_of_equal_weights_stay_in_candidate_order(spark, monkeypatch):
+    """Texts in which the words of a query have the same counts in another order have the same score, however it is rounded."""
+    monkeypatch.setattr(retrieval, "PLACES", 17)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{k} " * n for k, n in enumerate(rng.sample(range(1, 10), 9))) for _ in range(30)]
+    q = query_of(spark, " ".join(f"w{k}" for k in range(9)))
+    got = retrieval.hybrid_search(q, kb_of(spark, texts), 20).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == list(range(20))
