@@ -18,6 +18,8 @@ from roundsmith.plans.lineage import cut, saved
 
 PASS_SCORE, MAX_TRIES = 0.7, 3
 EVERY = "*"
+#: Filters up to which they are sent to every task.
+SENT_FILTERS = 100_000
 
 
 def initial_state(matches: DataFrame) -> DataFrame:
@@ -49,17 +51,24 @@ def asked_parts(kb: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
     doc_id, seq, text, vec and a column for each key; of keys that it does not have, and values that none has, nothing
     is found.
 
-    Each filter meets the documents of its rarest value alone, which are then held against its other values; texts are
-    joined to what is found."""
+    Each filter meets the documents of its rarest value alone, which are then held against its other values. Up to
+    SENT_FILTERS filters go to every task, so no text is shuffled; of more, texts are joined to what is found."""
     filters = asked.select(part_of(F.col("metadata")).alias("part"), F.coalesce(F.map_entries("metadata"), F.array()).alias("_asked")).dropDuplicates(["part"])
     value = lambda k: F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
-    own = kb.select("doc_id", F.filter(F.array(*(value(k) for k in sorted(keys))), lambda e: e["value"].isNotNull()).alias("_own"))
+    whole = kb.select("seq", "doc_id", "text", "vec", F.filter(F.array(*(value(k) for k in sorted(keys))), lambda e: e["value"].isNotNull()).alias("_own"))
+    own = whole.select("doc_id", "_own")
     each = own.withColumn("_pair", F.explode("_own"))
     counts = each.groupBy("_pair").agg(F.count("*").alias("_n"))
     pairs = filters.withColumn("_pair", F.explode("_asked")).join(counts, "_pair", "left")
     rarest = pairs.groupBy("part").agg(F.min_by(F.struct("_pair", "_asked"), F.struct(F.coalesce("_n", F.lit(0)), "_pair")).alias("_r")).select("part", "_r.*")
+    all_of = filters.where(F.size("_asked") == 0)
+    rarest = saved(rarest, "rarest")
+    if rarest.count() <= SENT_FILTERS:
+        some = whole.withColumn("_pair", F.explode("_own")).join(F.broadcast(rarest), "_pair").where(F.size(F.array_except("_asked", "_own")) == 0)
+        every = whole.withColumn("part", F.lit(EVERY)).join(F.broadcast(all_of), "part", "left_semi")
+        return some.select("part", "seq", "doc_id", "text", "vec").unionByName(every.select("part", "seq", "doc_id", "text", "vec"))
     found = each.join(rarest, "_pair").where(F.size(F.array_except("_asked", "_own")) == 0).select("part", "doc_id")
-    every = own.select(F.lit(EVERY).alias("part"), "doc_id").join(filters.where(F.size("_asked") == 0), "part", "left_semi")
+    every = own.select(F.lit(EVERY).alias("part"), "doc_id").join(all_of, "part", "left_semi")
     return kb.select("seq", "doc_id", "text", "vec").join(found.unionByName(every), "doc_id").select("part", "seq", "doc_id", "text", "vec")
 
 
