@@ -90,6 +90,17 @@ def _impact() -> Column:
     return F.col("tf") / (F.col("len") + 1e-6)
 
 
+def rounded(x: Column, places: int | None = None) -> Column:
+    """x to so many places (PLACES), halves away from zero, of the double that x * 10^places is: as SQL engines round doubles, where
+    F.round goes by their decimal digits."""
+    unit = 10.0 ** (PLACES if places is None else places)
+    return F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.copysign(np.floor(np.abs(x) * 10.0**PLACES + 0.5) / 10.0**PLACES, x)
+
+
 def _exact_sum(x: Column) -> Column:
     """A sum of doubles that no order of its rows changes: of multiples of 2^-30, which add up exactly, and of what is left of
     them. So documents with equal words get equal scores, and ties are ties."""
@@ -126,7 +137,7 @@ class SparseIndex:
     def all_scores(self) -> DataFrame:
         """query_id, doc_id, seq, score for every document that shares a term with a query."""
         rows = self._postings().join(self.weights, ["part", "term"])
-        return rows.groupBy("query_id", "doc_id", "seq").agg(F.round(_exact_sum(F.col("weight") * _impact()), PLACES).alias("score"))
+        return rows.groupBy("query_id", "doc_id", "seq").agg(rounded(_exact_sum(F.col("weight") * _impact())).alias("score"))
 
     def n_postings(self) -> int:
         """Postings of all terms of all queries, once for each query."""
@@ -232,7 +243,7 @@ class _Block:
         x = weights[self.own_terms[at]] * self.own_impact[at]
         coarse = np.floor(x * 2.0**30) / 2.0**30
         total = np.bincount(row, coarse, len(docs)) + np.bincount(row, x - coarse, len(docs))
-        return np.floor(total * 10.0**PLACES + 0.5) / 10.0**PLACES
+        return _rounded(total)
 
 
 def _each_of(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -416,20 +427,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors, by the same steps as _cosines; 0 where one has no length."""
+    n = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(n > 0, F.least(F.greatest(dot(a, b) / n, F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; 0 where one has no length."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+def _cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of a with rows j of b. Components are added one after another, so that equal vectors have equal cosines wherever
+    they stand, which the sums of a matrix product do not give; for vectors of floats they are DuckDB's, bit for bit."""
+    product, own_a, own_b = np.zeros(len(i)), np.zeros(len(a)), np.zeros(len(b))
+    for x, y in zip(a.T, b.T, strict=True):
+        product += x[i] * y[j]
+        own_a += x * x
+        own_b += y * y
+    n = np.sqrt(own_a[i] * own_b[j])
+    return np.clip(np.divide(product, n, out=np.zeros(len(i)), where=n > 0), -1.0, 1.0)
 
 
 def dense_candidates(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
     """query_id, doc_id, seq, vec, sim, place: the k nearest of each query, ties in candidate order; vectors are
     of one length. Blocks of candidates times blocks of queries are matrix products, of which the k best of each
-    go on; no row is made for any other pair. Queries go to every task, SENT_BYTES of vectors at a time."""
+    go on (what comes within 1e-9 of the k-th is computed again by _cosines); no row is made for any other pair. Queries go to every task, SENT_BYTES of vectors at a time."""
     asked = queries.where("qvec is not null").select("part", "query_id", F.col("qvec").cast("array<double>").alias("qvec"))
     size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
     passes = max(1, -(-size // SENT_BYTES))
@@ -460,11 +479,14 @@ def _nearest(asked: DataFrame, k: int):
         for i in range(0, len(ids), BLOCK):
             q = asked[i : i + BLOCK]
             n = np.sqrt((q * q).sum(axis=1))[:, None] * size
-            sim = np.round(np.divide(q @ vec.T, n, out=np.zeros(n.shape), where=n > 0), PLACES)
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(q)), top.shape[1])
-            at = top.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + BLOCK], id_type).take(pa.array(row)), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim[row, at])], ["query_id", "part", "doc_id", "seq", "sim"])
+            near = np.divide(q @ vec.T, n, out=np.zeros(n.shape), where=n > 0)
+            last = -np.partition(-near, min(k, len(doc)) - 1, axis=1)[:, [min(k, len(doc)) - 1]]
+            row, at = np.nonzero(~(near < last - 1e-9))
+            sim = _rounded(_cosines(q, vec, row, at))
+            order = np.lexsort((at, -sim, row))  # at each row's own places: row is ascending
+            first = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            row, at, sim = row[first], at[first], sim[first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + BLOCK], id_type).take(pa.array(row)), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim)], ["query_id", "part", "doc_id", "seq", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -496,7 +518,7 @@ def mmr(candidates: DataFrame, k: int = TOP_K, balance: float = LAMBDA) -> DataF
         def value(c: Column) -> Column:
             near = F.array_max(F.transform(chosen, lambda s: cosine(c["vec"], s["vec"])))
             gain = F.when(F.size(chosen) == 0, c["sim"]).otherwise(balance * c["sim"] - (1 - balance) * near)
-            return F.struct(F.round(gain, PLACES).alias("gain"), (-c["place"]).alias("order"), c.alias("item"))
+            return F.struct(rounded(gain).alias("gain"), (-c["place"]).alias("order"), c.alias("item"))
 
         left = F.filter(items, lambda c: ~F.exists(chosen, lambda s: s["place"] == c["place"]))
         return F.concat(chosen, F.when(F.size(left) > 0, F.array(F.array_max(F.transform(left, value))["item"])).otherwise(F.slice(chosen, 1, 0)))
@@ -531,7 +553,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, kb: DataFrame, k: int | None = TOP
     is_dense = F.col("dense") == 1
     score = F.coalesce(rrf(F.max(F.when(is_dense, F.col("rank")))), F.lit(0.0)) + F.coalesce(_exact_sum(F.when(~is_dense, rrf(F.col("rank")))), F.lit(0.0))
     both = rows.groupBy("query_id", "same").agg(
-        F.round(score, PLACES).alias("score"),
+        rounded(score).alias("score"),
         F.min(F.when(is_dense, F.col("rank")).otherwise(F.col("rank") + 1000)).alias("first_seq"),
         F.coalesce(F.max_by("doc_id", F.when(is_dense, F.col("rank"))), F.min_by("doc_id", F.when(~is_dense, F.col("rank")))).alias("doc_id"),
     )

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -252,3 +253,24 @@ def test_hybrid_ties_of_equal_weights_stay_in_candidate_order(spark, monkeypatch
     q = query_of(spark, " ".join(f"w{k}" for k in range(9)))
     got = retrieval.hybrid_search(q, kb_of(spark, texts), 20).orderBy("rank").collect()
     assert [r.doc_id for r in got] == list(range(20))
+
+
+def test_copies_of_a_vector_tie_wherever_they_stand(spark):
+    """Cosines and their rounding are DuckDB's, bit for bit, in every place of a block; so is the order of copies."""
+    rng = np.random.default_rng(12)
+    vecs = (rng.normal(size=(101, 64)) + 2).astype(np.float32).tolist() * 5  # of the tables' type: products are exact
+    kb = spark.createDataFrame(pa.table({"part": ["*"] * 505, "seq": range(505), "doc_id": range(505), "vec": vecs}))
+    asked = spark.createDataFrame(pa.table({"query_id": range(401), "part": ["*"] * 401, "qvec": (rng.normal(size=(401, 64)) + 2).astype(np.float32).tolist()}))
+    con = duckdb.connect()
+    con.register("kb", kb.toArrow())
+    con.register("asked", asked.toArrow())
+    sql = "select query_id, row_number() over (partition by query_id order by sim desc, seq) - 1 as place, seq, sim from (select query_id, seq, round(list_cosine_similarity(vec, qvec), 12) as sim from kb, asked) order by 1, 2"
+    want = con.sql(sql).fetchall()
+    got = retrieval.dense_candidates(asked, kb, 505).select("query_id", "place", "seq", "sim").orderBy("query_id", "place").toArrow()
+    assert [tuple(r.values()) for r in got.to_pylist()] == want
+
+
+def test_scores_are_rounded_as_sql_rounds_doubles(spark):
+    x = [(1000 * k + 500) / 1e12 for k in range(7, 2000)] + [-0.5e-9, -1.5e-9, 0.0, 0.25]
+    got = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").select("k", retrieval.rounded(F.col("x"), 9).alias("r")).orderBy("k").collect()]
+    assert got == [r[0] for r in duckdb.sql(f"select round(x, 9) from (select unnest({x}::double[]) as x)").fetchall()]
