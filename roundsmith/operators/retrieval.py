@@ -33,6 +33,8 @@ BLOCK, SENT_BYTES = 2048, 64 << 20
 FEW_POSTINGS, CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 4_000_000, 3, 4000, 0.35
 #: Postings of documents that a task holds at once; characters of queries that are sent to every task at once.
 BLOCK_POSTINGS, SENT_CHARS = 2_000_000, 16 << 20
+#: Tasks for each core of the pass that finds a first bound.
+TASKS_PER_CORE = 4
 #: Ids of ranked documents up to which they are sent to every task.
 SENT_IDS = 4_000_000
 #: Whether best_scores counts what it reads, which takes passes of its own.
@@ -110,7 +112,7 @@ def _exact_sum(x: Column) -> Column:
 
 class SparseIndex:
     """The postings of the terms that some queries ask for, a row for each document with arrays of term numbers, frequencies
-    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings; and the
+    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings, a row for each term; and the
     queries' weights. Tables of the shared folder, until closed. Documents stay in the tasks that read them: postings are never shuffled."""
 
     def __init__(self, queries: DataFrame, kb: DataFrame):
@@ -122,8 +124,11 @@ class SparseIndex:
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         schema = f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, terms array<int>, tfs array<int>, classes array<tinyint>"
         self.rows = saved(rows.mapInArrow(_asked_postings(kb.sparkSession, asked), schema), "postings")
-        self.blocks = saved(self._postings().groupBy("term", "cls").agg(F.count("*").alias("n"), F.max(_impact()).alias("top")), "blocks")
-        df = self.blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        # a float that is not below the impact: half as long to shuffle
+        top = F.max((_impact() * (1 + 2.0**-22)).cast("float"))
+        blocks = self._postings().groupBy("term", "cls").agg(F.count("*").alias("n"), top.alias("top")).groupBy("term")
+        self.blocks = saved(blocks.agg(F.sum("n").alias("df"), F.collect_list(F.struct("cls", F.col("n").cast("int").alias("n"), "top")).alias("classes")), "blocks")
+        df = self.blocks.select("term", "df")
         n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
         self.own = own.join(terms, ["part", "term"]).select("query_id", "part", F.col("id").alias("term"), "qtf")
         weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
@@ -142,7 +147,7 @@ class SparseIndex:
     def n_postings(self) -> int:
         """Postings of all terms of all queries, once for each query."""
         asked = self.own.groupBy("term").agg(F.count("*").alias("q"))
-        return self.blocks.join(asked, "term").agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0))).first()[0]
+        return self.blocks.join(asked, "term").agg(F.coalesce(F.sum(F.col("df") * F.col("q")), F.lit(0))).first()[0]
 
     def close(self) -> None:
         drop(*self.tables)
@@ -189,8 +194,8 @@ class _Asked:
     postings are read at first (cut, -1: none), and least and rest of best_scores."""
 
     def __init__(self, rows: DataFrame):
-        """rows: query_id, part, term, weight, cut[, least, rest]."""
-        t = rows.select("part", "query_id", "term", "weight", F.col("cut").cast("int").alias("cut"), *(c for c in ("least", "rest") if c in rows.columns)).toArrow().combine_chunks()
+        """rows: query_id, part, least, rest, terms (term, weight, cut)."""
+        t = rows.select("part", "query_id", "least", "rest", F.inline("terms")).toArrow().combine_chunks()
         t = t.sort_by([("part", "ascending"), ("query_id", "ascending"), ("term", "ascending")])
         own: dict = {}
         for part in t["part"].unique():
@@ -198,7 +203,7 @@ class _Asked:
             ids = u["query_id"].combine_chunks().dictionary_encode()
             starts = np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
             columns = [u[c].to_numpy() for c in ("term", "weight", "cut")]
-            limits = [u[c].to_numpy()[starts[:-1]] if c in u.column_names else np.zeros(len(starts) - 1) for c in ("least", "rest")]
+            limits = [u[c].to_numpy()[starts[:-1]] for c in ("least", "rest")]
             own[part.as_py()] = (ids.dictionary, starts, *columns, *limits)
         self.sent = rows.sparkSession.sparkContext.broadcast(own)
         self.id_type = rows.schema["query_id"].dataType.simpleString()
@@ -268,24 +273,31 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple]:
 
 
 def _first_sums(asked: _Asked, k: int):
-    """query_id, sums: the k greatest sums over the postings up to the cuts, of each block of documents; rounded down."""
+    """query_id, sums: the k greatest sums over the postings up to the cuts, of all documents of a task; rounded down."""
     sent, id_type = asked.sent, to_arrow_type(DataType.fromDDL(asked.id_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {part: {} for part in sent.value}
         for part, rows in _blocks_of(batches, sent.value):
-            ids, starts, terms, weight, cut, _, _ = sent.value[part]
-            block = _Block(rows)
+            _, starts, terms, weight, cut, _, _ = sent.value[part]
+            block, held = _Block(rows), best[part]
             begin, n = block.ranges(terms, cut)
-            found, sums = [], []
             for q in np.flatnonzero(np.add.reduceat(n, starts[:-1])):
                 own = slice(starts[q], starts[q + 1])
                 total = block.sums(begin[own], n[own], weight[own])
                 total = total[total > 0]
-                found.append(q)
-                sums.append(np.nextafter((np.partition(total, -k)[-k:] if len(total) > k else total).astype(np.float32), np.float32(0)))
-            if found:
-                ends = pa.array(np.cumsum([0, *map(len, sums)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found)).cast(id_type), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sums)))], ["query_id", "sums"])
+                total = np.partition(total, -k)[-k:] if len(total) > k else total
+                total = np.nextafter(total.astype(np.float32), np.float32(0))
+                if q in held:
+                    total = np.concatenate([held[q], total])
+                    total = np.partition(total, -k)[-k:] if len(total) > k else total
+                held[q] = total
+        for part, held in best.items():
+            ids, found = sent.value[part][0], list(held)
+            for at in range(0, len(found), 10_000):
+                some = found[at : at + 10_000]
+                ends = pa.array(np.cumsum([0, *(len(held[q]) for q in some)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)).cast(id_type), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([held[q] for q in some])))], ["query_id", "sums"])
 
     return run
 
@@ -356,6 +368,38 @@ def _needed(share: float):
     return run
 
 
+def _cuts(share: float | None):
+    """Of rows (query_id, part, least, terms (term, weight, classes (cls, n, top))), a query each, what _Asked takes, and the number of
+    postings that are read: by _needed, or (share None) the blocks that can add most, FIRST_POSTINGS postings of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                terms = b.column(3)[k].values
+                term, weight, classes = (terms.field(c) for c in ("term", "weight", "classes"))
+                of = np.repeat(np.arange(len(terms)), pc.list_value_length(classes).to_numpy())
+                cls, n, top = (classes.flatten().field(c).to_numpy() for c in ("cls", "n", "top"))
+                number, w = term.to_numpy()[of], weight.to_numpy()[of]
+                t = pa.table({"query_id": np.zeros(len(of), np.int8), "part": np.zeros(len(of), np.int8), "term": number, "cls": cls, "weight": w, "n": n, "bound": w * top, "least": np.full(len(of), b.column(2)[k].as_py())})
+                if share is None:
+                    order = np.lexsort((cls, number, -t["bound"].to_numpy()))
+                    t, rest = t.take(pa.array(order[t["n"].to_numpy()[order].cumsum() <= FIRST_POSTINGS])), 0.0
+                else:
+                    t = _needed(share)(t)
+                    rest = t["rest"][0].as_py() if t.num_rows else 0.0
+                cut = np.full(len(terms), -1, np.int32)  # terms of which nothing is read belong to a full score
+                known, at = np.unique(term.to_numpy(), return_index=True)
+                np.maximum.at(cut, at[np.searchsorted(known, t["term"].to_numpy())], t["cls"].to_numpy().astype(np.int32))
+                out.append((rest, t["n"].to_numpy().sum(), pa.StructArray.from_arrays([term, weight, pa.array(cut)], ["term", "weight", "cut"])))
+            if out:
+                ends = pa.array(np.cumsum([0, *(len(x[2]) for x in out)]).astype(np.int32))
+                terms = pa.ListArray.from_arrays(ends, pa.concat_arrays([x[2] for x in out]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([float(x[0]) for x in out]), pa.array([int(x[1]) for x in out]), terms], ["query_id", "part", "least", "rest", "n", "terms"])
+
+    return run
+
+
 def sparse_scores(queries: DataFrame, kb: DataFrame) -> DataFrame:
     """query_id, doc_id, seq, score for every document that shares a term with a query: the plain way."""
     return SparseIndex(queries, kb).all_scores()
@@ -374,26 +418,23 @@ def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
     postings = index.n_postings()
     if postings <= FEW_POSTINGS:
         return index.all_scores(), {"postings": postings, "read": postings}
-    index.weights = saved(index.weights, "weights")
-    blocks = saved(index.weights.join(index.blocks, "term").withColumn("bound", F.col("weight") * F.col("top")).drop("top"), "bounds")
-    seen = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term", "cls"))
-    cuts = lambda rows, *more: rows.groupBy("query_id", "part", "term").agg(F.first("weight").alias("weight"), F.max("cls").alias("cut"), *more)
-    first = _Asked(cuts(blocks.withColumn("seen", seen).where(F.col("seen") <= FIRST_POSTINGS)))
-    sums = index.rows.mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
+    own = index.weights.join(index.blocks.select("term", "classes"), "term").groupBy("query_id", "part").agg(F.collect_list(F.struct("term", "weight", "classes")).alias("terms"))
+    own = saved(own, "bounds")
+    kinds = {f.name: f.dataType.simpleString() for f in (*index.rows.schema, *own.schema)}
+    kinds["terms"] = "array<struct<term:int,weight:double,cut:int>>"
+    out = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in ("query_id", "part", "least", "rest")) + f", n long, terms {kinds['terms']}"
+    cuts = lambda least, share: own.join(F.broadcast(least), "query_id", "left").select("query_id", "part", F.coalesce("least", F.lit(0.0)).alias("least"), "terms").mapInArrow(_cuts(share), out)
+    first = _Asked(cuts(own.select("query_id", F.lit(0.0).alias("least")).limit(0), None))
+    # the k best sums of each query once for a task, so what is shuffled grows with the queries and the cluster, not with the blocks
+    rows = index.rows.coalesce(TASKS_PER_CORE * own.sparkSession.sparkContext.defaultParallelism)
+    sums = rows.mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
     least = saved(sums.select("query_id", F.try_element_at(F.sort_array("sums", asc=False), F.lit(k)).cast("double").alias("least")), "least")
-    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    out = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "part", "term", "cls", "weight", "n")) + ", least double, rest double"
-    asked = blocks.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    needed = saved(asked.groupBy("query_id").applyInArrow(_needed(SKIPPED_SHARE), out), "needed")
-    limit = needed.groupBy("query_id").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
-    cut = needed.groupBy("query_id", "term").agg(F.max("cls").alias("cut"))
-    # terms of which nothing is read belong to a full score
-    last = _Asked(index.weights.join(cut, ["query_id", "term"], "left").join(limit, "query_id").withColumn("cut", F.coalesce("cut", F.lit(-1))))
-    kinds = {f.name: f.dataType.simpleString() for f in index.rows.schema}
+    needed = saved(cuts(least, SKIPPED_SHARE), "needed")
+    last = _Asked(needed)
     scores = saved(index.rows.mapInArrow(_best_of_blocks(last, k), f"query_id {last.id_type}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, score double"), "scores")
     counts = {"postings": postings} | ({"read": needed.agg(F.sum("n")).first()[0] or 0, "scored": scores.count()} if COUNT else {})
-    drop(blocks, needed, least)
-    index.tables += [index.weights, scores]
+    drop(own, needed, least)
+    index.tables.append(scores)
     return scores, counts
 
 

@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -274,3 +275,15 @@ def test_scores_are_rounded_as_sql_rounds_doubles(spark):
     x = [(1000 * k + 500) / 1e12 for k in range(7, 2000)] + [-0.5e-9, -1.5e-9, 0.0, 0.25]
     got = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").select("k", retrieval.rounded(F.col("x"), 9).alias("r")).orderBy("k").collect()]
     assert got == [r[0] for r in duckdb.sql(f"select round(x, 9) from (select unnest({x}::double[]) as x)").fetchall()]
+
+
+def test_first_sums_of_a_task_do_not_grow_with_its_blocks(spark, monkeypatch):
+    """One row for each query with its k best of all blocks."""
+    monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", 1)
+    n = np.arange(1, 41)
+    rows = pa.table({"part": ["*"] * 40, "doc_id": n, "seq": n, "len": pa.array([100] * 40, pa.int32()), "terms": pa.array([[0]] * 40, pa.list_(pa.int32())), "tfs": pa.array([[int(x)] for x in n], pa.list_(pa.int32())), "classes": pa.array([[0]] * 40, pa.list_(pa.int8()))})
+    queries_of_part = (pa.array([7, 8]), np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 2.0]), np.array([0, 0]), np.zeros(2), np.zeros(2))
+    asked = SimpleNamespace(sent=SimpleNamespace(value={"*": queries_of_part}), id_type="int")
+    got = [r for b in retrieval._first_sums(asked, 3)(iter(rows.to_batches(max_chunksize=4))) for r in b.to_pylist()]
+    assert [r["query_id"] for r in got] == [7, 8]
+    assert [sorted(round(x, 4) for x in r["sums"]) for r in got] == [[0.38, 0.39, 0.4], [0.76, 0.78, 0.8]]
