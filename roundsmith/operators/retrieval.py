@@ -33,7 +33,9 @@ BLOCK, SENT_BYTES = 2048, 64 << 20
 FEW_POSTINGS, CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 4_000_000, 3, 4000, 0.35
 #: Postings of documents that a task holds at once; characters of queries that are sent to every task at once.
 BLOCK_POSTINGS, SENT_CHARS = 2_000_000, 16 << 20
-#: Tasks for each core of the pass that finds a first bound.
+#: Postings of a term in a task up to which they are one block.
+RARE = 8
+#: Tasks for each core of the passes that find a first bound and what queries read.
 TASKS_PER_CORE = 4
 #: Ids of ranked documents up to which they are sent to every task.
 SENT_IDS = 4_000_000
@@ -112,7 +114,7 @@ def _exact_sum(x: Column) -> Column:
 
 class SparseIndex:
     """The postings of the terms that some queries ask for, a row for each document with arrays of term numbers, frequencies
-    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings, a row for each term; and the
+    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings, a row for each term; the terms' idf and the
     queries' weights. Tables of the shared folder, until closed. Documents stay in the tasks that read them: postings are never shuffled."""
 
     def __init__(self, queries: DataFrame, kb: DataFrame):
@@ -124,16 +126,17 @@ class SparseIndex:
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         schema = f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, terms array<int>, tfs array<int>, classes array<tinyint>"
         self.rows = saved(rows.mapInArrow(_asked_postings(kb.sparkSession, asked), schema), "postings")
-        # a float that is not below the impact: half as long to shuffle
-        top = F.max((_impact() * (1 + 2.0**-22)).cast("float"))
-        blocks = self._postings().groupBy("term", "cls").agg(F.count("*").alias("n"), top.alias("top")).groupBy("term")
+        # a task for each core, so that what is shuffled grows with the blocks and the cluster, not with the documents; by term, for both groupings
+        tasks = kb.sparkSession.sparkContext.defaultParallelism
+        counted = self.rows.select("len", "terms", "tfs", "classes").coalesce(tasks).mapInArrow(_counted_blocks, "term int, cls tinyint, n long, top float")
+        blocks = counted.repartition("term").groupBy("term", "cls").agg(F.sum("n").alias("n"), F.max("top").alias("top")).groupBy("term")
         self.blocks = saved(blocks.agg(F.sum("n").alias("df"), F.collect_list(F.struct("cls", F.col("n").cast("int").alias("n"), "top")).alias("classes")), "blocks")
-        df = self.blocks.select("term", "df")
         n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
+        of_term = self.blocks.select("term", "df").join(terms.select(F.col("id").alias("term"), "part"), "term").join(F.broadcast(n), "part")
+        self.idf = saved(of_term.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf")), "idf")
         self.own = own.join(terms, ["part", "term"]).select("query_id", "part", F.col("id").alias("term"), "qtf")
-        weight = F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
-        self.weights = self.own.join(df, "term").join(n, "part").select("query_id", "part", "term", weight.alias("weight"))
-        self.tables = [own, terms, self.rows, self.blocks]
+        self.weights = self.own.join(self.idf, "term").select("query_id", "part", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        self.tables = [own, terms, self.rows, self.blocks, self.idf]
 
     def _postings(self) -> DataFrame:
         each = self.rows.select("part", "doc_id", "seq", "len", F.explode(F.arrays_zip("terms", "tfs", "classes")).alias("p"))
@@ -189,6 +192,47 @@ def _asked_postings(spark: SparkSession, asked: pa.Table):
     return run
 
 
+def _merged(key: np.ndarray, n: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys once, in order, with the sum of n and the greatest top of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[starts], np.add.reduceat(n[order], starts), np.maximum.reduceat(top[order], starts)) if len(key) else (key, n, top)
+
+
+def _counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, cls, n, top: of a task's documents (len, terms, tfs, classes) a row for each block, in order. A term with up to RARE postings in the task
+    is one block there, of its greatest class: whoever reads up to that class reads all of them. top is a float that is not below the impact."""
+    held, size, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0, BLOCK_POSTINGS
+    for b in batches:
+        terms, tf, cls = (pc.list_flatten(b.column(c)).to_numpy() for c in (1, 2, 3))
+        length = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
+        top = (tf / (length + 1e-6) * (1 + 2.0**-22)).astype(np.float32)
+        held.append((terms.astype(np.int64) << 7 | cls, np.ones(len(terms), np.int64), top))
+        size += len(terms)
+        if size >= least:
+            held, size = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
+            least = max(BLOCK_POSTINGS, len(held[0][0]))
+    key, n, top = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    if len(key):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 7 != key[:-1] >> 7]))
+        own = np.diff(np.append(starts, len(key)))
+        rare = np.repeat(np.add.reduceat(n, starts) <= RARE, own)
+        key, n, top = _merged(np.where(rare, np.repeat(key[starts + own - 1], own), key), n, top)
+    for at in range(0, len(key), 100_000):
+        k = key[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array((k >> 7).astype(np.int32)), pa.array((k & 127).astype(np.int8)), pa.array(n[at : at + 100_000]), pa.array(top[at : at + 100_000])], ["term", "cls", "n", "top"])
+
+
+def _sent_blocks(index: SparseIndex):
+    """The blocks as arrays that every task gets: terms in order, their idf, where their blocks begin; and of those cls, n, top."""
+    t = index.blocks.select("term", F.inline("classes")).toArrow().combine_chunks().sort_by([("term", "ascending"), ("cls", "ascending")])
+    of_term = index.idf.toArrow().combine_chunks().sort_by("term")
+    terms = of_term["term"].to_numpy()
+    starts = np.append(np.searchsorted(t["term"].to_numpy(), terms), t.num_rows)
+    return index.idf.sparkSession.sparkContext.broadcast((terms, of_term["idf"].to_numpy(), starts, *(t[c].to_numpy() for c in ("cls", "n", "top"))))
+
+
 class _Asked:
     """Queries as arrays that every task gets: of each part their ids, where their terms begin, terms, weights, the class up to which
     postings are read at first (cut, -1: none), and least and rest of best_scores."""
@@ -368,19 +412,27 @@ def _needed(share: float):
     return run
 
 
-def _cuts(share: float | None):
-    """Of rows (query_id, part, least, terms (term, weight, classes (cls, n, top))), a query each, what _Asked takes, and the number of
-    postings that are read: by _needed, or (share None) the blocks that can add most, FIRST_POSTINGS postings of them."""
+def _cuts(sent, share: float | None):
+    """Of rows (query_id, part, least, terms (term, qtf)), a query each, what _Asked takes, and the number of postings that are
+    read: by _needed, or (share None) the blocks that can add most, FIRST_POSTINGS postings of them. Terms that no document has are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_terms, idfs, starts, *columns = sent.value
         for b in batches:
-            out = []
+            out, kept = [], []
             for k in range(b.num_rows):
                 terms = b.column(3)[k].values
-                term, weight, classes = (terms.field(c) for c in ("term", "weight", "classes"))
-                of = np.repeat(np.arange(len(terms)), pc.list_value_length(classes).to_numpy())
-                cls, n, top = (classes.flatten().field(c).to_numpy() for c in ("cls", "n", "top"))
-                number, w = term.to_numpy()[of], weight.to_numpy()[of]
+                term, qtf = (terms.field(c).to_numpy() for c in ("term", "qtf"))
+                place = np.searchsorted(all_terms, term)
+                known = all_terms[np.minimum(place, len(all_terms) - 1)] == term if len(all_terms) else np.zeros(len(term), bool)
+                term, place = term[known], place[known]
+                if not len(term):
+                    continue
+                kept.append(k)
+                weight, count = qtf[known] * idfs[place], starts[place + 1] - starts[place]
+                of, at = np.repeat(np.arange(len(term)), count), _each_of(starts[place], count)
+                cls, n, top = (c[at] for c in columns)
+                number, w = term[of], weight[of]
                 t = pa.table({"query_id": np.zeros(len(of), np.int8), "part": np.zeros(len(of), np.int8), "term": number, "cls": cls, "weight": w, "n": n, "bound": w * top, "least": np.full(len(of), b.column(2)[k].as_py())})
                 if share is None:
                     order = np.lexsort((cls, number, -t["bound"].to_numpy()))
@@ -388,11 +440,12 @@ def _cuts(share: float | None):
                 else:
                     t = _needed(share)(t)
                     rest = t["rest"][0].as_py() if t.num_rows else 0.0
-                cut = np.full(len(terms), -1, np.int32)  # terms of which nothing is read belong to a full score
-                known, at = np.unique(term.to_numpy(), return_index=True)
+                cut = np.full(len(term), -1, np.int32)  # terms of which nothing is read belong to a full score
+                known, at = np.unique(term, return_index=True)
                 np.maximum.at(cut, at[np.searchsorted(known, t["term"].to_numpy())], t["cls"].to_numpy().astype(np.int32))
-                out.append((rest, t["n"].to_numpy().sum(), pa.StructArray.from_arrays([term, weight, pa.array(cut)], ["term", "weight", "cut"])))
+                out.append((rest, t["n"].to_numpy().sum(), pa.StructArray.from_arrays([pa.array(x) for x in (term, weight, cut)], ["term", "weight", "cut"])))
             if out:
+                b = b.take(pa.array(kept))
                 ends = pa.array(np.cumsum([0, *(len(x[2]) for x in out)]).astype(np.int32))
                 terms = pa.ListArray.from_arrays(ends, pa.concat_arrays([x[2] for x in out]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([float(x[0]) for x in out]), pa.array([int(x[1]) for x in out]), terms], ["query_id", "part", "least", "rest", "n", "terms"])
@@ -418,16 +471,17 @@ def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
     postings = index.n_postings()
     if postings <= FEW_POSTINGS:
         return index.all_scores(), {"postings": postings, "read": postings}
-    own = index.weights.join(index.blocks.select("term", "classes"), "term").groupBy("query_id", "part").agg(F.collect_list(F.struct("term", "weight", "classes")).alias("terms"))
-    own = saved(own, "bounds")
+    # blocks go to the tasks that hold the queries, so no query's blocks are shuffled; these tasks have much to do for few bytes, so each core gets some
+    tasks = TASKS_PER_CORE * index.rows.sparkSession.sparkContext.defaultParallelism
+    own = saved(index.own.repartition(tasks, "query_id").groupBy("query_id", "part").agg(F.collect_list(F.struct("term", "qtf")).alias("terms")), "asked")
+    blocks = _sent_blocks(index)
     kinds = {f.name: f.dataType.simpleString() for f in (*index.rows.schema, *own.schema)}
     kinds["terms"] = "array<struct<term:int,weight:double,cut:int>>"
     out = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in ("query_id", "part", "least", "rest")) + f", n long, terms {kinds['terms']}"
-    cuts = lambda least, share: own.join(F.broadcast(least), "query_id", "left").select("query_id", "part", F.coalesce("least", F.lit(0.0)).alias("least"), "terms").mapInArrow(_cuts(share), out)
+    cuts = lambda least, share: own.join(F.broadcast(least), "query_id", "left").select("query_id", "part", F.coalesce("least", F.lit(0.0)).alias("least"), "terms").mapInArrow(_cuts(blocks, share), out)
     first = _Asked(cuts(own.select("query_id", F.lit(0.0).alias("least")).limit(0), None))
     # the k best sums of each query once for a task, so what is shuffled grows with the queries and the cluster, not with the blocks
-    rows = index.rows.coalesce(TASKS_PER_CORE * own.sparkSession.sparkContext.defaultParallelism)
-    sums = rows.mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
+    sums = index.rows.coalesce(tasks).mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
     least = saved(sums.select("query_id", F.try_element_at(F.sort_array("sums", asc=False), F.lit(k)).cast("double").alias("least")), "least")
     needed = saved(cuts(least, SKIPPED_SHARE), "needed")
     last = _Asked(needed)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -13,6 +14,7 @@ from pyspark.sql import Window, functions as F
 from roundsmith import queries
 from roundsmith.functions.scalar import tokens
 from roundsmith.operators import retrieval
+from roundsmith.plans import lineage
 
 
 def kb_of(spark, texts, vecs=None):
@@ -287,3 +289,56 @@ def test_first_sums_of_a_task_do_not_grow_with_its_blocks(spark, monkeypatch):
     got = [r for b in retrieval._first_sums(asked, 3)(iter(rows.to_batches(max_chunksize=4))) for r in b.to_pylist()]
     assert [r["query_id"] for r in got] == [7, 8]
     assert [sorted(round(x, 4) for x in r["sums"]) for r in got] == [[0.38, 0.39, 0.4], [0.76, 0.78, 0.8]]
+
+
+def test_blocks_of_a_task_are_counted_once(monkeypatch):
+    """One row for each block of a task however many batches it has; a term with few postings in the task is one block, of its greatest class."""
+    rng = random.Random(9)
+    docs = [[(t, rng.randrange(1, 9), rng.randrange(5)) for t in sorted(rng.sample(range(40), 6)) if t < 8 or rng.random() < 0.2] for _ in range(200)]
+    column = lambda k, kind: pa.array([[p[k] for p in d] for d in docs], pa.list_(kind))
+    rows = pa.table({"len": pa.array([50] * 200, pa.int32()), "terms": column(0, pa.int32()), "tfs": column(1, pa.int32()), "classes": column(2, pa.int8())})
+    want: dict = {}
+    few = {t for t, n in Counter(p[0] for d in docs for p in d).items() if n <= retrieval.RARE}
+    last = {t: max(p[2] for d in docs for p in d if p[0] == t) for t in few}
+    assert few and len(few) < 40
+    for t, tf, cls in (p for d in docs for p in d):
+        n, top = want.get((t, last.get(t, cls)), (0, 0))
+        want[t, last.get(t, cls)] = (n + 1, max(top, tf))
+    for size in (1, 2_000_000):
+        monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", size)
+        got = [r for b in retrieval._counted_blocks(iter(rows.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+        assert [(r["term"], r["cls"]) for r in got] == sorted(want)
+        for r in got:
+            n, top = want[r["term"], r["cls"]]
+            assert r["n"] == n and top / (50 + 1e-6) <= r["top"] < top / 50 * (1 + 1e-6)
+    assert not list(retrieval._counted_blocks(iter([])))
+
+
+def test_no_blocks_of_a_query_are_written(spark, monkeypatch):
+    """What a query is held against reaches its task by term: of a query only its terms, weights and cuts are shuffled or written."""
+    held = []
+    real = retrieval.saved
+    monkeypatch.setattr(retrieval, "saved", lambda df, name: (held.append((name, df.schema.simpleString())), real(df, name))[1])
+    monkeypatch.setattr(retrieval, "FEW_POSTINGS", 0)
+    kb = kb_of(spark, ["smoke a", "flash b", "smoke smoke", ""])
+    got = retrieval.sparse_top(query_of(spark, "smoke unknown", "unknown", ""), kb, 2).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == [(0, 0, 2), (0, 1, 0), (1, 0, 0), (1, 1, 1), (2, 0, 0), (2, 1, 1)]
+    assert {"scores", "blocks"} < {name for name, _ in held}
+    assert not [name for name, kind in held if "query_id" in kind and "top:" in kind]
+
+
+def test_shuffle_files_of_a_saved_table_go_with_it(spark):
+    stored = lambda: sum(b.isShuffle() for b in _blocks(spark))
+    before = stored()
+    conf = spark.conf.get(lineage.CLEAN)
+    table = lineage.saved(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "counts")
+    for _ in range(100):  # files are removed beside the session's work
+        if stored() <= before:
+            break
+        time.sleep(0.1)
+    assert stored() <= before and table.count() == 10 and spark.conf.get(lineage.CLEAN) == conf
+
+
+def _blocks(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return [found.apply(k) for k in range(found.size())]
