@@ -339,6 +339,21 @@ def test_shuffle_files_of_a_saved_table_go_with_it(spark):
     assert stored() <= before and table.count() == 10 and spark.conf.get(lineage.CLEAN) == conf
 
 
+def test_blocks_are_counted_by_a_task_for_each_core(spark, monkeypatch):
+    """However many partitions the postings have, so that what a hybrid search shuffles for them does not grow with the documents."""
+    plans = {}
+    real = retrieval.saved
+    monkeypatch.setattr(retrieval, "saved", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), real(df, name))[1])
+    texts = ["smoke a", "flash b", "smoke a", "long mid"]
+    kb = kb_of(spark, texts, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.5, 1.0]])
+    q = query_of(spark, "smoke long", vec=[1.0, 0.2])
+    rows = lambda: sorted((r["rank"], r.doc_id, r.score) for r in retrieval.hybrid_search(q, kb).collect())
+    plain = rows()
+    monkeypatch.setattr(retrieval, "FEW_POSTINGS", 0)
+    assert rows() == plain
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, false" in plans["blocks"]
+
+
 def _blocks(spark):
     found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
     return [found.apply(k) for k in range(found.size())]
