@@ -192,27 +192,31 @@ def _asked_postings(spark: SparkSession, asked: pa.Table):
     return run
 
 
-def _merged(key: np.ndarray, n: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys once, in order, with the sum of n and the greatest top of each."""
+def _merged(key: np.ndarray, n: np.ndarray | None, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys once, in order, with the sum of n (None: 1 each) and the greatest top of each."""
+    if not len(key):
+        return key, np.zeros(0, np.int64), top
     order = np.argsort(key, kind="stable")
     key = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return (key[starts], np.add.reduceat(n[order], starts), np.maximum.reduceat(top[order], starts)) if len(key) else (key, n, top)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(starts, len(key))) if n is None else np.add.reduceat(n[order], starts)
+    return key[starts], n, np.maximum.reduceat(top[order], starts)
 
 
 def _counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, cls, n, top: of a task's documents (len, terms, tfs, classes) a row for each block, in order. A term with up to RARE postings in the task
     is one block there, of its greatest class: whoever reads up to that class reads all of them. top is a float that is not below the impact."""
-    held, size, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0, BLOCK_POSTINGS
+    held, size, least = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0, BLOCK_POSTINGS // 4
     for b in batches:
         terms, tf, cls = (pc.list_flatten(b.column(c)).to_numpy() for c in (1, 2, 3))
         length = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
         top = (tf / (length + 1e-6) * (1 + 2.0**-22)).astype(np.float32)
-        held.append((terms.astype(np.int64) << 7 | cls, np.ones(len(terms), np.int64), top))
-        size += len(terms)
+        # a batch has many more postings than blocks: only its blocks are held
+        held.append(_merged(terms.astype(np.int64) << 7 | cls, None, top))
+        size += len(held[-1][0])
         if size >= least:
             held, size = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))], 0
-            least = max(BLOCK_POSTINGS, len(held[0][0]))
+            least = max(BLOCK_POSTINGS // 4, len(held[0][0]))
     key, n, top = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
     if len(key):
         starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 7 != key[:-1] >> 7]))
