@@ -35,8 +35,14 @@ FEW_POSTINGS, CLASSES, FIRST_POSTINGS, SKIPPED_SHARE = 4_000_000, 3, 4000, 0.35
 BLOCK_POSTINGS, SENT_CHARS = 2_000_000, 16 << 20
 #: Postings of a term in a task up to which they are one block.
 RARE = 8
-#: Tasks for each core of the passes that find a first bound and what queries read.
+#: Tasks for each core of the passes over candidates, in which each task hands on the best of each query once.
 TASKS_PER_CORE = 4
+#: Best rows of all queries that a task holds; what is more is handed on at once.
+HELD_ROWS = 2_000_000
+#: Terms whose blocks are shuffled as one row of a task.
+TERMS_OF_ROW = 1000
+#: Greatest impact of each class.
+IMPACTS = 2.0 ** (-np.arange(127) / CLASSES)
 #: Ids of ranked documents up to which they are sent to every task.
 SENT_IDS = 4_000_000
 #: Whether best_scores counts what it reads, which takes passes of its own.
@@ -113,24 +119,25 @@ def _exact_sum(x: Column) -> Column:
 
 
 class SparseIndex:
-    """The postings of the terms that some queries ask for, a row for each document with arrays of term numbers, frequencies
-    and classes of impact; blocks of one term and class with the number and the greatest impact of their postings, a row for each term; the terms' idf and the
-    queries' weights. Tables of the shared folder, until closed. Documents stay in the tasks that read them: postings are never shuffled."""
+    """The postings of the terms that some queries ask for, a row for each document with arrays of gaps between term numbers and of frequencies
+    (classes of impact follow from these; terms that more queries ask for have smaller numbers, so gaps are small); blocks of one term and class with the
+    number and the greatest impact of their postings, a row for each term; the terms' idf and the queries' weights. Tables of the shared folder, until
+    closed. Documents stay in the tasks that read them: postings are never shuffled."""
 
     def __init__(self, queries: DataFrame, kb: DataFrame):
         own = saved(query_terms(queries), "query-terms")
-        asked = own.select("part", "term").distinct().toArrow().combine_chunks().sort_by([("part", "ascending"), ("term", "ascending")])
+        asked = own.groupBy("part", "term").agg(F.count("*").alias("n")).toArrow().combine_chunks()
+        asked = asked.sort_by([("part", "ascending"), ("n", "descending"), ("term", "ascending")]).drop_columns(["n"])
         asked = asked.append_column("id", pa.array(np.arange(asked.num_rows, dtype=np.int32)))
         terms = saved(kb.sparkSession.createDataFrame(asked) if asked.num_rows else own.select("part", "term", F.lit(0).alias("id")), "terms")
         rows = kb.select("part", "doc_id", "seq", tokens(F.col("text")).alias("words"))
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-        schema = f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, terms array<int>, tfs array<int>, classes array<tinyint>"
+        schema = f"part {kinds['part']}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, len int, gaps array<int>, tfs array<int>"
         self.rows = saved(rows.mapInArrow(_asked_postings(kb.sparkSession, asked), schema), "postings")
         # a task for each core, so that what is shuffled grows with the blocks and the cluster, not with the documents; by term, for both groupings
         tasks = kb.sparkSession.sparkContext.defaultParallelism
-        counted = self.rows.select("len", "terms", "tfs", "classes").coalesce(tasks).mapInArrow(_counted_blocks, "term int, cls tinyint, n long, top float")
-        blocks = counted.repartition("term").groupBy("term", "cls").agg(F.sum("n").alias("n"), F.max("top").alias("top")).groupBy("term")
-        self.blocks = saved(blocks.agg(F.sum("n").alias("df"), F.collect_list(F.struct("cls", F.col("n").cast("int").alias("n"), "top")).alias("classes")), "blocks")
+        counted = self.rows.coalesce(tasks).mapInArrow(_rows_of_blocks, "terms_of int, terms array<int>, classes array<tinyint>, ns array<int>, tops array<smallint>")
+        self.blocks = saved(counted.groupBy("terms_of").applyInArrow(_added_blocks, "term int, df long, classes array<struct<cls:tinyint,n:int,top:float>>"), "blocks")
         n = kb.groupBy("part").agg(F.count("*").alias("n_docs"))
         of_term = self.blocks.select("term", "df").join(terms.select(F.col("id").alias("term"), "part"), "term").join(F.broadcast(n), "part")
         self.idf = saved(of_term.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf")), "idf")
@@ -139,8 +146,10 @@ class SparseIndex:
         self.tables = [own, terms, self.rows, self.blocks, self.idf]
 
     def _postings(self) -> DataFrame:
-        each = self.rows.select("part", "doc_id", "seq", "len", F.explode(F.arrays_zip("terms", "tfs", "classes")).alias("p"))
-        return each.select("part", "doc_id", "seq", "len", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), F.col("p.classes").alias("cls"))
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema}
+        rows = self.rows.mapInArrow(_opened, ", ".join(f"{c} {kinds[c]}" for c in ("part", "doc_id", "seq", "len")) + ", terms array<int>, tfs array<int>, classes array<tinyint>")
+        each = rows.select("part", "doc_id", "seq", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        return each.select("part", "doc_id", "seq", "len", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
 
     def all_scores(self) -> DataFrame:
         """query_id, doc_id, seq, score for every document that shares a term with a query."""
@@ -181,17 +190,35 @@ def _asked_postings(spark: SparkSession, asked: pa.Table):
                 if not len(key):
                     continue
                 row, code = np.divmod(key, len(terms))
-                impact = np.minimum(tf / (length[row] + 1e-6), 1.0)
-                cls = np.floor(-CLASSES * np.log2(impact)).astype(np.int8)
                 some, counts = np.unique(row, return_counts=True)
-                ends = pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((code + first).astype(np.int32), tf.astype(np.int32), cls)]
+                starts = counts.cumsum() - counts
+                gaps = np.diff(code, prepend=0)
+                gaps[starts] = code[starts] + first
+                ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (gaps, tf)]
                 kept = [b.column(c).take(pa.array(some)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(length[some].astype(np.int32)), *lists], ["part", "doc_id", "seq", "len", "terms", "tfs", "classes"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(length[some].astype(np.int32)), *lists], ["part", "doc_id", "seq", "len", "gaps", "tfs"])
 
     return run
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored rows (part, doc_id, seq, len, gaps, tfs) with arrays of terms, tfs and classes. A class is found by comparisons alone, so it is
+    the same in all passes and on all machines."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n = pc.list_value_length(b.column(4)).to_numpy()
+        gaps, tf = (pc.list_flatten(b.column(c)).to_numpy() for c in (4, 5))
+        ends = np.concatenate([[0], n.cumsum()])
+        terms = gaps.cumsum(dtype=np.int64)
+        terms -= np.repeat(np.concatenate([[0], terms])[ends[:-1]], n)
+        impact = np.minimum(tf / (np.repeat(b.column(3).to_numpy(), n) + 1e-6), 1.0)
+        cls = np.searchsorted(-IMPACTS, -impact, "right") - 1
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (terms.astype(np.int32), tf, cls.astype(np.int8))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), *lists], ["part", "doc_id", "seq", "len", "terms", "tfs", "classes"])
+
+
 def _merged(key: np.ndarray, n: np.ndarray | None, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys once, in order, with the sum of n (None: 1 each) and the greatest top of each."""
     if not len(key):
@@ -228,6 +255,27 @@ def _counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array((k >> 7).astype(np.int32)), pa.array((k & 127).astype(np.int8)), pa.array(n[at : at + 100_000]), pa.array(top[at : at + 100_000])], ["term", "cls", "n", "top"])
 
 
+def _rows_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's stored rows, as arrays: a row for TERMS_OF_ROW terms. Of top, the upper half of its bits goes on, rounded up."""
+    for b in _counted_blocks(x.select(["len", "terms", "tfs", "classes"]) for x in _opened(batches)):
+        terms, cls, n, top = (c.to_numpy() for c in b.columns)
+        upper = ((top.view(np.uint32) + np.uint32(0xFFFF)) >> np.uint32(16)).astype(np.int16)
+        of, starts = np.unique(terms // TERMS_OF_ROW, return_index=True)
+        ends = pa.array(np.append(starts, len(terms)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (terms, cls, n.astype(np.int32), upper)]
+        yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), *lists], ["terms_of", "terms", "classes", "ns", "tops"])
+
+
+def _added_blocks(t: pa.Table) -> pa.Table:
+    """The blocks of all tasks, a row for each term."""
+    terms, cls, n, upper = (pc.list_flatten(t[c]).to_numpy() for c in ("terms", "classes", "ns", "tops"))
+    key, n, top = _merged(terms.astype(np.int64) << 7 | cls, n.astype(np.int64), (upper.astype(np.uint32) << np.uint32(16)).view(np.float32))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] >> 7 != key[:-1] >> 7]))
+    classes = pa.StructArray.from_arrays([pa.array((key & 127).astype(np.int8)), pa.array(n.astype(np.int32)), pa.array(top)], ["cls", "n", "top"])
+    ends = pa.array(np.append(starts, len(key)).astype(np.int32))
+    return pa.table([pa.array((key[starts] >> 7).astype(np.int32)), pa.array(np.add.reduceat(n, starts)), pa.ListArray.from_arrays(ends, classes)], ["term", "df", "classes"])
+
+
 def _sent_blocks(index: SparseIndex):
     """The blocks as arrays that every task gets: terms in order, their idf, where their blocks begin; and of those cls, n, top."""
     t = index.blocks.select("term", F.inline("classes")).toArrow().combine_chunks().sort_by([("term", "ascending"), ("cls", "ascending")])
@@ -320,6 +368,31 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple]:
     yield from ((p, pa.Table.from_batches(x)) for p, x in held.items())
 
 
+def _k_best(rows: pa.Table, k: int) -> pa.Table:
+    """Of rows (q, doc_id, seq, score) the k of each q with the greatest scores, ties by seq."""
+    q, score, seq = (rows[c].to_numpy() for c in ("q", "score", "seq"))
+    order = np.lexsort((seq, -score, q))
+    own = q[order]
+    return rows.take(pa.array(order[np.arange(len(own)) - np.searchsorted(own, own) < k])).combine_chunks()
+
+
+def _best_of_task(found: Iterator[pa.Table], k: int) -> Iterator[pa.Table]:
+    """The k best rows of each q of all tables together; of more than HELD_ROWS, of as many as are held."""
+    held, size, least = [], 0, HELD_ROWS // 4
+    for rows in found:
+        held.append(rows)
+        size += rows.num_rows
+        if size >= least:
+            best = _k_best(pa.concat_tables(held), k)
+            if best.num_rows > HELD_ROWS:
+                yield best
+                best = best.slice(0, 0)
+            held, size = [best], best.num_rows
+            least = max(HELD_ROWS // 4, 2 * size)
+    if size:
+        yield _k_best(pa.concat_tables(held), k)
+
+
 def _first_sums(asked: _Asked, k: int):
     """query_id, sums: the k greatest sums over the postings up to the cuts, of all documents of a task; rounded down."""
     sent, id_type = asked.sent, to_arrow_type(DataType.fromDDL(asked.id_type))
@@ -351,15 +424,16 @@ def _first_sums(asked: _Asked, k: int):
 
 
 def _best_of_blocks(asked: _Asked, k: int):
-    """query_id, doc_id, seq, score: of each block of documents the k best whose sum over the postings up to the cuts can reach
+    """query_id, doc_id, seq, score: of all documents of a task the k best whose sum over the postings up to the cuts can reach
     least with rest, scored in full."""
     sent, id_type = asked.sent, to_arrow_type(DataType.fromDDL(asked.id_type))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         size = 1 + max((int(own[2].max()) for own in sent.value.values()), default=0)
         all_weights = np.zeros(size)
+        base = dict(zip(sent.value, np.cumsum([0, *(len(own[0]) for own in sent.value.values())]).tolist(), strict=False))
         for part, rows in _blocks_of(batches, sent.value):
-            ids, starts, terms, weight, cut, least, rest = sent.value[part]
+            _, starts, terms, weight, cut, least, rest = sent.value[part]
             block, seq = _Block(rows), rows["seq"].to_numpy()
             begin, n = block.ranges(terms, cut)
             found = []
@@ -377,8 +451,12 @@ def _best_of_blocks(asked: _Asked, k: int):
             if found:
                 q, docs, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 own = rows.select(["doc_id", "seq"]).take(pa.array(docs)).combine_chunks()
-                for b in pa.table([ids.take(pa.array(q)).cast(id_type), own["doc_id"], own["seq"], pa.array(score)], ["query_id", "doc_id", "seq", "score"]).to_batches(max_chunksize=100_000):
-                    yield b
+                yield pa.table([pa.array(base[part] + q), own["doc_id"], own["seq"], pa.array(score)], ["q", "doc_id", "seq", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([own[0].cast(id_type) for own in sent.value.values()]) if sent.value else None
+        for best in _best_of_task(found_in(batches), k):
+            yield from best.drop_columns(["q"]).add_column(0, "query_id", ids.take(best["q"].combine_chunks())).to_batches(max_chunksize=100_000)
 
     return run
 
@@ -469,7 +547,7 @@ def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
     Exact pruning by blocks of impact, within the tasks that hold the documents: no row is made for a query and a document, but for the
     best. The blocks that can add most, FIRST_POSTINGS postings of them for each query, give it a bound that k documents reach. The
     blocks to be read then leave out as many postings as that bound allows, frequent terms' first; a document whose sum falls short of it
-    even with all that is left out is dropped, the others are scored in full, and a task hands on the k best of each block of documents.
+    even with all that is left out is dropped, the others are scored in full, and a task hands on the k best of all its documents.
     A query that finds no k documents at first has all its postings read. Of up to FEW_POSTINGS nothing is left out: the
     scores are the same, and the passes that choose cost more than they save."""
     postings = index.n_postings()
@@ -485,11 +563,12 @@ def best_scores(index: SparseIndex, k: int) -> tuple[DataFrame, dict[str, int]]:
     cuts = lambda least, share: own.join(F.broadcast(least), "query_id", "left").select("query_id", "part", F.coalesce("least", F.lit(0.0)).alias("least"), "terms").mapInArrow(_cuts(blocks, share), out)
     first = _Asked(cuts(own.select("query_id", F.lit(0.0).alias("least")).limit(0), None))
     # the k best sums of each query once for a task, so what is shuffled grows with the queries and the cluster, not with the blocks
-    sums = index.rows.coalesce(tasks).mapInArrow(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
+    in_tasks = lambda run, schema: index.rows.coalesce(tasks).mapInArrow(lambda batches: run(_opened(batches)), schema)
+    sums = in_tasks(_first_sums(first, k), f"query_id {first.id_type}, sums array<float>").groupBy("query_id").agg(F.flatten(F.collect_list("sums")).alias("sums"))
     least = saved(sums.select("query_id", F.try_element_at(F.sort_array("sums", asc=False), F.lit(k)).cast("double").alias("least")), "least")
     needed = saved(cuts(least, SKIPPED_SHARE), "needed")
     last = _Asked(needed)
-    scores = saved(index.rows.mapInArrow(_best_of_blocks(last, k), f"query_id {last.id_type}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, score double"), "scores")
+    scores = saved(in_tasks(_best_of_blocks(last, k), f"query_id {last.id_type}, doc_id {kinds['doc_id']}, seq {kinds['seq']}, score double"), "scores")
     counts = {"postings": postings} | ({"read": needed.agg(F.sum("n")).first()[0] or 0, "scored": scores.count()} if COUNT else {})
     drop(own, needed, least)
     index.tables.append(scores)
@@ -545,13 +624,20 @@ def _cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def dense_candidates(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
-    """query_id, doc_id, seq, vec, sim, place: the k nearest of each query, ties in candidate order; vectors are
+    """query_id, doc_id, seq, vec, sim, place: the nearest candidates with their vectors."""
+    return kb.select("part", "doc_id", "seq", "vec").join(nearest(queries, kb, k), ["part", "doc_id", "seq"]).select("query_id", "doc_id", "seq", "vec", "sim", "place")
+
+
+def nearest(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> DataFrame:
+    """query_id, part, doc_id, seq, sim, place: the k nearest of each query, ties in candidate order; vectors are
     of one length. Blocks of candidates times blocks of queries are matrix products, of which the k best of each
-    go on (what comes within 1e-9 of the k-th is computed again by _cosines); no row is made for any other pair. Queries go to every task, SENT_BYTES of vectors at a time."""
+    stay (what comes within 1e-9 of the k-th is computed again by _cosines), and a task hands on the k best of all its candidates; no row is made for any other
+    pair. So what is shuffled grows with the queries and the cluster, not with the candidates. Queries go to every task, SENT_BYTES of vectors at a time."""
     asked = queries.where("qvec is not null").select("part", "query_id", F.col("qvec").cast("array<double>").alias("qvec"))
     size = asked.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0))).first()[0] * 8
     passes = max(1, -(-size // SENT_BYTES))
     rows = kb.where("vec is not null").select("part", F.col("doc_id").cast("long"), F.col("seq").cast("long"), F.col("vec").cast("array<double>"))
+    rows = rows.coalesce(TASKS_PER_CORE * kb.sparkSession.sparkContext.defaultParallelism)
     id_type = queries.schema["query_id"].dataType.simpleString()
     scored = None
     for k_pass in range(passes):
@@ -559,8 +645,7 @@ def dense_candidates(queries: DataFrame, kb: DataFrame, k: int = FETCH_K) -> Dat
         part = rows.mapInArrow(_nearest(own, k), f"query_id {id_type}, part string, doc_id long, seq long, sim double")
         scored = part if scored is None else scored.union(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "seq")
-    found = saved(scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k), "nearest")
-    return kb.select("part", "doc_id", "seq", "vec").join(found, ["part", "doc_id", "seq"]).select("query_id", "doc_id", "seq", "vec", "sim", "place")
+    return saved(scored.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < k), "nearest")
 
 
 def _nearest(asked: DataFrame, k: int):
@@ -570,7 +655,7 @@ def _nearest(asked: DataFrame, k: int):
     sent = asked.sparkSession.sparkContext.broadcast({p: ([i for i, _ in own], np.array([v for _, v in own], np.float64)) for p, own in by.items()})
     id_type = to_arrow_type(asked.schema["query_id"].dataType)
 
-    def best(part: str, doc: np.ndarray, seq: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def best(part: str, doc: np.ndarray, seq: np.ndarray, vec: np.ndarray, base: int) -> Iterator[pa.Table]:
         ids, asked = sent.value[part]
         order = np.argsort(seq, kind="stable")  # so that ties stay in candidate order
         doc, seq, vec = doc[order], seq[order], vec[order]
@@ -582,24 +667,30 @@ def _nearest(asked: DataFrame, k: int):
             last = -np.partition(-near, min(k, len(doc)) - 1, axis=1)[:, [min(k, len(doc)) - 1]]
             row, at = np.nonzero(~(near < last - 1e-9))
             sim = _rounded(_cosines(q, vec, row, at))
-            order = np.lexsort((at, -sim, row))  # at each row's own places: row is ascending
-            first = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
-            row, at, sim = row[first], at[first], sim[first]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + BLOCK], id_type).take(pa.array(row)), pa.array([part] * len(at)), pa.array(doc[at]), pa.array(seq[at]), pa.array(sim)], ["query_id", "part", "doc_id", "seq", "sim"])
+            yield _k_best(pa.table({"q": base + i + row, "doc_id": doc[at], "seq": seq[at], "score": sim}), k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch], base: dict) -> Iterator[pa.Table]:
         held: dict = {}
         for b in batches:
             parts = b.column(0).to_pylist()
             doc, seq = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             vec = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for p in sent.value.keys() & set(parts):
+            for p in base.keys() & set(parts):
                 own = np.array([x == p for x in parts])
                 held.setdefault(p, []).append((doc[own], seq[own], vec[own]))
                 if sum(len(x[0]) for x in held[p]) >= BLOCK:
-                    yield from best(p, *(np.concatenate(x) for x in zip(*held.pop(p), strict=True)))
+                    yield from best(p, *(np.concatenate(x) for x in zip(*held.pop(p), strict=True)), base[p])
         for p, own in held.items():
-            yield from best(p, *(np.concatenate(x) for x in zip(*own, strict=True)))
+            yield from best(p, *(np.concatenate(x) for x in zip(*own, strict=True)), base[p])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(ids) for ids, _ in sent.value.values()]
+        base = dict(zip(sent.value, np.cumsum([0, *sizes]).tolist(), strict=False))
+        ids = pa.array([i for own, _ in sent.value.values() for i in own], id_type)
+        parts = pa.array([p for p, (own, _) in sent.value.items() for _ in own], pa.string())
+        for rows in _best_of_task(found_in(batches, base), k):
+            q = rows["q"].combine_chunks()
+            yield from pa.table([ids.take(q), parts.take(q), rows["doc_id"], rows["seq"], rows["score"]], ["query_id", "part", "doc_id", "seq", "sim"]).to_batches(max_chunksize=100_000)
 
     return run
 

@@ -35,14 +35,14 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder. What follows computes it once, however often it is read, and
+    """df as a Parquet table of the shared folder, by Zstandard. What follows computes it once, however often it is read, and
     Spark knows its size when it picks a join. Nothing reads the shuffle files of the writing again, so they go with it."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     given = conf.get(CLEAN, None)
     conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(CLEAN, given) if given is not None else conf.unset(CLEAN)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -357,3 +357,58 @@ def test_blocks_are_counted_by_a_task_for_each_core(spark, monkeypatch):
 def _blocks(spark):
     found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
     return [found.apply(k) for k in range(found.size())]
+
+
+def test_a_task_hands_on_the_best_of_all_its_documents_once(spark, monkeypatch):
+    """However many blocks a task has, each query gets k rows of it; only beyond HELD_ROWS more."""
+    monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", 1)
+    n = np.arange(1, 41)
+    lists = lambda kind, values: pa.array(values, pa.list_(kind))
+    rows = pa.table({"part": ["a", "b"] * 20, "doc_id": n, "seq": -n, "len": pa.array([100] * 40, pa.int32()), "terms": lists(pa.int32(), [[0]] * 40), "tfs": lists(pa.int32(), [[int(x) // 4] for x in n + 4]), "classes": lists(pa.int8(), [[0]] * 40)})
+    of_part = lambda *ids: (pa.array(ids), np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 2.0]), np.array([0, 0]), np.zeros(2), np.zeros(2))
+    asked = SimpleNamespace(sent=SimpleNamespace(value={"a": of_part(7, 8), "b": of_part(9, 10)}), id_type="int")
+    want = {q: [d for d in sorted(n.tolist(), key=lambda d: (-((d + 4) // 4), -d)) if d % 2 == q // 9 % 2 ^ 1][:3] for q in (7, 8, 9, 10)}
+    for held in (2_000_000, 4):
+        monkeypatch.setattr(retrieval, "HELD_ROWS", held)
+        got = [r for b in retrieval._best_of_blocks(asked, 3)(iter(rows.to_batches(max_chunksize=4))) for r in b.to_pylist()]
+        best = {q: [r["doc_id"] for r in sorted(got, key=lambda r: (-r["score"], r["seq"])) if r["query_id"] == q][:3] for q in want}
+        assert best == want and (len(got) == 12) == (held > 4)
+
+
+def test_dense_tasks_hand_on_the_nearest_of_all_their_candidates_once(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    asked = query_of(spark, "", "", vec=[1.0, 0.5])
+    rows = pa.table({"part": ["*"] * 50, "doc_id": np.arange(50), "seq": np.arange(50), "vec": pa.array([[1.0, k % 7 / 7] for k in range(50)])})
+    got = [r for b in retrieval._nearest(asked.select("part", "query_id", "qvec"), 4)(iter(rows.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    near = sorted(range(50), key=lambda k: (-round(cosine([1.0, 0.5], [1.0, k % 7 / 7]), 12), k))[:4]
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == sorted((q, d) for q in (0, 1) for d in near)
+    held = {}
+    real = retrieval.saved
+    monkeypatch.setattr(retrieval, "saved", lambda df, name: (held.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), real(df, name))[1])
+    retrieval.nearest(asked, kb_of(spark, ["a"] * 9, [[1.0, float(k)] for k in range(9)]).repartition(99))
+    assert f"Repartition {retrieval.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}, false" in held["nearest"]
+
+
+def test_stored_postings_are_gaps_from_which_all_follows(spark):
+    """Small gaps for terms that many ask for, no classes; blocks of all tasks bound the impacts of their postings."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(39, int(rng.paretovariate(0.7)))}" for _ in range(rng.randrange(1, 90))) for _ in range(80)]
+    q = spark.createDataFrame([(k, "*", " ".join(f"w{x}" for x in range(k % 40))) for k in range(60)], "query_id int, part string, query string")
+    index = retrieval.SparseIndex(q, kb_of(spark, texts).repartition(3))
+    assert index.rows.columns == ["part", "doc_id", "seq", "len", "gaps", "tfs"]
+    names = {r.id: r.term for r in index.tables[1].collect()}
+    assert names[0] == "w0" and names[len(names) - 1] == "w38"
+    opened = [r for b in retrieval._opened(iter(index.rows.toArrow().to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    got = {r.term: sorted((c.cls, c.n, c.top) for c in r.classes) for r in index.blocks.collect()}
+    found = Counter()
+    assert {r["doc_id"] for r in opened} == {k for k, t in enumerate(texts) if set(words(t)) & set(names.values())}
+    for r in opened:
+        own = Counter(words(texts[r["doc_id"]]))
+        assert {names[t]: n for t, n in zip(r["terms"], r["tfs"], strict=True)} == {w: n for w, n in own.items() if w in names.values()} and r["len"] == sum(own.values())
+        for t, tf, cls in zip(r["terms"], r["tfs"], r["classes"], strict=True):
+            impact = min(tf / (r["len"] + 1e-6), 1.0)
+            assert 2.0 ** (-(cls + 1) / retrieval.CLASSES) < impact <= 2.0 ** (-cls / retrieval.CLASSES)
+            found[t] += 1
+            assert max(top for c, _, top in got[t] if c >= cls) >= impact
+    assert found == {t: sum(n for _, n, _ in own) for t, own in got.items()} == {r.term: r.df for r in index.blocks.collect()}
+    index.close()
