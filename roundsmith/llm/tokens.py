@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 #: Bytes of texts whose new words are encoded together.
 SLICE_BYTES = 1 << 20
 #: ASCII characters that are neither letters, digits nor white space.
@@ -72,9 +72,9 @@ class WordTokenizer:
             cache.clear()
         # A-Z alone, which the tokenizer lowers as well
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        unseen: set[bytes] = set()
-        for own in split:
-            unseen.update(set(own).difference(cache))
+        found = [list(map(cache.get, own)) for own in split]  # one look-up for each word
+        missing = [[i for i, ids in enumerate(of) if ids is None] for of in found]
+        unseen = {own[i] for own, places in zip(split, missing, strict=True) for i in places}
         new, ends = set(), []
         for w in unseen:
             base = w.rstrip(MARKS)
@@ -91,7 +91,10 @@ class WordTokenizer:
                 cache[w] = self._one(w)
         for w, base in ends:
             cache[w] = cache[base] + cache[w[len(base) :]]
-        return [b"".join(map(cache.__getitem__, own)) for own in split]
+        for own, of, places in zip(split, found, missing, strict=True):
+            for i in places:
+                of[i] = cache[own[i]]
+        return [b"".join(of) for of in found]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

@@ -156,3 +156,25 @@ def test_pack_leaves_no_padding(lengths):
             at += n
         assert at == lengths[d]
     assert all(n <= 64 and n & (n - 1) == 0 for n in seq.values())
+
+
+def test_a_known_word_is_looked_up_once(plain):
+    """Packing spends most of its time on words that the worker knows."""
+    looked = defaultdict(int)
+
+    class Counted(dict):
+        def get(self, word, *other):
+            looked["get"] += 1
+            return super().get(word, *other)
+
+        def __getitem__(self, word):
+            looked["item"] += 1
+            return super().__getitem__(word)
+
+    own = tokens.WordTokenizer(PATH)
+    texts = [b"one two, one", b"", b"two, three one"]
+    first = own.all_ids(texts)
+    own.cache = Counted(own.cache)
+    assert own.all_ids(texts) == first and looked == {"get": 6}
+    assert own.all_ids([b"one four one"]) == [np.array(plain.encode("one four one", add_special_tokens=False).ids, own.dtype).tobytes()]
+    assert looked == {"get": 9, "item": 1}
